@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm.near_dedup import near_duplicates
 from lodestone.llm.packing import pack_documents
+from lodestone.llm.quality import score_quality, train_quality
 from lodestone.llm.sharding import shard
 from lodestone.llm.token_counts import token_counts
 from lodestone.llm.top_k import top_k
+from lodestone.llm.toxicity import score_toxicity, train_toxicity
 from lodestone.sources.tables import table
 
 
@@ -39,11 +41,21 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_sharding, op5_top_k, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_sharding, op5_top_k, op6_quality, op8_toxicity, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_top_k": """
