@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestone.llm.embedding_dedup import embedding_duplicates
 from lodestone.llm.near_dedup import near_duplicates
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import score_quality, train_quality
@@ -37,6 +38,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -55,9 +60,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_sharding, op5_top_k, op6_quality, op8_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_sharding, op4_embedding_dedup, op5_top_k, op6_quality, op8_toxicity, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_embedding_dedup": """
+        WITH RECURSIVE good AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+              ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            UNION
+            SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+        ), component AS (
+            SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+        ), degree AS (
+            SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+        )
+        SELECT e.vec_id, coalesce(degree.n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+        FROM embeddings e JOIN component USING (vec_id) LEFT JOIN degree USING (vec_id)
+    """,
     "op5_top_k": """
         WITH good AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS codes
