@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm.embedding_dedup import embedding_duplicates
+from lodestone.llm.html_text import extract_text
 from lodestone.llm.near_dedup import near_duplicates
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import score_quality, train_quality
+from lodestone.llm.sentencepiece_codec import decode, encode
 from lodestone.llm.sharding import shard
 from lodestone.llm.token_counts import token_counts
 from lodestone.llm.top_k import top_k
@@ -51,16 +53,32 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_sharding, op4_embedding_dedup, op5_top_k, op6_quality, op8_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_sharding, op4_embedding_dedup, op5_top_k, op6_quality, op7_html_text, op8_toxicity, op9_sentencepiece, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_embedding_dedup": """
