@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -281,6 +282,12 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
+@lru_cache(1)
+def codec_of(model: str) -> Codec:
+    """One codec a worker process, so that its tasks share the words it has learnt."""
+    return Codec(model)
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, ids``: the library's ids of every row, without begin and end.
 
@@ -289,7 +296,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_of(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -308,7 +315,7 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     at_ids = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_of(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
