@@ -2,9 +2,9 @@
 
 Pass 1 counts every pre-token of the corpus (map-side first, then by key) and encodes each distinct
 one once: the table ``pre-token, total, n_tokens``. Pass 2 turns each text into pre-token
-frequencies and joins them to that table: the ``head`` most frequent, a fixed number, in memory,
-all others by an equi-join on the pre-token. Sums give the counts. Since the head takes the most
-frequent, no key of the shuffled join is hot.
+frequencies and joins them to that table: in memory those that are at least one in ``head`` of all
+occurrences, of which there can't be more than ``head``; all others by an equi-join on the
+pre-token. Sums give the counts. Every hot key is in the head, so none is in the shuffled join.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def _frequencies(docs: DataFrame, tokenizer: str, head) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", head: int = 100_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", head: int = 1_000_000) -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` of every row, as the tokenizer library counts its tokens.
 
     No begin, end or other added tokens; a special token's string inside a text counts as that one
@@ -111,7 +111,8 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     vocabulary = materialise(_encoded(_totals(texts.select("text"), tokenizer), tokenizer), "pieces")
-    top = vocabulary.orderBy(F.desc("total"), "piece").limit(head).select("piece", "n_tokens").collect()
+    total = vocabulary.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    top = vocabulary.where(F.col("total") * head >= total).select("piece", "n_tokens").collect()
     shared = docs.sparkSession.sparkContext.broadcast({r.piece: r.n_tokens for r in top})
     rows = materialise(_frequencies(texts, tokenizer, shared).withColumn("row", F.monotonically_increasing_id()), "frequencies")
     rest = rows.select("row", F.explode(F.arrays_zip("pieces", "counts")).alias("p")).select("row", F.col("p.pieces").alias("piece"), F.col("p.counts").alias("n"))
