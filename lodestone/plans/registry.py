@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lodestone.plans import model, tables
+
+QUERIES: dict = model.QUERIES | tables.QUERIES
+ORACLE_SQL: dict[str, str] = model.ORACLE_SQL | tables.ORACLE_SQL
