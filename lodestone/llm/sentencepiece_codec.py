@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 _SPACE = "▁"
 _BASE = np.uint64(0x100000001B3)
@@ -324,5 +325,4 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
                 texts = [codec.decode(values[a:b]) if k else None for a, b, k in zip(offsets[:-1], offsets[1:], known)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
-    schema = rows.schema.add("decoded", "string")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
