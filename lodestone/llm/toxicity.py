@@ -55,18 +55,19 @@ class ToxicityModel:
         return x.dense
 
 
-def _select(found: list[set[str]], toxic: np.ndarray, most: int) -> tuple[list[str], set[str]]:
-    """The terms that tell most, and the markers among them."""
-    yes, no = Counter(), Counter()
-    for features, t in zip(found, toxic):
-        (yes if t else no).update(features)
-    n_yes, n_no = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    gap = {}
-    for term, n in yes.items():
-        a, b = (n + 0.5) / (n_yes + 1), (no[term] + 0.5) / (n_no + 1)
-        gap[term] = (abs(np.log(a / b)) * np.sqrt(n)) if n >= 3 else 0.0
+def _select(toxic: list[str], clean: list[str], most: int) -> tuple[list[str], set[str]]:
+    """The terms of toxic texts that tell most, and the markers among them."""
+    yes: Counter = Counter()
+    for text in toxic:
+        yes.update(features_of(text))
+    often = {t: n for t, n in yes.items() if n >= 3}
+    del yes
+    no: Counter = Counter()
+    for text in clean:
+        no.update(often.keys() & features_of(text))
+    gap = {t: abs(np.log((n + 0.5) / (len(toxic) + 1)) - np.log((no[t] + 0.5) / (len(clean) + 1))) * np.sqrt(n) for t, n in often.items()}
     terms = sorted((t for t in gap if gap[t] > 3), key=lambda t: (-gap[t], t))[:most]
-    markers = {t for t in terms if yes[t] >= 5 and (no[t] + 0.1) / n_no <= 0.02 * yes[t] / n_yes}
+    markers = {t for t in terms if often[t] >= 5 and (no[t] + 0.1) / len(clean) <= 0.02 * often[t] / len(toxic)}
     return terms, markers
 
 
@@ -80,11 +81,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per
     toxic = np.array([v == 1 for v, _ in sample], bool)
     if not len(toxic) or toxic.all() or not toxic.any():
         return ToxicityModel({}, [np.array([-20.0] + [0.0] * k) for k in range(len(CATEGORIES))])
-    found = [features_of(t) for _, t in sample]
-    terms, markers = _select(found, toxic, most_terms)
+    terms, markers = _select([t for v, t in sample if v], [t for v, t in sample if not v], most_terms)
+    model = ToxicityModel({t: k for k, t in enumerate(terms)}, [])
+    # Only the chosen terms of each text are held.
+    found = [model.terms.keys() & features_of(t) for _, t in sample]
     hits = np.array([len(markers & f) for f in found])
     targets = {"explicit": toxic & (hits >= 1), "severe": toxic & (hits >= 3), "toxic": toxic}
-    model = ToxicityModel({t: k for k, t in enumerate(terms)}, [])
     x = model.design(found)
     fold = np.arange(len(found)) % FOLDS
     fresh = np.empty(len(found))
