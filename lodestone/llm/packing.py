@@ -12,6 +12,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,14 +25,19 @@ from lodestone.session import materialise
 _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 _END = (0).to_bytes(4, "little")
 #: Words whose ids a worker keeps.
-HELD = 300_000
+HELD = 1_200_000
+
+
+def _words(text: str) -> list[str]:
+    return text.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ").decode("utf-8", "surrogatepass").split(" ")
 
 
 class WordIds:
     """Ids of a text as little-endian unsigned 32-bit bytes, by the ids of its space-separated words.
 
-    Only for tokenizers whose words never cross a space: the space is dropped before the merges.
-    Special tokens are cut out of the raw text first, as the library does.
+    Only for tokenizers that lower letters and whose words never cross white space, which is dropped
+    before the merges: so A-Z may be lowered and line ends be spaces beforehand, and fewer words
+    differ. Special tokens are cut out of the raw text first, as the library does.
     """
 
     def __init__(self, tokenizer: str):
@@ -47,32 +53,44 @@ class WordIds:
         if len(self.known) + len(new) > HELD:
             self.known = {"": b""}
             new = list(words)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, found in zip(part, self.encoder.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
+        for at in range(0, len(new), 500):
+            # Many words go as one text; a token belongs to the word in which its characters start.
+            part = new[at : at + 500]
+            found = self.encoder.encode(" ".join(part), add_special_tokens=False)
+            ends = np.cumsum([len(word) + 1 for word in part])
+            cuts = 4 * np.searchsorted(np.array([start for start, _ in found.offsets], np.int64), ends)
+            ids, last = np.array(found.ids, "<u4").tobytes(), 0
+            for word, cut in zip(part, cuts.tolist()):
+                self.known[word] = ids[last:cut]
+                last = cut
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = []
         for text in texts:
             text = text or ""
             if self.cut is not None and "<|" in text:
-                split.append([p if p in self.special else p.split(" ") for p in self.cut.split(text)])
+                split.append([p if p in self.special else _words(p) for p in self.cut.split(text)])
             else:
-                split.append([text.split(" ")])
-        self._learn({w for parts in split for p in parts if isinstance(p, list) for w in p})
+                split.append([_words(text)])
+        self._learn(set().union(*(p for parts in split for p in parts if isinstance(p, list))))
         find = self.known.__getitem__
         return [b"".join(self.special[p] if isinstance(p, str) else b"".join(map(find, p)) for p in parts) for parts in split]
 
 
+@lru_cache(1)
+def word_ids(tokenizer: str) -> WordIds:
+    """One encoder a worker process, so that its tasks share the words it has learnt."""
+    return WordIds(tokenizer)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The tokens of each row, then id 0, cut into pieces of ``capacity`` where they are longer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(tokenizer)
+        encode = word_ids(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 columns = [[], [], [], [], [], []]
                 for doc, row, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encode(part.column(2).to_pylist())):
                     ids += _END
