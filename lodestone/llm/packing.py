@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
+from lodestone.llm.memo import Memo
 from lodestone.session import materialise
 
 _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 _END = (0).to_bytes(4, "little")
 #: Words whose ids a worker keeps.
-HELD = 1_200_000
+HELD = 900_000
 
 
 def _words(text: str) -> list[str]:
@@ -46,13 +47,9 @@ class WordIds:
         added = {t.content: i for i, t in self.encoder.get_added_tokens_decoder().items()}
         self.special = {content: int(i).to_bytes(4, "little") for content, i in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.known: dict[str, bytes] = {"": b""}
+        self.memo = Memo(HELD)
 
-    def _learn(self, words: set[str]) -> None:
-        new = list(words.difference(self.known))
-        if len(self.known) + len(new) > HELD:
-            self.known = {"": b""}
-            new = list(words)
+    def _encode(self, new: list[str]) -> Iterator[bytes]:
         for at in range(0, len(new), 500):
             # Many words go as one text; a token belongs to the word in which its characters start.
             part = new[at : at + 500]
@@ -60,8 +57,8 @@ class WordIds:
             ends = np.cumsum([len(word) + 1 for word in part])
             cuts = 4 * np.searchsorted(np.array([start for start, _ in found.offsets], np.int64), ends)
             ids, last = np.array(found.ids, "<u4").tobytes(), 0
-            for word, cut in zip(part, cuts.tolist()):
-                self.known[word] = ids[last:cut]
+            for cut in cuts.tolist():
+                yield ids[last:cut]
                 last = cut
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
@@ -72,8 +69,7 @@ class WordIds:
                 split.append([p if p in self.special else _words(p) for p in self.cut.split(text)])
             else:
                 split.append([_words(text)])
-        self._learn(set().union(*(p for parts in split for p in parts if isinstance(p, list))))
-        find = self.known.__getitem__
+        find = self.memo.learn(set().union(*(p for parts in split for p in parts if isinstance(p, list))), self._encode)
         return [b"".join(self.special[p] if isinstance(p, str) else b"".join(map(find, p)) for p in parts) for parts in split]
 
 

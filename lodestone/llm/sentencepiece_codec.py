@@ -20,6 +20,8 @@ import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lodestone.llm.memo import Memo
+
 _SPACE = "▁"
 _BASE = np.uint64(0x100000001B3)
 _UNIGRAM, _BPE = 1, 2
@@ -83,17 +85,19 @@ class Codec:
         self.bytes = {int(self.pieces[i][1:-1], 16): i for i in range(size) if lib.is_byte(i)}
         self.longest = max(map(len, self.own), default=1)
         self.least = float(min((self.scores[i] for i in self.own.values()), default=0.0)) - _UNKNOWN_PENALTY
-        keys = np.array([self._hash(p) for p in self.own], np.uint64)
+        # Keys of all beginnings of pieces; those that are no piece themselves have the id -1.
+        beginnings = {p[:k] for p in self.own for k in range(1, len(p) + 1)}
+        keys = np.array([self._hash(p) for p in beginnings], np.uint64)
         order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.fromiter(self.own.values(), np.int64, len(keys))[order]
+        self.keys, self.ids = keys[order], np.array([self.own.get(p, -1) for p in beginnings], np.int64)[order]
         if len(np.unique(keys)) < len(keys):
-            raise ValueError("two pieces of this model have one hash")
+            raise ValueError("two beginnings of pieces have one hash")
         self.letters = np.zeros((size, self.longest), np.uint64)
         for piece, i in self.own.items():
             self.letters[i, : len(piece)] = [ord(c) for c in piece]
         # Words are independent where no piece holds a space mark after another character.
         self.separable = not any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in self.own)
-        self.known: dict[str, bytes] = {}
+        self.memo = Memo(HELD)
         blobs = [self._bytes_of(i) for i in range(size)]
         self.lengths = np.array([len(b) for b in blobs])
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
@@ -101,7 +105,7 @@ class Codec:
 
     @staticmethod
     def _hash(piece: str) -> int:
-        value = len(piece)
+        value = 1
         for c in piece:
             value = ((value ^ ord(c)) * int(_BASE) + (value >> 29)) & (2**64 - 1)
         return value
@@ -118,17 +122,21 @@ class Codec:
         words, length = codes.shape
         most = min(self.longest, length)
         out = np.full((words, length, most), -1, np.int64)
+        # Substrings grow by a character at a time while they begin some piece.
+        word, start = (x.ravel() for x in np.indices((words, length)))
+        value = np.ones(len(word), np.uint64)
         for size in range(1, most + 1):
-            value = np.full((words, length - size + 1), size, np.uint64)
-            for k in range(size):
-                value = (value ^ codes[:, k : length - size + 1 + k]) * _BASE + (value >> np.uint64(29))
+            value = (value ^ codes[word, start + size - 1]) * _BASE + (value >> np.uint64(29))
             at = np.minimum(np.searchsorted(self.keys, value), len(self.keys) - 1)
-            hit = self.keys[at] == value
+            alive = self.keys[at] == value
+            word, start, value, ids = word[alive], start[alive], value[alive], self.ids[at[alive]]
             # Other substrings of equal hash are told apart by the piece itself.
-            w, start = np.nonzero(hit)
-            ids = self.ids[at[w, start]]
-            same = (self.letters[ids, :size] == codes[w[:, None], start[:, None] + np.arange(size)]).all(1)
-            out[w[same], start[same], size - 1] = ids[same]
+            hit = np.flatnonzero(ids >= 0)
+            w, s, ids = word[hit], start[hit], ids[hit]
+            same = (self.letters[ids, :size] == codes[w[:, None], s[:, None] + np.arange(size)]).all(1)
+            out[w[same], s[same], size - 1] = ids[same]
+            more = start + size < length
+            word, start, value = word[more], start[more], value[more]
         return out
 
     def _viterbi(self, table: np.ndarray) -> np.ndarray:
@@ -264,13 +272,7 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes; a null text has none."""
         split = [self._words(t) if t else [] for t in texts]
-        words = {w for s in split for w in s}
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > HELD:
-            self.known = {}
-            new = list(words)
-        self.known.update(zip(new, self.encode_words(new)))
-        find = self.known.__getitem__
+        find = self.memo.learn(set().union(*split), self.encode_words)
         return [b"".join(map(find, s)) for s in split]
 
     def decode(self, ids: np.ndarray) -> str:
