@@ -26,7 +26,7 @@ from lodestone.session import materialise
 _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 _END = (0).to_bytes(4, "little")
 #: Words whose ids a worker keeps.
-HELD = 900_000
+HELD = 2_000_000
 
 
 def _words(text: str) -> list[str]:
