@@ -13,7 +13,7 @@ from lodestone.session import materialise
 
 def reach(edges: DataFrame, seeds: DataFrame, src: str = "source", dst: str = "target", rounds: int = 1000) -> DataFrame:
     """``seed, node, depth``: nodes that each seed reaches, itself left out, by the least number of steps."""
-    steps = edges.select(F.col(src).alias("_a"), F.col(dst).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL AND _a <> _b").distinct()
+    steps = materialise(edges.select(F.col(src).alias("_a"), F.col(dst).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL AND _a <> _b").distinct(), "steps")
     seen = materialise(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct(), "seen")
     frontier = seen
     levels = [seen]
@@ -34,10 +34,10 @@ def reach(edges: DataFrame, seeds: DataFrame, src: str = "source", dst: str = "t
 
 def shortest_paths(edges: DataFrame, start: str, end: str, most: int = 10, src: str = "source", dst: str = "target") -> DataFrame:
     """All shortest paths between two nodes as text, in order, ``most`` of them at most."""
-    steps = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct()
+    steps = materialise(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct(), "steps")
     spark = edges.sparkSession
     seeds = spark.createDataFrame([(start,)], "id string")
-    depths = materialise(reach(edges, seeds, src, dst).select("node", "depth").unionByName(spark.createDataFrame([(start, 0)], "node string, depth int")), "depths")
+    depths = materialise(reach(steps, seeds, "a", "b").select("node", "depth").unionByName(spark.createDataFrame([(start, 0)], "node string, depth int")), "depths")
     goal = depths.where(F.col("node") == end).first()
     paths = spark.createDataFrame([(end, end)], "node string, path string")
     if goal is None:

@@ -40,6 +40,32 @@ def mutual_information(table: DataFrame) -> DataFrame:
     return sums.select(F.round(F.when(F.col("ha") + F.col("hb") == 0, 1.0).otherwise(2 * F.col("i") / (F.col("ha") + F.col("hb"))), 6).alias("nmi"))
 
 
+def cohen_kappa(table: DataFrame) -> DataFrame:
+    """Agreement beyond chance of two labellings with the same labels; 1 where chance alone agrees fully."""
+    rows = table.groupBy("a").agg(F.sum("n").alias("ra"))
+    columns = table.groupBy(F.col("b").alias("a")).agg(F.sum("n").alias("rb"))
+    chance = rows.join(columns, "a").agg(F.coalesce(F.sum(F.col("ra") * F.col("rb")), F.lit(0)).alias("c"))
+    same = table.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("s"))
+    po, pe = F.col("s") / F.col("n"), F.col("c") / (F.col("n") * F.col("n"))
+    return same.join(F.broadcast(chance)).select(F.round(F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)), 6).alias("kappa"))
+
+
+def aligned(table: DataFrame) -> dict[str, str]:
+    """Greedy one-to-one matching of clusters by overlap, ties by name; the contingency table is what is collected."""
+    out: dict[str, str] = {}
+    for row in sorted(table.collect(), key=lambda r: (-r["n"], str(r["a"]), str(r["b"]))):
+        if row["a"] not in out and row["b"] not in out.values():
+            out[row["a"]] = row["b"]
+    return out
+
+
+def rank_biserial(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Signed-rank effect size of paired values; null without any difference."""
+    gaps = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("m", F.abs("d"))
+    ranked = average_ranks(gaps, "m")
+    return ranked.agg(F.round(F.sum(F.signum("d") * F.col("rank")) / F.sum("rank"), 6).alias("effect"))
+
+
 def nested_share(table: DataFrame) -> DataFrame:
     """Share in percent of the clusters of ``a`` that lie inside one cluster of ``b``."""
     inside = table.groupBy("a").agg(F.count("*").alias("parts"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.operators.components import connected_components
+from lodestone.session import materialise
 
 LEAST = 2
 
@@ -37,10 +38,11 @@ def by_cluster(targets: DataFrame, edges: DataFrame) -> DataFrame:
 
 def proposal(targets: DataFrame, edges: DataFrame, prefixes: tuple[str, ...] = ("module-category:", "plugin-type:", "slnfolder:")) -> DataFrame:
     """``signal, name, id``: each signal takes only what those before it left, and again two members at least."""
-    out, free = None, targets.where("NOT external")
+    free = materialise(targets.where("NOT external").select("id", "path", "tags", "external"), "free")
+    out = None
     signals = [(p.rstrip(":"), lambda t, p=p: by_tag(t, p)) for p in prefixes] + [("directory", by_directory), ("cluster", lambda t: by_cluster(t, edges))]
     for signal, find in signals:
-        found = find(free).withColumn("signal", F.lit(signal)).select("signal", "name", "id")
+        found = materialise(find(free).withColumn("signal", F.lit(signal)).select("signal", "name", "id"), "claimed")
         out = found if out is None else out.unionByName(found)
         free = free.join(found.select("id"), "id", "left_anti")
     return out

@@ -40,7 +40,8 @@ def edge_salience(weight, seam, boundary):
 
 def walk(build: DataFrame, entries: DataFrame, most: int = WALK) -> DataFrame:
     """Breadth-first steps from each entry: each node once, from its smallest parent; ``most`` steps an entry."""
-    seen = entries.select(F.col("container_id").alias("entry"), F.col("container_id").alias("node"))
+    build = materialise(build.select("source_container", "target_container").distinct(), "pairs")
+    seen = materialise(entries.select(F.col("container_id").alias("entry"), F.col("container_id").alias("node")).distinct(), "entries")
     frontier, out, level = seen, None, 0
     while True:
         level += 1
@@ -60,7 +61,7 @@ def walk(build: DataFrame, entries: DataFrame, most: int = WALK) -> DataFrame:
 
 def runtime_walk(calls: DataFrame) -> DataFrame:
     """Steps from each caller that none calls: every edge once, those of a level share their order."""
-    edges = calls.select(F.col("source_container").alias("a"), F.col("target_container").alias("b")).distinct()
+    edges = materialise(calls.select(F.col("source_container").alias("a"), F.col("target_container").alias("b")).distinct(), "calls")
     roots = edges.select(F.col("a").alias("entry")).distinct().join(edges.select(F.col("b").alias("entry")).distinct(), "entry", "left_anti")
     frontier = roots.select("entry", F.col("entry").alias("node"))
     seen, level = None, 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodestone.functions import evidence as ev, identifiers as ids
-from lodestone.operators import curate, govern, graph, lift, merge, partition, propose, risk, score
+from lodestone.operators import clusterings, curate, govern, graph, lift, merge, partition, propose, risk, scenarios, score
 from lodestone.operators.components import connected_components
 from lodestone.plans.views import RULES_SQL, Facts, facts_sql
 from lodestone.sources import rsf
@@ -604,3 +604,98 @@ def salience_topk(f: Facts) -> DataFrame:
 @query("SELECT id, 'NATION_' || key AS name FROM targets WHERE id NOT IN (SELECT target FROM edges)")
 def entry_points(f: Facts) -> DataFrame:
     return f.targets.join(f.edges.select(F.col("target").alias("id")), "id", "left_anti").select("id", "name")
+
+
+@query(
+    """, steps AS (SELECT DISTINCT source_container AS a, target_container AS b FROM cross_edges),
+    walk(entry, node, depth) AS (SELECT 'container:africa', 'container:africa', 0 UNION SELECT w.entry, s.b, w.depth + 1 FROM walk w JOIN steps s ON s.a = w.node WHERE w.depth < 10),
+    first AS (SELECT entry, node, min(depth) AS depth FROM walk GROUP BY entry, node),
+    hops AS (SELECT f.entry, min(s.a) AS "from", f.node AS "to", f.depth FROM first f JOIN steps s ON s.b = f.node JOIN first p ON p.entry = f.entry AND p.node = s.a AND p.depth = f.depth - 1 GROUP BY ALL)
+    SELECT entry, CAST(row_number() OVER (PARTITION BY entry ORDER BY depth, "from", "to") AS INTEGER) AS index, "from", "to" FROM hops"""
+)
+def graph_walk_scenario(f: Facts) -> DataFrame:
+    return scenarios.walk(lift.container_edges(f.edges, f.targets), f.targets.where("container_id = 'container:africa'").select("container_id").distinct())
+
+
+@query("SELECT target_container AS container_id, count(DISTINCT source_container) AS n FROM cross_edges GROUP BY target_container")
+def container_indegree(f: Facts) -> DataFrame:
+    pairs = lift.container_edges(f.edges, f.targets)
+    return scenarios.indegree(pairs, pairs.where("weight > 50"))
+
+
+@query("SELECT source, target, weight + CASE WHEN list_contains(layers, 'interop') THEN 10 ELSE 0 END + CASE WHEN external THEN 5 ELSE 0 END AS salience FROM edges JOIN targets ON target = id")
+def edge_salience(f: Facts) -> DataFrame:
+    seam = F.exists("evidence", lambda e: e["type"] == "interop")
+    joined = f.edges.join(f.targets.select(F.col("id").alias("target"), "external"), "target")
+    return joined.select("source", "target", scenarios.edge_salience(F.col("weight"), seam, F.col("external")).alias("salience"))
+
+
+@query("SELECT id, layer, CASE WHEN layer = 'L2' THEN 'false' ELSE value END AS value FROM coverage")
+def coverage_without_layer(f: Facts) -> DataFrame:
+    return clusterings.lose_layer(f.edges, f.coverage, "L2")[1]
+
+
+@query("SELECT source, target FROM edges WHERE source NOT IN (SELECT id FROM targets WHERE key % 4 = 1) AND target NOT IN (SELECT id FROM targets WHERE key % 4 = 1)")
+def starve_targets(f: Facts) -> DataFrame:
+    return clusterings.starve(f.edges, f.coverage, f.targets.where("key % 4 = 1"))[0].select("source", "target")
+
+
+@query("SELECT id AS entity, regexp_replace(path, '/[^/]*$', '') AS label FROM targets")
+def directory_clusters(f: Facts) -> DataFrame:
+    paths = f.targets.select("id", F.col("path").alias("entity"))
+    return clusterings.by_leaf(paths).join(paths, "entity").select(F.col("id").alias("entity"), "label")
+
+
+@query("SELECT (SELECT count(*) FROM targets) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM targets WHERE id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)) AS isolated, (SELECT count(*) FROM edges JOIN targets ON target = id WHERE external) AS to_external")
+def graph_stats(f: Facts) -> DataFrame:
+    ends = f.edges.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("touched", F.lit(1))
+    nodes = f.targets.join(ends, "id", "left").agg(F.count("*").alias("nodes"), F.count_if(F.col("touched").isNull()).alias("isolated"))
+    outer = f.targets.where("external").select(F.col("id").alias("target"), F.lit(1).alias("outer"))
+    pairs = f.edges.join(outer, "target", "left").agg(F.count("*").alias("edges"), F.count("outer").alias("to_external"))
+    return nodes.join(F.broadcast(pairs))
+
+
+@query("SELECT container_id AS view, count(*) AS elements, count(*) > 4 AS over FROM targets GROUP BY container_id")
+def view_budgets(f: Facts) -> DataFrame:
+    return f.targets.groupBy(F.col("container_id").alias("view")).agg(F.count("*").alias("elements"), (F.count("*") > 4).alias("over"))
+
+
+@query("SELECT CASE WHEN count(*) <= 25 THEN 'y' ELSE 'x' END AS shape, count(*) AS first_party FROM targets WHERE NOT external")
+def model_shape(f: Facts) -> DataFrame:
+    return f.targets.agg(F.when(F.count_if(~F.col("external")) <= 25, "y").otherwise("x").alias("shape"), F.count_if(~F.col("external")).alias("first_party"))
+
+
+@query("SELECT source_container, target_container, string_agg(DISTINCT layer, ',' ORDER BY layer) AS layers, arg_min(confidence, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS strongest FROM (SELECT source_container, target_container, confidence, unnest(layers) AS layer FROM lifted) WHERE source_container <> target_container GROUP BY ALL")
+def pair_detail(f: Facts) -> DataFrame:
+    rank = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
+    pairs = lift.cross_edges(f.edges, f.targets).withColumn("l", ev.layers(F.col("evidence")))
+    return pairs.groupBy("source_container", "target_container").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("l")))), ",").alias("layers"), F.min_by("confidence", rank).alias("strongest"))
+
+
+@query("SELECT id, count(*) FILTER (WHERE side = 'out') AS fan_out, count(*) FILTER (WHERE side = 'in') AS fan_in, CAST(coalesce(sum(weight), 0) AS BIGINT) AS weight FROM targets LEFT JOIN (SELECT source AS node, 'out' AS side, weight FROM edges UNION ALL SELECT target, 'in', weight FROM edges) ON node = id GROUP BY id")
+def datasheet(f: Facts) -> DataFrame:
+    ends = f.edges.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit("out").alias("side")), F.struct(F.col("target").alias("id"), F.lit("in").alias("side")))).alias("x"), "weight").select("x.*", "weight")
+    return f.targets.select("id").join(ends, "id", "left").groupBy("id").agg(F.count_if(F.col("side") == "out").alias("fan_out"), F.count_if(F.col("side") == "in").alias("fan_in"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight"))
+
+
+@query(
+    """SELECT (SELECT count(*) FROM a_edges JOIN b_edges USING (source, target)) AS tp, (SELECT count(*) FROM a_edges ANTI JOIN b_edges USING (source, target)) AS fn, (SELECT count(*) FROM b_edges ANTI JOIN a_edges USING (source, target)) AS fp""",
+    extra=_SNAPSHOTS,
+)
+def mutation_score(f: Facts) -> DataFrame:
+    a, b = _two(f)
+    return clusterings.detection(a.edges, b.edges, ["source", "target"])
+
+
+@query("SELECT id, container_id FROM targets WHERE id IN (SELECT id FROM targets WHERE key % 3 = 2) OR path LIKE 'src/europe/%'")
+def matched_ids(f: Facts) -> DataFrame:
+    return f.targets.where((F.col("key") % 3 == 2) | curate.matches("src/europe/*")).select("id", "container_id")
+
+
+@query("SELECT a.id AS source, b.id AS target FROM targets a JOIN targets b ON a.container_id = b.container_id AND a.id < b.id WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.source = a.id AND e.target = b.id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.source = b.id AND e.target = a.id)")
+def absent_pairs(f: Facts) -> DataFrame:
+    """Pairs of one container that no edge joins, either way: places for a planted dependency."""
+    t = f.targets.select("id", "container_id")
+    pairs = t.withColumnRenamed("id", "source").join(t.withColumnRenamed("id", "target"), "container_id").where("source < target").select("source", "target")
+    both = f.edges.select("source", "target").union(f.edges.select("target", "source"))
+    return pairs.join(both, ["source", "target"], "left_anti")

@@ -55,6 +55,21 @@ def nmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.mutual_information(_cells(spark, sf_dir))
 
 
+_RATED = "WITH cells AS (SELECT event_type AS a, CASE WHEN event_id % 4 = 0 THEN 'click' ELSE event_type END AS b, count(*) AS n FROM events GROUP BY ALL)"
+
+
+@query(f"{_RATED}, s AS (SELECT sum(n) AS n, sum(n) FILTER (WHERE a = b) AS same FROM cells), c AS (SELECT sum(x.n * y.n) AS c FROM (SELECT a, sum(n) AS n FROM cells GROUP BY a) x JOIN (SELECT b, sum(n) AS n FROM cells GROUP BY b) y ON x.a = y.b) SELECT round((same / n - c / (n * n)) / (1 - c / (n * n)), 6) AS kappa FROM s, c")
+def cohen_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = F.when(F.col("event_id") % 4 == 0, "click").otherwise(F.col("event_type"))
+    return partition.cohen_kappa(table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("a"), b.alias("b")).agg(F.count("*").alias("n")))
+
+
+@query("WITH d AS (SELECT l_quantity - l_linenumber * 5 AS d FROM lineitem WHERE l_orderkey % 20 = 0 AND l_quantity <> l_linenumber * 5), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS k FROM d) SELECT round(sum(sign(d) * k) / sum(k), 6) AS effect FROM r")
+def rank_biserial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_quantity").alias("a"), (F.col("l_linenumber") * 5).alias("b"))
+    return partition.rank_biserial(pairs, "a", "b")
+
+
 @query("WITH cells AS (SELECT p_name AS a, p_type AS b FROM part WHERE p_partkey % 40 = 0 GROUP BY ALL) SELECT round(100 * count(*) FILTER (WHERE k = 1) / count(*), 4) AS nested FROM (SELECT a, count(*) AS k FROM cells GROUP BY a)")
 def nested_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").where("p_partkey % 40 = 0")
