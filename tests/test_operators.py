@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import session
 from lodestone.functions import evidence as ev, identifiers as ids, texts
 from lodestone.operators import curate, govern, graph, merge, ownership, partition, propose, risk
 from lodestone.operators.components import connected_components
@@ -13,6 +14,13 @@ from lodestone.operators.components import connected_components
 ITEM = "source string, target string, type string, detail string, count long, visibility string, fragment int"
 
 
+def test_intermediate_tables_are_written_once_and_cleared(spark):
+    kept = session.materialise(spark.range(5).withColumn("r", F.rand()), "numbers")
+    assert kept.collect() == kept.collect()
+    session.clear(spark)
+    assert session.materialise(spark.range(3)).count() == 3
+
+
 def edges(spark, pairs):
     return spark.createDataFrame(pairs, "source string, target string")
 
