@@ -29,7 +29,7 @@ BATCHES = (32, 64, 96, 128)
 _FEATURES = "doc_id long, n_shingles long, n_bytes long, digest binary, bands array<long>"
 _LINKS = "src long, dst long"
 #: Ids of a broadcast set of documents at most; beyond it the texts are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 
 
 def _features(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
