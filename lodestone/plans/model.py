@@ -41,7 +41,7 @@ def query(sql: str | None = None, first: int = 1900, last: int = 2100, extra: st
 
 
 def _two(facts: Facts) -> tuple[Facts, Facts]:
-    return Facts(facts.spark, facts.sf_dir, 1900, 1998), Facts(facts.spark, facts.sf_dir, 1999, 2100)
+    return facts.years(1900, 1998), facts.years(1999, 2100)
 
 
 _SNAPSHOTS = ", " + facts_sql("a_", 1900, 1998) + ", " + facts_sql("b_", 1999, 2100)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions.evidence import KINDS
 from lodestone.operators import merge
+from lodestone.session import materialise
 from lodestone.sources.tables import table
 
 _TYPE = "CASE WHEN rf = 'A' AND ls = 'F' THEN 0 WHEN rf = 'R' AND ls = 'F' THEN 1 WHEN rf = 'A' THEN 2 WHEN ls = 'F' THEN 4 WHEN rf = 'N' THEN 3 ELSE 5 END"
@@ -23,6 +24,12 @@ class Facts:
         self.spark, self.sf_dir, self.first, self.last = spark, sf_dir, first, last
         self._built: dict[str, DataFrame] = {}
 
+    def years(self, first: int, last: int) -> Facts:
+        """The model of fewer years, from the same counts."""
+        out = Facts(self.spark, self.sf_dir, first, last)
+        out._built["counts"] = self.counts
+        return out
+
     def read(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
@@ -32,19 +39,26 @@ class Facts:
         return self._built[name]
 
     @property
-    def cube(self) -> DataFrame:
-        """Line counts by nations, flags, priority and year: the one pass over the line items."""
+    def counts(self) -> DataFrame:
+        """Line counts by nations, flags, priority and year: the one pass over the line items.
+
+        Its size depends on these keys alone, not on the data, so it is written once and read after.
+        """
 
         def build() -> DataFrame:
-            orders = self.read("orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("detail"), F.year("o_orderdate").alias("year")).where(F.col("year").between(self.first, self.last))
+            orders = self.read("orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("detail"), F.year("o_orderdate").alias("year"))
             lines = self.read("lineitem").select("l_orderkey", "l_suppkey", F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls"))
             customers = self.read("customer").select("c_custkey", F.col("c_nationkey").alias("s"))
             suppliers = self.read("supplier").select("s_suppkey", F.col("s_nationkey").alias("t"))
             placed = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
             joined = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
-            return joined.groupBy("s", "t", "rf", "ls", "detail", "year").agg(F.count("*").alias("n"))
+            return materialise(joined.groupBy("s", "t", "rf", "ls", "detail", "year").agg(F.count("*").alias("n")), "counts")
 
-        return self._once("cube", build)
+        return self._once("counts", build)
+
+    @property
+    def cube(self) -> DataFrame:
+        return self.counts.where(F.col("year").between(self.first, self.last))
 
     @property
     def top(self) -> DataFrame:
