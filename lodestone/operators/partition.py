@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
@@ -221,3 +222,60 @@ def mojo_fm(a: dict[str, str], b: dict[str, str]) -> float | None:
         distinct += distinct < size
     most = len(common) - distinct
     return 100.0 if most <= 0 else round(100 * (1 - distance(a) / most), 4)
+
+
+def a2a(a: dict[str, str], b: dict[str, str]) -> float:
+    """Architecture-to-architecture similarity, published definition, in percent.
+
+    100 (1 - mto / (aco(a) + aco(b))): entities added, removed and moved, and clusters added and
+    removed, with clusters matched by the largest total overlap; aco counts clusters and twice the
+    entities, added and moved, that build an architecture from none.
+    """
+    if not a and not b:
+        return 100.0
+    rows, columns = sorted(set(a.values())), sorted(set(b.values()))
+    common = set(a) & set(b)
+    overlap = [[0] * len(columns) for _ in rows]
+    at, to = {c: k for k, c in enumerate(rows)}, {c: k for k, c in enumerate(columns)}
+    for x in common:
+        overlap[at[a[x]]][to[b[x]]] += 1
+    stay = sum(overlap[r][c] for r, c in assignment([[-n for n in row] for row in overlap])) if rows and columns else 0
+    moved = len(common) - stay
+    changed = len(set(a) ^ set(b))
+    mto = abs(len(rows) - len(columns)) + 2 * changed + moved
+    aco = len(rows) + 2 * len(a) + len(columns) + 2 * len(b)
+    return round(100 * (1 - mto / aco), 4)
+
+
+# Critical values of the Studentised range over the root of 2, at 0.05, for 2 to 12 techniques.
+NEMENYI = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164, 11: 3.219, 12: 3.268}
+
+
+def critical_difference(scores: DataFrame) -> tuple[DataFrame, float | None, int]:
+    """Average ranks of techniques over the systems that all have (``system, technique, value``), and the difference that counts."""
+    n_techniques = scores.select("technique").distinct().count()
+    whole = scores.where("value IS NOT NULL").groupBy("system").agg(F.count_distinct("technique").alias("k")).where(F.col("k") == n_techniques).select("system")
+    ranked = average_ranks(scores.join(whole, "system", "left_semi"), "value", ["system"], descending=True)
+    n = whole.count()
+    difference = round(NEMENYI[n_techniques] * math.sqrt(n_techniques * (n_techniques + 1) / (6 * n)), 4) if n and n_techniques in NEMENYI else None
+    return ranked.groupBy("technique").agg(F.round(F.avg("rank"), 4).alias("rank")), difference, n
+
+
+def parse_partition(content: str, nodes: set[str]) -> dict[str, str]:
+    """Entity to label of a reply: a map of entities, a map of lists, or a list of clusters; unknown entities go."""
+    start = min((k for k in (content.find("{"), content.find("[")) if k >= 0), default=-1)
+    if start < 0:
+        return {}
+    try:
+        data, _ = json.JSONDecoder().raw_decode(content[start:])
+    except ValueError:
+        return {}
+    pairs: list[tuple[str, str]] = []
+    if isinstance(data, dict) and isinstance(data.get("clusters"), list):
+        data = data["clusters"]
+    if isinstance(data, list):
+        pairs = [(m, str(c.get("name", k))) for k, c in enumerate(data) if isinstance(c, dict) for m in c.get("members") or []]
+    else:
+        for key, value in data.items():
+            pairs += [(m, key) for m in value] if isinstance(value, list) else [(key, str(value))]
+    return {m: label for m, label in pairs if m in nodes}
