@@ -194,5 +194,8 @@ def _verify(docs: DataFrame, id_col: str, text_col: str, placed: DataFrame, widt
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that ``near_duplicates`` keeps, with all their columns; repeated rows of a kept id all stay."""
-    classes = near_duplicates(docs, id_col, text_col, **options).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(classes, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    gone = "_gone"
+    while gone in map(str.lower, docs.columns):
+        gone += "_"
+    copies = near_duplicates(docs, id_col, text_col, **options).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(copies, docs[id_col].cast("long") == F.col(gone), "left_anti")

@@ -103,15 +103,17 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     equal over the shards, within the tolerance (a share of a shard) where keys allow: rows with both
     text and id equal can't be told apart and stay together, other copies of a text may be split by
     id. ``_slot`` numbers the rows of a shard from 0 without a gap. Rows with a null id or text take
-    part like any others. An empty table gives none. A column of ``docs`` whose name starts with one
-    of the three new names is an error of Spark's analysis, never a silent clash.
+    part like any others. An empty table gives none. Columns of ``docs`` may have any names; those
+    with one of the three new names are replaced.
     """
+    own = [c for c in docs.columns if c.lower() not in ("_size", "_shard", "_slot")]
     text = F.col(text_col).cast("string")
-    keyed = docs.withColumns({
-        "_size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1,
-        "_k": F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()),
-        "_d": F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)),
-    })
+    keyed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row"),
+        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("_size"),
+        F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()).alias("_k"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)).alias("_d"),
+    )
     sized = materialise(keyed.select(F.col("_size").alias("size"), "_k", "_d"), "sizes")
     bounds = splitters(sized, shards, tolerance)
     parts = max(1, -(-sized.count() // (shards * slots_per_task)))
@@ -122,5 +124,5 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     order = Window.partitionBy("_shard", "_part").orderBy("_k", "_d")
     # The window's exchange is the only one of the rows: the join finds them already dealt by its keys.
     numbered = keyed.withColumns(place).withColumn("_at", F.row_number().over(order))
-    placed = numbered.join(starts, ["_shard", "_part"]).withColumn("_slot", F.col("_start") + F.col("_at") - 1)
-    return placed.drop("_part", "_start", "_at", "_k", "_d")
+    placed = numbered.join(starts, ["_shard", "_part"])
+    return placed.select("_row.*", "_size", "_shard", (F.col("_start") + F.col("_at") - 1).alias("_slot"))

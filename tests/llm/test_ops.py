@@ -82,8 +82,9 @@ def test_near_dedup_matches_brute_force(spark, odd, empty):
     by = {r.doc_id: r for r in got}
     assert [by[i].component_id for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)] == [1, 1, 1, 4, 5, 6, 7, 7, 9, 10]
     assert by[4].n_shingles == 0 and by[7].n_shingles == 1 and by[None].component_id is None and by[None].kept
-    kept = near_dedup.drop_near_duplicates(odd, width=3, percent=85)
-    assert kept.columns == odd.columns and kept.count() == len(TEXTS) - 3
+    extra = odd.withColumn("_gone", F.lit(0))
+    kept = near_dedup.drop_near_duplicates(extra, width=3, percent=85)
+    assert kept.columns == extra.columns and kept.count() == len(TEXTS) - 3
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
@@ -117,11 +118,11 @@ def test_sharding_is_even_and_gapless(spark, odd, empty):
     for _, part in placed.groupby("_shard"):
         assert sorted(part["_slot"]) == list(range(len(part)))
     assert placed["_size"].sum() == sum(len(t) + 1 for _, t in rows)
-    got = sharding.shard(odd.drop("_k"), shards=4)
-    assert set(odd.drop("_k").columns) < set(got.columns)
+    got = sharding.shard(odd.withColumn("_slot", F.lit("old")).withColumn("_d", F.lit(1)).withColumn("_row", F.lit(2)), shards=4)
+    assert got.columns == [*odd.columns, "_d", "_row", "_size", "_shard", "_slot"] and dict(got.dtypes)["_slot"] == "bigint"
     got = got.toPandas()
     assert len(got) == len(TEXTS) and sorted(got["text"].fillna("")) == sorted(t or "" for _, t in TEXTS)
-    assert sharding.shard(empty.drop("_k"), shards=4).count() == 0
+    assert sharding.shard(empty, shards=4).count() == 0
 
 
 VECTORS = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.1], 1), (4, [1.0, 0.0], 2), (5, [0.0, 0.0], 1), (6, None, 1), (7, [float("nan"), 1.0], 1), (8, [None, 1.0], 1),
