@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lodestone.functions import evidence as ev
+from lodestone.operators import ranking
 
 
 def by_leaf(nodes: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def peeled(nodes: DataFrame, separator: str = r"\.", share: float = 0.5, rounds:
 
 def removed(nodes: DataFrame, step: int) -> DataFrame:
     """Every ``step``-th entity in order."""
-    return nodes.withColumn("_r", F.row_number().over(Window.orderBy("entity")) - 1).where(F.col("_r") % step == 0).drop("_r")
+    return ranking.every(nodes, step, ["entity"])
 
 
 def lose_layer(edges: DataFrame, coverage: DataFrame, layer: str) -> tuple[DataFrame, DataFrame]:
@@ -59,13 +60,6 @@ def starve(edges: DataFrame, coverage: DataFrame, targets: DataFrame) -> tuple[D
     return kept, marked.select("id", "layer", F.when(F.col("_x"), "false").otherwise(F.col("value")).alias("value"))
 
 
-def spread(rows: DataFrame, n: int, order: str) -> DataFrame:
-    """``n`` rows at even distances in order."""
-    ranked = rows.withColumns({"_k": F.row_number().over(Window.orderBy(order)) - 1, "_n": F.count("*").over(Window.partitionBy())})
-    hit = F.exists(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * F.col("_n") / n) == F.col("_k"))
-    return ranked.where(hit).drop("_k", "_n")
-
-
 def classified(expected: DataFrame, drift: DataFrame, gaps: DataFrame, advisory: bool) -> DataFrame:
     """Each injected finding (``kind, key``) as drift, gap, advisory or silent."""
     joined = expected.join(drift.select("kind", "key", F.lit(True).alias("_d")).distinct(), ["kind", "key"], "left").join(gaps.select("kind", "key", F.lit(True).alias("_g")).distinct(), ["kind", "key"], "left")

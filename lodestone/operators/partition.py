@@ -9,6 +9,8 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lodestone.operators.ranking import before
+
 
 def contingency(a: DataFrame, b: DataFrame) -> DataFrame:
     """Members of each pair of clusters, over the entities of both partitions (``entity, label``)."""
@@ -95,10 +97,18 @@ def edge_scores(recovered: DataFrame, reference: DataFrame, keys: list[str]) ->
 
 
 def average_ranks(rows: DataFrame, value: str, partition: list[str] | None = None, descending: bool = False) -> DataFrame:
-    """Column ``rank``: position in order, ties share the mean of theirs."""
-    order = Window.partitionBy(*(partition or [])).orderBy(F.desc(value) if descending else F.asc(value))
-    same = Window.partitionBy(*(partition or []), value)
-    return rows.withColumn("rank", F.rank().over(order) + (F.count("*").over(same) - 1) / 2)
+    """Column ``rank``: position in order, ties share the mean of theirs.
+
+    Within groups a window ranks; over all rows the values are counted first, placed by ranges, and
+    joined back, so no task holds the whole order.
+    """
+    if partition:
+        order = Window.partitionBy(*partition).orderBy(F.desc(value) if descending else F.asc(value))
+        return rows.withColumn("rank", F.rank().over(order) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / 2)
+    placed = before(rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n")), ["_v"], F.col("_n"))
+    first = F.col("_total") - F.col("_before") - F.col("_n") if descending else F.col("_before")
+    ranks = placed.select("_v", (first + 1 + (F.col("_n") - 1) / 2).alias("rank"))
+    return rows.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
@@ -111,11 +121,9 @@ def cliffs_delta(a: DataFrame, b: DataFrame, value: str = "value") -> DataFrame:
     """(#greater - #less) / (n m), by the ranks of the joint order instead of all pairs."""
     both = a.select(F.col(value).alias("v"), F.lit(1).alias("a")).unionByName(b.select(F.col(value).alias("v"), F.lit(0).alias("a")))
     by = both.groupBy("v").agg(F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nb"))
-    below = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    less = F.coalesce(F.sum("nb").over(below), F.lit(0))
-    more = F.sum("nb").over(every) - less - F.col("nb")
-    return by.select("na", "nb", (F.col("na") * (less - more)).alias("d")).agg(F.round(F.sum("d") / (F.sum("na") * F.sum("nb")), 6).alias("delta"))
+    placed = before(by, ["v"], F.col("nb"))
+    more = F.col("_total") - F.col("_before") - F.col("nb")
+    return placed.select("na", "nb", (F.col("na") * (F.col("_before") - more)).alias("d")).agg(F.round(F.sum("d") / (F.sum("na") * F.sum("nb")), 6).alias("delta"))
 
 
 # The statistics below are over a few numbers on the driver.

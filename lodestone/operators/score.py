@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.functions import evidence as ev
+from lodestone.operators.ranking import before
 
 # Base score by strongest layer; bonuses, cap and threshold.
 BASE = {"L0": 0.60, "L1": 0.48, "L2": 0.40, "L3": 0.40, "interop": 0.50, "runtime": 0.38, "none": 0.10}
@@ -70,7 +71,6 @@ def aurc(curve: DataFrame) -> DataFrame:
 
 def size_bands(scores: DataFrame, id_col: str = "id", score_col: str = "size") -> DataFrame:
     """leaf, standard or hub by position in ascending order; a lone element is standard."""
-    order, every = Window.orderBy(score_col, id_col), Window.partitionBy()
-    at = (F.row_number().over(order) - 1) / (F.count("*").over(every) - 1)
-    n = F.count("*").over(every)
-    return scores.select(id_col, F.when(n == 1, "standard").when(at < 1 / 3, "leaf").when(at > 2 / 3, "hub").otherwise("standard").alias("band"))
+    placed = before(scores.select(id_col, score_col), [score_col, id_col])
+    at = F.col("_before") / (F.col("_total") - 1)
+    return placed.select(id_col, F.when(F.col("_total") == 1, "standard").when(at < 1 / 3, "leaf").when(at > 2 / 3, "hub").otherwise("standard").alias("band"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodestone.functions import evidence as ev, identifiers as ids
-from lodestone.operators import clusterings, curate, govern, graph, lift, merge, partition, propose, risk, scenarios, score
+from lodestone.operators import clusterings, curate, govern, graph, lift, merge, partition, propose, ranking, risk, scenarios, score
 from lodestone.operators.components import connected_components
 from lodestone.plans.views import RULES_SQL, Facts, facts_sql
 from lodestone.sources import rsf
@@ -573,8 +573,7 @@ def starve_l0(f: Facts) -> DataFrame:
 
 @query("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM targets) WHERE k IN (SELECT CAST(floor(i * (SELECT count(*) FROM targets) / 6) AS BIGINT) FROM range(6) t(i))")
 def spread_sample(f: Facts) -> DataFrame:
-    ranked = f.targets.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("k"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return ranked.where(F.exists(F.sequence(F.lit(0), F.lit(5)), lambda i: F.floor(i * F.col("n") / 6) == F.col("k"))).select("id")
+    return ranking.spread(f.targets.select("id"), 6, ["id"])
 
 
 @query("SELECT evidence_strength AS strength, a.container_id AS container, count(*) AS n FROM edges JOIN targets a ON source = id GROUP BY ALL")

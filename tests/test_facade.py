@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodestone.operators import clusterings, decisions, interop, layout, merge, scenarios
+from lodestone.operators import clusterings, decisions, interop, layout, merge, ranking, scenarios
 from lodestone.operators.query import Model
 
 ITEM = "source string, target string, type string, detail string, count long, visibility string"
@@ -128,7 +128,7 @@ def test_clusterings(spark):
     assert {r.entity: r.label for r in clusterings.by_name(names).collect()} == {"Co.Web.Api": "Web", "Co.Web.Ui": "Web", "Co.Data.Db": "Data", "Co.Data": "Data"}
     assert {r.label for r in clusterings.peeled(names).collect()} == {"Web", "Data"}
     assert [r.entity for r in clusterings.removed(names, 2).orderBy("entity").collect()] == ["Co.Data", "Co.Web.Api"]
-    assert [r.entity for r in clusterings.spread(names, 2, "entity").orderBy("entity").collect()] == ["Co.Data", "Co.Web.Api"]
+    assert [r.entity for r in ranking.spread(names, 2, ["entity"]).orderBy("entity").collect()] == ["Co.Data", "Co.Web.Api"]
 
 
 def test_detection(spark):
