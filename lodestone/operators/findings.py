@@ -88,3 +88,20 @@ def anchors(members: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
     inner = edges.where("src <> dst").join(own, F.col("src") == F.col("_p"), "left_semi").join(own, F.col("dst") == F.col("_p"), "left_semi")
     central = inner.groupBy(F.col("dst").alias("path")).agg(F.count_distinct("src").alias("n")).orderBy(F.desc("n"), "path").limit(most).select(F.lit("central").alias("why"), "path")
     return readme.unionByName(entry).where("path IS NOT NULL").unionByName(central)
+
+
+def echoed(report_rows: DataFrame, members: DataFrame, accepted: list[str]) -> DataFrame:
+    """Findings of a report about each container's members; those made from another model (``model_hash``) are left out."""
+    return report_rows.where(F.col("model_hash").isin(accepted)).join(members.select(F.col("id").alias("element"), "container_id"), "element").select("container_id", "kind", "element", "severity")
+
+
+def footprint(measured: DataFrame, targets: DataFrame, model_hash: str) -> DataFrame:
+    """Size of each container's artifacts, and whether any was measured on another model."""
+    joined = measured.join(targets.select("id", "container_id"), "id")
+    return joined.groupBy("container_id").agg(F.sum("size").alias("size"), F.bool_or(F.col("model_hash") != model_hash).alias("stale"))
+
+
+def category_budget(families: DataFrame, n_containers: int, n_cycles: int, least: int = 3, most: int = 12) -> DataFrame:
+    """Candidates a category may list: by its distinct families, at most by the size of the model."""
+    room = min(most, max(least, -(-(n_containers + n_cycles) // 4)))
+    return families.groupBy("category").agg(F.least(F.lit(room), F.greatest(F.lit(least), F.count_distinct("family"))).cast("int").alias("cap"))

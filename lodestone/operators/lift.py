@@ -54,3 +54,25 @@ def degree(edges: DataFrame) -> DataFrame:
     ends = edges.select(both.alias("x")).select("x.*")
     near = F.coalesce("out", "into")
     return ends.groupBy("node").agg(F.count("out").alias("efferent"), F.count("into").alias("afferent"), F.count_distinct(near).alias("neighbours"), F.sum("w").alias("weight"))
+
+
+def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with both ends among ``ids``: the sub-graph of an answer."""
+    own = ids.select(F.col("id").alias("_id")).distinct()
+    return edges.join(own, F.col("source") == F.col("_id"), "left_semi").join(own, F.col("target") == F.col("_id"), "left_semi")
+
+
+def drilldown(edges: DataFrame, targets: DataFrame, container_id: str) -> DataFrame:
+    """Edges of a container's members: inner ones, and one for each member and neighbour container with the weight of all."""
+    seen = half_edges(edges, targets).where(F.col("container_id") == container_id)
+    inner = seen.where("side = 'inner'").select("source", "target", "weight")
+    other = targets.select(F.col("id").alias("_id"), F.col("container_id").alias("_other"))
+    out = seen.where("side = 'out'").join(other, F.col("target") == F.col("_id")).groupBy("source", F.col("_other").alias("target")).agg(F.sum("weight").alias("weight"))
+    into = seen.where("side = 'in'").join(other, F.col("source") == F.col("_id")).groupBy(F.col("_other").alias("source"), "target").agg(F.sum("weight").alias("weight"))
+    return inner.unionByName(out).unionByName(into)
+
+
+def unique_labels(targets: DataFrame) -> DataFrame:
+    """``label, container_id`` of normalised names that mean one container only."""
+    key = F.regexp_replace(F.lower(F.col("name")), "[^0-9a-z]", "")
+    return targets.select(key.alias("label"), "container_id").groupBy("label").agg(F.count_distinct("container_id").alias("n"), F.min("container_id").alias("container_id")).where("n = 1").drop("n")

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.operators.ranking import before
+from lodestone.session import materialise
 
 
 def contingency(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -287,3 +288,47 @@ def parse_partition(content: str, nodes: set[str]) -> dict[str, str]:
         for key, value in data.items():
             pairs += [(m, key) for m in value] if isinstance(value, list) else [(key, str(value))]
     return {m: label for m, label in pairs if m in nodes}
+
+
+def comparison(clusterings: dict[str, DataFrame], reference: DataFrame) -> DataFrame:
+    """``technique, n, ari`` of each clustering over the entities that all of them and the reference have; entities with white space go."""
+    shared = reference.where(~F.col("entity").rlike(r"\s")).select("entity").distinct()
+    for table in clusterings.values():
+        shared = shared.join(table.select("entity"), "entity", "left_semi")
+    shared = materialise(shared, "entities")
+    out = None
+    for name in sorted(clusterings):
+        own = clusterings[name].join(shared, "entity", "left_semi")
+        row = adjusted_rand(contingency(own, reference.join(shared, "entity", "left_semi"))).select(F.lit(name).alias("technique"), "n", "ari")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def churn_stability(before: dict[str, str], after: dict[str, str]) -> float | None:
+    """MoJoFM of a clustering after entities were removed against itself before, over the survivors."""
+    kept = set(before) & set(after)
+    return mojo_fm({x: after[x] for x in kept}, {x: before[x] for x in kept})
+
+
+def separating_interval(values: dict[str, float], good: dict[str, bool]) -> tuple[float, float] | None:
+    """Thresholds that tell good from bad systems by one number, (highest bad, lowest good); none where they mix."""
+    low, high = max((v for s, v in values.items() if not good[s]), default=-math.inf), min((v for s, v in values.items() if good[s]), default=math.inf)
+    return (low, high) if low < high else None
+
+
+def bootstrap_rho(x: list[float], y: list[float], seed: int = 20260904, reps: int = 2000) -> tuple[float, float] | None:
+    """Interval of 95 % of a rank correlation under resampling; none with fewer than three pairs."""
+    if len(x) < 3:
+        return None
+    rng, found = np.random.default_rng(seed), []
+
+    def ranks(v: np.ndarray) -> np.ndarray:
+        _, inverse, counts = np.unique(v, return_inverse=True, return_counts=True)
+        return (np.cumsum(counts) - (counts - 1) / 2)[inverse]
+
+    for _ in range(reps):
+        at = rng.integers(0, len(x), len(x))
+        a, b = ranks(np.asarray(x, float)[at]), ranks(np.asarray(y, float)[at])
+        if a.std() and b.std():
+            found.append(float(np.corrcoef(a, b)[0, 1]))
+    return (round(float(np.quantile(found, 0.025)), 4), round(float(np.quantile(found, 0.975)), 4)) if found else None

@@ -29,6 +29,12 @@ def by_directory(targets: DataFrame) -> DataFrame:
     return two.unionByName(_large(rest.where(F.size(cut) > 1).select("id", cut[0].alias("name"))))
 
 
+def by_namespace(targets: DataFrame) -> DataFrame:
+    """Groups by the root of the first namespace in order; targets without one take no part."""
+    root = F.element_at(F.split(F.array_min("namespaces"), r"::|\."), 1)
+    return _large(targets.where(F.size("namespaces") > 0).select("id", root.alias("name")))
+
+
 def by_cluster(targets: DataFrame, edges: DataFrame) -> DataFrame:
     """Groups by weakly connected component, named by their smallest member."""
     first = targets.where("NOT external").select("id")
@@ -38,9 +44,10 @@ def by_cluster(targets: DataFrame, edges: DataFrame) -> DataFrame:
 
 def proposal(targets: DataFrame, edges: DataFrame, prefixes: tuple[str, ...] = ("module-category:", "plugin-type:", "slnfolder:")) -> DataFrame:
     """``signal, name, id``: each signal takes only what those before it left, and again two members at least."""
-    free = materialise(targets.where("NOT external").select("id", "path", "tags", "external"), "free")
+    namespaces = F.col("namespaces") if "namespaces" in targets.columns else F.array().cast("array<string>")
+    free = materialise(targets.where("NOT external").select("id", "path", "tags", "external", namespaces.alias("namespaces")), "free")
     out = None
-    signals = [(p.rstrip(":"), lambda t, p=p: by_tag(t, p)) for p in prefixes] + [("directory", by_directory), ("cluster", lambda t: by_cluster(t, edges))]
+    signals = [(p.rstrip(":"), lambda t, p=p: by_tag(t, p)) for p in prefixes] + [("directory", by_directory), ("namespace", by_namespace), ("cluster", lambda t: by_cluster(t, edges))]
     for signal, find in signals:
         found = materialise(find(free).withColumn("signal", F.lit(signal)).select("signal", "name", "id"), "claimed")
         out = found if out is None else out.unionByName(found)

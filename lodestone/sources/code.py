@@ -237,3 +237,33 @@ def owner_of(paths: DataFrame, owners: DataFrame) -> DataFrame:
     return hits.groupBy("path").agg(F.min_by("owner", rank).alias("owner"))
 
 
+
+
+def hosted_services(path: str, text: str) -> Iterator[tuple]:
+    """``path, service`` of the background services that a host program registers."""
+    for name in dict.fromkeys(re.findall(r"AddHostedService\s*<\s*(?:[\w.]+\.)?(\w+)\s*>", blank_comments(text))):
+        yield path, name
+
+
+def service_hosts(found: DataFrame) -> DataFrame:
+    """Host of each background service: the first of those that register it, by path."""
+    return found.groupBy("service").agg(F.min("path").alias("host"))
+
+
+def artifact_kind(path: Column) -> Column:
+    """What a file of a tree is to a reader of architecture; null for any other."""
+    low = F.lower(path)
+    return (
+        F.when(low.rlike(r"(^|/)(adr|adrs|decisions)/.*\.md$"), "decision")
+        .when(low.endswith(".dsl"), "model")
+        .when(low.rlike(r"\.(puml|plantuml|mmd)$"), "diagram")
+        .when(low.rlike(r"(^|/)(dockerfile|docker-compose.*\.ya?ml|chart\.yaml)$"), "deployment")
+        .when(low.rlike(r"\.(sln|slnx|csproj|vcxproj)$|(^|/)(cmakelists\.txt|makefile\.(am|in))$"), "build")
+    )
+
+
+def overlaid(nodes: DataFrame, edges: DataFrame, graph_nodes: DataFrame, graph_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A build model with what only the drawn graph has: its further nodes, and its edges in place of the model's, if any."""
+    further = graph_nodes.join(nodes.select("id"), "id", "left_anti")
+    drawn = graph_edges.join(nodes.select("id").union(graph_nodes.select("id")).distinct().withColumnRenamed("id", "source"), "source", "left_semi")
+    return nodes.unionByName(further, allowMissingColumns=True), edges if drawn.isEmpty() else drawn

@@ -94,3 +94,34 @@ def test_partition_measures():
     assert partition.parse_partition('{"A": ["x", "q"], "B": ["y"]}', nodes) == {"x": "A", "y": "B"}
     assert partition.parse_partition('[{"name": "A", "members": ["x"]}, {"members": ["y"]}]', nodes) == {"x": "A", "y": "1"}
     assert partition.parse_partition("nothing", nodes) == {} == partition.parse_partition("{broken", nodes)
+
+
+def test_later_additions(spark):
+    from lodestone.operators import lift, propose
+    from lodestone.sources import code
+
+    table = spark.createDataFrame([("a", False, [], "p", ["N::x"]), ("b", False, [], "q", ["N.y"]), ("c", False, [], "r", []), ("d", False, [], "s", ["M"])], "id string, external boolean, tags array<string>, path string, namespaces array<string>")
+    assert {(r.name, r.id) for r in propose.by_namespace(table).collect()} == {("N", "a"), ("N", "b")}
+    assert list(code.hosted_services("h.cs", "x.AddHostedService<My.Worker>(); // AddHostedService<No>")) == [("h.cs", "Worker")]
+    kinds = spark.createDataFrame([("docs/adr/1.md",), ("a/Dockerfile",), ("x.sln",), ("m.dsl",), ("z.c",)], "p string").select(code.artifact_kind(F.col("p")).alias("k"))
+    assert [r.k for r in kinds.collect()] == ["decision", "deployment", "build", "model", None]
+    nodes, edges = spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([("a", "b")], "source string, target string")
+    more, drawn = code.overlaid(nodes, edges, spark.createDataFrame([("a",), ("b",)], "id string"), edges.where("source = 'z'"))
+    assert more.count() == 2 and drawn.count() == 1
+    model = spark.createDataFrame([("a", "A", "Foo"), ("b", "A", "Bar"), ("c", "C", "bar"), ("d", "C", "x")], "id string, container_id string, name string")
+    links = spark.createDataFrame([("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("c", "b", 4)], "source string, target string, weight long")
+    assert {(r.source, r.target, r.weight) for r in lift.drilldown(links, model, "A").collect()} == {("a", "b", 1), ("a", "C", 5), ("C", "b", 4)}
+    assert lift.induced(links, model.where("id <> 'd'")).count() == 3 and {r.label for r in lift.unique_labels(model).collect()} == {"foo", "x"}
+    found = spark.createDataFrame([("hub", "a", 0.5, "h1"), ("hub", "b", 0.5, "h0")], "kind string, element string, severity double, model_hash string")
+    assert [r.element for r in findings.echoed(found, model, ["h1"]).collect()] == ["a"]
+    sizes = spark.createDataFrame([("a", 5, "h1"), ("b", 6, "h0")], "id string, size long, model_hash string")
+    assert [tuple(r) for r in findings.footprint(sizes, model, "h1").collect()] == [("A", 11, True)]
+    families = spark.createDataFrame([("x", str(k)) for k in range(9)] + [("y", "1")], "category string, family string")
+    assert {r.category: r.cap for r in findings.category_budget(families, 16, 4).collect()} == {"x": 5, "y": 3}
+    parts = spark.createDataFrame([("e1", "1"), ("e2", "1"), ("e3", "2"), ("e 4", "2")], "entity string, label string")
+    got = partition.comparison({"same": parts, "less": parts.where("entity <> 'e3'")}, parts).collect()
+    assert {r.technique: (r.n, r.ari) for r in got} == {"same": (2, 100.0), "less": (2, 100.0)}
+    assert partition.churn_stability({"x": "1", "y": "1", "z": "2"}, {"x": "7", "y": "7"}) == 100.0
+    assert partition.separating_interval({"a": 1, "b": 3}, {"a": False, "b": True}) == (1, 3) and partition.separating_interval({"a": 4, "b": 3}, {"a": False, "b": True}) is None
+    low, high = partition.bootstrap_rho([1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 6, 5])
+    assert 0 < low <= high <= 1 and partition.bootstrap_rho([1], [1]) is None
