@@ -26,7 +26,9 @@ from lodestone.session import materialise
 _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 _END = (0).to_bytes(4, "little")
 #: Words whose ids a worker keeps.
-HELD = 2_000_000
+HELD = 900_000
+#: Marks that a word may end with.
+_MARKS = (".", ",", ";", ":", "!", "?")
 
 
 def _words(text: str) -> list[str]:
@@ -48,18 +50,50 @@ class WordIds:
         self.special = {content: int(i).to_bytes(4, "little") for content, i in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.memo = Memo(HELD)
-
-    def _encode(self, new: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(new), 500):
-            # Many words go as one text; a token belongs to the word in which its characters start.
-            part = new[at : at + 500]
-            found = self.encoder.encode(" ".join(part), add_special_tokens=False)
+        ids = self.encoder.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        for piece, i in ids.items():
+            self.ends[i] = piece.endswith("</w>")
+
+    def _encode(self, new: list[str]) -> list[bytes]:
+        """Ids of words: of letters alone, of letters and a mark by their parts, of others by place."""
+        letters, marked, found = [], [], {}
+        for word in new:
+            # This capital's small form has a combining mark, so that its word splits.
+            if word.isalpha() and "\u0130" not in word:
+                letters.append(word)
+            elif word[-1:] in _MARKS and word[:-1].isalpha() and "\u0130" not in word:
+                marked.append(word)
+            else:
+                found[word] = b""
+        known = self.memo.peek
+        bases = {w[:-1] for w in marked if known(w[:-1]) is None}
+        own = list(bases.union(letters).union(_MARKS))
+        for at in range(0, len(own), 500):
+            # A word of letters is one unit, which ends with the one token that ends a word.
+            part = own[at : at + 500]
+            ids = np.array(self.encoder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(cuts) != len(part):
+                raise ValueError("the tokenizer does not mark the ends of words")
+            data, last = ids.tobytes(), 0
+            for word, cut in zip(part, cuts.tolist()):
+                found[word] = data[last:cut]
+                last = cut
+        for word in marked:
+            found[word] = (found.get(word[:-1]) or known(word[:-1])) + found[word[-1]]
+        others = [w for w, value in found.items() if value == b"" and w]
+        for at in range(0, len(others), 500):
+            # A token belongs to the word in which its characters start.
+            part = others[at : at + 500]
+            coded = self.encoder.encode(" ".join(part), add_special_tokens=False)
             ends = np.cumsum([len(word) + 1 for word in part])
-            cuts = 4 * np.searchsorted(np.array([start for start, _ in found.offsets], np.int64), ends)
-            ids, last = np.array(found.ids, "<u4").tobytes(), 0
-            for cut in cuts.tolist():
-                yield ids[last:cut]
+            cuts = 4 * np.searchsorted(np.array([start for start, _ in coded.offsets], np.int64), ends)
+            data, last = np.array(coded.ids, "<u4").tobytes(), 0
+            for word, cut in zip(part, cuts.tolist()):
+                found[word] = data[last:cut]
                 last = cut
+        return [found[word] for word in new]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = []
