@@ -26,7 +26,7 @@ from lodestone.operators.components import connected_components
 from lodestone.session import materialise
 
 BATCHES = (32, 64, 96, 128)
-_FEATURES = "doc_id long, n_shingles long, n_bytes long, digest binary, bands array<long>"
+_FEATURES = "doc_id long, n_shingles long, n_chars long, digest binary, bands array<long>"
 _LINKS = "src long, dst long"
 #: Ids of a broadcast set of documents at most; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -50,7 +50,7 @@ def _features(docs: DataFrame, id_col: str, text_col: str, width: int, bands: in
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(banded)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64()), pa.array(digests, pa.binary()), lists],
-                    ["doc_id", "n_shingles", "n_bytes", "digest", "bands"],
+                    ["doc_id", "n_shingles", "n_chars", "digest", "bands"],
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _FEATURES)
@@ -134,7 +134,7 @@ def spanning_links(sets: list[np.ndarray], sides: np.ndarray, percent: int, miss
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-6, block: int = 2048, block_bytes: int = 24_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-6, block: int = 2048, block_chars: int = 24_000_000) -> DataFrame:
     """Near-duplicate classes of texts: ``doc_id, n_shingles, component_id, kept``, a row per input row.
 
     Two documents are linked where ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct
@@ -151,13 +151,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = feats.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = sets.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     members = sets.select("doc_id", "digest", "n_shingles").join(classes.where("copies > 1"), ["digest", "n_shingles"]).select("doc_id", "rep").distinct()
-    reps = classes.join(sets, ["digest", "n_shingles"]).where("doc_id = rep").select("rep", "n_bytes", "bands")
+    reps = classes.join(sets, ["digest", "n_shingles"]).where("doc_id = rep").select("rep", "n_chars", "bands")
     banded = reps.select("rep", F.posexplode("bands").alias("band", "h"))
     hubs = banded.groupBy("band", "h").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").drop("last")
     stars = banded.join(hubs, ["band", "h"]).where("rep <> hub").select("rep", "hub").distinct()
     groups = connected_components(stars, "rep", "hub")
-    nodes = groups.join(sets.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_bytes").alias("n_bytes")), "node")
-    sized = nodes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_bytes") / block_bytes)).alias("n_blocks"))
+    nodes = groups.join(sets.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_chars").alias("n_chars")), "node")
+    sized = nodes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_chars") / block_chars)).alias("n_blocks"))
     placed = materialise(
         nodes.join(sized, "component").select("node", "component", "n_blocks", F.pmod(F.xxhash64("node"), "n_blocks").alias("block")),
         "groups",
