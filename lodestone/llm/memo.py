@@ -8,23 +8,22 @@ from collections.abc import Callable, Iterable
 class Memo:
     """Values by word in two generations: when the young one is full, the old one goes.
 
-    Words in use move back into the young generation, so common words stay. Words of more than
-    ``longest`` letters rarely come again; they are held for one batch only.
+    Words in use move back into the young generation, so common words stay.
     """
 
-    def __init__(self, bound: int, longest: int = 10):
-        self.half, self.longest = bound // 2, longest
+    def __init__(self, bound: int):
+        self.half = bound // 2
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.passing: list[str] = []
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
 
     def peek(self, word: str) -> bytes | None:
         return self.young.get(word) or self.old.get(word)
 
     def learn(self, words: set[str], values: Callable[[list[str]], Iterable[bytes]]) -> Callable[[str], bytes]:
-        """Lookup that knows all of ``words``, until the next call; ``values`` gives those of the unknown."""
-        for word in self.passing:
-            self.young.pop(word, None)
+        """Lookup that knows all of ``words``; ``values`` gives those of the unknown."""
         missing = words.difference(self.young)
         if len(self.young) + len(missing) > self.half:
             self.old, self.young = self.young, {}
@@ -36,5 +35,15 @@ class Memo:
             else:
                 self.young[word] = value
         self.young.update(zip(new, values(new)))
-        self.passing = [word for word in new if len(word) > self.longest]
         return self.young.__getitem__
+
+
+_held = None
+
+
+def claim(memory) -> None:
+    """Let this worker process hold ``memory`` (with a ``clear``, or None) alone: what another operator held goes."""
+    global _held
+    if _held is not None and _held is not memory:
+        _held.clear()
+    _held = memory

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.llm import shingles as sh
+from lodestone.llm.memo import claim
 from lodestone.operators.components import connected_components
 from lodestone.session import materialise
 
@@ -35,6 +36,7 @@ BROADCAST_IDS = 500_000
 def _features(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, odd = sh.WordHashes(), sh.multipliers(bands * rows)
+        claim(hashes)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

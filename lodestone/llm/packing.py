@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm.memo import Memo
+from lodestone.llm.memo import Memo, claim
 from lodestone.session import materialise
 
 _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 _END = (0).to_bytes(4, "little")
 #: Words whose ids a worker keeps.
-HELD = 900_000
+HELD = 1_200_000
 #: Marks that a word may end with.
 _MARKS = (".", ",", ";", ":", "!", "?")
 
@@ -57,43 +57,37 @@ class WordIds:
 
     def _encode(self, new: list[str]) -> list[bytes]:
         """Ids of words: of letters alone, of letters and a mark by their parts, of others by place."""
-        letters, marked, found = [], [], {}
-        for word in new:
-            # This capital's small form has a combining mark, so that its word splits.
-            if word.isalpha() and "\u0130" not in word:
-                letters.append(word)
-            elif word[-1:] in _MARKS and word[:-1].isalpha() and "\u0130" not in word:
-                marked.append(word)
-            else:
-                found[word] = b""
+        letters = [w for w in new if w.isalpha()]
+        rest = set(new).difference(letters)
+        marked = [w for w in rest if w[-1:] in _MARKS and w[:-1].isalpha()]
+        # This capital's small form has a combining mark, so that its word splits.
+        if "\u0130" in "".join(letters) or "\u0130" in "".join(marked):
+            letters, marked = ([w for w in words if "\u0130" not in w] for words in (letters, marked))
         known = self.memo.peek
-        bases = {w[:-1] for w in marked if known(w[:-1]) is None}
-        own = list(bases.union(letters).union(_MARKS))
+        own = list({w[:-1] for w in marked if known(w[:-1]) is None}.union(letters, _MARKS))
+        found: dict[str, bytes] = {}
         for at in range(0, len(own), 500):
             # A word of letters is one unit, which ends with the one token that ends a word.
             part = own[at : at + 500]
             ids = np.array(self.encoder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) != len(part):
                 raise ValueError("the tokenizer does not mark the ends of words")
-            data, last = ids.tobytes(), 0
-            for word, cut in zip(part, cuts.tolist()):
-                found[word] = data[last:cut]
-                last = cut
+            data = ids.tobytes()
+            found.update(zip(part, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
         for word in marked:
             found[word] = (found.get(word[:-1]) or known(word[:-1])) + found[word[-1]]
-        others = [w for w, value in found.items() if value == b"" and w]
+        others = [w for w in new if w not in found and w]
         for at in range(0, len(others), 500):
             # A token belongs to the word in which its characters start.
             part = others[at : at + 500]
             coded = self.encoder.encode(" ".join(part), add_special_tokens=False)
             ends = np.cumsum([len(word) + 1 for word in part])
-            cuts = 4 * np.searchsorted(np.array([start for start, _ in coded.offsets], np.int64), ends)
-            data, last = np.array(coded.ids, "<u4").tobytes(), 0
-            for word, cut in zip(part, cuts.tolist()):
-                found[word] = data[last:cut]
-                last = cut
-        return [found[word] for word in new]
+            cuts = (4 * np.searchsorted(np.array([start for start, _ in coded.offsets], np.int64), ends)).tolist()
+            data = np.array(coded.ids, "<u4").tobytes()
+            found.update(zip(part, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
+        found[""] = b""
+        return list(map(found.__getitem__, new))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = []
@@ -118,9 +112,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(tokenizer)
+        claim(encode.memo)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 columns = [[], [], [], [], [], []]
                 for doc, row, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encode(part.column(2).to_pylist())):
                     ids += _END

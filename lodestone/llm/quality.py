@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.llm.labelled import fit_logistic, held_out, labelled_sample, sigmoid
+from lodestone.llm.memo import claim
 
 LEVEL = 3
 
@@ -92,6 +93,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(None)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -107,6 +109,7 @@ def keep_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", t
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(None)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)

@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lodestone.llm.memo import Memo
+from lodestone.llm.memo import Memo, claim
 
 _SPACE = "▁"
 _BASE = np.uint64(0x100000001B3)
@@ -300,6 +300,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
+        claim(codec.memo)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -319,6 +320,7 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
+        claim(codec.memo)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.llm.labelled import Design, fit_linear, held_out, labelled_sample, sigmoid
+from lodestone.llm.memo import claim
 
 CATEGORIES = ("explicit", "severe", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -111,6 +112,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     names = [f"p_{c}" for c in CATEGORIES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(None)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -127,6 +129,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(None)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
