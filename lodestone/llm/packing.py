@@ -25,7 +25,7 @@ from lodestone.session import materialise
 
 _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 _END = (0).to_bytes(4, "little")
-#: Words whose ids a worker keeps.
+#: Words whose ids a worker keeps, unless told otherwise: about 220 bytes each.
 HELD = 1_200_000
 #: Marks that a word may end with.
 _MARKS = (".", ",", ";", ":", "!", "?")
@@ -43,13 +43,13 @@ class WordIds:
     differ. Special tokens are cut out of the raw text first, as the library does.
     """
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, held: int = HELD):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.encoder = Tokenizer.from_file(tokenizer)
         added = {t.content: i for i, t in self.encoder.get_added_tokens_decoder().items()}
         self.special = {content: int(i).to_bytes(4, "little") for content, i in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.memo = Memo(HELD)
+        self.memo = Memo(held)
         ids = self.encoder.get_vocab()
         self.ends = np.zeros(max(ids.values()) + 1, bool)
         for piece, i in ids.items():
@@ -102,16 +102,16 @@ class WordIds:
 
 
 @lru_cache(1)
-def word_ids(tokenizer: str) -> WordIds:
+def word_ids(tokenizer: str, held: int) -> WordIds:
     """One encoder a worker process, so that its tasks share the words it has learnt."""
-    return WordIds(tokenizer)
+    return WordIds(tokenizer, held)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
     """The tokens of each row, then id 0, cut into pieces of ``capacity`` where they are longer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(tokenizer)
+        encode = word_ids(tokenizer, held)
         claim(encode.memo)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -262,11 +262,12 @@ def pack(parts: DataFrame, capacity: int, group: int = 4096, islands: int = 2, e
     return alone.unionByName(rest)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``: every row's tokens, packed.
 
     A null or empty text is the end id alone. Rows may repeat an id or have none; each row is packed.
-    Only rows longer than ``capacity`` are cut. Other columns are ignored; an empty table gives none.
+    Only rows longer than ``capacity`` are cut. ``held`` bounds the words a worker remembers, which
+    changes time and memory, never the result. Other columns are ignored; an empty table gives none.
     """
-    parts = materialise(pieces(docs, tokenizer, capacity, id_col, text_col), "pieces")
+    parts = materialise(pieces(docs, tokenizer, capacity, id_col, text_col, held), "pieces")
     return pack(parts, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -75,7 +75,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, held=1_800_000)
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_sharding, op4_embedding_dedup, op5_top_k, op6_quality, op7_html_text, op8_toxicity, op9_sentencepiece, op10_packing)}
