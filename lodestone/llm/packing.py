@@ -54,15 +54,31 @@ class WordIds:
         self.ends = np.zeros(max(ids.values()) + 1, bool)
         for piece, i in ids.items():
             self.ends[i] = piece.endswith("</w>")
+        #: Letters met so far beyond ASCII, and those of them within which a word ends.
+        self.met: set[str] = set()
+        self.parting: set[str] = set()
+
+    def _ended(self, word: str) -> bytes | None:
+        """Ids of a word that is one unit with one end, at its last token; else None."""
+        ids = np.array(self.encoder.encode(word, add_special_tokens=False).ids, "<u4")
+        return ids.tobytes() if np.flatnonzero(self.ends[ids]).tolist() == [len(ids) - 1] else None
+
+    def _whole(self, words: list[str]) -> list[str]:
+        """Words without letters that the tokenizer takes apart, such as those it writes as a letter and a mark."""
+        beyond = "".join(w for w in words if not w.isascii())
+        if not beyond:
+            return words
+        new = set(beyond) - self.met
+        self.met |= new
+        self.parting.update(c for c in new if c.isalpha() and self._ended(f"a{c}a") is None)
+        return [w for w in words if w.isascii() or self.parting.isdisjoint(w)] if self.parting else words
 
     def _encode(self, new: list[str]) -> list[bytes]:
         """Ids of words: of letters alone, of letters and a mark by their parts, of others by place."""
-        letters = [w for w in new if w.isalpha()]
-        rest = set(new).difference(letters)
-        marked = [w for w in rest if w[-1:] in _MARKS and w[:-1].isalpha()]
-        # This capital's small form has a combining mark, so that its word splits.
-        if "\u0130" in "".join(letters) or "\u0130" in "".join(marked):
-            letters, marked = ([w for w in words if "\u0130" not in w] for words in (letters, marked))
+        alone = [w for w in new if w.isalpha()]
+        rest = set(new).difference(alone)
+        letters = self._whole(alone)
+        marked = self._whole([w for w in rest if w[-1:] in _MARKS and w[:-1].isalpha()])
         known = self.memo.peek
         own = list({w[:-1] for w in marked if known(w[:-1]) is None}.union(letters, _MARKS))
         found: dict[str, bytes] = {}
@@ -72,11 +88,14 @@ class WordIds:
             ids = np.array(self.encoder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) != len(part):
-                raise ValueError("the tokenizer does not mark the ends of words")
+                found.update((w, one) for w in part if (one := self._ended(w)) is not None)
+                continue
             data = ids.tobytes()
             found.update(zip(part, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
         for word in marked:
-            found[word] = (found.get(word[:-1]) or known(word[:-1])) + found[word[-1]]
+            base, mark = found.get(word[:-1]) or known(word[:-1]), found.get(word[-1])
+            if base and mark:
+                found[word] = base + mark
         others = [w for w in new if w not in found and w]
         for at in range(0, len(others), 500):
             # A token belongs to the word in which its characters start.

@@ -319,6 +319,23 @@ def test_packing(spark, odd, empty):
     assert packing.pack_documents(empty, WORD).count() == 0
 
 
+def test_packing_of_letters_that_the_tokenizer_takes_apart():
+    plain, ours = Tokenizer.from_file(WORD), packing.WordIds(WORD)
+    letters = [c for c in map(chr, range(0x80, 0x110000)) if c.isalpha() and not ours._whole([c])]
+    assert {"\u0130", "\u0958", "\u09dc", "\u0a33", "\ufb1d"} <= set(letters)
+    words = [w for c in letters for w in (c, f"{c}.", f"x{c}y", f"{c}\u0915,", f"\u0915{c}!")]
+    texts = ["plain words " + " ".join(words) + " end.", "\u0958\u0932\u092e and \u09aa\u09dc\u09be.", "\ufb1d", "again \ufb1d. \ufb1d, x"]
+    for text, ids in zip(texts, ours(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_where_ends_of_words_do_not_match():
+    plain, ours = Tokenizer.from_file(WORD), packing.WordIds(WORD)
+    ours._whole = lambda words: words
+    text = "some words \u0958 and \ufb1d. more, \u09dc\u09dc"
+    assert np.frombuffer(ours([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_genetic_search_is_no_worse_than_best_fit():
     rng = np.random.default_rng(7)
     sizes = rng.integers(200, 900, 400).tolist()
