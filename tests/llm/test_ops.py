@@ -254,6 +254,17 @@ def test_html_layout(spark):
     assert html_text.extract_text(table.limit(0)).count() == 0
 
 
+def test_html_stray_quotes_comments_and_row_text():
+    assert html_text.render("""<a href="x"">link</a> two</p><p class="k">three</p><p id="z">four</p>""") == "link two\n\nthree\n\nfour"
+    assert html_text.render("<p title=it's>hello</p><p>world</p>") == "hello\n\nworld"
+    assert html_text.render("""<p a="1"'b>x</p><p " c = '>' d = "</p>">y</p><p =e="f>g">z""") == "x\n\ny\n\nz"
+    assert html_text.render("""<p class="a""hidden>shown</p><p hidden>not</p><p title= hidden>value</p>""") == "shown\n\nvalue"
+    assert html_text.render("a<!-->b<!--->c<!-- > -->d<!--x--!>e<!---->f<!-- open") == "abcdef"
+    assert html_text.render("<table><tr>loose <td>a<td>b<tr hidden>not<td>no</tr></table>") == "loose\na  b"
+    broken = '<p x="' * 20000
+    assert html_text.render(broken) == html_text.render("<" + broken[1:] + "'") == ""
+
+
 def test_codec_matches_the_library(spark, odd, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     coded = sentencepiece_codec.decode(sentencepiece_codec.encode(odd, PIECE), PIECE).collect()
