@@ -66,13 +66,13 @@ def cohen_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH d AS (SELECT l_quantity - l_linenumber * 5 AS d FROM lineitem WHERE l_orderkey % 20 = 0 AND l_quantity <> l_linenumber * 5), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS k FROM d) SELECT round(sum(sign(d) * k) / sum(k), 6) AS effect FROM r")
 def rank_biserial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_quantity").alias("a"), (F.col("l_linenumber") * 5).alias("b"))
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("a"), (F.col("l_linenumber") * 5).alias("b"))
     return partition.rank_biserial(pairs, "a", "b")
 
 
 @query("WITH cells AS (SELECT p_name AS a, p_type AS b FROM part WHERE p_partkey % 40 = 0 GROUP BY ALL) SELECT round(100 * count(*) FILTER (WHERE k = 1) / count(*), 4) AS nested FROM (SELECT a, count(*) AS k FROM cells GROUP BY a)")
 def nested_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where("p_partkey % 40 = 0")
+    part = table(spark, sf_dir, "part")
     a = part.select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("label"))
     b = part.select(F.col("p_partkey").alias("entity"), F.col("p_type").alias("label"))
     return partition.nested_share(partition.contingency(a, b))
@@ -84,7 +84,7 @@ def nested_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     g AS (SELECT c, sum(i) AS i, sum(1 - i) AS o FROM s GROUP BY c) SELECT round(sum(i / (i + 0.5 * o)), 3)::DOUBLE AS mq, CAST(sum(i) AS BIGINT) AS inner, CAST(sum(o) / 2 AS BIGINT) AS outer FROM g"""
 )
 def turbo_mq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity < 5").select("l_orderkey", F.col("l_suppkey").alias("target"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("target"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("source"))
     edges = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).where("source <> target").select("source", "target").distinct()
     entities = edges.select(F.explode(F.array("source", "target")).alias("entity")).distinct().withColumn("label", F.col("entity") % 10)
@@ -93,7 +93,7 @@ def turbo_mq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH p AS (SELECT p_size AS x, p_retailprice AS y FROM part WHERE p_partkey % 3 = 0), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM p) SELECT round(corr(rx, ry), 6) AS rho, count(*) AS n FROM r")
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition.spearman(table(spark, sf_dir, "part").where("p_partkey % 3 = 0"), "p_size", "p_retailprice")
+    return partition.spearman(table(spark, sf_dir, "part"), "p_size", "p_retailprice")
 
 
 @query("SELECT c_mktsegment AS segment, c_custkey AS id, rank() OVER (PARTITION BY c_mktsegment ORDER BY k DESC) + (count(*) OVER (PARTITION BY c_mktsegment, k) - 1) / 2 AS rank FROM (SELECT *, CAST(floor(c_acctbal / 500) AS BIGINT) AS k FROM customer)")
@@ -217,7 +217,7 @@ def forbidden_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, md5(left(replace(regexp_replace(text, '[0-9]{3,}', '[redacted]', 'g'), 'token', '[redacted]'), 500)) AS digest FROM documents")
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(texts.redact(F.col("text"), ["[0-9]{3,}"], ["token"], 500)).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(texts.redact(F.col("text"), ["[0-9]{3,}"], ["token"])).alias("digest"))
 
 
 @query("SELECT p_brand AS package, CASE WHEN contains(p_brand, '#1') THEN 'first' WHEN contains(p_brand, '#2') THEN 'second' ELSE 'other' END AS family, count(*) AS n FROM part GROUP BY ALL")
@@ -259,7 +259,7 @@ def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH RECURSIVE chain(id, parent, depth) AS (SELECT c_custkey, c_custkey // 3, 1 FROM customer WHERE c_custkey % 50 = 7 UNION ALL SELECT id, parent // 3, depth + 1 FROM chain WHERE parent > 0 AND depth < 20) SELECT id, CAST(max(depth) AS INTEGER) AS depth, string_agg(parent::VARCHAR, '/' ORDER BY depth DESC) AS chain FROM chain GROUP BY id")
 def folder_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").where("c_custkey % 50 = 7").select(F.col("c_custkey").alias("id"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     children = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("child"), F.expr("c_custkey div 3").alias("parent"))
     return ownership.ancestor_chains(customers, children, top=0)
 
