@@ -72,10 +72,10 @@ class Facts:
 
     @property
     def items(self) -> DataFrame:
-        """Evidence items of each fragment; two types of six on an edge."""
+        """Evidence items of each fragment, from all line items of an edge."""
 
         def build() -> DataFrame:
-            kept = self.cube.join(self.top, ["s", "t"]).withColumn("ti", F.expr(_TYPE)).where("(s * 7 + t * 3 + ti) % 3 = 0")
+            kept = self.cube.join(self.top, ["s", "t"]).withColumn("ti", F.expr(_TYPE))
             by = kept.groupBy("s", "t", "ti", "detail", "year").agg(F.sum("n").alias("n"))
             return by.select(
                 F.concat(F.lit("cxx:lib:NATION_"), "s").alias("source"),

@@ -6,6 +6,7 @@ from test_queries import SF, TABLES, plain
 
 from lodestone.plans import registry
 
+EVIDENCE = "edge_weight edge_confidence evidence_strength merge_evidence container_lift drift_edges element_confidence".split()
 CUTS = {
     "rank_biserial": [("l_orderkey % 20 = 0 AND ", "")],
     "nested_share": [("WHERE p_partkey % 40 = 0 ", "")],
@@ -13,6 +14,7 @@ CUTS = {
     "folder_chain": [(" WHERE c_custkey % 50 = 7", "")],
     "turbo_mq": [("l_quantity < 5 AND ", "")],
     "redaction": [("md5(left(", "md5("), (", 500))", ")")],
+    **dict.fromkeys(EVIDENCE, [("WHERE (s * 7 + t * 3 + ti) % 3 = 0", "")]),
 }
 
 
