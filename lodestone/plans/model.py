@@ -459,9 +459,7 @@ def coverage_gaps(f: Facts) -> DataFrame:
 
 @query("SELECT type, min(target_container) AS provider, count(DISTINCT source_container) AS sources, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT DISTINCT type, source, target, source_container, target_container, lifted.weight FROM lifted JOIN merged USING (source, target) WHERE source_container <> target_container AND target_container = 'container:asia') GROUP BY type HAVING count(DISTINCT target_container) = 1 AND count(DISTINCT source_container) >= 1 AND sum(weight) >= 4")
 def sole_provider(f: Facts) -> DataFrame:
-    inside = f.targets.where("container_id = 'container:asia'")
-    kept = f.edges.join(inside.select(F.col("id").alias("target")), "target", "left_semi")
-    return risk.sole_providers(kept, f.targets, least_sources=1)
+    return risk.sole_providers(f.edges, f.targets)
 
 
 @query("SELECT target_container AS container_id, count(DISTINCT source_container) AS fan_in, CAST(sum(weight) AS BIGINT) AS weight FROM cross_edges GROUP BY target_container HAVING count(DISTINCT source_container) >= 3 AND count(DISTINCT source_container) / ((SELECT count(*) FROM cont) - 1) >= 0.6 AND sum(weight) >= 4", extra=_BOUNDARY)

@@ -1,10 +1,12 @@
 """Queries on whole tables, against their SQL without what cuts its input."""
 
+from types import SimpleNamespace
+
 import duckdb
 import pytest
 from test_queries import SF, TABLES, plain
 
-from lodestone.plans import registry
+from lodestone.plans import model, registry
 
 EVIDENCE = "edge_weight edge_confidence evidence_strength merge_evidence container_lift drift_edges element_confidence".split()
 CUTS = {
@@ -14,6 +16,7 @@ CUTS = {
     "folder_chain": [(" WHERE c_custkey % 50 = 7", "")],
     "turbo_mq": [("l_quantity < 5 AND ", "")],
     "redaction": [("md5(left(", "md5("), (", 500))", ")")],
+    "sole_provider": [("WHERE (s * 7 + t * 3 + ti) % 3 = 0", ""), (" AND target_container = 'container:asia'", ""), ("count(DISTINCT source_container) >= 1", "count(DISTINCT source_container) >= 3")],
     **dict.fromkeys(EVIDENCE, [("WHERE (s * 7 + t * 3 + ti) % 3 = 0", "")]),
 }
 
@@ -32,3 +35,11 @@ def test_query_covers_the_whole_table(spark, connection, name):
     for cut, whole in CUTS[name]:
         sql = sql.replace(cut, whole)
     assert plain(registry.QUERIES[name](spark, SF).toPandas()) == plain(connection.execute(sql).df())
+
+
+def test_sole_provider_looks_at_all_containers(spark):
+    targets = spark.createDataFrame([(x, "container:" + x) for x in ("asia", "a", "b", "c", "d")], "id string, container_id string")
+    rows = [("a", "asia", 2, ["link"]), ("b", "asia", 2, ["link"]), ("d", "asia", 2, ["link", "interop"]), ("a", "b", 2, ["link"]), ("a", "c", 2, ["include"]), ("b", "c", 2, ["include", "symbol_use"]), ("d", "c", 2, ["include"])]
+    edges = spark.createDataFrame([(s, t, w, [(x,) for x in types]) for s, t, w, types in rows], "source string, target string, weight long, evidence array<struct<type string>>")
+    got = model.sole_provider(SimpleNamespace(edges=edges, targets=targets)).collect()
+    assert [(r.type, r.provider, r.sources, r.weight) for r in got] == [("include", "container:c", 3, 6)]
