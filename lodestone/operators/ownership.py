@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from lodestone.session import materialise
 
@@ -43,7 +47,7 @@ def best_bindings(humans: DataFrame, targets: DataFrame) -> DataFrame:
 def token_bindings(humans: DataFrame, targets: DataFrame, floor: float = 0.4, weight: float = 0.85) -> DataFrame:
     """Best target of each human name by weighted Jaccard of token arrays, among those that share a token.
 
-    Pairs come from an equi-join on tokens: names without a common token score 0, under any floor.
+    Pairs come from an equi-join on tokens; names without a common token are left to ``propose_bindings``.
     """
     h = humans.select("human", F.size("tokens").alias("nh"), F.explode("tokens").alias("token"))
     t = targets.select("target", F.size("tokens").alias("nt"), F.explode("tokens").alias("token"))
@@ -51,3 +55,43 @@ def token_bindings(humans: DataFrame, targets: DataFrame, floor: float = 0.4, we
     scored = shared.withColumn("score", F.round(weight * F.col("n") / (F.col("nh") + F.col("nt") - F.col("n")), 4)).where(F.col("score") >= floor)
     order = Window.partitionBy("human").orderBy(F.desc("score"), "target")
     return scored.withColumn("r", F.row_number().over(order)).where("r = 1").select("human", "target", "score")
+
+
+def propose_bindings(humans: DataFrame, targets: DataFrame, floor: float = 0.4, path_weight: float = 0.85, name_weight: float = 0.7) -> DataFrame:
+    """``human, target, score``: the best target of each human by the greatest of three signals.
+
+    ``slugs`` and ``tokens`` are arrays on both sides. Equal slugs score 1, tokens their weighted
+    Jaccard, slugs the weighted ratio of their matching blocks. Ties go to the smallest target; a
+    human without a target at the floor has a null one and score 0. Pairs for the ratio are all
+    distinct slugs whose lengths can reach the floor, an equi-join on the length; then their counts
+    of letters bound the ratio. Nothing is left out, so slugs of like lengths make quadratic pairs.
+    """
+    least = max(1e-9, (floor - 0.0005) / name_weight - 1e-6)
+
+    @pandas_udf("double")
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(left, right):
+            match = difflib.SequenceMatcher(None, a, b)
+            out.append(match.ratio() if match.quick_ratio() >= least else 0.0)
+        return pd.Series(out, dtype=float)
+
+    def each(rows: DataFrame, key: str, column: str, name: str) -> DataFrame:
+        return rows.select(key, F.explode(F.array_distinct(column)).alias(name)).where(F.col(name) != "")
+
+    h, t = each(humans, "human", "slugs", "a"), each(targets, "target", "slugs", "b")
+    equal = h.join(t, F.col("a") == F.col("b")).select("human", "target", F.lit(1.0).alias("score"))
+    ht, tt = each(humans, "human", "tokens", "token"), each(targets, "target", "tokens", "token")
+    n_h, n_t = ht.groupBy("human").agg(F.count("*").alias("nh")), tt.groupBy("target").agg(F.count("*").alias("nt"))
+    shared = ht.join(tt, "token").groupBy("human", "target").agg(F.count("*").alias("n")).join(n_h, "human").join(n_t, "target")
+    overlap = shared.select("human", "target", F.round(path_weight * F.col("n") / (F.col("nh") + F.col("nt") - F.col("n")), 6).alias("score"))
+    length, reach = F.length("a"), (2 - least) / least
+    spans = F.sequence(F.floor(length / reach).cast("int"), F.ceil(length * reach).cast("int")) if least > 0.05 else None
+    left, right = h.select("a").distinct(), t.select("b").distinct()
+    pairs = left.crossJoin(right) if spans is None else left.withColumn("k", F.explode(spans)).join(right.withColumn("k", F.length("b")), "k").drop("k")
+    alike = pairs.withColumn("score", F.round(name_weight * ratio("a", "b"), 6)).where(F.col("score") > 0)
+    named = h.join(alike, "a").join(t, "b").select("human", "target", "score")
+    scored = equal.union(overlap).union(named).groupBy("human", "target").agg(F.round(F.max("score"), 3).alias("score")).where(F.col("score") >= floor)
+    order = Window.partitionBy("human").orderBy(F.desc("score"), "target")
+    best = scored.withColumn("r", F.row_number().over(order)).where("r = 1").select("human", "target", "score")
+    return humans.select("human").distinct().join(best, "human", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

@@ -245,6 +245,16 @@ def reconcile_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ownership.best_bindings(humans, targets)
 
 
+@query()
+def propose_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best nation of each region by slug, tokens or ratio of names; SQL has no such ratio."""
+
+    def named(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.select(F.col(name).alias(key), F.array(ids.norm_slug(F.col(name))).alias("slugs"), ids.path_tokens(F.col(name)).alias("tokens"))
+
+    return ownership.propose_bindings(named(table(spark, sf_dir, "region"), "human", "r_name"), named(table(spark, sf_dir, "nation"), "target", "n_name"))
+
+
 @query("SELECT sha256(string_agg(digest, chr(10) ORDER BY block)) AS hash, CAST(sum(n) AS BIGINT) AS n FROM (SELECT s_suppkey // 1000 AS block, sha256(string_agg(s_suppkey || ':' || s_name, chr(10) ORDER BY s_suppkey)) AS digest, count(*) AS n FROM supplier GROUP BY 1)")
 def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash of a table in the order of its key: of blocks of a thousand rows first, then of their digests."""
