@@ -56,7 +56,7 @@ def _packed(rows: DataFrame, size: int, number: str, prefix: str) -> tuple[DataF
     groups = max(1, -(-rows.count() // size))
 
     def run(key, part):
-        rows = sorted({(i, np.asarray(x, np.float64).tobytes()) for i, x in zip(part["vec_id"].tolist(), part["codes"])})
+        rows = sorted((i, np.asarray(x, np.float64).tobytes()) for i, x in zip(part["vec_id"].tolist(), part["codes"]))
         ids = np.array([i for i, _ in rows], np.int64).tobytes()
         return pd.DataFrame({number: [key[1]], "dim": [key[0]], f"{prefix}_ids": [ids], f"{prefix}_matrix": [b"".join(x for _, x in rows)]})
 
@@ -70,8 +70,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     A component x counts as floor(256 x), x as double. Candidates are all rows but the query's own,
     that is those with another id; equal scores go to the smaller id; with fewer candidates all are
     returned. Vectors that are null or empty or hold null or non-finite components, and rows with a
-    null id, take no part; vectors of different lengths are never compared. Equal rows count once;
-    rows of one id with different vectors are candidates of their own, and as queries share one list.
+    null id, take no part; vectors of different lengths are never compared. Rows of one id, equal or
+    not, are candidates of their own, and as queries share one list, to which each brings its own.
     Scores beyond 64 bits become the nearest 64-bit number. Other columns are ignored; an empty table
     gives none.
     """

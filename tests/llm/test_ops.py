@@ -3,6 +3,7 @@
 import itertools
 import zlib
 
+import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -11,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm import embedding_dedup, hnsw, html_text, labelled, near_dedup, packing, quality, sentencepiece_codec, sharding, shingles, token_counts, top_k, toxicity
+from lodestone.llm import embedding_dedup, hnsw, html_text, labelled, near_dedup, packing, quality, queries, sentencepiece_codec, sharding, shingles, token_counts, top_k, toxicity
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 # Columns whose names the operators use themselves.
@@ -265,6 +266,18 @@ def test_html_stray_quotes_comments_and_row_text():
     assert html_text.render(broken) == html_text.render("<" + broken[1:] + "'") == ""
 
 
+def test_top_k_keeps_repeated_rows(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(120)]
+    rows += rows[1:40] + rows[50:51] + rows[1:20] + [(7, rows[9][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    table.toPandas().to_parquet(f"{tmp_path}/embeddings.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet')")
+    got = top_k.top_k(table, F.col("vec_id") % 50 == 0, tile=16, branch=2).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(connection.execute(queries.ORACLE_SQL["op5_top_k"]).fetchall())
+
+
 def test_codec_matches_the_library(spark, odd, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     coded = sentencepiece_codec.decode(sentencepiece_codec.encode(odd, PIECE), PIECE).collect()
