@@ -2,30 +2,42 @@
 
 Every step is a ``groupBy().min`` and an equi-join, so the edge list never meets in one task and the
 driver sees only a count and a checksum. Edges never outnumber the input's by more than its nodes.
+A node in very many edges, as the root of a large component is in the end, is joined in memory.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lodestone.operators.skew import HEAD
 from lodestone.session import materialise
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum((F.col("a") != F.col("b")).cast("long"))).first()
+    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+def _lowest(edges: DataFrame, key: str, total: int) -> DataFrame:
+    """``edges`` with ``low``: the smallest neighbour below the node in ``key``, that node itself where it has none."""
+    low = edges.groupBy(F.col("a").alias(key)).agg(F.min("b").alias("low"))
+    hot = edges.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * HEAD >= total).select(key)
+    near = F.coalesce("low", key).alias("low")
+    # At most HEAD nodes have so many of the edges.
+    known = F.broadcast(low.join(F.broadcast(hot), key, "right").select(key, near))
+    head = edges.join(known, key).select("a", "b", "low")
+    tail = edges.join(F.broadcast(hot), key, "left_anti").join(low, key, "left").select("a", "b", near)
+    return head.unionByName(tail)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("a").agg(F.min("b").alias("low"))
-    moved = edges.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-    return moved.unionByName(low.select("a", F.col("low").alias("b"))).distinct()
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    return _lowest(edges, "b", total).select("a", F.col("low").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    near = _lowest(edges, "a", total)
+    pairs = F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b"))))
+    return near.select(pairs.alias("p")).select("p.a", "p.b").where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
@@ -40,7 +52,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     for _ in range(rounds):
         if not before[0]:
             break
-        current = materialise(_small_star(_large_star(current)), "edges")
+        large = materialise(_large_star(current, before[0]), "edges")
+        current = materialise(_small_star(large, before[0]), "edges")
         now = _fingerprint(current)
         if now == before:
             break

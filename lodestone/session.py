@@ -13,13 +13,16 @@ _SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local session, as in tests) a temporary folder is chosen and set.
+    Only where that is unset and the session is local, as in tests, a temporary folder is chosen and
+    set; on a cluster its executors would not share that, so there the setting is required.
     """
     configured = spark.conf.get(_SETTING, None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
