@@ -89,6 +89,43 @@ def test_near_dedup_matches_brute_force(spark, odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_of_templates_hot_copies_and_repeated_ids(spark, monkeypatch):
+    """Texts that share most words but not enough, chains of near copies, one text on many rows, ids with several texts."""
+    monkeypatch.setattr(near_dedup, "FANOUT", 5)
+    rng = np.random.default_rng(11)
+    frame, rows = [f"t{k}" for k in range(70)], []
+    for i in range(150):
+        own = list(frame) + [f"o{x}" for x in rng.integers(0, 400, 12)]
+        rows.append((1000 + i, " ".join(own)))
+    chain = [f"c{k}" for k in range(120)]
+    for i in range(60):
+        chain[int(rng.integers(0, 120))] = f"n{i}"
+        rows.append((2000 + int(rng.permutation(60)[0]) * 100 + i, " ".join(chain)))
+    rows += [(3000 + i, "one very common text on many rows of the table") for i in range(400)]
+    rows += [(3000, " ".join(frame)), (5, "one very common text on many rows of the table"), (5, rows[0][1]), (5, None), (None, rows[0][1])]
+    sets: dict = {}
+    for i, text in rows:
+        if i is not None and plain_set(text, 3):
+            sets.setdefault(i, []).append(plain_set(text, 3))
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if any(similar(x, y, 85) for x in sets[a] for y in sets[b])]
+    want = components(sets, linked)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width=3, percent=85, block=16, block_chars=4000).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got if r.n_shingles and r.doc_id is not None} == set(want.items())
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
+
+
+def test_survivors_of_two_blocks_and_settled_pairs():
+    odd = shingles.multipliers(128)
+    base = np.random.default_rng(1).integers(0, 2**63, 9500, dtype=np.uint64)
+    sets = [base[k : k + 400] for k in (0, 3, 6, 9000)]
+    sigs, sizes, zero = np.stack([shingles.signature(s, odd) for s in sets]).astype(np.uint16), np.full(4, 400), np.zeros(4, int)
+    pairs = lambda sides, joined: {tuple(sorted((int(a), int(b)))) for x, y, _ in near_dedup.survivors(sigs, sizes, sides, joined, 85, 1e-6) for a, b in zip(x, y)}
+    assert pairs(zero, np.arange(4)) == {(0, 1), (0, 2), (1, 2)}
+    assert pairs(np.array([0, 1, 0, 1]), np.arange(4)) == {(0, 1), (1, 2)}
+    assert pairs(zero, np.array([0, 0, 2, 3])) == {(0, 2), (1, 2)}
+
+
 def test_posterior_bounds_and_banding():
     assert shingles.banding(0.85, 1e-6) == (36, 7)
     bands, rows = shingles.banding(0.8, 1e-6)
