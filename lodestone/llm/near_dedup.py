@@ -7,9 +7,12 @@
    whose posterior probability of reaching the threshold falls below the miss probability is pruned.
    The full sets of the survivors decide. Their links give first components.
 3. Buckets that still hold several components are compared within: pairs of one component are
-   settled, all others go through the same batches, in tiles of fixed size. What survives in a tile
-   falls into local groups, whose full sets decide; a group returns a spanning forest of its links.
-4. The components of all links give the result.
+   settled, all others go through the same batches, in tiles of fixed size. Of what survives in a
+   tile, the likeliest pairs that would join its components are verified first.
+4. With the components that these links give, the tiles are compared once more. What still survives
+   falls into local groups, whose full sets decide, pair by pair until nothing is left to join; a
+   group returns a spanning forest of its links.
+5. The components of all links give the result.
 
 Signatures, not texts, go through the pruning; texts leave their rows only for survivors. Joins on
 buckets, classes and their smallest members know the number of rows of each key and join hot ones in
@@ -37,6 +40,8 @@ _LINKS = "src long, dst long"
 _CLASS = ["digest", "n_shingles"]
 #: Members of one smallest member that are verified in one go.
 FANOUT = 256
+#: Ids of a broadcast set of documents at most; beyond it the texts are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def _features(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
@@ -190,7 +195,12 @@ def _signatures(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, BATCHES[-1])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-6, block: int = 2048, block_chars: int = 24_000_000) -> DataFrame:
+def _with_texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """``wanted`` with the texts of its ``rep``; few ids go to the texts, many meet them by a shuffle."""
+    return (F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted).join(texts, "rep")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-6, block: int = 512, block_chars: int = 24_000_000) -> DataFrame:
     """Near-duplicate classes of texts: ``doc_id, n_shingles, component_id, kept``, a row per input row.
 
     Two documents are linked where ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct
@@ -213,16 +223,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = _star_links(classes, texts, width, percent, miss)
     again = sets.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
     own = join_counted(sets.select("doc_id", *_CLASS).join(again, "doc_id"), classes.select(*_CLASS, "rep", "n"), _CLASS, total)
-    first = connected_components(stars.unionByName(own.select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))))
-    more = _bucket_links(classes, first, texts, width, percent, miss, block, block_chars)
-    if not more.isEmpty():
-        first = connected_components(more.unionByName(first.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
-    named = classes.select(*_CLASS, "rep", "n").join(first.withColumnRenamed("node", "rep"), "rep", "left").select(*_CLASS, "n", F.coalesce("component", "rep").alias("component_id"))
+    comps = connected_components(stars.unionByName(own.select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))))
+    comps = _joined(comps, _likely_links(classes, comps, texts, width, percent, miss, block))
+    comps = _joined(comps, _all_links(classes, comps, texts, width, percent, miss, block, block_chars))
+    named = classes.select(*_CLASS, "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*_CLASS, "n", F.coalesce("component", "rep").alias("component_id"))
     found = join_counted(feats.where(linkable).select("doc_id", *_CLASS), materialise(named, "named"), _CLASS, total).select("doc_id", "n_shingles", "component_id")
     alone = feats.where(~F.coalesce(linkable, F.lit(False))).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    if links.isEmpty():
+        return comps
+    return connected_components(links.unionByName(comps.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
+
+
 def _star_links(classes: DataFrame, texts: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
     """Links of classes with the smallest member of a bucket of theirs."""
     banded = classes.select("rep", F.explode("bands").alias("h"))
@@ -241,13 +257,18 @@ def _star_links(classes: DataFrame, texts: DataFrame, width: int, percent: int,
                 alive, _ = _prune(_signatures(batch.column(2)), _signatures(batch.column(3)), least)
                 yield batch.select(["rep", "hub"]).take(pa.array(alive))
 
-    kept = materialise(both.mapInArrow(prune, "rep long, hub long").distinct(), "survivors")
+    return _verified(both.mapInArrow(prune, "rep long, hub long").distinct(), texts, width, percent)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (``rep``, ``hub``) whose full sets reach the threshold, as links."""
+    kept = materialise(pairs, "survivors")
     sizes = kept.groupBy("hub").agg(F.count("*").alias("n"))
     dealt = join_counted(kept, sizes, ["hub"], kept.count()).select("rep", "hub", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / FANOUT)).alias("part"))
     dealt = materialise(dealt, "dealt")
     members = dealt.select("hub", "part", F.lit(1).alias("member"), "rep")
     centres = dealt.select("hub", "part").distinct().select("hub", "part", F.lit(0).alias("member"), F.col("hub").alias("rep"))
-    laid = members.unionByName(centres).join(texts, "rep").select("hub", "part", "member", "rep", "text")
+    laid = _with_texts(members.unionByName(centres), texts).select("hub", "part", "member", "rep", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The rows of a centre come first; of repeated ids any text may make the link.
@@ -278,8 +299,8 @@ def _tiles(rows: DataFrame, keys: list[str]) -> DataFrame:
     return tiled.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
 
 
-def _bucket_links(classes: DataFrame, comps: DataFrame, texts: DataFrame, width: int, percent: int, miss: float, block: int, block_chars: int) -> DataFrame:
-    """Links between the components that still share a bucket."""
+def _mixed_tiles(classes: DataFrame, comps: DataFrame, block: int) -> DataFrame:
+    """Members, with signatures, of the tiles of all buckets that hold several components."""
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     banded = materialise(named.select("rep", "comp", F.explode("bands").alias("h")), "banded")
     mixed = banded.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("h", "n")
@@ -287,18 +308,50 @@ def _bucket_links(classes: DataFrame, comps: DataFrame, texts: DataFrame, width:
     shared = mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = F.ceil(F.col("n") / block)
     members = join_counted(banded, mixed, ["h"], shared).select("h", "rep", "comp", blocks.alias("n_blocks"), F.pmod(F.xxhash64("rep"), blocks).alias("block"))
-    rows = members.join(classes.select("rep", "n_shingles", "n_chars", "sig"), "rep").select("h", "n_blocks", "block", "rep", "comp", "n_shingles", "n_chars", "sig")
+    rows = members.join(classes.select("rep", "n_shingles", "n_chars", "sig", "bands"), "rep")
+    return _tiles(rows.select("h", "n_blocks", "block", "rep", "comp", "n_shingles", "n_chars", "sig", "bands"), ["h"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch], percent: int, miss: float) -> Iterator[tuple]:
+    """Ids, components and lengths of each tile's members, and its surviving pairs, which count in the first bucket they share."""
+    for (h, _, _), run in _runs(batches, 3):
+        upper, rep, comp, size, chars = (run.column(k).to_numpy() for k in range(3, 8))
+        own = run.column(9).combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        band = int((own[0] == h).argmax())
+        kept = []
+        for x, y, equal in survivors(_signatures(run.column(8)), size, upper, comp, percent, miss):
+            first = (own[x] == own[y]).argmax(1) == band
+            kept.append((x[first], y[first], equal[first]))
+        if kept:
+            yield rep, comp, chars, *(np.concatenate(c) for c in zip(*kept))
+
+
+def _likely_links(classes: DataFrame, comps: DataFrame, texts: DataFrame, width: int, percent: int, miss: float, block: int) -> DataFrame:
+    """Links among the likeliest pairs that would join the components of a tile."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rep, comp, _, x, y, equal in _compared(batches, percent, miss):
+            _, label = np.unique(comp, return_inverse=True)
+            forest, order, pairs = _Forest(len(label)), np.argsort(-equal, kind="stable"), []
+            for a, b in zip(x[order].tolist(), y[order].tolist()):
+                if forest.join(int(label[a]), int(label[b])):
+                    pairs.append((max(rep[a], rep[b]), min(rep[a], rep[b])))
+            low = np.array(pairs, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(low[:, 0]), pa.array(low[:, 1])], ["rep", "hub"])
+
+    return _verified(_mixed_tiles(classes, comps, block).mapInArrow(likely, "rep long, hub long").distinct(), texts, width, percent)
+
+
+def _all_links(classes: DataFrame, comps: DataFrame, texts: DataFrame, width: int, percent: int, miss: float, block: int, block_chars: int) -> DataFrame:
+    """Links that join any components which still share a bucket."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, run in _runs(batches, 3):
-            upper, rep, comp, size, chars = (run.column(k).to_numpy() for k in range(3, 8))
-            forest, hit = _Forest(len(rep)), np.zeros(len(rep), bool)
-            for x, y, _ in survivors(_signatures(run.column(8)), size, upper, comp, percent, miss):
-                hit[x] = hit[y] = True
-                for a, b in zip(x.tolist(), y.tolist()):
-                    forest.join(a, b)
+        for rep, comp, chars, x, y, _ in _compared(batches, percent, miss):
+            forest = _Forest(len(rep))
+            for a, b in zip(x.tolist(), y.tolist()):
+                forest.join(a, b)
             root = forest.flat()
-            for r in np.unique(root[hit]).tolist():
+            for r in np.unique(root[x]).tolist():
                 own = np.flatnonzero(root == r)
                 own = own[np.argsort(rep[own], kind="stable")]
                 parts = max(1, -(-int(chars[own].sum()) // block_chars), -(-len(own) // block))
@@ -306,7 +359,7 @@ def _bucket_links(classes: DataFrame, comps: DataFrame, texts: DataFrame, width:
                 columns = [pa.array([key] * len(own), pa.binary()), pa.array([parts] * len(own), pa.int64()), pa.array(np.arange(len(own)) % parts, pa.int64()), pa.array(rep[own], pa.int64()), pa.array(comp[own], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["group", "n_blocks", "block", "rep", "comp"])
 
-    groups = materialise(_tiles(rows, ["h"]).mapInArrow(local, "group binary, n_blocks long, block long, rep long, comp long").distinct(), "groups")
+    groups = materialise(_mixed_tiles(classes, comps, block).mapInArrow(local, "group binary, n_blocks long, block long, rep long, comp long").distinct(), "groups")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = sh.WordHashes()
@@ -319,7 +372,7 @@ def _bucket_links(classes: DataFrame, comps: DataFrame, texts: DataFrame, width:
                 pairs = np.array(spanning_links([found[k] for k in good], upper, comp, percent, miss), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[pairs[:, 0]]), pa.array(rep[pairs[:, 1]])], ["src", "dst"])
 
-    laid = groups.join(texts, "rep").select("group", "n_blocks", "block", "rep", "comp", "text")
+    laid = _with_texts(groups, texts).select("group", "n_blocks", "block", "rep", "comp", "text")
     return materialise(_tiles(laid, ["group"]).mapInArrow(verify, _LINKS), "links")
 
 
