@@ -1,23 +1,31 @@
 """Embedding near-duplicates by small-world graphs per shard.
 
-Equal vectors of a label form a class. The classes of a label are dealt into shards of a fixed size,
-each with its graph. Every shard queries every shard of its label, both ways in one task per pair of
-shards; audits widen the beams; pairs are verified by cosine in double precision. A task returns the
-number of links of each of its vectors and a spanning forest of its links, never the pairs.
+Equal vectors of a label form a class. The classes of a label are dealt into shards of a bounded size,
+each with its graph. Every shard queries every shard of its label, both ways: groups of shards meet in
+the cells of a grid, so a shard moves once per group and not once per shard. Audits widen the beams;
+pairs are verified by cosine in double precision. A cell returns the number of links of each of its
+classes and a spanning forest of its links, never the pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.llm.hnsw import Hnsw, linked_pairs
 from lodestone.operators.components import connected_components
+from lodestone.operators.skew import join_counted
 from lodestone.session import materialise
 
-_SHARD = "label string, dim int, shard long, ids binary, copies binary, vectors binary, graph binary"
-_TILE = "vec_id long, n_links long, root long"
+_SHARD = "label string, dim int, n_shards long, shard long, classes binary, reps binary, copies binary, vectors binary, graph binary"
+_TILE = "class long, rep long, n_links long, root long"
+_KEY = ["label", "k1", "k2"]
+#: Bytes of vectors in the shards that a task keeps of one group, at most (one shard at least).
+_RESIDENT = 32_000_000
 
 
 def _usable(vector: Column) -> Column:
@@ -32,40 +40,46 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _build(key, part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("rep", kind="stable")
+    part = part.sort_values("class", kind="stable")
     vectors = np.stack([np.asarray(v, np.float64) for v in part["vector"]])
-    ids, copies = (part[c].to_numpy(np.int64).tobytes() for c in ("rep", "copies"))
-    return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "ids": [ids], "copies": [copies], "vectors": [vectors.tobytes()], "graph": [Hnsw(_unit(vectors)).dump()]})
+    classes, reps, copies = (part[c].to_numpy(np.int64).tobytes() for c in ("class", "rep", "copies"))
+    return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "n_shards": [key[2]], "shard": [key[3]], "classes": [classes], "reps": [reps], "copies": [copies], "vectors": [vectors.tobytes()], "graph": [Hnsw(_unit(vectors)).dump()]})
+
+
+class _Shard:
+    def __init__(self, group: int, row: dict):
+        self.group, self.number = group, row["shard"]
+        self.classes, self.reps, self.copies = (np.frombuffer(row[c], np.int64) for c in ("classes", "reps", "copies"))
+        self.unit = _unit(np.frombuffer(row["vectors"]).reshape(len(self.classes), row["dim"]))
+        self.graph = Hnsw.load(row["graph"], self.unit)
 
 
-def link_shards(ids: tuple[np.ndarray, np.ndarray], copies: tuple[np.ndarray, np.ndarray], units: tuple[np.ndarray, np.ndarray], graphs: tuple[Hnsw, Hnsw], same: bool, least: float) -> pd.DataFrame:
-    """Links between two shards, or within one: number per vector, and each one's root of its local group."""
-    a, b = linked_pairs(graphs[1], units[1], units[0], least)
+def link_shards(a: _Shard, b: _Shard, least: float) -> pa.RecordBatch | None:
+    """Links between two shards, or within one: number per class, and the smallest id of each local group."""
+    same = a is b
+    x, y, _ = linked_pairs(b.graph, b.unit, a.unit, least, same)
     if same:
-        a, b = np.concatenate([a, b]), np.concatenate([b, a])
-        a, b = a[a < b], b[a < b]
-        offset = 0
+        x, y = np.concatenate([x, y]), np.concatenate([y, x])
+        x, y, offset = x[x < y], y[x < y], 0
     else:
-        d, c = linked_pairs(graphs[0], units[0], units[1], least)
-        a, b = np.concatenate([a, c]), np.concatenate([b, d])
-        offset = len(ids[0])
-    pairs = np.unique(np.stack([a, b + offset], 1).reshape(-1, 2), axis=0)
-    all_ids = ids[0] if same else np.concatenate(ids)
-    weight = copies[0] if same else np.concatenate(copies)
-    a, b = pairs[:, 0], pairs[:, 1]
-    links = np.zeros(len(all_ids), np.int64)
-    np.add.at(links, a, weight[b])
-    np.add.at(links, b, weight[a])
-    root = all_ids.copy()
+        v, u, _ = linked_pairs(a.graph, a.unit, b.unit, least, same)
+        x, y, offset = np.concatenate([x, u]), np.concatenate([y, v]), len(a.classes)
+    pairs = np.unique(np.stack([x, y + offset], 1).reshape(-1, 2), axis=0)
+    if not len(pairs):
+        return None
+    classes, reps, copies = (getattr(a, c) if same else np.concatenate([getattr(a, c), getattr(b, c)]) for c in ("classes", "reps", "copies"))
+    x, y = pairs.T
+    links, root = np.zeros(len(classes), np.int64), reps.copy()
+    np.add.at(links, x, copies[y])
+    np.add.at(links, y, copies[x])
     while True:
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
+        before, low = root.copy(), np.minimum(root[x], root[y])
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
         if (root == before).all():
             break
     some = links > 0
-    return pd.DataFrame({"vec_id": all_ids[some], "n_links": links[some], "root": root[some]})
+    return pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (classes, reps, links, root)], ["class", "rep", "n_links", "root"])
 
 
 def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, shard_size: int = 4096) -> DataFrame:
@@ -73,36 +87,56 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
 
     Vectors of one label with a cosine of ``least`` or more are linked. A vector that is null, zero or
     empty or holds null or non-finite components links with nothing, nor does one whose label is null;
-    vectors of different lengths are never compared. Each row is a vector of its own: repeated rows
-    link with each other and share the smallest id. A null id keeps null as component and is kept.
-    Other columns are ignored; an empty table gives none.
+    vectors of different lengths are never compared. Each row is a vector that counts its own links,
+    those with other rows of its id included; rows of one id are one for reaching others, and so share
+    a component. A row that links with nothing is its own component, whatever other rows of its id do.
+    A null id keeps null as component and is kept. Other columns are ignored; an empty table gives none.
     """
-    rows = materialise(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.transform(vector_col, lambda x: x.cast("double")).alias("vector")), "vectors")
-    good = rows.where(_usable(F.col("vector")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    classes = materialise(good.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    counts = classes.groupBy("label", F.size("vector").alias("dim")).agg(F.ceil(F.count("*") / shard_size).alias("n_shards"))
-    dealt = classes.withColumn("dim", F.size("vector")).join(counts, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), "n_shards"))
-    shards = materialise(dealt.groupBy("label", "dim", "shard").applyInPandas(_build, _SHARD), "shards")
-    left = shards.select("label", "dim", *(F.col(c).alias(f"{c}_a") for c in ("shard", "ids", "copies", "vectors", "graph")))
-    right = shards.select("label", "dim", *(F.col(c).alias(f"{c}_b") for c in ("shard", "ids", "copies", "vectors", "graph")))
-    tiles = left.join(right, ["label", "dim"]).where("shard_a <= shard_b")
-
-    def run(batches):
+    named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.transform(vector_col, lambda x: x.cast("double")).alias("vector"))
+    usable = _usable(F.col("vector")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    # Two hashes with different beginnings tell vectors apart; the vectors need not be join keys.
+    keys = [F.when(usable, F.xxhash64(F.lit(k), "vector")).alias(f"k{k}") for k in (1, 2)]
+    rows = materialise(named.select("vec_id", "label", *keys, "vector"), "vectors")
+    good = rows.where("k1 IS NOT NULL")
+    grouped = good.groupBy(*_KEY).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    classes = materialise(grouped.withColumn("class", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")), "classes")
+    counts = materialise(classes.groupBy("label", "dim").agg(F.count("*").alias("n")), "counts")
+    dealt = join_counted(classes.select("label", "dim", "class", "rep", "copies", "vector"), counts, ["label", "dim"], classes.count())
+    dealt = dealt.withColumn("n_shards", F.ceil(F.col("n") / shard_size)).withColumn("shard", F.pmod(F.xxhash64("class"), "n_shards"))
+    shards = materialise(dealt.groupBy("label", "dim", "n_shards", "shard").applyInPandas(_build, _SHARD), "shards")
+    width = F.greatest(F.lit(1), F.floor(_RESIDENT / (8 * F.greatest(F.col("dim"), F.lit(1)) * F.lit(shard_size))))
+    grouped = shards.withColumn("group", F.floor(F.col("shard") / width)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_shards") - 1) / width))))
+    cells = grouped.select("label", "dim", F.least("group", "other").alias("i"), F.greatest("group", "other").alias("j"), "group", "shard", "classes", "reps", "copies", "vectors", "graph")
+
+    def link(held: list[_Shard], i: int, j: int) -> Iterator[pa.RecordBatch]:
+        for a in held:
+            for b in held:
+                # Shards of one group meet in the cell of that group alone.
+                if (a.group < b.group if i < j else a.number <= b.number) and (batch := link_shards(a, b, least)) is not None:
+                    yield batch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
         for batch in batches:
-            for row in batch.to_dict("records"):
-                ids = tuple(np.frombuffer(row[f"ids_{k}"], np.int64) for k in "ab")
-                copies = tuple(np.frombuffer(row[f"copies_{k}"], np.int64) for k in "ab")
-                units = tuple(_unit(np.frombuffer(row[f"vectors_{k}"]).reshape(-1, row["dim"])) for k in "ab")
-                graphs = tuple(Hnsw.load(row[f"graph_{k}"], u) for k, u in zip("ab", units))
-                yield link_shards(ids, copies, units, graphs, row["shard_a"] == row["shard_b"], least)
-
-    found = materialise(tiles.repartition(max(1, min(4096, tiles.count()))).mapInPandas(run, _TILE), "links")
-    joined = connected_components(found.select(F.col("vec_id").alias("src"), F.col("root").alias("dst")))
-    summed = found.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("n_links").alias("more"))
-    reps = classes.join(summed, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    reps = reps.select("label", "vector", (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
-    linked = reps.where("n > 0")
-    matched = rows.join(linked, ["label", "vector"], "left")
-    alone = F.col("n").isNull() | F.col("vec_id").isNull()
-    out = matched.select("vec_id", F.when(alone, 0).otherwise(F.col("n")).alias("n_links"), F.when(alone, F.col("vec_id")).otherwise(F.col("component")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                own = (row["label"], row["dim"], row["i"], row["j"])
+                if own != cell:
+                    if held:
+                        yield from link(held, *cell[2:])
+                    cell, held = own, []
+                held.append(_Shard(row["group"], row))
+        if held:
+            yield from link(held, *cell[2:])
+
+    found = materialise(cells.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j").mapInArrow(run, _TILE), "links")
+    again = good.groupBy("vec_id").agg(F.min(F.struct(*_KEY)).alias("lo"), F.max(F.struct(*_KEY)).alias("hi")).where("lo <> hi").select("vec_id")
+    total = good.count()
+    own = join_counted(good.select("vec_id", *_KEY).join(again, "vec_id"), classes.select(*_KEY, "rep", F.col("copies").alias("n")), _KEY, total)
+    joined = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")).unionByName(own.select(F.col("vec_id").alias("src"), F.col("rep").alias("dst"))))
+    summed = found.groupBy("class").agg(F.sum("n_links").alias("more"))
+    results = classes.select(*_KEY, "class", "rep", F.col("copies").alias("n")).join(summed, "class", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    results = materialise(results.select(*_KEY, "n", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "results")
+    linked = join_counted(good.select("vec_id", *_KEY), results, _KEY, total).select("vec_id", "n_links", F.when(F.col("n_links") > 0, F.col("component")).otherwise(F.col("vec_id")).alias("component_id"))
+    alone = rows.where("k1 IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

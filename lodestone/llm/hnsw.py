@@ -159,34 +159,38 @@ class Hnsw:
         return self
 
 
-def linked_pairs(index: Hnsw, unit: np.ndarray, queries: np.ndarray, least: float, beam: int = 64, audit: int = 64, recall: float = 0.999) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, indexed) with cosine of at least ``least``, verified in double precision.
-
-    A query whose whole beam lies above the threshold gets a wider one, and where that would visit
-    most of the index anyway, a plain product with it. A spread of ``audit`` queries
-    is compared by brute force; while fewer than ``recall`` of their links are found, all beams
-    double; a beam as wide as the index is the brute force itself.
+def linked_pairs(index: Hnsw, unit: np.ndarray, queries: np.ndarray, least: float, same: bool = False, beam: int = 64, audit: int = 64, recall: float = 0.999, near_recall: float = 0.9, nearest: int = 10) -> tuple[np.ndarray, np.ndarray, float]:
+    """Pairs (query, indexed) with cosine of at least ``least``, verified in double precision, and the audited recall.
+
+    A query whose whole beam lies above the threshold gets one of four times the width, and where that
+    is most of the index, a plain product. Audits compare ``audit`` queries with brute force: half of
+    them those with the nearest neighbours found, where links are likeliest, half a spread over all.
+    Their links count, and so that every search has something to be held against, their ``nearest``
+    neighbours; a vector is no neighbour of itself (``same``: the queries are the indexed vectors).
+    While fewer than ``recall`` of these links or ``near_recall`` of these neighbours are found, all
+    beams double; a beam as wide as the index is the brute force itself.
     """
     n = len(unit)
     empty = np.empty(0, np.int64)
     if not n or not len(queries):
-        return empty, empty
-    checked = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
-    truth = {(int(checked[a]), int(b)) for a, b in np.argwhere(queries[checked] @ unit.T >= least)}
+        return empty, empty, 1.0
     near = least - 1e-4
     while True:
-        found = []
+        found, top = [], np.full(len(queries), -np.inf)
         todo, width = np.arange(len(queries)), beam
         while len(todo):
             again = []
             step = max(1, min(256, 2_000_000 // max(n, width * 8)))
             for at in range(0, len(todo), step):
                 part = todo[at : at + step]
-                if width >= n or width > beam and 16 * width >= n:
+                if width >= n or width > beam and 4 * width >= n:
                     q, c = np.nonzero(queries[part] @ unit.T >= least)
                     found.append((part[q], c))
                     continue
                 ids, sims = index.search(queries[part], width)
+                if width == beam:
+                    other = sims if not same else np.where(ids == part[:, None], -np.inf, sims)
+                    top[part] = other.max(1)
                 full = sims[:, -1] >= near
                 again.append(part[full])
                 q, k = np.nonzero((sims >= near) & ~full[:, None])
@@ -196,8 +200,22 @@ def linked_pairs(index: Hnsw, unit: np.ndarray, queries: np.ndarray, least: floa
             todo = np.concatenate(again) if again else empty
             width *= 4
         q, c = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (0, 1))
+        if same:
+            q, c = q[q != c], c[q != c]
+        if beam >= n:
+            return q, c, 1.0
+        spread = np.linspace(0, len(queries) - 1, min(audit // 2, len(queries))).astype(int)
+        checked = np.unique(np.concatenate([np.argsort(-top, kind="stable")[: audit // 2], spread]))
+        exact = queries[checked] @ unit.T
+        if same:
+            exact[np.arange(len(checked)), checked] = -np.inf
+        truth = {(int(checked[a]), int(b)) for a, b in np.argwhere(exact >= least)}
         asked = np.isin(q, checked)
         hit = len(truth & set(zip(q[asked].tolist(), c[asked].tolist())))
-        if beam >= n or hit >= recall * len(truth):
-            return q, c
+        k = min(nearest, n - 1)
+        best = np.argpartition(-exact, k - 1, axis=1)[:, :k] if k > 0 else np.empty((len(checked), 0), int)
+        seen = index.search(queries[checked], beam)[0]
+        close = sum(len(set(a) & set(b)) for a, b in zip(best.tolist(), seen.tolist()))
+        if hit >= recall * len(truth) and close >= near_recall * best.size:
+            return q, c, hit / len(truth) if truth else close / max(1, best.size)
         beam *= 2

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -25,9 +25,9 @@ _SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
+_RAW = frozenset("script style xmp iframe noembed noframes".split())
 _ESCAPABLE = frozenset(("textarea", "title"))
-_HIDDEN = frozenset("head title script style template noscript noembed noframes iframe datalist object audio video canvas area".split())
+_HIDDEN = frozenset("head title script style template noembed noframes iframe datalist object audio video canvas area".split())
 _HEAD = frozenset("base basefont bgsound link meta title style script noscript template noframes".split())
 #: Elements that stand apart from what surrounds them by an empty line, and those that only begin a line.
 _APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr menu fieldset".split())
@@ -51,8 +51,8 @@ _CLOSES = {
 #: An end tag looks no further up than these.
 _SCOPE = {"li": ("ul", "ol", "menu"), **dict.fromkeys(("td", "th", "tr", "tbody", "thead", "tfoot", "caption"), ("table",))}
 _FENCE = frozenset(("table", "td", "th", "body", "html", "template"))
-#: Deeper elements become children of the one at this depth.
-DEEPEST = 200
+#: Deeper elements become children of the one at this depth, as in browsers.
+DEEPEST = 512
 
 
 @dataclass
@@ -145,7 +145,27 @@ def _hiding(root: Node) -> list[tuple[str, frozenset[str], str]]:
     return found
 
 
+_Steps = Generator["_Steps", object, object]
+
+
+def _finish(steps: _Steps):
+    """Result of a generator that yields others and receives their results: calls without Python's own stack."""
+    stack, value = [steps], None
+    while stack:
+        try:
+            call = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+        else:
+            stack.append(call)
+            value = None
+    return value
+
+
 class _Renderer:
+    """Each step that renders what is nested yields that step and receives its lines (see ``_finish``)."""
+
     def __init__(self, rules: list[tuple[str, frozenset[str], str]]):
         self.rules = rules
         #: Whether the content last rendered wants an empty line before and after it.
@@ -162,7 +182,7 @@ class _Renderer:
         classes = set(own.get("class", "").split())
         return any((not t or t == node.tag) and c <= classes and (not i or i == own.get("id")) for t, c, i in self.rules)
 
-    def lines(self, node: Node) -> list[str]:
+    def lines(self, children: list) -> _Steps:
         """Lines of a node's content; an empty line stands between paragraphs."""
         out: list[str] = []
         run: list[str] = []
@@ -185,45 +205,42 @@ class _Renderer:
                 gap = False
             out.extend(more)
 
-        def visit(item) -> None:
+        def inside(items: list, before: str = "", after: str = "") -> _Steps:
             nonlocal gap
-            if isinstance(item, str):
-                run.append(_BLANKS.sub(" ", item))
-                return
-            if self.hidden(item):
-                return
-            tag = item.tag
-            if tag == "br":
-                run.append("\n")
-            elif tag == "input":
-                if item.attributes.get("type", "").lower() in ("submit", "button", "reset"):
-                    run.append(item.attributes.get("value", ""))
-            elif tag in _BLOCK or tag in ("tbody", "thead", "tfoot"):
-                flush()
-                self.edges = (False, False)
-                own = self.block(item)
-                before, after = (True, True) if tag in _APART else self.edges
-                gap = gap or before
-                add(own)
-                gap = gap or after
-            elif tag == "q":
-                run.append("“")
-                for c in item.children:
-                    visit(c)
-                run.append("”")
-            elif tag in ("td", "th"):
-                run.append("\t")
-                for c in item.children:
-                    visit(c)
-                run.append(" ")
-            elif tag == "textarea":
-                run.append(" ".join(c for c in item.children if isinstance(c, str)))
-            else:
-                for c in item.children:
-                    visit(c)
-
-        for child in node.children:
-            visit(child)
+            if before:
+                run.append(before)
+            for item in items:
+                if isinstance(item, str):
+                    run.append(_BLANKS.sub(" ", item))
+                    continue
+                if self.hidden(item):
+                    continue
+                tag = item.tag
+                if tag == "br":
+                    run.append("\n")
+                elif tag == "input":
+                    if item.attributes.get("type", "").lower() in ("submit", "button", "reset"):
+                        run.append(item.attributes.get("value", ""))
+                elif tag in _BLOCK or tag in ("tbody", "thead", "tfoot"):
+                    flush()
+                    self.edges = (False, False)
+                    own = yield self.block(item)
+                    first, last = (True, True) if tag in _APART else self.edges
+                    gap = gap or first
+                    add(own)
+                    gap = gap or last
+                elif tag == "q":
+                    yield inside(item.children, "“", "”")
+                elif tag in ("td", "th"):
+                    yield inside(item.children, "\t", " ")
+                elif tag == "textarea":
+                    run.append(" ".join(c for c in item.children if isinstance(c, str)))
+                else:
+                    yield inside(item.children)
+            if after:
+                run.append(after)
+
+        yield inside(children)
         flush()
         while out and not out[-1]:
             out.pop()
@@ -232,81 +249,89 @@ class _Renderer:
         self.edges = (lead, gap)
         return out
 
-    def block(self, node: Node) -> list[str]:
+    def block(self, node: Node) -> _Steps:
         if node.tag in ("ul", "ol", "menu"):
-            return self.list_(node)
+            return (yield self.list_(node))
         if node.tag == "table":
-            return self.table(node)
+            return (yield self.table(node))
         if node.tag in ("pre", "xmp"):
             return _strip_lines(self.plain(node).removeprefix("\n").split("\n"))
+        children = node.children
         if node.tag == "details" and "open" not in node.attributes:
-            return [line for c in node.children if isinstance(c, Node) and c.tag == "summary" and not self.hidden(c) for line in self.lines(c)]
-        own = self.lines(node)
+            children = [c for c in children if isinstance(c, Node) and c.tag == "summary" and not self.hidden(c)]
+        own = yield self.lines(children)
         if node.tag in ("dd", "blockquote"):
             return ["  " + line if line else line for line in own]
         return own
 
     def plain(self, node: Node) -> str:
-        if node.tag == "br":
-            return "\n"
-        return "".join(c if isinstance(c, str) else "" if self.hidden(c) else self.plain(c) for c in node.children)
-
-    def list_(self, node: Node) -> list[str]:
+        out, todo = [], [node]
+        while todo:
+            item = todo.pop()
+            if isinstance(item, str):
+                out.append(item)
+            elif item.tag == "br":
+                out.append("\n")
+            elif item is node or not self.hidden(item):
+                todo.extend(reversed(item.children))
+        return "".join(out)
+
+    def list_(self, node: Node) -> _Steps:
         out: list[str] = []
         start = node.attributes.get("start", "")
         number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
         loose: list = []
 
-        def outside() -> None:
+        def outside() -> _Steps:
             if loose:
-                out.extend("  " + line if line else line for line in self.lines(Node("div", {}, list(loose))))
+                own = yield self.lines(list(loose))
+                out.extend("  " + line if line else line for line in own)
                 loose.clear()
 
         for child in node.children:
             if not (isinstance(child, Node) and child.tag == "li"):
                 loose.append(child)
                 continue
-            outside()
+            yield outside()
             if self.hidden(child):
                 continue
             value = child.attributes.get("value", "")
             number = int(value) if re.fullmatch(r"-?\d{1,9}", value) else number
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            own = [line for line in self.lines(child) if line] or [""]
+            found = yield self.lines(child.children)
+            own = [line for line in found if line] or [""]
             out.append((mark + own[0]).rstrip())
             out.extend("  " + line for line in own[1:])
-        outside()
+        yield outside()
         return out
 
-    def table(self, node: Node) -> list[str]:
-        """Captions, then a line per row of cells, each column as wide as its widest cell."""
+    def table(self, node: Node) -> _Steps:
+        """Text outside rows, captions, then a line per row of cells, each column as wide as its widest cell."""
         captions: list[str] = []
         rows: list[Node] = []
         loose: list = []
-
-        def collect(parent: Node) -> None:
-            for child in parent.children:
-                if isinstance(child, str):
-                    if child.strip():
-                        loose.append(child)
-                elif self.hidden(child):
-                    continue
-                elif child.tag == "caption":
-                    captions.extend(self.lines(child))
-                elif child.tag == "tr":
-                    rows.append(child)
-                    loose.extend(c for c in child.children if isinstance(c, str) and c.strip())
-                elif child.tag in ("td", "th"):
-                    if not rows or rows[-1].attributes is not _IMPLIED:
-                        rows.append(Node("tr", _IMPLIED))
-                    rows[-1].children.append(child)
-                elif child.tag in ("thead", "tbody", "tfoot"):
-                    collect(child)
-                elif child.tag not in ("colgroup", "col"):
+        todo = list(reversed(node.children))
+        while todo:
+            child = todo.pop()
+            if isinstance(child, str):
+                if child.strip():
                     loose.append(child)
-
-        collect(node)
+            elif self.hidden(child):
+                continue
+            elif child.tag == "caption":
+                captions.extend((yield self.lines(child.children)))
+            elif child.tag == "tr":
+                rows.append(child)
+                loose.extend(c for c in child.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and c.tag not in ("td", "th") and not self.hidden(c))
+            elif child.tag in ("td", "th"):
+                if not rows or rows[-1].attributes is not _IMPLIED:
+                    rows.append(Node("tr", _IMPLIED))
+                rows[-1].children.append(child)
+            elif child.tag in ("thead", "tbody", "tfoot"):
+                todo.extend(reversed(child.children))
+            elif child.tag not in ("colgroup", "col"):
+                loose.append(child)
         grid: list[list[list[str]]] = []
         below: dict[int, int] = {}
         for row in rows:
@@ -318,21 +343,22 @@ class _Renderer:
                     cells.append([])
 
             for cell in row.children:
-                if not isinstance(cell, Node) or self.hidden(cell):
+                if not isinstance(cell, Node) or cell.tag not in ("td", "th") or self.hidden(cell):
                     continue
                 skip()
                 wide, high = (int(v) if (v := cell.attributes.get(k, "")).isascii() and v.isdigit() and len(v) < 4 else 1 for k in ("colspan", "rowspan"))
+                own = yield self.lines(cell.children)
                 for k in range(max(1, min(wide, 100))):
                     if high > 1:
                         below[len(cells)] = high - 1
-                    cells.append(self.lines(cell) if not k else [])
+                    cells.append(own if not k else [])
             skip()
             grid.append(cells)
         widths: dict[int, int] = {}
         for cells in grid:
             for k, cell in enumerate(cells):
                 widths[k] = max(widths.get(k, 0), max(map(len, cell), default=0))
-        out = self.lines(Node("div", {}, loose)) + captions
+        out = (yield self.lines(loose)) + captions
         for cells in grid:
             for k in range(max(map(len, cells), default=0)):
                 out.append("  ".join((c[k] if k < len(c) else "").ljust(widths[n]) for n, c in enumerate(cells) if widths[n]).rstrip())
@@ -356,7 +382,7 @@ def render(source: str | None) -> str:
     if not source:
         return ""
     root = parse(source)
-    return "\n".join(_Renderer(_hiding(root)).lines(root))
+    return "\n".join(_finish(_Renderer(_hiding(root)).lines(root.children)))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -7,28 +7,43 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lodestone.session import materialise
+
 
 def held_out(doc_id: Column) -> Column:
     """Rows that no model learns from: crc32 of the id as text is divisible by 5. False for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[int, str]], dict[int, int]]:
-    """At most ``per_class`` learnable texts of each label, in hash order of their ids, and the label counts.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int, most_chars: int = 24_000_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[int, str]], dict[int, int]]:
+    """Learnable texts of each label in hash order of their ids, and the label counts.
 
-    Labels other than 0 and 1, ids without a text and texts over ``longest`` characters are passed over.
+    Of a label there are ``per_class`` texts at most, together of ``most_chars`` characters at most (one
+    text at least), each of ``longest`` at most; so what the driver holds has a bound. Labels other than
+    0 and 1, ids without a text and longer texts are passed over; of an id's texts the shortest counts.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).where("_label IN (0, 1) AND _id IS NOT NULL")
     own = own.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.min("_label").alias("_label"))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.length("_text").between(1, longest))
     counts = {int(r["_label"]): int(r["count"]) for r in own.groupBy("_label").count().collect()}
-    found: list[tuple[int, str]] = []
-    for value in sorted(counts):
-        # Twice as many ids as asked for: some have no text here. The ids are bounded, so they may be broadcast.
-        ids = own.where(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(2 * per_class)
-        rows = texts.join(F.broadcast(ids.select("_id")), "_id").orderBy(F.xxhash64("_id"), "_id", "_text").limit(per_class).select("_text").collect()
-        found += [(value, r["_text"]) for r in rows]
-    return found, counts
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.length("_text").between(1, longest))
+    # Twice as many ids as asked for: some have no text here. The ids are bounded, so they may be broadcast.
+    drawn = None
+    for value in (0, 1):
+        part = own.where(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(2 * per_class)
+        drawn = part if drawn is None else drawn.unionByName(part)
+    least = F.min(F.struct(F.length("_text").alias("n"), "_text")).alias("x")
+    found = materialise(texts.join(F.broadcast(drawn), "_id").groupBy("_id", "_label").agg(least).select("_id", "_label", F.xxhash64("_id").alias("_hash"), "x.n", "x._text"), "sample")
+    chosen: list[tuple[int]] = []
+    room = {0: [per_class, most_chars], 1: [per_class, most_chars]}
+    for r in sorted(found.select("_label", "_hash", "_id", "n").collect()):
+        left = room[r["_label"]]
+        if left[0] and (r["n"] <= left[1] or left[0] == per_class):
+            left[0], left[1] = left[0] - 1, left[1] - r["n"]
+            chosen.append((r["_id"],))
+        else:
+            left[0] = 0
+    rows = found.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "_id long")), "_id").select("_label", "_hash", "_id", "_text").collect()
+    return [(r["_label"], r["_text"]) for r in sorted(rows)], counts
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:

@@ -39,7 +39,7 @@ _FEATURES = "doc_id long, n_shingles long, n_chars long, digest binary, bands ar
 _LINKS = "src long, dst long"
 _CLASS = ["digest", "n_shingles"]
 #: Members of one smallest member that are verified in one go.
-FANOUT = 256
+FANOUT = 64
 #: Ids of a broadcast set of documents at most; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 

@@ -48,6 +48,8 @@ class WordIds:
         self.encoder = Tokenizer.from_file(tokenizer)
         added = {t.content: i for i, t in self.encoder.get_added_tokens_decoder().items()}
         self.special = {content: int(i).to_bytes(4, "little") for content, i in added.items()}
+        #: What all special tokens begin with; a text without it holds none.
+        self.mark = os.path.commonprefix(list(added))
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.memo = Memo(held)
         ids = self.encoder.get_vocab()
@@ -112,7 +114,7 @@ class WordIds:
         split = []
         for text in texts:
             text = text or ""
-            if self.cut is not None and "<|" in text:
+            if self.cut is not None and self.mark in text:
                 split.append([p if p in self.special else _words(p) for p in self.cut.split(text)])
             else:
                 split.append([_words(text)])
@@ -268,6 +270,8 @@ def pack(parts: DataFrame, capacity: int, group: int = 4096, islands: int = 2, e
     schema = "row long, piece int, length long, group long, island int, bin long"
     for epoch in range(epochs):
         found = materialise(state.groupBy("group", "island").applyInPandas(_island(capacity, epoch), schema), "island")
+        if epoch == epochs - 1:
+            break
         # Each island keeps its own elite and receives that of the one before it.
         moved = found.select("row", "piece", "length", "group", F.explode(F.array(F.struct("island", F.col("bin").alias("own"), F.lit(None).cast("long").alias("elite")), F.struct(((F.col("island") + 1) % islands).alias("island"), F.lit(None).cast("long").alias("own"), F.col("bin").alias("elite")))).alias("x"))
         state = moved.groupBy("row", "piece", "length", "group", F.col("x.island").alias("island")).agg(F.max("x.own").alias("own"), F.max("x.elite").alias("elite"))

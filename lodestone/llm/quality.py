@@ -1,10 +1,10 @@
 """Quality scores by compression.
 
 Two zstandard dictionaries are built, one from good and one from bad labelled texts. A text that
-resembles one of them compresses better with it: the difference of the two compressed sizes,
-normalised by the raw and by the larger compressed size, is calibrated to a probability by a
-logistic regression on labelled texts that neither dictionary has seen. The compressed sizes per
-byte go with it, for a difference means less where both dictionaries do equally well.
+resembles one of them compresses better with it: the difference of its two compressed sizes per byte
+is calibrated to a probability by a logistic regression on labelled texts that neither dictionary has
+seen. That difference is the score's only input. A text is compressed in pieces, each on its own, so
+that what it repeats can't stand in for the dictionaries.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from lodestone.llm.labelled import fit_logistic, held_out, labelled_sample, sigm
 from lodestone.llm.memo import claim
 
 LEVEL = 3
+#: Bytes that are compressed on their own.
+PIECE = 256
 
 
 @dataclass
@@ -30,26 +32,23 @@ class QualityModel:
     weights: np.ndarray
     raw: bool = False
 
-    def sizes(self, texts: list[str | None]) -> np.ndarray:
-        """Bytes of each text raw, with the good and with the bad dictionary."""
+    def differences(self, texts: list[str | None]) -> np.ndarray:
+        """How many bytes the good dictionary saves over the bad one, per ten bytes of each text."""
         kind = zstandard.DICT_TYPE_RAWCONTENT if self.raw else zstandard.DICT_TYPE_FULLDICT
-        packers = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False) for d in (self.good, self.bad)]
-        out = np.empty((len(texts), 3))
+        good, bad = (zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False).compress for d in (self.good, self.bad))
+        out = np.zeros(len(texts))
         for k, text in enumerate(texts):
             data = (text or "").encode("utf-8", "surrogatepass")
-            out[k] = len(data), *(len(p.compress(data)) for p in packers)
+            pieces = [data[at : at + PIECE] for at in range(0, len(data), PIECE)]
+            out[k] = 10 * (sum(map(len, map(bad, pieces))) - sum(map(len, map(good, pieces)))) / max(1, len(data))
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        return sigmoid(_columns(self.sizes(texts)) @ self.weights)
+        return sigmoid(_columns(self.differences(texts)) @ self.weights)
 
 
-def _columns(sizes: np.ndarray) -> np.ndarray:
-    raw, good, bad = sizes.T
-    raw = raw + 1
-    by_raw, by_packed = (bad - good) / raw, (bad - good) / np.maximum(bad, good)
-    g, b = np.minimum(good / raw, 4), np.minimum(bad / raw, 4)
-    return np.stack([np.ones(len(raw)), 10 * by_raw, 10 * by_packed, 4 * g, 4 * b, 16 * g * g, 16 * b * b, 16 * g * b, np.log(raw), 10 / np.sqrt(raw)], 1)
+def _columns(differences: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones(len(differences)), differences], 1)
 
 
 def _dictionary(texts: list[str], size: int, raw: bool) -> bytes:
@@ -59,25 +58,26 @@ def _dictionary(texts: list[str], size: int, raw: bool) -> bytes:
     return zstandard.train_dictionary(size, parts).as_bytes()
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 4000, longest: int = 100_000, dictionary: int = 112_640) -> QualityModel:
+def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 4000, longest: int = 100_000, dictionary: int = 1_000_000) -> QualityModel:
     """A model from at most ``per_class`` learnable texts of each label, each of ``longest`` characters at most.
 
     Half of the sample builds the dictionaries, the other half calibrates, weighted by how often each
-    label occurs. Too few texts for a trained dictionary make one of their plain content. Where a
-    label has no text at all, every score is the share of label 1, or 0.5 without labels.
+    label occurs. A dictionary has ``dictionary`` bytes at most, and a quarter of the smaller sample's
+    characters; too few texts for a trained one make one of their plain content. Where a label has no
+    text at all, every score is the share of label 1, or 0.5 without labels.
     """
     sample, counts = labelled_sample(docs, labels, label, per_class, longest)
     by = {value: [t for v, t in sample if v == value] for value in (0, 1)}
-    columns = 10
     if not (by[0] and by[1]):
         share = (counts.get(1, 0) + 1e-3) / (sum(counts.values()) + 2e-3)
-        return QualityModel(b"\n" * 8, b"\n" * 8, np.array([np.log(share / (1 - share))] + [0.0] * (columns - 1)), raw=True)
+        return QualityModel(b"\n" * 8, b"\n" * 8, np.array([np.log(share / (1 - share)), 0.0]), raw=True)
     seen = {v: texts[::2] for v, texts in by.items()}
     fresh = {v: texts[1::2] or texts for v, texts in by.items()}
-    # A trained dictionary wants many times its own size in samples.
-    raw = min(sum(map(len, texts)) for texts in seen.values()) < 10 * dictionary
-    model = QualityModel(*(_dictionary(seen[v], dictionary, raw) for v in (1, 0)), np.zeros(columns), raw)
-    x = np.concatenate([_columns(model.sizes(fresh[v])) for v in (0, 1)])
+    size = min(dictionary, min(sum(map(len, texts)) for texts in seen.values()) // 4)
+    # A trained dictionary wants many times its own size in samples, and many samples.
+    raw = size < 10_000
+    model = QualityModel(*(_dictionary(seen[v], dictionary if raw else size, raw) for v in (1, 0)), np.zeros(2), raw)
+    x = np.concatenate([_columns(model.differences(fresh[v])) for v in (0, 1)])
     y = np.concatenate([np.full(len(fresh[v]), float(v)) for v in (0, 1)])
     total = sum(counts.values())
     weight = np.concatenate([np.full(len(fresh[v]), counts[v] / total / len(fresh[v]) * len(x)) for v in (0, 1)])

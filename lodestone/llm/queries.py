@@ -102,37 +102,40 @@ ORACLE_SQL: dict[str, str] = {
         SELECT a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id, a = min(b) AS kept FROM reach LEFT JOIN sizes ON doc_id = a GROUP BY a
     """,
     "op4_embedding_dedup": """
-        WITH RECURSIVE good AS (
-            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
-            FROM embeddings
-            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        WITH RECURSIVE numbered AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+        ), good AS (
+            SELECT * FROM numbered
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL
+              AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(v, lambda x: x <> 0)) > 0
         ), links AS (
-            SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
-              ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            SELECT a.r AS r, a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+              ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
             WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+        ), pairs AS (
+            SELECT DISTINCT a, b FROM links WHERE a <> b
         ), reach AS (
-            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            SELECT vec_id AS a, vec_id AS b FROM good
             UNION
-            SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+            SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a
         ), component AS (
             SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
         ), degree AS (
-            SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+            SELECT r, count(*) AS n FROM links GROUP BY r
         )
-        SELECT e.vec_id, coalesce(degree.n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
-        FROM embeddings e JOIN component USING (vec_id) LEFT JOIN degree USING (vec_id)
+        SELECT vec_id, coalesce(n, 0) AS n_links, CASE WHEN n IS NULL THEN vec_id ELSE component_id END AS component_id, coalesce(vec_id = CASE WHEN n IS NULL THEN vec_id ELSE component_id END, TRUE) AS kept
+        FROM numbered LEFT JOIN degree USING (r) LEFT JOIN component USING (vec_id)
     """,
     "op5_top_k": """
         WITH good AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS codes
             FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
         ), scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.codes) + 1), lambda i: q.codes[i] * c.codes[i])) AS BIGINT) AS score
-            FROM good q JOIN good c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0
+            SELECT q.vec_id AS query_id, c.vec_id, coalesce(CAST(list_sum(list_transform(range(1, len(q.codes) + 1), lambda i: q.codes[i] * c.codes[i])) AS BIGINT), 0) AS score
+            FROM good q JOIN good c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0 AND len(q.codes) = len(c.codes)
         ), ranked AS (
             SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
         )

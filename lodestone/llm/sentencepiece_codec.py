@@ -25,6 +25,8 @@ from lodestone.llm.memo import Memo, claim
 _SPACE = "▁"
 _BASE = np.uint64(0x100000001B3)
 _UNIGRAM, _BPE = 1, 2
+#: Kinds of pieces that cut texts before any other piece, and that stand for nothing.
+_USER_DEFINED, _UNUSED = 4, 5
 #: Fixed value: an unknown character of a unigram model scores this much below the worst piece.
 _UNKNOWN_PENALTY = 10.0
 #: Words whose ids a worker keeps.
@@ -65,8 +67,13 @@ def model_type(serialized: bytes) -> int:
     return _UNIGRAM
 
 
+def piece_kinds(serialized: bytes) -> set[int]:
+    """Kinds of the pieces of a serialized model (1 where a piece says nothing)."""
+    return {next((v for n, v in _fields(value) if n == 3), 1) for number, value in _fields(serialized) if number == 1}
+
+
 class Codec:
-    """Encoder and decoder of one model."""
+    """Encoder and decoder of one model, which has no user-defined and no unused pieces."""
 
     def __init__(self, model: str | bytes):
         if isinstance(model, str):
@@ -76,6 +83,8 @@ class Codec:
         self.kind = model_type(model)
         if self.kind not in (_UNIGRAM, _BPE):
             raise ValueError("only unigram and BPE models are encoded")
+        if piece_kinds(model) & {_USER_DEFINED, _UNUSED}:
+            raise ValueError("models with user-defined or unused pieces are not encoded")
         size = lib.get_piece_size()
         self.pieces = [lib.id_to_piece(i) for i in range(size)]
         self.scores = np.array([lib.get_score(i) for i in range(size)], np.float32)
@@ -228,8 +237,8 @@ class Codec:
                 out.append(self.unknown)
         return np.array(out, "<i4").tobytes()
 
-    def encode_words(self, words: list[str], longest: int = 128) -> list[bytes]:
-        """Ids of each word as little-endian 32-bit bytes."""
+    def encode_words(self, words: list[str], longest: int = 128, best_path: bool = False) -> list[bytes]:
+        """Ids of each word as little-endian 32-bit bytes; ``best_path``: by Viterbi even for a BPE model."""
         out: list[bytes] = [b""] * len(words)
         by_length: dict[int, list[int]] = {}
         for k, word in enumerate(words):
@@ -237,7 +246,7 @@ class Codec:
         for length, members in by_length.items():
             if not length:
                 continue
-            if length > longest and self.kind == _BPE:
+            if length > longest and self.kind == _BPE and not best_path:
                 for k in members:
                     out[k] = self._ids(self._merge_long(words[k]))
                 continue
@@ -246,7 +255,7 @@ class Codec:
                 part = members[at : at + step]
                 codes = np.frombuffer("".join(words[k] for k in part).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, length).astype(np.uint64)
                 table = self._table(codes)
-                sizes = self._merge(table) if self.kind == _BPE else self._viterbi(table)
+                sizes = self._merge(table) if self.kind == _BPE and not best_path else self._viterbi(table)
                 rows, starts = np.nonzero(sizes)
                 ids = table[rows, starts, sizes[rows, starts] - 1]
                 plain = np.bincount(rows[ids < 0], minlength=len(part)) == 0

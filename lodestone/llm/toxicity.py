@@ -2,7 +2,8 @@
 
 The categories are predicted one after another by linear models over words and word beginnings; each
 later model also gets the earlier categories' probabilities. While it is trained, these come from
-models of the other folds, so that it learns from predictions as it will see them.
+models of the other folds, so that it learns from predictions as it will see them; terms, markers and
+weights of such a model are chosen on those other folds alone.
 
 Only one judgement, toxic or not, is labelled; the finer categories are derived from it on the
 training rows. A *marker* is a word or beginning that the sample has almost only in toxic texts.
@@ -12,12 +13,12 @@ training rows. A *marker* is a word or beginning that the sample has almost only
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.llm.labelled import Design, fit_linear, held_out, labelled_sample, sigmoid
@@ -43,10 +44,11 @@ class ToxicityModel:
     terms: dict[str, int]
     weights: list[np.ndarray]
     threshold: float = 0.5
+    n_terms: int = 0
 
     def design(self, found: list[set[str]]) -> Design:
         known = self.terms.keys()
-        return Design.of([[self.terms[f] for f in known & features] for features in found], len(self.terms))
+        return Design.of([[self.terms[f] for f in known & features] for features in found], self.n_terms)
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
         """Probability of each category, a column each."""
@@ -56,50 +58,73 @@ class ToxicityModel:
         return x.dense
 
 
-def _select(toxic: list[str], clean: list[str], most: int) -> tuple[list[str], set[str]]:
-    """The terms of toxic texts that tell most, and the markers among them."""
-    yes: Counter = Counter()
-    for text in toxic:
-        yes.update(features_of(text))
-    often = {t: n for t, n in yes.items() if n >= 3}
-    del yes
-    no: Counter = Counter()
-    for text in clean:
-        no.update(often.keys() & features_of(text))
-    gap = {t: abs(np.log((n + 0.5) / (len(toxic) + 1)) - np.log((no[t] + 0.5) / (len(clean) + 1))) * np.sqrt(n) for t, n in often.items()}
-    terms = sorted((t for t in gap if gap[t] > 3), key=lambda t: (-gap[t], t))[:most]
-    markers = {t for t in terms if often[t] >= 5 and (no[t] + 0.1) / len(clean) <= 0.02 * often[t] / len(toxic)}
-    return terms, markers
+def _hashes(text: str) -> np.ndarray:
+    """Sorted 64-bit hashes of the text's features."""
+    return np.sort(np.array([xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) for f in features_of(text)], np.uint64))
+
+
+def _count(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *rows]), return_counts=True)
+
+
+def _select(toxic: list[np.ndarray], clean: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the terms of toxic texts that tell most, and which of them are markers."""
+    found, often = _count(toxic)
+    found, often = found[often >= 3], often[often >= 3]
+    if not len(found):
+        return found, np.empty(0, bool)
+    other, counts = _count([row[np.isin(row, found, assume_unique=True)] for row in clean])
+    rare = np.zeros(len(found))
+    rare[np.searchsorted(found, other)] = counts
+    gap = np.abs(np.log((often + 0.5) / (len(toxic) + 1)) - np.log((rare + 0.5) / (len(clean) + 1))) * np.sqrt(often)
+    best = np.sort(np.lexsort((found, -gap))[: min(most, int((gap > 3).sum()))])
+    marker = (often >= 5) & ((rare + 0.1) / max(1, len(clean)) <= 0.02 * often / max(1, len(toxic)))
+    return found[best], marker[best]
+
+
+class _View:
+    """The sample as the terms and markers chosen on some of its rows show it."""
+
+    def __init__(self, rows: list[np.ndarray], toxic: np.ndarray, chosen: np.ndarray, most: int):
+        pick = lambda mask: [rows[k] for k in np.flatnonzero(mask)]
+        self.terms, marker = _select(pick(chosen & toxic), pick(chosen & ~toxic), most)
+        at = [np.flatnonzero(np.isin(self.terms, row, assume_unique=True)) for row in rows]
+        hits = np.array([marker[k].sum() for k in at])
+        self.design = Design.of([k.tolist() for k in at], len(self.terms))
+        self.targets = {"explicit": toxic & (hits >= 1), "severe": toxic & (hits >= 3), "toxic": toxic}
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 3000, longest: int = 100_000, most_terms: int = 3000, false_share: float = 0.001) -> ToxicityModel:
     """A model from at most ``per_class`` learnable texts of each label, each of ``longest`` characters at most.
 
-    The threshold is the least, from 0.2 on, that passes all but ``false_share`` of the clean texts.
-    Where a label has no text, the model finds nothing toxic.
+    The threshold is the least, from 0.2 on, that passes all but ``false_share`` of the clean texts, by
+    models that have not seen them. Where a label has no text, the model finds nothing toxic.
     """
     sample, _ = labelled_sample(docs, labels, label, per_class, longest)
     toxic = np.array([v == 1 for v, _ in sample], bool)
     if not len(toxic) or toxic.all() or not toxic.any():
         return ToxicityModel({}, [np.array([-20.0] + [0.0] * k) for k in range(len(CATEGORIES))])
-    terms, markers = _select([t for v, t in sample if v], [t for v, t in sample if not v], most_terms)
-    model = ToxicityModel({t: k for k, t in enumerate(terms)}, [])
-    # Only the chosen terms of each text are held.
-    found = [model.terms.keys() & features_of(t) for _, t in sample]
-    hits = np.array([len(markers & f) for f in found])
-    targets = {"explicit": toxic & (hits >= 1), "severe": toxic & (hits >= 3), "toxic": toxic}
-    x = model.design(found)
-    fold = np.arange(len(found)) % FOLDS
-    fresh = np.empty(len(found))
+    rows = [_hashes(t) for _, t in sample]
+    # Each label is dealt over all folds.
+    fold = np.empty(len(rows), int)
+    for value in (False, True):
+        own = np.flatnonzero(toxic == value)
+        fold[own] = np.arange(len(own)) % FOLDS
+    every = np.ones(len(rows), bool)
+    whole, parts = _View(rows, toxic, every, most_terms), [_View(rows, toxic, fold != k, most_terms) for k in range(FOLDS)]
+    weights, fresh = [], np.empty(len(rows))
     for category in CATEGORIES:
-        y = targets[category].astype(float)
-        for k in range(FOLDS):
-            fresh[fold == k] = sigmoid(x.rows(fold == k).times(fit_linear(x.rows(fold != k), y[fold != k])))
-        model.weights.append(fit_linear(x, y))
-        x = x.plus(fresh)
+        for k, view in enumerate(parts):
+            y = view.targets[category].astype(float)
+            fresh[fold == k] = sigmoid(view.design.rows(fold == k).times(fit_linear(view.design.rows(fold != k), y[fold != k])))
+        weights.append(fit_linear(whole.design, whole.targets[category].astype(float)))
+        for view in (whole, *parts):
+            view.design = view.design.plus(fresh)
+    number = {int(h): k for k, h in enumerate(whole.terms)}
+    terms = {f: number[h] for _, t in sample for f in features_of(t) if (h := xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass"))) in number}
     # As low as the clean texts of the sample allow by predictions of the other folds.
-    model.threshold = float(np.clip(np.quantile(fresh[~toxic], 1 - false_share), 0.2, 0.8))
-    return model
+    threshold = float(np.clip(np.quantile(fresh[~toxic], 1 - false_share), 0.2, 0.8))
+    return ToxicityModel(terms, weights, threshold, len(number))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
