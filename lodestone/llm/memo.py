@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
+from pyspark.sql import SparkSession
+
 
 class Memo:
     """Values by word in two generations: when the young one is full, the old one goes.
@@ -38,6 +41,20 @@ class Memo:
         return self.young.__getitem__
 
 
+def words_held(spark: SparkSession, each: int, share: float = 0.3) -> int:
+    """How many words of ``each`` bytes the workers of an executor may keep, for ``share`` of its heap's size together.
+
+    A worker belongs to a core. Where the cores of an executor aren't set, those of all are counted.
+    """
+    conf, master = spark.sparkContext.getConf(), spark.sparkContext.master
+    local = re.fullmatch(r"local-cluster\[\s*\d+\s*,\s*(\d+)\s*,.*", master)
+    cores = int(conf.get("spark.executor.cores", local[1] if local else str(spark.sparkContext.defaultParallelism)))
+    heap = conf.get("spark.driver.memory", "1g") if master.startswith("local") and not local else conf.get("spark.executor.memory", "1g")
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", heap.strip().lower()).groups()
+    size = int(number) * 1024 ** " kmgt".index(unit or "m")
+    return max(50_000, int(size * share / max(1, cores) / each))
+
+
 _held = None
 
 

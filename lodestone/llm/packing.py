@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm.memo import Memo, claim
+from lodestone.llm.memo import Memo, claim, words_held
 from lodestone.session import materialise
 
 _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 _END = (0).to_bytes(4, "little")
-#: Words whose ids a worker keeps, unless told otherwise: about 220 bytes each.
-HELD = 1_200_000
+#: Bytes that a word takes in a worker's memory.
+WORD_BYTES = 220
 #: Marks that a word may end with.
 _MARKS = (".", ",", ";", ":", "!", "?")
 
@@ -43,7 +43,7 @@ class WordIds:
     differ. Special tokens are cut out of the raw text first, as the library does.
     """
 
-    def __init__(self, tokenizer: str, held: int = HELD):
+    def __init__(self, tokenizer: str, held: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.encoder = Tokenizer.from_file(tokenizer)
         added = {t.content: i for i, t in self.encoder.get_added_tokens_decoder().items()}
@@ -128,11 +128,13 @@ def word_ids(tokenizer: str, held: int) -> WordIds:
     return WordIds(tokenizer, held)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", held: int | None = None) -> DataFrame:
     """The tokens of each row, then id 0, cut into pieces of ``capacity`` where they are longer."""
 
+    most = held or words_held(docs.sparkSession, WORD_BYTES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(tokenizer, held)
+        encode = word_ids(tokenizer, most)
         claim(encode.memo)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -285,12 +287,12 @@ def pack(parts: DataFrame, capacity: int, group: int = 4096, islands: int = 2, e
     return alone.unionByName(rest)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", held: int | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``: every row's tokens, packed.
 
     A null or empty text is the end id alone. Rows may repeat an id or have none; each row is packed.
-    Only rows longer than ``capacity`` are cut. ``held`` bounds the words a worker remembers, which
-    changes time and memory, never the result. Other columns are ignored; an empty table gives none.
+    Only rows longer than ``capacity`` are cut. ``held`` bounds the words a worker remembers, by default
+    by the executor's memory; it changes time and memory, never the result. Other columns are ignored; an empty table gives none.
     """
     parts = materialise(pieces(docs, tokenizer, capacity, id_col, text_col, held), "pieces")
     return pack(parts, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

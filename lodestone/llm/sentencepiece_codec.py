@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lodestone.llm.memo import Memo, claim
+from lodestone.llm.memo import Memo, claim, words_held
 
 _SPACE = "▁"
 _BASE = np.uint64(0x100000001B3)
@@ -29,8 +29,8 @@ _UNIGRAM, _BPE = 1, 2
 _USER_DEFINED, _UNUSED = 4, 5
 #: Fixed value: an unknown character of a unigram model scores this much below the worst piece.
 _UNKNOWN_PENALTY = 10.0
-#: Words whose ids a worker keeps.
-HELD = 800_000
+#: Bytes that a word takes in a worker's memory.
+WORD_BYTES = 450
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -75,7 +75,7 @@ def piece_kinds(serialized: bytes) -> set[int]:
 class Codec:
     """Encoder and decoder of one model, which has no user-defined and no unused pieces."""
 
-    def __init__(self, model: str | bytes):
+    def __init__(self, model: str | bytes, held: int = 200_000):
         if isinstance(model, str):
             with open(model, "rb") as file:
                 model = file.read()
@@ -106,7 +106,7 @@ class Codec:
             self.letters[i, : len(piece)] = [ord(c) for c in piece]
         # Words are independent where no piece holds a space mark after another character.
         self.separable = not any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in self.own)
-        self.memo = Memo(HELD)
+        self.memo = Memo(held)
         blobs = [self._bytes_of(i) for i in range(size)]
         self.lengths = np.array([len(b) for b in blobs])
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
@@ -295,9 +295,9 @@ class Codec:
 
 
 @lru_cache(1)
-def codec_of(model: str) -> Codec:
+def codec_of(model: str, held: int) -> Codec:
     """One codec a worker process, so that its tasks share the words it has learnt."""
-    return Codec(model)
+    return Codec(model, held)
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,9 +306,10 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     A null or empty text has an empty list. Ids of rows may be null or repeat; other columns are
     ignored; an empty table gives none. ``model`` is a path that every executor has.
     """
+    held = words_held(docs.sparkSession, WORD_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(model)
+        codec = codec_of(model, held)
         claim(codec.memo)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -326,9 +327,10 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     """``rows`` with the column ``decoded``; null ids decode to null, an empty list to the empty text."""
     names = rows.columns
     at_ids = names.index(ids_col)
+    held = words_held(rows.sparkSession, WORD_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(model)
+        codec = codec_of(model, held)
         claim(codec.memo)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
