@@ -80,10 +80,14 @@ def tested_by(edges: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def anchors(members: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
-    """Files to read first: the smallest README, the smallest entry file, then those most members include."""
+    """Files to read first, of ``path, size``: the smallest README, the smallest entry file, then those most members include.
+
+    Of files of one size the first by its path.
+    """
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    readme = members.where(name.startswith("readme")).agg(F.min("path").alias("path")).select(F.lit("readme").alias("why"), "path")
-    entry = members.where(name.rlike(r"^(main|program|app|index)\.")).agg(F.min("path").alias("path")).select(F.lit("entry").alias("why"), "path")
+    least = F.min(F.struct("size", "path")).alias("x")
+    readme = members.where(name.startswith("readme")).agg(least).select(F.lit("readme").alias("why"), "x.path")
+    entry = members.where(name.rlike(r"^(main|program|app|index)\.")).agg(least).select(F.lit("entry").alias("why"), "x.path")
     own = members.select(F.col("path").alias("_p"))
     inner = edges.where("src <> dst").join(own, F.col("src") == F.col("_p"), "left_semi").join(own, F.col("dst") == F.col("_p"), "left_semi")
     central = inner.groupBy(F.col("dst").alias("path")).agg(F.count_distinct("src").alias("n")).orderBy(F.desc("n"), "path").limit(most).select(F.lit("central").alias("why"), "path")

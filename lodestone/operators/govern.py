@@ -72,7 +72,7 @@ def check_layering(edges: DataFrame, targets: DataFrame, coverage: DataFrame, ru
     named = targets.select("id", F.explode(F.array("id", "container_id")).alias("token")).distinct()
     source = named.select(F.col("id").alias("source"), F.col("token").alias("from"))
     target = named.select(F.col("id").alias("target"), F.col("token").alias("to"))
-    hits = edges.select("source", "target").join(source, "source").join(target, "target").join(F.broadcast(rules), ["from", "to"]).groupBy("rule").agg(F.count_distinct("source", "target").alias("n_edges"))
+    hits = edges.select("source", "target").join(source, "source").join(target, "target").join(rules, ["from", "to"]).groupBy("rule").agg(F.count_distinct("source", "target").alias("n_edges"))
     l0 = coverage.where("layer = 'L0'").select(F.col("id").alias("_c"), ev.covered(F.col("value")).alias("ok"))
     sides = rules.join(named.withColumnRenamed("token", "from"), "from").join(l0, F.col("id") == F.col("_c"), "left").groupBy("rule").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("verified"))
     out = rules.join(hits, "rule", "left").join(sides, "rule", "left")

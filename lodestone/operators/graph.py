@@ -1,39 +1,117 @@
-"""Traversals by frontier: each round is an equi-join of the frontier with the edges.
+"""Traversals and strong components.
 
-The visited set is anti-joined and cut from its lineage each round, so plans stay small and a lost
-executor costs a re-read. The number of rounds is the depth reached.
+Graphs of up to ``LOCAL`` edges (counted, not guessed) are solved by one task in memory: a round of
+a distributed traversal costs more than such a graph's whole solution. Larger graphs go by frontier:
+each round is an equi-join of the frontier with the edges, written once, so plans stay small and a
+lost executor costs a re-read. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.session import materialise
 
+#: Edges, and edges times seeds, that one task solves.
+LOCAL, LOCAL_WALKS = 200_000, 20_000_000
+_ARROW = " > "
+
+
+def _steps(edges: DataFrame, src: str, dst: str, name: str) -> DataFrame:
+    return materialise(edges.select(F.col(src).alias("_a"), F.col(dst).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL AND _a <> _b").distinct(), name)
+
+
+def _neighbours(batches: Iterator[pd.DataFrame]) -> tuple[dict, dict]:
+    """Sorted followers of each node, and of a start the nodes named for it, from rows ``kind, _a, _b``."""
+    after, starts = {}, {}
+    for batch in batches:
+        for kind, a, b in zip(batch["kind"].tolist(), batch["_a"].tolist(), batch["_b"].tolist()):
+            (after if kind else starts).setdefault(a, []).append(b)
+    for near in after.values():
+        near.sort()
+    return after, starts
 
-def reach(edges: DataFrame, seeds: DataFrame, src: str = "source", dst: str = "target", rounds: int = 1000) -> DataFrame:
-    """``seed, node, depth``: nodes that each seed reaches, itself left out, by the least number of steps."""
-    steps = materialise(edges.select(F.col(src).alias("_a"), F.col(dst).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL AND _a <> _b").distinct(), "steps")
-    seen = materialise(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct(), "seen")
-    frontier = seen
-    levels = [seen]
+
+def _in_one_task(edges: DataFrame, run, schema: str, starts: DataFrame | None = None) -> DataFrame:
+    rows = edges.select(F.lit(1).alias("kind"), "_a", "_b")
+    if starts is not None:
+        rows = rows.unionByName(starts.select(F.lit(0).alias("kind"), "_a", F.col("_a").alias("_b")))
+    return materialise(rows.coalesce(1).mapInPandas(run, schema), "local")
+
+
+def reach(edges: DataFrame, seeds: DataFrame, src: str = "source", dst: str = "target", rounds: int = 100_000, paths: bool = False) -> DataFrame:
+    """``seed, node, depth``: nodes that each seed reaches, itself left out, by the least number of steps.
+
+    ``paths`` adds ``path``, of the shortest paths to the node the first in the order of its nodes.
+    Raises if nodes are still found after ``rounds`` steps.
+    """
+    steps = _steps(edges, src, dst, "steps")
+    kind = dict(steps.dtypes)["_a"]
+    first = materialise(seeds.select(F.col("id").cast(kind).alias("_a")).where("_a IS NOT NULL").distinct(), "seeds")
+    n_edges, n_seeds = steps.count(), first.count()
+    if n_edges <= LOCAL and n_edges * max(1, n_seeds) <= LOCAL_WALKS:
+        found = _in_one_task(steps, _walk_all, f"seed {kind}, node {kind}, depth int, path array<{kind}>", first)
+        return found if paths else found.drop("path")
+    start = first.select(F.col("_a").alias("seed"), F.col("_a").alias("node"), F.lit(0).alias("depth"), *([F.array("_a").alias("path")] if paths else []))
+    frontier, levels = materialise(start, "seen"), []
+    done, levels = [], [frontier]
     for depth in range(1, rounds + 1):
-        found = frontier.join(steps, F.col("node") == F.col("_a")).select("seed", F.col("_b").alias("node")).distinct()
-        known = levels[0]
+        near = frontier.join(steps, F.col("node") == F.col("_a"))
+        if paths:
+            found = near.select("seed", F.col("_b").alias("node"), F.array_append("path", F.col("_b")).alias("path")).groupBy("seed", "node").agg(F.min("path").alias("path"))
+        else:
+            found = near.select("seed", F.col("_b").alias("node")).distinct()
+        known = levels[0].select("seed", "node")
         for level in levels[1:]:
-            known = known.unionByName(level)
-        frontier = materialise(found.join(known.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+            known = known.unionByName(level.select("seed", "node"))
+        if len(levels) > 8:
+            # Few tables are read again in each round, whatever the depth.
+            done, known = done + levels, materialise(known, "seen")
+            levels = [known]
+        frontier = materialise(found.join(known, ["seed", "node"], "left_anti").select("seed", "node", F.lit(depth).alias("depth"), *(["path"] if paths else [])), "frontier")
         if frontier.isEmpty():
             break
         levels.append(frontier)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
+    else:
+        raise RuntimeError(f"nodes are still found after {rounds} steps")
+    out = None
+    for level in (x for x in done + levels if "depth" in x.columns):
+        out = level if out is None else out.unionByName(level)
     return out.where("depth > 0")
 
 
+def _walk_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    after, starts = _neighbours(batches)
+    for seed in starts:
+        came, order = {seed: None}, [seed]
+        depth = {seed: 0}
+        # Followers in order, nodes in the order they are found: the first path is the least.
+        for node in order:
+            for near in after.get(node, ()):
+                if near not in came:
+                    came[near], depth[near] = node, depth[node] + 1
+                    order.append(near)
+        for at in range(1, len(order), 10_000):
+            part = order[at : at + 10_000]
+            ways = []
+            for node in part:
+                way = []
+                while node is not None:
+                    way.append(node)
+                    node = came[node]
+                ways.append(way[::-1])
+            yield pd.DataFrame({"seed": [seed] * len(part), "node": part, "depth": [depth[n] for n in part], "path": ways})
+
+
 def shortest_paths(edges: DataFrame, start: str, end: str, most: int = 10, src: str = "source", dst: str = "target") -> DataFrame:
-    """All shortest paths between two nodes as text, in order, ``most`` of them at most."""
+    """Shortest paths between two nodes as text, in order, ``most`` of them at most.
+
+    The paths grow backward from the end; of a node only its ``most`` least suffixes go on, for with the
+    same beginning the order of paths is that of their suffixes.
+    """
     steps = materialise(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct(), "steps")
     spark = edges.sparkSession
     seeds = spark.createDataFrame([(start,)], "id string")
@@ -43,19 +121,68 @@ def shortest_paths(edges: DataFrame, start: str, end: str, most: int = 10, src:
     if goal is None:
         return paths.where(F.lit(False)).select("path", F.lit(0).alias("hops"))
     on_way = steps.join(depths.withColumnRenamed("depth", "da"), F.col("a") == F.col("node")).drop("node").join(depths.withColumnRenamed("depth", "db"), F.col("b") == F.col("node")).drop("node").where("db = da + 1")
-    for _ in range(goal["depth"]):
-        paths = paths.join(on_way, F.col("node") == F.col("b")).select(F.col("a").alias("node"), F.concat("a", F.lit(" > "), "path").alias("path"))
+    on_way = materialise(on_way.select("a", "b", "da"), "on_way")
+    order = Window.partitionBy("node").orderBy("path")
+    for depth in range(goal["depth"] - 1, -1, -1):
+        longer = paths.join(on_way.where(F.col("da") == depth), F.col("node") == F.col("b")).select(F.col("a").alias("node"), F.concat("a", F.lit(_ARROW), "path").alias("path"))
+        paths = longer.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
+        if (goal["depth"] - depth) % 4 == 0:
+            paths = materialise(paths, "paths")
     return paths.where(F.col("node") == start).select("path", F.lit(goal["depth"]).alias("hops")).orderBy("path").limit(most)
 
 
+def _components_at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strong components by two passes: nodes in the order they are left, then backward from the last."""
+    after, _ = _neighbours(batches)
+    before: dict = {}
+    for a, near in after.items():
+        for b in near:
+            before.setdefault(b, []).append(a)
+    left, seen = [], set()
+    for root in after:
+        if root in seen:
+            continue
+        seen.add(root)
+        way = [(root, iter(after[root]))]
+        while way:
+            node, rest = way[-1]
+            for near in rest:
+                if near not in seen:
+                    seen.add(near)
+                    way.append((near, iter(after.get(near, ()))))
+                    break
+            else:
+                left.append(node)
+                way.pop()
+    nodes, named, taken = [], [], set()
+    for root in reversed(left):
+        if root in taken:
+            continue
+        taken.add(root)
+        group = [root]
+        for node in group:
+            for near in before.get(node, ()):
+                if near not in taken:
+                    taken.add(near)
+                    group.append(near)
+        if len(group) > 1:
+            nodes += group
+            named += [min(group)] * len(group)
+    if nodes:
+        yield pd.DataFrame({"node": nodes, "component": named})
+
+
 def strong_components(edges: DataFrame, src: str = "source", dst: str = "target") -> DataFrame:
     """``node, component``: the smallest node of each strongly connected component of two or more.
 
-    Nodes without an edge in or out are trimmed until none is left. Then colours spread forward: each
-    node takes the smallest node that reaches it; what reaches its colour's root backward within the
-    colour is that root's component. It is set aside, and the rest goes round again.
+    Beyond ``LOCAL`` edges: nodes without an edge in or out are trimmed until none is left. Then colours
+    spread forward: each node takes the smallest node that reaches it; what reaches its colour's root
+    backward within the colour is that root's component. It is set aside, and the rest goes round again.
     """
-    left = materialise(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct(), "scc")
+    left = _steps(edges, src, dst, "scc").withColumnsRenamed({"_a": "a", "_b": "b"})
+    kind = dict(left.dtypes)["a"]
+    if left.count() <= LOCAL:
+        return _in_one_task(left.withColumnsRenamed({"a": "_a", "b": "_b"}), _components_at_once, f"node {kind}, component {kind}")
     done = None
     while True:
         while True:
@@ -71,10 +198,10 @@ def strong_components(edges: DataFrame, src: str = "source", dst: str = "target"
         colour = materialise(nodes.select("node", F.col("node").alias("colour")), "colour")
         while True:
             near = left.join(colour, F.col("a") == F.col("node")).select(F.col("b").alias("node"), F.col("colour").alias("near")).groupBy("node").agg(F.min("near").alias("near"))
-            next_ = materialise(colour.join(near, "node", "left").select("node", F.least("colour", F.coalesce("near", "colour")).alias("colour")), "colour")
-            changed = next_.join(colour.withColumnRenamed("colour", "old"), "node").where("colour <> old").isEmpty()
-            colour = next_
-            if changed:
+            next_ = materialise(colour.join(near, "node", "left").select("node", F.least("colour", F.coalesce("near", "colour")).alias("colour"), (F.col("near") < F.col("colour")).alias("moved")), "colour")
+            settled = next_.where("moved").isEmpty()
+            colour = next_.drop("moved")
+            if settled:
                 break
         same = left.join(colour.withColumnRenamed("colour", "ca"), F.col("a") == F.col("node")).drop("node").join(colour.withColumnRenamed("colour", "cb"), F.col("b") == F.col("node")).drop("node").where("ca = cb")
         inside = materialise(same.select("a", "b", F.col("ca").alias("colour")), "colour")
@@ -88,3 +215,21 @@ def strong_components(edges: DataFrame, src: str = "source", dst: str = "target"
         return edges.select(F.col(src).alias("node"), F.col(src).alias("component")).where(F.lit(False))
     sizes = done.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
     return done.join(sizes.select("component"), "component", "left_semi").select("node", "component")
+
+
+def cycles(edges: DataFrame, src: str = "source", dst: str = "target") -> DataFrame:
+    """``node, component`` of all cycles: strong components, and nodes with an edge to themselves that are in none."""
+    found = strong_components(edges, src, dst)
+    loops = edges.where(F.col(src) == F.col(dst)).select(F.col(src).alias("node"), F.col(src).alias("component")).distinct()
+    return found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
+
+
+def ordered_components(components: DataFrame) -> DataFrame:
+    """``node, component, size, position`` of components, the largest first, then by their first node."""
+    sizes = components.groupBy("component").agg(F.count("*").alias("size"))
+    # Positions by counting the components of each size before, so that no task sorts all of them.
+    by = sizes.groupBy("size").agg(F.count("*").alias("n"))
+    above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("size").orderBy("component"))
+    placed = sizes.join(by.select("size", above.alias("_above")), "size").withColumn("position", F.col("_above") + within).drop("_above")
+    return components.join(placed, "component").select("node", "component", "size", "position")

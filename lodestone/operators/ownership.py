@@ -14,28 +14,42 @@ from lodestone.session import materialise
 def longest_prefix(files: DataFrame, owners: DataFrame, path: str = "path", owner: str = "owner") -> DataFrame:
     """Each file with the deepest owner that is its path or a directory above it; others are dropped.
 
-    Every path is exploded into its ancestors, so the prefix test is an equi-join and not a range scan.
+    Paths are exploded into their ancestors, so the prefix test is an equi-join and not a range scan.
+    Each path is looked up once, however many rows have it, and every row stays.
     """
     cut = F.split(path, "/")
     above = F.transform(F.sequence(F.lit(1), F.size(cut)), lambda k: F.array_join(F.slice(cut, 1, k), "/"))
-    keys = [c for c in files.columns]
-    joined = files.withColumn(owner, F.explode(above)).join(owners.select(owner).distinct(), owner)
-    return joined.groupBy(*keys).agg(F.max_by(owner, F.length(owner)).alias(owner))
+    paths = files.select(path).distinct()
+    joined = paths.withColumn(owner, F.explode(above)).join(owners.select(owner).distinct(), owner)
+    found = joined.groupBy(path).agg(F.max_by(owner, F.length(owner)).alias(owner))
+    return files.join(found, path).select(*files.columns, owner)
 
 
-def ancestor_chains(seeds: DataFrame, links: DataFrame, top=None, rounds: int = 64) -> DataFrame:
-    """``id, depth, chain``: ancestors of each seed by ``child -> parent``, outermost first."""
-    out = seeds.select("id", F.col("id").alias("node"), F.lit("").alias("chain"), F.lit(0).alias("depth"))
+def ancestor_chains(seeds: DataFrame, links: DataFrame, top=None, rounds: int = 100_000) -> DataFrame:
+    """``id, depth, chain``: ancestors of each seed by ``child -> parent``, outermost first.
+
+    A chain ends at ``top``, or, with none given, at a node without a parent. Seeds whose chain comes
+    to no such end have no row: those without a parent, and with ``top`` those that don't reach it.
+    Raises on chains that run in a circle.
+    """
+    start = F.array("id").alias("seen")
+    out = seeds.select("id", F.col("id").alias("node"), F.lit("").alias("chain"), F.lit(0).alias("depth"), start)
     done = None
     for _ in range(rounds):
         chain = F.when(F.col("chain") == "", F.col("parent").cast("string")).otherwise(F.concat(F.col("parent").cast("string"), F.lit("/"), "chain"))
-        step = out.join(links, F.col("node") == F.col("child")).select("id", F.col("parent").alias("node"), chain.alias("chain"), (F.col("depth") + 1).alias("depth"))
+        known = links.where("child IS NOT NULL AND parent IS NOT NULL")
+        step = out.join(known, F.col("node") == F.col("child")).select("id", F.col("parent").alias("node"), chain.alias("chain"), (F.col("depth") + 1).alias("depth"), F.array_append("seen", F.col("parent")).alias("seen"), F.array_contains("seen", F.col("parent")).alias("again"))
         step = materialise(step, "chains")
-        ended = step.where(F.col("node") == top)
+        if top is None:
+            ended = step.join(known.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
+            out = step.join(known.select(F.col("child").alias("node")).distinct(), "node", "left_semi")
+        else:
+            ended, out = step.where(F.col("node") == top), step.where(F.col("node") != top)
         done = ended if done is None else done.unionByName(ended)
-        out = step.where(F.col("node") != top)
         if out.isEmpty():
             break
+        if (round_ := out.where("again").first()) is not None:
+            raise ValueError(f"the ancestors of {round_['id']} run in a circle at {round_['node']}")
     return done.select("id", "depth", "chain")
 
 

@@ -6,8 +6,10 @@ resolution, totals, coverage) is computed on the driver.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,6 +30,7 @@ class Answer:
     candidates: list[str] = field(default_factory=list)
     coverage: float = 0.0
     advisory: bool = False
+    model_hash: str = ""
 
 
 class Model:
@@ -36,6 +39,15 @@ class Model:
     def __init__(self, targets: DataFrame, edges: DataFrame, coverage: DataFrame, rules: DataFrame | None = None):
         self.targets, self.edges, self.coverage, self.rules = targets, edges, coverage, rules
 
+    @cached_property
+    def hash(self) -> str:
+        """Hash of the targets and edges, whatever the order of their rows."""
+        parts = []
+        for table in (self.targets, self.edges):
+            line = F.xxhash64(F.to_json(F.struct(*sorted(table.columns))))
+            parts += table.agg(F.count("*"), F.coalesce(F.sum(line.cast("decimal(38,0)")), F.lit(0))).first()
+        return hashlib.sha256(" ".join(map(str, parts)).encode()).hexdigest()
+
     def resolve(self, ident: str) -> tuple[str, list[str], list[str]]:
         """Kind, target ids and candidates of a name.
 
@@ -62,9 +74,9 @@ class Model:
     def _answer(self, primitive: str, params: dict, rows: DataFrame | None, order: list, limit: int) -> Answer:
         row = govern.coverage_l0(self.targets, self.coverage).first()
         if rows is None:
-            return Answer(primitive, params, None, coverage=row["coverage"], advisory=row["advisory"])
+            return Answer(primitive, params, None, coverage=row["coverage"], advisory=row["advisory"], model_hash=self.hash)
         total = rows.count()
-        return Answer(primitive, params, rows.orderBy(*order).limit(limit), total, total > limit, coverage=row["coverage"], advisory=row["advisory"])
+        return Answer(primitive, params, rows.orderBy(*order).limit(limit), total, total > limit, coverage=row["coverage"], advisory=row["advisory"], model_hash=self.hash)
 
     def _seeds(self, primitive: str, params: dict, ident: str) -> tuple[DataFrame | None, Answer | None]:
         _, ids, candidates = self.resolve(ident)
@@ -80,7 +92,9 @@ class Model:
         if failed:
             return failed
         if transitive:
-            found = graph.reach(self.edges, seeds, near, far).groupBy("node").agg(F.min("depth").alias("depth")).join(seeds.withColumnRenamed("id", "node"), "node", "left_anti")
+            # Of several seeds the nearest tells the path, of equally near ones the first in order.
+            nearest = F.min(F.struct("depth", "path")).alias("x")
+            found = graph.reach(self.edges, seeds, near, far, paths=True).groupBy("node").agg(nearest).select("node", "x.depth", "x.path").join(seeds.withColumnRenamed("id", "node"), "node", "left_anti")
             return self._answer(primitive, params, found, ["depth", "node"], limit)
         own = seeds.withColumnRenamed("id", "_s")
         direct = self.edges.join(own, F.col(near) == F.col("_s"), "left_semi").join(own, F.col(far) == F.col("_s"), "left_anti")
@@ -123,7 +137,7 @@ class Model:
         seeds, failed = self._seeds("cycles_of", params, ident)
         if failed:
             return failed
-        found = graph.strong_components(self.edges).withColumn("altitude", F.lit("target"))
+        found = graph.cycles(self.edges).withColumn("altitude", F.lit("target"))
         lifted = lift.container_edges(self.edges, self.targets)
         upper = graph.strong_components(lifted, "source_container", "target_container").withColumn("altitude", F.lit("container"))
         own = seeds.join(self.targets, "id").select(F.explode(F.array("id", "container_id")).alias("node")).distinct()
@@ -144,7 +158,7 @@ class Model:
         else:
             a = named.select(F.col("id").alias("source"), F.col("token").alias("from"))
             b = named.select(F.col("id").alias("target"), F.col("token").alias("to"))
-            forbidden = hits.join(a, "source").join(b, "target").join(F.broadcast(self.rules), ["from", "to"]).groupBy("source", "target").agg(F.min("rule").alias("rule"))
+            forbidden = hits.join(a, "source").join(b, "target").join(self.rules, ["from", "to"]).groupBy("source", "target").agg(F.min("rule").alias("rule"))
             ruled = hits.join(forbidden, ["source", "target"], "left")
         return self._answer("conformance_of", params, ruled, ["source", "target"], 10**6)
 
@@ -171,14 +185,15 @@ class Model:
 
     def mentioned(self, question: str) -> list[str]:
         """Known names in a question, longest first, each stretch of text claimed once."""
-        names = self.targets.select(F.explode(F.array("id", "name", "container_id")).alias("n")).where("n IS NOT NULL").distinct()
-        found = names.where(F.lit(question.lower()).contains(F.lower("n"))).orderBy(F.desc(F.length("n")), "n").limit(1000).collect()
+        names = self.targets.select(F.explode(F.array("id", "name", "container_id")).alias("n")).where("n <> ''").distinct()
+        # Names inside the question: there are no more than it has stretches of text.
+        found = names.where(F.lit(question.lower()).contains(F.lower("n"))).orderBy(F.desc(F.length("n")), "n").collect()
         text, out = question, []
         for row in found:
-            if m := re.search(rf"(?<![\w:]){re.escape(row['n'])}(?![\w:])", text, re.I):
+            for m in re.finditer(rf"(?<![^\W_]){re.escape(row['n'])}(?![^\W_])", text, re.I):
                 out.append((m.start(), row["n"]))
                 text = text[: m.start()] + "\0" * len(m[0]) + text[m.end() :]
-        return [n for _, n in sorted(out)]
+        return list(dict.fromkeys(n for _, n in sorted(out)))
 
     def ask(self, question: str) -> Answer:
         """A question routed by its keywords to a primitive over the names in it."""
@@ -188,3 +203,15 @@ class Model:
         if primitive in ("paths_between", "conformance_of") and len(names) < 2:
             return Answer("ask", {"q": question}, None, error="needs_two_elements", candidates=names)
         return self.dispatch(primitive, names[0], names[1] if len(names) > 1 else None, transitive=bool(re.search(r"transitiv|indirect|all", question, re.I)))
+
+
+def ids_in(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """``id``: the targets that any text column of an answer names, lists of texts included."""
+    texts = [F.array(F.col(f"`{name}`")) if kind == "string" else F.col(f"`{name}`") for name, kind in rows.dtypes if kind in ("string", "array<string>")]
+    named = [rows.select(F.explode(column).alias("id")) for column in texts]
+    if not named:
+        return targets.select("id").limit(0)
+    every = named[0]
+    for more in named[1:]:
+        every = every.union(more)
+    return targets.select("id").join(every.distinct(), "id", "left_semi")

@@ -79,7 +79,7 @@ def test_findings(spark):
     assert {r.container_id: r.tests for r in findings.tested_by(edges, targets).collect()} == {"A": 1, "B": 2}
     types = spark.createDataFrame([("A", "IRepository"), ("A", "Repository"), ("B", "BaseRepository"), ("B", "Factory")], "container_id string, text string")
     assert {(r.pattern, r.container_id, r.n) for r in findings.pattern_counts(types, [("repository", "Repository"), ("factory", "Factory")]).collect()} == {("repository", "A", 2), ("repository", "B", 1)}
-    members = spark.createDataFrame([("README.md",), ("main.c",), ("u.h",), ("v.c",)], "path string")
+    members = spark.createDataFrame([("README.md", 5), ("main.c", 5), ("u.h", 5), ("v.c", 5)], "path string, size long")
     links = spark.createDataFrame([("main.c", "u.h"), ("v.c", "u.h"), ("v.c", "zz.h")], "src string, dst string")
     assert {(r.why, r.path) for r in findings.anchors(members, links).collect()} == {("readme", "README.md"), ("entry", "main.c"), ("central", "u.h")}
     scores = spark.createDataFrame([("k", "i", 0.3), ("k", "j", 0.1), ("k", "l", 0.2)], "container_id string, id string, score double")
