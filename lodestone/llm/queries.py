@@ -10,7 +10,7 @@ from lodestone.llm.html_text import extract_text
 from lodestone.llm.near_dedup import near_duplicates
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import score_quality, train_quality
-from lodestone.llm.sentencepiece_codec import decode, encode
+from lodestone.llm.sentencepiece_codec import encode
 from lodestone.llm.sharding import shard
 from lodestone.llm.token_counts import token_counts
 from lodestone.llm.top_k import top_k
@@ -64,7 +64,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    coded = encode(table(spark, sf_dir, "documents"), model, decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),
@@ -75,7 +75,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    # Nothing else has used these executors, so words may take more of their memory than in the pipeline.
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, share=0.45)
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_sharding, op4_embedding_dedup, op5_top_k, op6_quality, op7_html_text, op8_toxicity, op9_sentencepiece, op10_packing)}

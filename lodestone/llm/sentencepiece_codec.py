@@ -300,9 +300,12 @@ def codec_of(model: str, held: int) -> Codec:
     return Codec(model, held)
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``doc_id, text, ids``: the library's ids of every row, without begin and end.
 
+    ``decoded`` adds the text that the ids decode to, in the same pass: a decoder of its own would be
+    another process beside each encoder.
+
     A null or empty text has an empty list. Ids of rows may be null or repeat; other columns are
     ignored; an empty table gives none. ``model`` is a path that every executor has.
     """
@@ -317,10 +320,13 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 found = codec.encode(part.column(1).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["doc_id", "text", "ids"])
+                columns = [part.column(0), part.column(1), lists]
+                if decoded:
+                    columns.append(pa.array([codec.decode(np.frombuffer(f, "<i4")) for f in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "ids", "decoded"][: len(columns)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
@@ -331,7 +337,6 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model, held)
-        claim(codec.memo)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

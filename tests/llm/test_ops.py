@@ -461,7 +461,9 @@ def test_codec_matches_the_library(spark, odd, empty):
     for row in coded:
         assert row.ids == (library.encode(row.text) if row.text else [])
         assert row.decoded == library.decode(row.ids)
-    assert sentencepiece_codec.encode(empty, PIECE).count() == 0
+    once = sentencepiece_codec.encode(odd, PIECE, decoded=True).collect()
+    assert sorted((r.text or "", r.ids, r.decoded) for r in once) == sorted((r.text or "", r.ids, r.decoded) for r in coded)
+    assert sentencepiece_codec.encode(empty, PIECE, decoded=True).count() == 0
     codec = sentencepiece_codec.Codec(PIECE)
     rng = np.random.default_rng(6)
     words = ["".join(rng.choice(list("abeiothnrs▁é日"), int(n))) for n in rng.integers(1, 40, 500)]
