@@ -13,10 +13,14 @@ from lodestone.functions.texts import canonical_json
 CONSTRAINT = r"(?i)^(.*?)\s+(?:must not|must never|should not|shall not|may not|cannot)\s+(?:directly\s+)?(?:depend on|depend upon|reference|call|use|access|import)\s+(.+?)[.;!]?$"
 
 
+#: Marks of emphasis, which sentences lose.
+MARKS = r"[*_`#>]"
+
+
 def constraints(records: DataFrame) -> DataFrame:
     """``id, from, to, because, source`` of each sentence that states one; titles before bodies, a pair once."""
     parts = records.select("id", F.posexplode(F.array(F.struct(F.lit("title").alias("source"), F.col("title").alias("text")), F.struct(F.lit("body").alias("source"), F.col("body").alias("text")))).alias("part", "x"))
-    plain = F.regexp_replace(F.coalesce("x.text", F.lit("")), r"[*_`#>]", "")
+    plain = F.regexp_replace(F.coalesce("x.text", F.lit("")), MARKS, "")
     sentences = parts.select("id", "part", "x.source", F.posexplode(F.split(plain, r"(?<=[.;!?])\s+|\n+")).alias("at", "sentence")).withColumn("sentence", F.trim("sentence"))
     side = lambda k: F.trim(F.regexp_replace(F.regexp_extract("sentence", CONSTRAINT, k), r"^[ ./-]+|[ ./-]+$", ""))
     found = sentences.withColumns({"from": side(1), "to": side(2)}).where("`from` <> '' AND `to` <> ''")

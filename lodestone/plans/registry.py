@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import growing, model, tables
+from lodestone.plans import growing, model, review, tables, wider  # noqa: F401 (review and wider add to model and tables)
 
 QUERIES: dict = model.QUERIES | tables.QUERIES | growing.QUERIES
 ORACLE_SQL: dict[str, str] = model.ORACLE_SQL | tables.ORACLE_SQL | growing.ORACLE_SQL
