@@ -82,3 +82,9 @@ def tour(edges: list[tuple[str, str, int]], start: str, external: set[str], most
             break
         path.append(min(onward)[1])
     return path
+
+
+def overlaps(place: dict[str, tuple[int, int]], sizes: dict[str, tuple[int, int]], default: tuple[int, int] = (160, 80)) -> int:
+    """Pairs of nodes whose boxes overlap; boxes that only touch don't."""
+    boxes = [(x, y, *sizes.get(node, default)) for node, (x, y) in sorted(place.items())]
+    return sum(a[0] < b[0] + b[2] and b[0] < a[0] + a[2] and a[1] < b[1] + b[3] and b[1] < a[1] + a[3] for k, a in enumerate(boxes) for b in boxes[:k])

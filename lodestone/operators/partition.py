@@ -54,12 +54,17 @@ def cohen_kappa(table: DataFrame) -> DataFrame:
     return same.join(F.broadcast(chance)).select(F.round(F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)), 6).alias("kappa"))
 
 
-def aligned(table: DataFrame) -> dict[str, str]:
-    """Greedy one-to-one matching of clusters by overlap, ties by name; the contingency table is what is collected."""
+def aligned(table: DataFrame, most: int = 1_000_000) -> dict[str, str]:
+    """Greedy one-to-one matching of clusters by overlap, ties by name; raises on tables of more than ``most`` cells."""
+    cells = table.limit(most + 1).collect()
+    if len(cells) > most:
+        raise ValueError(f"a contingency table of more than {most} cells")
     out: dict[str, str] = {}
-    for row in sorted(table.collect(), key=lambda r: (-r["n"], str(r["a"]), str(r["b"]))):
-        if row["a"] not in out and row["b"] not in out.values():
+    taken: set[str] = set()
+    for row in sorted(cells, key=lambda r: (-r["n"], str(r["a"]), str(r["b"]))):
+        if row["a"] not in out and row["b"] not in taken:
             out[row["a"]] = row["b"]
+            taken.add(row["b"])
     return out
 
 
@@ -266,8 +271,61 @@ def critical_difference(scores: DataFrame) -> tuple[DataFrame, float | None, int
     whole = scores.where("value IS NOT NULL").groupBy("system").agg(F.count_distinct("technique").alias("k")).where(F.col("k") == n_techniques).select("system")
     ranked = average_ranks(scores.join(whole, "system", "left_semi"), "value", ["system"], descending=True)
     n = whole.count()
-    difference = round(NEMENYI[n_techniques] * math.sqrt(n_techniques * (n_techniques + 1) / (6 * n)), 4) if n and n_techniques in NEMENYI else None
-    return ranked.groupBy("technique").agg(F.round(F.avg("rank"), 4).alias("rank")), difference, n
+    difference = round(NEMENYI[n_techniques] * math.sqrt(n_techniques * (n_techniques + 1) / (6 * n)), 3) if n and n_techniques in NEMENYI else None
+    return ranked.groupBy("technique").agg(F.round(F.avg("rank"), 3).alias("rank")), difference, n
+
+
+def rank_verdicts(ranks: DataFrame, difference: float | None, focus: str) -> DataFrame:
+    """``technique, rank_diff, significant`` of each technique against one; none without a difference that counts."""
+    own = F.broadcast(ranks.where(F.col("technique") == focus).select(F.col("rank").alias("_own")))
+    gap = F.round(F.col("rank") - F.col("_own"), 3)
+    rows = ranks.where(F.col("technique") != focus).join(own).select("technique", gap.alias("rank_diff"), (F.abs(gap) > F.lit(difference)).alias("significant"))
+    return rows.where(F.lit(difference is not None))
+
+
+def rand_index(table: DataFrame) -> DataFrame:
+    """Share of the pairs of entities on which two labellings agree, from their contingency table."""
+    pairs = lambda n: n * (n - 1) / 2
+    cells = table.agg(F.sum(pairs(F.col("n"))).alias("both"), F.sum("n").alias("n"))
+    a = table.groupBy("a").agg(F.sum("n").alias("x")).agg(F.sum(pairs(F.col("x"))).alias("ra"))
+    b = table.groupBy("b").agg(F.sum("n").alias("x")).agg(F.sum(pairs(F.col("x"))).alias("rb"))
+    total = pairs(F.col("n"))
+    value = (total + 2 * F.col("both") - F.col("ra") - F.col("rb")) / total
+    return cells.join(F.broadcast(a)).join(F.broadcast(b)).select(F.round(F.when(total > 0, value).otherwise(1.0), 6).alias("rand"))
+
+
+def aligned_kappa(table: DataFrame) -> DataFrame:
+    """Kappa after the labels of ``a`` took the names of those of ``b`` that they overlap most (``aligned``)."""
+    names = list(aligned(table).items())
+    if not names:
+        return cohen_kappa(table)
+    known = table.sparkSession.createDataFrame(names, "a string, _b string")
+    renamed = table.withColumn("a", F.col("a").cast("string")).join(known, "a", "left").select(F.coalesce("_b", F.concat(F.lit("\u0001"), "a")).alias("a"), F.col("b").cast("string").alias("b"), "n")
+    return cohen_kappa(renamed)
+
+
+def diagnosis(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """``units, clusters, ratio, largest, mq`` of a clustering (``entity, label``): how coarse it is, and how modular."""
+    sizes = entities.groupBy("label").agg(F.count("*").alias("n"))
+    shape = sizes.agg(F.sum("n").alias("units"), F.count("*").alias("clusters"), F.max("n").alias("_top"))
+    rows = shape.select("units", "clusters", F.round(F.col("units") / F.col("clusters"), 3).alias("ratio"), F.round(F.col("_top") / F.col("units"), 4).alias("largest"))
+    return rows.join(F.broadcast(turbo_mq(edges, entities).select("mq")))
+
+
+def scored(clustering: DataFrame, reference: DataFrame) -> DataFrame:
+    """``n, ari, only_clustering, only_reference, blank``: agreement over common entities, and how many were left out.
+
+    Entities with white space can't stand in the text form of a partition; they are dropped and counted.
+    """
+    blank = lambda t: t.where(F.col("entity").rlike(r"\s"))
+    clean = lambda t: t.where(~F.col("entity").rlike(r"\s"))
+    a, b = clean(clustering), clean(reference)
+    alone = lambda x, y, name: x.join(y.select("entity"), "entity", "left_anti").agg(F.count("*").alias(name))
+    dropped = blank(clustering).select("entity").union(blank(reference).select("entity")).agg(F.count_distinct("entity").alias("blank"))
+    row = adjusted_rand(contingency(a, b))
+    for part in (alone(a, b, "only_clustering"), alone(b, a, "only_reference"), dropped):
+        row = row.join(F.broadcast(part))
+    return row
 
 
 def parse_partition(content: str, nodes: set[str]) -> dict[str, str]:
@@ -316,6 +374,11 @@ def separating_interval(values: dict[str, float], good: dict[str, bool]) -> tupl
     return (low, high) if low < high else None
 
 
+def leave_one_out(values: dict[str, float], good: dict[str, bool]) -> dict[str, tuple[float, float] | None]:
+    """The separating interval without each system in turn."""
+    return {left: separating_interval({s: v for s, v in values.items() if s != left}, good) for left in sorted(values)}
+
+
 def bootstrap_rho(x: list[float], y: list[float], seed: int = 20260904, reps: int = 2000) -> tuple[float, float] | None:
     """Interval of 95 % of a rank correlation under resampling; none with fewer than three pairs."""
     if len(x) < 3:

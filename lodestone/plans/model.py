@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodestone.functions import evidence as ev, identifiers as ids
-from lodestone.operators import clusterings, curate, govern, graph, lift, merge, partition, propose, ranking, risk, scenarios, score
+from lodestone.operators import clusterings, curate, govern, graph, lift, merge, partition, propose, ranking, risk, scenarios, score, summaries
 from lodestone.operators.components import connected_components
 from lodestone.plans.views import RULES_SQL, Facts, facts_sql
 from lodestone.sources import rsf
@@ -654,12 +654,12 @@ def graph_stats(f: Facts) -> DataFrame:
 
 @query("SELECT container_id AS view, count(*) AS elements, count(*) > 4 AS over FROM targets GROUP BY container_id")
 def view_budgets(f: Facts) -> DataFrame:
-    return f.targets.groupBy(F.col("container_id").alias("view")).agg(F.count("*").alias("elements"), (F.count("*") > 4).alias("over"))
+    return summaries.view_budgets(f.targets, "container_id", 4)
 
 
 @query("SELECT CASE WHEN count(*) <= 25 THEN 'y' ELSE 'x' END AS shape, count(*) AS first_party FROM targets WHERE NOT external")
 def model_shape(f: Facts) -> DataFrame:
-    return f.targets.agg(F.when(F.count_if(~F.col("external")) <= 25, "y").otherwise("x").alias("shape"), F.count_if(~F.col("external")).alias("first_party"))
+    return summaries.model_shape(f.targets)
 
 
 @query("SELECT source_container, target_container, string_agg(DISTINCT layer, ',' ORDER BY layer) AS layers, arg_min(confidence, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS strongest FROM (SELECT source_container, target_container, confidence, unnest(layers) AS layer FROM lifted) WHERE source_container <> target_container GROUP BY ALL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodestone.functions import identifiers as ids, texts
-from lodestone.operators import ownership, partition
+from lodestone.operators import ownership, partition, summaries
 from lodestone.sources.tables import table
 
 QUERIES: dict = {}
@@ -222,17 +222,58 @@ def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_brand AS package, CASE WHEN contains(p_brand, '#1') THEN 'first' WHEN contains(p_brand, '#2') THEN 'second' ELSE 'other' END AS family, count(*) AS n FROM part GROUP BY ALL")
 def package_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    family = F.when(F.col("p_brand").contains("#1"), "first").when(F.col("p_brand").contains("#2"), "second").otherwise("other")
+    family = summaries.package_family(F.col("p_brand"), [("#1", "first"), ("#2", "second")], "other")
     return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("package"), family.alias("family")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT CASE WHEN o_totalprice < 1000 THEN '<1000' WHEN o_totalprice < 100000 THEN '1000-100000' WHEN o_totalprice < 300000 THEN '100000-300000' ELSE '>=300000' END AS bucket, count(*) AS n FROM orders GROUP BY 1")
 def numeric_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = [1000, 100000, 300000]
-    label = F.when(F.col("o_totalprice") < edges[0], f"<{edges[0]}")
-    for low, high in zip(edges, edges[1:]):
-        label = label.when(F.col("o_totalprice") < high, f"{low}-{high}")
-    return table(spark, sf_dir, "orders").groupBy(label.otherwise(f">={edges[-1]}").alias("bucket")).agg(F.count("*").alias("n"))
+    label = summaries.bucket(F.col("o_totalprice"), [1000, 100000, 300000])
+    return table(spark, sf_dir, "orders").groupBy(label.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"{_TABLE}, s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM cells) AS i, (SELECT sum(x * (x - 1) / 2) FROM (SELECT sum(n) AS x FROM cells GROUP BY a)) AS r, (SELECT sum(x * (x - 1) / 2) FROM (SELECT sum(n) AS x FROM cells GROUP BY b)) AS c, (SELECT sum(n) FROM cells) AS n) SELECT round((n * (n - 1) / 2 + 2 * i - r - c) / (n * (n - 1) / 2), 6)::DOUBLE AS rand FROM s")
+def rand_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition.rand_index(_cells(spark, sf_dir))
+
+
+@query(
+    """WITH a AS (SELECT c_custkey || CASE WHEN c_custkey % 9 = 0 THEN ' x' ELSE '' END AS entity, c_mktsegment AS label FROM customer WHERE c_custkey % 4 > 0), b AS (SELECT c_custkey || CASE WHEN c_custkey % 9 = 0 THEN ' x' ELSE '' END AS entity, CASE WHEN c_custkey % 5 = 0 THEN 'Z' ELSE c_mktsegment END AS label FROM customer WHERE c_custkey % 3 > 0),
+    cells AS (SELECT a.label AS a, b.label AS b, count(*) AS n FROM a JOIN b USING (entity) WHERE NOT contains(entity, ' ') GROUP BY ALL),
+    s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM cells) AS i, (SELECT sum(x * (x - 1) / 2) FROM (SELECT sum(n) AS x FROM cells GROUP BY a)) AS r, (SELECT sum(x * (x - 1) / 2) FROM (SELECT sum(n) AS x FROM cells GROUP BY b)) AS c, (SELECT sum(n) FROM cells) AS n)
+    SELECT CAST(n AS BIGINT) AS n, round(100 * (i - r * c / (n * (n - 1) / 2)) / ((r + c) / 2 - r * c / (n * (n - 1) / 2)), 4) AS ari,
+      (SELECT count(*) FROM a WHERE NOT contains(entity, ' ') AND entity NOT IN (SELECT entity FROM b)) AS only_clustering, (SELECT count(*) FROM b WHERE NOT contains(entity, ' ') AND entity NOT IN (SELECT entity FROM a)) AS only_reference,
+      (SELECT count(DISTINCT entity) FROM (SELECT entity FROM a UNION ALL SELECT entity FROM b) WHERE contains(entity, ' ')) AS blank FROM s"""
+)
+def scored_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 9 == 0, " x").otherwise("")).alias("entity")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", key, F.col("c_mktsegment").alias("label"))
+    return partition.scored(rows.where("c_custkey % 4 > 0"), rows.where("c_custkey % 3 > 0").withColumn("label", F.when(F.col("c_custkey") % 5 == 0, "Z").otherwise(F.col("label"))))
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT o_custkey AS source, l_suppkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> l_suppkey), n AS (SELECT source AS entity FROM e UNION SELECT target FROM e), z AS (SELECT entity % 10 AS label, count(*) AS n FROM n GROUP BY 1),
+    l AS (SELECT source % 10 AS a, target % 10 AS b FROM e), s AS (SELECT a AS c, 1 AS i FROM l WHERE a = b UNION ALL SELECT a, 0 FROM l WHERE a <> b UNION ALL SELECT b, 0 FROM l WHERE a <> b), g AS (SELECT c, sum(i) AS i, sum(1 - i) AS o FROM s GROUP BY c)
+    SELECT CAST((SELECT sum(n) FROM z) AS BIGINT) AS units, (SELECT count(*) FROM z) AS clusters, round((SELECT sum(n) / count(*) FROM z), 3) AS ratio, round((SELECT max(n) / sum(n) FROM z), 4) AS largest, round(sum(i / (i + 0.5 * o)), 3)::DOUBLE AS mq FROM g"""
+)
+def partition_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("target"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("source"))
+    edges = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).where("source <> target").select("source", "target").distinct()
+    entities = edges.select(F.explode(F.array("source", "target")).alias("entity")).distinct().withColumn("label", F.col("entity") % 10)
+    return partition.diagnosis(edges, entities)
+
+
+@query(
+    """WITH s AS (SELECT p_type AS system, CASE p_size % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS technique, avg(p_retailprice) AS value FROM part GROUP BY ALL), whole AS (SELECT system FROM s GROUP BY system HAVING count(*) = 3),
+    r AS (SELECT technique, rank() OVER (PARTITION BY system ORDER BY value DESC) + (count(*) OVER (PARTITION BY system, value) - 1) / 2 AS k FROM s WHERE system IN (SELECT system FROM whole)), m AS (SELECT technique, round(avg(k), 3) AS rank FROM r GROUP BY technique), cd AS (SELECT round(2.343 * sqrt(12 / (6 * count(*))), 3) AS d FROM whole)
+    SELECT m.technique, round(m.rank - o.rank, 3) AS rank_diff, abs(round(m.rank - o.rank, 3)) > d AS significant FROM m, m o, cd WHERE o.technique = 'a' AND m.technique <> 'a'"""
+)
+def rank_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    technique = F.when(F.col("p_size") % 3 == 0, "a").when(F.col("p_size") % 3 == 1, "b").otherwise("c")
+    scores = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("system"), technique.alias("technique")).agg(F.avg("p_retailprice").alias("value"))
+    ranks, difference, _ = partition.critical_difference(scores)
+    return partition.rank_verdicts(ranks, difference, "a")
 
 
 @query(

@@ -5,7 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
+from collections.abc import Callable
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
+import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions.texts import SlugRegistry, canonical_json
@@ -98,3 +103,65 @@ def intent_warnings(intents: list[dict], budget: int, n_containers: int) -> list
 
 def view_name(text: str) -> str:
     return re.sub(r"[^0-9A-Za-z]+", "-", text).strip("-").lower()
+
+
+def proposal_text(proposal: DataFrame, most: int = 100_000) -> str:
+    """A grouping proposal (``signal, name, id``) as a draft of mapping rules; one over ``most`` rows is refused."""
+    rows = proposal.orderBy("signal", "name", "id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a proposal of more than {most} rows")
+    groups: dict[tuple[str, str], list[str]] = {}
+    for r in rows:
+        groups.setdefault((r["signal"], r["name"]), []).append(r["id"])
+    body = {"version": 1, "group": [{"container": name, "members": ids, "provenance": signal} for (signal, name), ids in groups.items()]}
+    return "# A draft: check before use.\n" + yaml.safe_dump(body, sort_keys=True, allow_unicode=True, default_flow_style=False)
+
+
+def view_text(intents: list[dict], system: str = "system") -> str:
+    """Diagram source of requested views in their order; those of unknown type are left out."""
+    quote = lambda value: json.dumps(str(value), ensure_ascii=False)
+    listed = lambda value: [value] if isinstance(value, str) else list(value or [])
+    lines = ["// Made from view intents."]
+    for intent in intents:
+        kind, key = intent.get("type"), quote(intent.get("key", ""))
+        if kind == "filtered":
+            mode = "exclude" if intent.get("mode") == "exclude" else "include"
+            lines.append(f"filtered {quote(intent.get('base', ''))} {mode} {quote(','.join(listed(intent.get(mode))))} {key}")
+        elif kind in ("systemContext", "container", "component", "deployment", "dynamic"):
+            scope = [quote(intent["environment"])] if kind == "deployment" and "environment" in intent else []
+            lines.append(" ".join([kind, str(intent.get("scope", system)), *scope, key, "{"]))
+            lines += [f"  {word} {item}" for word in ("include", "exclude") for item in listed(intent.get(word))]
+            lines += ["  autoLayout", "}"]
+    return "\n".join(lines) + "\n"
+
+
+@dataclass
+class RunReport:
+    """Seconds of the stages and steps of a run, with notes; events go to a sink, whose failures don't count."""
+
+    stages: dict[str, float] = field(default_factory=dict)
+    steps: dict[str, dict[str, float]] = field(default_factory=dict)
+    notes: list[str] = field(default_factory=list)
+    sink: Callable[[dict], None] | None = None
+
+    def _tell(self, **event) -> None:
+        try:
+            if self.sink is not None:
+                self.sink(event)
+        except Exception as error:  # noqa: BLE001 (an observer never breaks a run)
+            self.notes.append(f"sink: {error}")
+
+    @contextmanager
+    def stage(self, name: str, step: str | None = None):
+        self._tell(event="start", stage=name, step=step)
+        began = time.monotonic()
+        try:
+            yield
+        finally:
+            seconds = round(time.monotonic() - began, 3)
+            where = self.stages if step is None else self.steps.setdefault(name, {})
+            where[name if step is None else step] = seconds
+            self._tell(event="finish", stage=name, step=step, seconds=seconds)
+
+    def text(self) -> str:
+        return canonical_json({"stages": self.stages, "steps": self.steps, "notes": self.notes})
