@@ -53,12 +53,41 @@ def count_lines(text: str, family: str) -> dict[str, int]:
     return out
 
 
+#: Line ends, as text mode reads them.
+_LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+
+
 def line_counts(text: Column, family: str) -> Column:
-    @pandas_udf("struct<blank:long,comment:long,code:long,todo:long>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([count_lines(t or "", family) for t in texts], columns=["blank", "comment", "code", "todo"])
+    """``blank, comment, code, todo`` of a text as ``count_lines`` counts them, by a fold over its lines.
 
-    return run(text)
+    A line that begins inside a comment is read as if the comment's mark stood before it. Whole
+    comments go; a mark that is left opens one that goes on; what stands before it is code.
+    """
+    line_mark, start, end = COMMENTS[family]
+    quote = lambda mark: re.escape(mark).replace("/", r"\/")
+    whole = [f"{quote(line_mark)}.*$"] if line_mark else []
+    whole += [f"{quote(start)}.*?{quote(end)}"] if start else []
+    marks = "|".join(quote(m) for m in (line_mark, start) if m)
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    lines = F.split(F.coalesce(text, F.lit("")), _LINE_END)
+    # A line end closes a line and opens none after the last.
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    zero = F.struct(F.lit(False).alias("inside"), *(F.lit(0).cast("long").alias(n) for n in ("blank", "comment", "code", "todo")))
+
+    def step(state: Column, line: Column) -> Column:
+        blank = strip(line) == ""
+        opened = F.when(state["inside"], F.concat(F.lit(start or ""), line)).otherwise(line)
+        rest = F.regexp_replace(opened, "|".join(whole), " ")
+        open_ = rest.contains(start) if start else F.lit(False)
+        code = strip(F.substring_index(rest, start, 1) if start else rest) != ""
+        comment = state["inside"] | opened.rlike(marks)
+        one = lambda c: c.cast("long")
+        return F.struct(
+            F.when(blank, state["inside"]).otherwise(open_).alias("inside"), (state["blank"] + one(blank)).alias("blank"), (state["comment"] + one(~blank & ~code & comment)).alias("comment"),
+            (state["code"] + one(~blank & code)).alias("code"), (state["todo"] + one(line.contains("TODO") | line.contains("FIXME"))).alias("todo"),
+        )
+
+    return F.aggregate(lines, zero, step, lambda s: F.struct(*(s[n].alias(n) for n in ("blank", "comment", "code", "todo"))))
 
 
 def name_similarity(a: Column, b: Column) -> Column:

@@ -321,7 +321,19 @@ def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(texts.name_similarity(F.col("p_name"), F.col("p_type")), 6).alias("ratio"))
 
 
-@query()
+@query(
+    r"""WITH lines AS (SELECT page_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS no FROM (SELECT page_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT page_id, string_split(html, chr(10)) AS l FROM pages))),
+    parts AS (SELECT page_id, unnest(p) AS part, unnest(range(1, len(p) + 1)) AS i FROM (SELECT page_id, string_split(html, '<!--') AS p FROM pages)),
+    segments AS (
+      SELECT page_id, i, 1 AS k, CASE WHEN i = 1 THEN 'code' ELSE 'comment' END AS kind, CASE WHEN i > 1 AND contains(part, '-->') THEN split_part(part, '-->', 1) ELSE part END AS s FROM parts
+      UNION ALL SELECT page_id, i, 2, 'code', substr(part, strpos(part, '-->') + 3) FROM parts WHERE i > 1 AND contains(part, '-->')),
+    placed AS (SELECT *, coalesce(sum(len(string_split(s, chr(10))) - 1) OVER (PARTITION BY page_id ORDER BY i, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM segments),
+    pieces AS (SELECT page_id, kind, before + unnest(range(1, len(l) + 1)) AS no, unnest(l) AS piece FROM (SELECT page_id, kind, before, string_split(s, chr(10)) AS l FROM placed)),
+    marks AS (SELECT page_id, no, bool_or(kind = 'code' AND regexp_replace(piece, '\s', '', 'g') <> '') AS code, bool_or(kind = 'comment') AS comment FROM pieces GROUP BY page_id, no),
+    judged AS (SELECT l.page_id, regexp_replace(line, '\s', '', 'g') = '' AS blank, m.code, m.comment, contains(line, 'TODO') OR contains(line, 'FIXME') AS todo FROM lines l JOIN marks m ON m.page_id = l.page_id AND m.no = l.no)
+    SELECT page_id, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE NOT blank AND NOT code AND comment) AS comment, count(*) FILTER (WHERE NOT blank AND code) AS code, count(*) FILTER (WHERE todo) AS todo FROM judged GROUP BY page_id
+    UNION ALL SELECT page_id, 0, 0, 0, 0 FROM pages WHERE page_id NOT IN (SELECT page_id FROM judged)"""
+)
 def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blank, comment and code lines of each page's source; the block state makes it a fold over lines."""
     return table(spark, sf_dir, "pages").select("page_id", texts.line_counts(F.col("html"), "xml").alias("c")).select("page_id", "c.*")

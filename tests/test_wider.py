@@ -2,7 +2,9 @@
 
 import json
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone import sinks
 from lodestone.functions import texts
@@ -125,3 +127,14 @@ def test_refusals(spark):
     with pytest.raises(ValueError):
         mutations.allowed_payloads(targets.select("id", "name"), ["SECRET"])
     assert mutations.allowed_payloads(mutations.element_payload(targets, ["name"], ["[Ss]ecret"], ["Name"]), ["secret"]).first().name == "a [redacted] [redacted]"
+
+
+@pytest.mark.parametrize("family", sorted(texts.COMMENTS))
+def test_lines_by_fold_and_by_hand(spark, family):
+    rng = np.random.default_rng(5)
+    marks = [m for m in texts.COMMENTS[family] if m]
+    rows = [(k, "".join(rng.choice([*marks, *marks, "x", " ", "\n", "\n", "\t", "TODO", "\r\n", "é"], int(rng.integers(0, 30))))) for k in range(300)]
+    rows += [(-1, None), (-2, ""), (-3, "\n"), (-4, "a\n\nb"), (-5, "x\u2028y\u0085z")]
+    found = spark.createDataFrame(rows, "id long, text string").select("id", texts.line_counts(F.col("text"), family).alias("c")).select("id", "c.*").collect()
+    want = {i: texts.count_lines(t or "", family) for i, t in rows}
+    assert {r.id: {n: r[n] for n in ("blank", "comment", "code", "todo")} for r in found} == want
