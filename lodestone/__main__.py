@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone import config, sinks
 from lodestone.operators import curate, govern, lift, normalize, propose, query, risk
+from lodestone.session import clear
 from lodestone.sources import fragments
 
 
@@ -34,6 +35,14 @@ def main(arguments: list[str]) -> int:
     parser.add_argument("--transitive", action="store_true")
     args = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("lodestone").getOrCreate()
+    try:
+        return _answer(spark, args)
+    finally:
+        # Everything has been shown or written, so no intermediate table is needed any more.
+        clear(spark)
+
+
+def _answer(spark: SparkSession, args: argparse.Namespace) -> int:
     targets, edges, coverage = _load(spark, args.facts, args.rules)
     forbidden = config.layering_rules(spark, spark.read.option("wholetext", "true").text(args.layering).first()[0]) if args.layering else None
     lifted = lift.container_edges(edges, targets)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Directories that hold products or history, not sources.
@@ -33,7 +34,7 @@ def parsed(files: DataFrame, parse: Callable[[str, str], Iterator[tuple] | list[
             for path, text in zip(batch["path"], batch["text"]):
                 try:
                     rows += list(parse(path, text or ""))
-                except (ValueError, KeyError, SyntaxError):
+                except (ValueError, KeyError, TypeError, AttributeError, SyntaxError, yaml.YAMLError):
                     continue
             yield pd.DataFrame(rows, columns=columns)
 

@@ -179,8 +179,11 @@ def _no_nodes(spark: SparkSession) -> DataFrame:
 
 
 def deployment(spark: SparkSession, root: str) -> Extract:
-    """Nodes and calls of compose files and container descriptions; calls become evidence of the running system."""
-    readers = (("{docker-compose,compose}*.{yml,yaml}", deploy.compose), ("Dockerfile*", deploy.dockerfile))
+    """Nodes and calls of compose files, container, cluster and infrastructure descriptions; calls become evidence of the running system."""
+    readers = (
+        ("{docker-compose,compose}*.{yml,yaml}", deploy.compose), ("Dockerfile*", deploy.dockerfile), ("*.{yml,yaml}", deploy.kubernetes), ("*.tf", deploy.terraform),
+        ("*.bicep", deploy.bicep), ("*.json", deploy.arm),
+    )
     rows = None
     for pattern, reader in readers:
         part = files.parsed(files.source_files(spark, root, pattern), reader, deploy.NODES)

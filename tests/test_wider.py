@@ -31,6 +31,10 @@ def root(tmp_path_factory):
     write(root, "proto/order.proto", 'syntax = "proto3";')
     write(root, "scripts/run.py", "import order_pb2")
     write(root, "docker-compose.yml", "services:\n  web:\n    image: shop/web\n    depends_on: [db]\n  db:\n    image: host:5000/postgres:15\n")
+    write(root, "k8s/app.yaml", "kind: Deployment\nmetadata: {name: api}\nspec:\n  replicas: 2\n  template: {spec: {containers: [{image: shop/api}]}}\n")
+    write(root, "k8s/template.yaml", "{{- if .Values.on }}\nkind: [")
+    write(root, "k8s/list.yaml", "- just\n- a list\n")
+    write(root, "infra/main.tf", 'resource "aws_sqs_queue" "jobs" {}\n')
     return root
 
 
@@ -51,7 +55,7 @@ def test_model_of_a_tree(spark, root):
     assert edges[app.id, "boundary:native:engine.dll"].evidence_strength == "interop" and edges[app.id, pay.id].is_declared_dependency
     coverage = {(r.id, r.layer): r.value for r in found.coverage.collect()}
     assert coverage[app.id, "L1"] == "true" and coverage[pay.id, "L1"] == "false" and coverage[pay.id, "L0"] == "true" and coverage[app.id, "interop"] == "true"
-    assert {r.id for r in found.deploy_nodes.collect()} == {"deploy:image:web", "infra:database:db"}
+    assert {r.id for r in found.deploy_nodes.collect()} == {"deploy:image:web", "infra:database:db", "deploy:image:api", "infra:queue:jobs"}
 
 
 def test_side_files(spark, tmp_path):
