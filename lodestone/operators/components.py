@@ -7,6 +7,9 @@ A node in very many edges, as the root of a large component is in the end, is jo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.operators.skew import HEAD
@@ -40,15 +43,38 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return near.select(pairs.alias("p")).select("p.a", "p.b").where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
+def _at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    root: dict = {}
+
+    def find(x):
+        top = x
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    if root:
+        yield pd.DataFrame({"node": list(root), "component": [find(x) for x in list(root)]})
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60, local: int = 0) -> DataFrame:
     """Component of every node that has an edge to another: ``(node, component)``.
 
     ``component`` is the smallest node reachable. Nodes without an edge, self loops and edges with a
-    null end give no row: the caller's ``coalesce(component, node)`` covers them.
+    null end give no row: the caller's ``coalesce(component, node)`` covers them. At most ``local``
+    edges, counted, are joined by one task in memory, with the same result.
     """
     a, b = F.col(src), F.col(dst)
     current = materialise(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
     before = _fingerprint(current)
+    if before[0] <= local:
+        kind = dict(current.dtypes)["a"]
+        return materialise(current.coalesce(1).mapInPandas(_at_once, f"node {kind}, component {kind}"), "components")
     for _ in range(rounds):
         if not before[0]:
             break

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.operators.components import connected_components
+from lodestone.operators.graph import LOCAL
 from lodestone.session import materialise
 
 LEAST = 2
@@ -39,7 +40,7 @@ def by_cluster(targets: DataFrame, edges: DataFrame) -> DataFrame:
     """Groups by weakly connected component, named by their smallest member."""
     first = targets.where("NOT external").select("id")
     inner = edges.join(first, F.col("source") == F.col("id"), "left_semi").join(first, F.col("target") == F.col("id"), "left_semi")
-    return _large(connected_components(inner, "source", "target").select(F.col("component").alias("name"), F.col("node").alias("id")))
+    return _large(connected_components(inner, "source", "target", local=LOCAL).select(F.col("component").alias("name"), F.col("node").alias("id")))
 
 
 def proposal(targets: DataFrame, edges: DataFrame, prefixes: tuple[str, ...] = ("module-category:", "plugin-type:", "slnfolder:")) -> DataFrame:

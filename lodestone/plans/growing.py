@@ -51,7 +51,7 @@ def part_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(", ends AS (SELECT source AS a, target AS b FROM next UNION SELECT target, source FROM next), touch(a, b) AS (SELECT a, a FROM ends UNION SELECT t.a, e.b FROM touch t JOIN ends e ON t.b = e.a) SELECT a AS node, min(b) AS component FROM touch GROUP BY a")
 def part_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(next_of(steps_of(spark, sf_dir)), "source", "target")
+    return connected_components(next_of(steps_of(spark, sf_dir)), "source", "target", local=graph.LOCAL)
 
 
 _STRONG = ", touch(a, b) AS (SELECT source, target FROM next UNION SELECT t.a, e.target FROM touch t JOIN next e ON t.b = e.source), comp AS (SELECT x.a AS node, min(x.b) AS component FROM touch x JOIN touch y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(DISTINCT x.b) > 1)"

@@ -410,7 +410,7 @@ def shortest_paths(f: Facts) -> DataFrame:
 
 @query("SELECT a AS node, min(b) AS component FROM touch GROUP BY a", extra=", ends(a, b) AS (SELECT source, target FROM edges WHERE source < target AND weight > 30 UNION SELECT target, source FROM edges WHERE weight > 30 AND source < target), touch(a, b) AS (SELECT a, a FROM ends UNION SELECT t.a, e.b FROM touch t JOIN ends e ON t.b = e.a)")
 def wcc(f: Facts) -> DataFrame:
-    return connected_components(f.edges.where("weight > 30 AND source < target"), "source", "target")
+    return connected_components(f.edges.where("weight > 30 AND source < target"), "source", "target", local=graph.LOCAL)
 
 
 _SCC = ", touch(a, b) AS (SELECT source, target FROM edges UNION SELECT t.a, e.target FROM touch t JOIN edges e ON t.b = e.source), comp AS (SELECT x.a AS node, min(x.b) AS component FROM touch x JOIN touch y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(DISTINCT x.b) > 1)"

@@ -90,7 +90,7 @@ def drilldown(f: Facts) -> DataFrame:
 
 @query("SELECT node, component, size, dense_rank() OVER (ORDER BY size DESC, component) AS position FROM (SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM (SELECT a AS node, min(b) AS component FROM touch GROUP BY a))", extra=", ends(a, b) AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges), touch(a, b) AS (SELECT a, a FROM ends UNION SELECT t.a, e.b FROM touch t JOIN ends e ON t.b = e.a)")
 def components_in_order(f: Facts) -> DataFrame:
-    return graph.ordered_components(connected_components(f.edges, "source", "target"))
+    return graph.ordered_components(connected_components(f.edges, "source", "target", local=graph.LOCAL))
 
 
 # Bindings of drawn elements to code; customers stand for the elements.

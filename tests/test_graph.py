@@ -82,7 +82,10 @@ def test_shortest_paths_do_not_grow_with_their_number(spark, way):
 
 def test_components_of_hot_nodes_and_their_order(spark):
     edges = [(9000, k) for k in range(3000)] + [(0, 5000 + k) for k in range(2000)] + [(20_000, 20_001), (30_000, 30_001), (40_000, 40_001), (40_001, 40_002), (7, 7), (None, 3)]
-    got = components.connected_components(spark.createDataFrame(edges, "src long, dst long"))
+    table = spark.createDataFrame(edges, "src long, dst long")
+    got = components.connected_components(table)
+    assert sorted(map(tuple, components.connected_components(table, local=10_000).collect())) == sorted(map(tuple, got.collect()))
+    assert components.connected_components(table.limit(0), local=10).count() == 0
     named = {r.node: r.component for r in got.collect()}
     assert len(named) == 3000 + 2000 + 1 + 2 + 2 + 3 and set(named.values()) == {0, 20_000, 30_000, 40_000}
     order = {r.component: (r.size, r.position) for r in graph.ordered_components(got).collect()}
