@@ -8,6 +8,7 @@ islands, one task each, and between epochs every island receives the elite of it
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -35,17 +36,29 @@ def _words(text: str) -> list[str]:
     return text.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ").decode("utf-8", "surrogatepass").split(" ")
 
 
+def _drops_space(tokenizer: str) -> bool:
+    """Whether a tokenizer lowers letters, makes any white space one space, and keeps only what is none, ends marked."""
+    with open(tokenizer, encoding="utf-8") as file:
+        data = json.load(file)
+    steps = [n["type"] for n in (data.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (data.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    kept = bool(cuts) and cuts[0]["type"] == "Split" and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") is True
+    return steps == ["NFC", "Replace", "Lowercase"] and kept and [c["type"] for c in cuts[1:]] == ["ByteLevel"] and data["model"].get("end_of_word_suffix") == "</w>"
+
+
 class WordIds:
     """Ids of a text as little-endian unsigned 32-bit bytes, by the ids of its space-separated words.
 
-    Only for tokenizers that lower letters and whose words never cross white space, which is dropped
+    That is for tokenizers that lower letters and whose words never cross white space, which is dropped
     before the merges: so A-Z may be lowered and line ends be spaces beforehand, and fewer words
-    differ. Special tokens are cut out of the raw text first, as the library does.
+    differ. Special tokens are cut out of the raw text first, as the library does. With any other
+    tokenizer the library encodes the whole texts.
     """
 
     def __init__(self, tokenizer: str, held: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.encoder = Tokenizer.from_file(tokenizer)
+        self.by_words = _drops_space(tokenizer)
         added = {t.content: i for i, t in self.encoder.get_added_tokens_decoder().items()}
         self.special = {content: int(i).to_bytes(4, "little") for content, i in added.items()}
         #: What all special tokens begin with; a text without it holds none.
@@ -111,6 +124,9 @@ class WordIds:
         return list(map(found.__getitem__, new))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_words:
+            coded = self.encoder.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, "<u4").tobytes() for e in coded]
         split = []
         for text in texts:
             text = text or ""
@@ -128,7 +144,7 @@ def word_ids(tokenizer: str, held: int) -> WordIds:
     return WordIds(tokenizer, held)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", share: float = 0.2) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", share: float = 0.12) -> DataFrame:
     """The tokens of each row, then id 0, cut into pieces of ``capacity`` where they are longer."""
 
     most = words_held(docs.sparkSession, WORD_BYTES, share)
@@ -287,7 +303,7 @@ def pack(parts: DataFrame, capacity: int, group: int = 4096, islands: int = 2, e
     return alone.unionByName(rest)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", share: float = 0.2) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", share: float = 0.12) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``: every row's tokens, packed.
 
     A null or empty text is the end id alone. Rows may repeat an id or have none; each row is packed.

@@ -9,6 +9,7 @@ pre-token. Sums give the counts. Every hot key is in the head, so none is in the
 
 from __future__ import annotations
 
+import json
 import os
 from collections import Counter
 from collections.abc import Iterator
@@ -26,10 +27,21 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 HELD = 150_000
 
 
+def is_byte_level(tokenizer: str) -> bool:
+    """Whether a tokenizer's file asks for what this module does: the pattern above, byte-level BPE, plain special tokens."""
+    with open(tokenizer, encoding="utf-8") as file:
+        data = json.load(file)
+    before, model = data.get("pre_tokenizer") or {}, data["model"]
+    plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in data.get("added_tokens", []))
+    return not data.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and model.get("type") == "BPE" and not model.get("dropout") and plain
+
+
 class Splitter:
     """Pre-tokens of a text; added special tokens are cut out first, each counts as one token."""
 
     def __init__(self, tokenizer: str):
+        if not is_byte_level(tokenizer):
+            raise ValueError("only byte-level BPE tokenizers without a normalizer are counted")
         loaded = Tokenizer.from_file(tokenizer)
         special = sorted((t.content for t in loaded.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
@@ -107,8 +119,10 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     No begin, end or other added tokens; a special token's string inside a text counts as that one
     token, the library's default. A null text counts as empty: 0 bytes, 0 tokens. Ids may be null or
-    repeat; each row has its own result. Other columns are ignored; an empty table gives none.
+    repeat; each row has its own result. Other columns are ignored; an empty table gives none. Files of
+    tokenizers that split texts otherwise are refused.
     """
+    Splitter(tokenizer)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     vocabulary = materialise(_encoded(_totals(texts.select("text"), tokenizer), tokenizer), "pieces")
     total = vocabulary.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]

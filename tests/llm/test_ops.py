@@ -116,7 +116,7 @@ def test_near_dedup_of_templates_hot_copies_and_repeated_ids(spark, monkeypatch)
 
 
 def test_survivors_of_two_blocks_and_settled_pairs():
-    odd = shingles.multipliers(128)
+    odd = shingles.multipliers(near_dedup.BATCHES[-1])
     base = np.random.default_rng(1).integers(0, 2**63, 9500, dtype=np.uint64)
     sets = [base[k : k + 400] for k in (0, 3, 6, 9000)]
     sigs, sizes, zero = np.stack([shingles.signature(s, odd) for s in sets]).astype(np.uint16), np.full(4, 400), np.zeros(4, int)
@@ -147,6 +147,15 @@ def test_token_counts_match_the_library(odd, empty, head):
     assert token_counts.token_counts(empty, BYTE).count() == 0
 
 
+def test_tokenizers_of_another_kind():
+    with pytest.raises(ValueError, match="byte-level"):
+        token_counts.Splitter(WORD)
+    library = Tokenizer.from_file(BYTE)
+    texts = [t for _, t in TEXTS]
+    assert packing.WordIds(WORD).by_words and not packing.WordIds(BYTE).by_words
+    assert packing.WordIds(BYTE)(texts) == [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_sharding_is_even_and_gapless(spark, odd, empty):
     rng = np.random.default_rng(3)
     rows = [(i, "hot copy of one text" if i % 3 == 0 else "t" * int(rng.integers(1, 90)) + str(i)) for i in range(3000)]
