@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone import config, sinks
+from lodestone.functions import texts
 from lodestone.operators import curate, govern, lift, normalize, propose, query, risk
 from lodestone.session import clear
 from lodestone.sources import fragments
@@ -16,7 +17,7 @@ from lodestone.sources import fragments
 def _load(spark: SparkSession, path: str, rules: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Targets with containers, edges and coverage of a folder of fragments, curated by the rules if any."""
     facts = normalize.normalize(fragments.read_fragments(spark, path))
-    targets = facts.targets.withColumn("documented", F.size("responsibilities") > 0)
+    targets = facts.targets.withColumn("documented", texts.has_text(F.col("responsibilities")))
     text = spark.read.option("wholetext", "true").text(rules).first()[0] if rules else None
     if text is None:
         return targets.withColumn("container_id", F.col("id")), facts.edges, facts.coverage

@@ -109,6 +109,15 @@ def redact(text: Column, patterns: list[str], denied: list[str], cap: int | None
     return F.left(out, F.lit(cap)) if cap else out
 
 
+def has_text(*fields: Column) -> Column:
+    """Whether any text, or any entry of a list of texts, is more than white space."""
+    blank = lambda c: F.coalesce(F.trim(F.regexp_replace(c, r"\s+", " ")) == "", F.lit(True))
+    found = F.lit(False)
+    for one in fields:
+        found = found | F.coalesce(F.exists(one, lambda t: ~blank(t)), F.lit(False))
+    return found
+
+
 def canonical_json(value) -> str:
     """Sorted keys, two spaces, plain Unicode, and a line end."""
     return json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False) + "\n"
@@ -150,11 +159,25 @@ class SlugRegistry:
     def __init__(self) -> None:
         self.taken: dict[str, str] = {}
 
+    @staticmethod
+    def _joined(text: str) -> str:
+        """The words of the last part of a path in one, the first in lower case."""
+        last = re.sub(r"(?i)\.csproj$", "", text.replace("\\", "/").rpartition("/")[2])
+        words = [w for w in re.split("[^0-9A-Za-z]+", last) if w]
+        return "".join((w[0].lower() if k == 0 else w[0].upper()) + w[1:] for k, w in enumerate(words))
+
+    @classmethod
+    def base(cls, element_id: str) -> str:
+        """Name of an element before it is made unique: its key's words, after those of its repository if it has one."""
+        repo, _, bare = element_id.rpartition("::")
+        key = next((part for part in reversed(bare.split(":")) if part), bare)
+        name = cls._joined(key) or cls._joined(bare) or "e"
+        if prefix := cls._joined(repo):
+            name = prefix + name[0].upper() + name[1:]
+        return name if name[0].isalpha() else "e" + name
+
     def assign(self, element_id: str) -> str:
-        words = [w for w in re.split("[^0-9A-Za-z]+", element_id.rsplit(":", 1)[-1].rsplit("/", 1)[-1]) if w]
-        base = "".join(w if k == 0 else w[:1].upper() + w[1:] for k, w in enumerate(words))
-        base = (base[:1].lower() + base[1:]) or "element"
-        base = base if not base[0].isdigit() else "e" + base
+        base = self.base(element_id)
         owner = self.taken.setdefault(base.lower(), element_id)
         if owner == element_id:
             return base

@@ -36,10 +36,11 @@ def adjusted_rand(table: DataFrame) -> DataFrame:
 
 def mutual_information(table: DataFrame) -> DataFrame:
     """Normalised mutual information (arithmetic mean of the entropies)."""
-    total = Window.partitionBy()
-    n, p = F.sum("n").over(total), F.col("n") / F.sum("n").over(total)
-    a, b = F.sum("n").over(Window.partitionBy("a")) / n, F.sum("n").over(Window.partitionBy("b")) / n
-    cells = table.select((p * F.log(p / (a * b))).alias("i"), (-p * F.log(a)).alias("ha"), (-p * F.log(b)).alias("hb"))
+    whole = F.broadcast(table.agg(F.sum("n").alias("_n")))
+    by_a, by_b = (table.groupBy(c).agg(F.sum("n").alias(f"_{c}")) for c in ("a", "b"))
+    joined = table.join(by_a, "a").join(by_b, "b").join(whole)
+    p, a, b = (F.col(c) / F.col("_n") for c in ("n", "_a", "_b"))
+    cells = joined.select((p * F.log(p / (a * b))).alias("i"), (-p * F.log(a)).alias("ha"), (-p * F.log(b)).alias("hb"))
     sums = cells.agg(F.sum("i").alias("i"), F.sum("ha").alias("ha"), F.sum("hb").alias("hb"))
     return sums.select(F.round(F.when(F.col("ha") + F.col("hb") == 0, 1.0).otherwise(2 * F.col("i") / (F.col("ha") + F.col("hb"))), 6).alias("nmi"))
 

@@ -79,6 +79,12 @@ class Model:
         return Answer(primitive, params, rows.orderBy(*order).limit(limit), total, total > limit, coverage=row["coverage"], advisory=row["advisory"], model_hash=self.hash)
 
     def _seeds(self, primitive: str, params: dict, ident: str) -> tuple[DataFrame | None, Answer | None]:
+        # A container's members stay where they are; only a single target's id comes to the driver.
+        if ident and not self.targets.where(F.col("id") == ident.strip()).isEmpty():
+            return self.targets.where(F.col("id") == ident.strip()).select("id").distinct(), None
+        members = self.targets.where(F.col("container_id") == (ident or "").strip()).select("id").distinct()
+        if ident and not members.isEmpty():
+            return members, None
         _, ids, candidates = self.resolve(ident)
         if ids:
             return self.edges.sparkSession.createDataFrame([(i,) for i in ids], "id string"), None
@@ -205,6 +211,11 @@ class Model:
         return self.dispatch(primitive, names[0], names[1] if len(names) > 1 else None, transitive=bool(re.search(r"transitiv|indirect|all", question, re.I)))
 
 
+def cited(edges: DataFrame) -> DataFrame:
+    """Edges as an answer cites them: ends, weight, confidence, and the types of their evidence."""
+    return edges.select("source", "target", "weight", "confidence", "evidence_strength", F.size("evidence").cast("long").alias("n_items"))
+
+
 def ids_in(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """``id``: the targets that any text column of an answer names, lists of texts included."""
     texts = [F.array(F.col(f"`{name}`")) if kind == "string" else F.col(f"`{name}`") for name, kind in rows.dtypes if kind in ("string", "array<string>")]

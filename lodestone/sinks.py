@@ -56,7 +56,7 @@ def read_trace(spark: SparkSession, path: str, schema: str = "ts string, event s
 
 def write_review(names: DataFrame, path: str) -> None:
     """Proposed names as tab-separated text with a header."""
-    names.orderBy("id").coalesce(1).write.mode("overwrite").option("header", "true").option("sep", "\t").csv(path)
+    names.orderBy("id").write.mode("overwrite").option("header", "true").option("sep", "\t").csv(path)
 
 
 def diagram(containers: DataFrame, edges: DataFrame, most: int = 500) -> str:
@@ -71,9 +71,10 @@ def diagram(containers: DataFrame, edges: DataFrame, most: int = 500) -> str:
     quote = lambda s: '"' + str(s).replace("\\", "\\\\").replace('"', '\\"') + '"'
     names = {r["container_id"]: slugs.assign(r["container_id"]) for r in rows}
     lines = [f"{names[r['container_id']]} = container {quote(r['container_id'].removeprefix('container:'))} {{ tags {quote('external' if r['boundary'] else 'internal')} }}" for r in rows]
-    for e in edges.orderBy("source_container", "target_container").collect():
-        if e["source_container"] in names and e["target_container"] in names:
-            lines.append(f"{names[e['source_container']]} -> {names[e['target_container']]} {quote('declared' if e['is_declared'] else 'uses')} {{ tags {quote('weight:' + str(e['weight']))} }}")
+    # Between so few containers there are no more than their square.
+    inner = edges.where(F.col("source_container").isin(list(names)) & F.col("target_container").isin(list(names)))
+    for e in inner.orderBy("source_container", "target_container").collect():
+        lines.append(f"{names[e['source_container']]} -> {names[e['target_container']]} {quote('declared' if e['is_declared'] else 'uses')} {{ tags {quote('weight:' + str(e['weight']))} }}")
     return "\n".join(lines) + "\n"
 
 

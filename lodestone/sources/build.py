@@ -59,8 +59,11 @@ def project_refs(path: str, text: str) -> Iterator[tuple]:
             continue
         if _local(node.tag) == "ProjectReference":
             expanded = re.sub(r"\$\((MSBuildThisFileDirectory|MSBuildProjectDirectory|ProjectDir)\)[\\/]?", "", include)
-            if "$(" not in expanded:
-                yield path, "project_ref", posixpath.normpath(posixpath.join(directory, expanded.replace("\\", "/")))
+            # A solution lies at the root of its tree, from which all paths count.
+            from_root = re.sub(r"^\$\(SolutionDir\)[\\/]?", "", expanded)
+            start = directory if from_root == expanded else ""
+            if "$(" not in from_root:
+                yield path, "project_ref", posixpath.normpath(posixpath.join(start, from_root.replace("\\", "/")))
         elif _local(node.tag) == "PackageReference":
             yield path, "package_ref", include
 

@@ -54,11 +54,17 @@ def interop(path: str, text: str) -> Iterator[tuple]:
             near = plain[max(0, m.start() - 160) : m.end() + 160]
             if guid := re.search(r"Guid\s*\(\s*\"([0-9A-Fa-f-]{36})\"", near):
                 yield path, "com", guid[1].lower(), m.start()
+        for m in re.finditer(r"GetTypeFromCLSID\s*\(\s*(?:new\s+Guid\s*\(\s*)?\"([^\"]+)\"", plain):
+            yield path, "com", m[1].strip("{}").lower(), m.start()
         for m in re.finditer(r"GetTypeFromProgID\s*\(\s*\"([^\"]+)\"", plain):
             yield path, "com", m[1], m.start()
     else:
         for m in re.finditer(r"#import\s+[<\"]([^>\"]+)[>\"]", plain):
             yield path, "typelib", m[1], m.start()
+        if re.search(r"\b(?:CoCreateInstance(?:Ex)?|CoGetClassObject)\b", plain):
+            # Where objects are activated, the named class identities say which.
+            for m in re.finditer(r"\bCLSID_([A-Za-z_]\w*)", plain):
+                yield path, "com", m[1], m.start()
         for m in re.finditer(r"CLSIDFromProgID\s*\(\s*L?\"([^\"]+)\"", plain):
             yield path, "com", m[1], m.start()
         for m in re.finditer(r"#using\s+[<\"]([^>\"]+)\.dll[>\"]", plain):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone import sinks
 from lodestone.functions import texts
 from lodestone.operators import layout, mutations, partition, simulate
-from lodestone.sources import files, sidecars, tree
+from lodestone.sources import build, code, files, sidecars, tree
 
 
 def write(root, path, text):
@@ -142,3 +142,21 @@ def test_lines_by_fold_and_by_hand(spark, family):
     found = spark.createDataFrame(rows, "id long, text string").select("id", texts.line_counts(F.col("text"), family).alias("c")).select("id", "c.*").collect()
     want = {i: texts.count_lines(t or "", family) for i, t in rows}
     assert {r.id: {n: r[n] for n in ("blank", "comment", "code", "todo")} for r in found} == want
+
+
+def test_names_of_elements_and_texts(spark):
+    base = texts.SlugRegistry.base
+    assert [base(i) for i in ("csharp:csproj:src/Web/Toy.Web.csproj", "container:webFrontend", "ControlApp::csharp:csproj:src/Web/Toy.Web.csproj", "cxx:lib:7zip", "x:y:", "::", "...")] == ["toyWeb", "webFrontend", "controlAppToyWeb", "e7zip", "y", "e", "e"]
+    slugs = texts.SlugRegistry()
+    assert slugs.assign("a:lib:Core") == "core" and slugs.assign("b:lib:core").startswith("core_") and slugs.assign("a:lib:Core") == "core"
+    rows = spark.createDataFrame([(1, [" ", None]), (2, ["", "x"]), (3, None), (4, [])], "id int, r array<string>")
+    assert {r.id for r in rows.where(texts.has_text(F.col("r"))).collect()} == {2}
+
+
+def test_activation_by_class_and_roots():
+    found = {(k, n) for _, k, n, _ in code.interop("a.cs", 'Type.GetTypeFromCLSID(new Guid("{AAAAAAAA-0000-0000-0000-000000000000}")); Type.GetTypeFromProgID("P.Q");')}
+    assert found == {("com", "aaaaaaaa-0000-0000-0000-000000000000"), ("com", "P.Q")}
+    assert [n for _, _, n, _ in code.interop("a.cpp", "CoCreateInstance(CLSID_Calc, 0, 1, IID_ICalc, &p);")] == ["Calc"]
+    assert not list(code.interop("b.cpp", "const GUID CLSID_Calc;"))
+    text = '<Project><ItemGroup><ProjectReference Include="$(SolutionDir)lib\\L.csproj"/><ProjectReference Include="$(Other)x.csproj"/></ItemGroup></Project>'
+    assert list(build.project_refs("src/a/A.csproj", text)) == [("src/a/A.csproj", "project_ref", "lib/L.csproj")]
