@@ -309,7 +309,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     A null or empty text has an empty list. Ids of rows may be null or repeat; other columns are
     ignored; an empty table gives none. ``model`` is a path that every executor has.
     """
-    held = words_held(docs.sparkSession, WORD_BYTES)
+    held = words_held(docs.sparkSession, WORD_BYTES, share=0.45)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model, held)

@@ -99,15 +99,15 @@ def splitters(sized: DataFrame, shards: int, tolerance: float, probes: int = 8,
     return sorted(s.found for s in open_)
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002, slots_per_task: int = 5_000, bytes_per_task: int = 64_000_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002, slots_per_task: int = 5_000, bytes_per_task: int = 16_000_000, most_tasks: int = 200_000) -> DataFrame:
     """All rows and columns of ``docs`` with ``_size``, ``_shard`` and ``_slot``.
 
     The law is ``bytes``: sums of size, the UTF-8 bytes of the text (null: none) plus 1, are near
     equal over the shards, within the tolerance (a share of a shard) where keys allow: rows with both
     text and id equal can't be told apart and stay together, other copies of a text may be split by
     id, by ``shards - 1`` boundaries at most. ``_slot`` numbers the rows of a shard from 0 without a
-    gap; rows with both equal are numbered in one task, all others in tasks of about ``slots_per_task``
-    rows and ``bytes_per_task`` bytes. Rows with a null id or text take
+    gap; rows with both equal are numbered in one task, all others in tasks of about ``bytes_per_task``
+    bytes, or larger ones where that would make more than ``most_tasks``. Rows with a null id or text take
     part like any others. An empty table gives none. Columns of ``docs`` may have any names; those
     with one of the three new names are replaced.
     """
@@ -122,14 +122,16 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     sized = materialise(keyed.select(F.col("_size").alias("size"), "_k", "_d"), "sizes")
     bounds = splitters(sized, shards, tolerance)
     n_rows, n_bytes = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    parts = max(1, -(-n_rows // (shards * slots_per_task)), -(-n_bytes // (shards * bytes_per_task)))
+    tasks = min(most_tasks, max(shards, -(-n_bytes // bytes_per_task)))
+    # Several parts a task, or chance would make some tasks much larger than others.
+    parts = max(1, -(-n_rows // (shards * slots_per_task)), -(-4 * tasks // shards))
     place = {"_shard": _interval(bounds).cast("int"), "_part": F.pmod(F.xxhash64("_d", "_k"), F.lit(parts)).cast("int")}
     counts = sized.withColumns(place).groupBy("_shard", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     order = Window.partitionBy("_shard", "_part").orderBy("_k", "_d")
     # This exchange is the only one of the rows: the window and the join find them already dealt by their keys.
-    dealt = keyed.withColumns(place).repartition(max(shards, -(-n_bytes // bytes_per_task)), "_shard", "_part")
+    dealt = keyed.withColumns(place).repartition(tasks, "_shard", "_part")
     numbered = dealt.withColumn("_at", F.row_number().over(order))
     placed = numbered.join(starts, ["_shard", "_part"])
     return placed.select("_row.*", "_size", "_shard", (F.col("_start") + F.col("_at") - 1).alias("_slot"))
