@@ -30,3 +30,12 @@ def test_bindings_by_the_greatest_of_three_signals(spark):
         want.append((h[0], target, -low) if -low >= 0.4 else (h[0], None, 0.0))
     made = [spark.createDataFrame(rows, f"{key} string, slugs array<string>, tokens array<string>") for rows, key in ((humans, "human"), (targets, "target"))]
     assert sorted(map(tuple, ownership.propose_bindings(*made).collect())) == want
+
+
+def test_name_similarity_of_the_whole_table(spark):
+    from lodestone.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name", "p_type").collect()
+    want = {r.p_partkey: round(difflib.SequenceMatcher(None, r.p_name.lower(), r.p_type.lower()).ratio(), 6) for r in parts}
+    assert {r.p_partkey: r.ratio for r in registry.QUERIES["name_similarity"](spark, sf).collect()} == want
