@@ -183,5 +183,5 @@ def test_line_counter_and_slugs():
     registry = texts.SlugRegistry()
     first, second = registry.assign("cxx:lib:My-Lib"), registry.assign("cxx:exe:my-lib")
     assert first == "myLib" and second.startswith("myLib_") and registry.assign("cxx:lib:My-Lib") == first
-    assert texts.content_hash({"a": 1, "provenance": 2}) == texts.content_hash({"a": 1, "provenance": 3})
+    assert texts.content_hash({"a": 1, "provenance": {"commit": 2}}) == texts.content_hash({"a": 1, "provenance": {"commit": 3}})
     assert texts.question_route("Who depends on core?") == "dependents" and texts.question_route("hello") is None
