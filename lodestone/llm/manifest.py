@@ -81,6 +81,8 @@ def _sides(nodes: Column, at: Column) -> Column:
 
 def _way(at: Column, levels: range) -> Column:
     """Path from level ``levels.start`` of a block to its root, of the node ``at`` of that level."""
+    if not levels:
+        return F.array().cast(_PATH)
     steps = [F.when(F.col("deep") > k, _sides(F.col(f"l{k}"), F.floor(at / WIDTH ** (k - levels.start)).cast("int"))) for k in levels]
     return F.filter(F.array(*steps), lambda x: x.isNotNull())
 
@@ -145,7 +147,7 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     blocks = tree.rounds[0].join(paths, ["key", "block"])
     # A row a run of leaves: what is above is the same for all of them.
     run = F.explode(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / WIDTH).cast("int")))
-    runs = blocks.select("deep", "items", "l1", "l2", "above", "subroot", "root", run.alias("run"))
+    runs = blocks.select("deep", "items", *(f"l{k}" for k in range(1, _DEEP)), "above", "subroot", "root", run.alias("run"))
     own, above = F.slice("items", F.col("run") * WIDTH + 1, F.lit(WIDTH)), F.concat(_way(F.col("run"), range(1, _DEEP)), "above")
     runs = runs.select("deep", "subroot", "root", own.alias("own"), above.alias("above"))
     nodes = F.transform("own", lambda x: x["node"])
