@@ -5,26 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def container_map(targets: DataFrame) -> DataFrame:
-    return targets.select(F.col("id").alias("_id"), "container_id")
+def cross_edges(edges: DataFrame, targets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Edges with the containers of both ends; those within one container are dropped.
 
+    Here and below, with ``by`` the tables hold many models, told apart by these columns.
+    """
+    return _lifted(edges, targets, by).where("source_container <> target_container")
 
-def cross_edges(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """Edges with the containers of both ends; those within one container are dropped."""
-    return _lifted(edges, targets).where("source_container <> target_container")
 
-
-def _lifted(edges: DataFrame, targets: DataFrame) -> DataFrame:
+def _lifted(edges: DataFrame, targets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     out = edges
     for end in ("source", "target"):
-        out = out.join(container_map(targets), F.col(end) == F.col("_id")).withColumnRenamed("container_id", f"{end}_container").drop("_id")
+        out = out.join(targets.select(*by, F.col("id").alias(end), F.col("container_id").alias(f"{end}_container")), [*by, end])
     return out
 
 
-def container_edges(edges: DataFrame, targets: DataFrame) -> DataFrame:
+def container_edges(edges: DataFrame, targets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Weights summed, declaration by or, number of edges and the strongest confidence of each container pair."""
     rank = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
-    return cross_edges(edges, targets).groupBy("source_container", "target_container").agg(
+    return cross_edges(edges, targets, by).groupBy(*by, "source_container", "target_container").agg(
         F.sum("weight").alias("weight"), F.bool_or("is_declared_dependency").alias("is_declared"), F.count("*").alias("n_edges"), F.min_by("confidence", rank).alias("confidence")
     )
 
@@ -45,15 +44,15 @@ def half_edges(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return inner.unionByName(outer.select("source", "target", "weight", sides.alias("x")).select("x.container_id", "source", "target", "x.side", "weight"))
 
 
-def degree(edges: DataFrame) -> DataFrame:
+def degree(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Distinct neighbours and weights of each node of ``source_container -> target_container`` pairs."""
     both = F.explode(F.array(
         F.struct(F.col("source_container").alias("node"), F.col("target_container").alias("out"), F.lit(None).cast("string").alias("into"), F.col("weight").alias("w")),
         F.struct(F.col("target_container").alias("node"), F.lit(None).cast("string").alias("out"), F.col("source_container").alias("into"), F.col("weight").alias("w")),
     ))
-    ends = edges.select(both.alias("x")).select("x.*")
+    ends = edges.select(*by, both.alias("x")).select(*by, "x.*")
     near = F.coalesce("out", "into")
-    return ends.groupBy("node").agg(F.count("out").alias("efferent"), F.count("into").alias("afferent"), F.count_distinct(near).alias("neighbours"), F.sum("w").alias("weight"))
+    return ends.groupBy(*by, "node").agg(F.count("out").alias("efferent"), F.count("into").alias("afferent"), F.count_distinct(near).alias("neighbours"), F.sum("w").alias("weight"))
 
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -102,7 +102,8 @@ def merge_containers(targets: DataFrame, ids: list[str], name: str) -> DataFrame
     return targets.withColumn("container_id", F.when(F.col("container_id").isin(ids), name).otherwise(F.col("container_id")))
 
 
-def structural_metrics(lifted: DataFrame) -> DataFrame:
-    """Edges, weight, and the largest fan-in and fan-out of a container graph."""
-    nodes = degree(lifted).agg(F.count("*").alias("containers"), F.max("afferent").alias("max_fan_in"), F.max("efferent").alias("max_fan_out"))
-    return lifted.agg(F.count("*").alias("edges"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).join(F.broadcast(nodes))
+def structural_metrics(lifted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Edges, weight, and the largest fan-in and fan-out of a container graph; with ``by`` of each model that has edges."""
+    nodes = degree(lifted, by).groupBy(*by).agg(F.count("*").alias("containers"), F.max("afferent").alias("max_fan_in"), F.max("efferent").alias("max_fan_out"))
+    counts = lifted.groupBy(*by).agg(F.count("*").alias("edges"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight"))
+    return counts.join(nodes, list(by)) if by else counts.join(F.broadcast(nodes))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lodestone.functions import evidence as ev
 from lodestone.operators import baseline, decisions, findings, govern, graph, lift, risk
+from lodestone.session import materialise
 
 # Severity of a layering finding, and titles that name a candidate rule.
 LAYERING_SEVERITY = 0.9
@@ -45,18 +46,35 @@ def apply(targets: DataFrame, edges: DataFrame, op: str, members: list[str] = ()
     raise ValueError(f"unknown change {op}")
 
 
-def metrics(targets: DataFrame, edges: DataFrame, coverage: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row of a model's structure: edges, weight, containers, fans, cycles, violated rules."""
-    lifted = lift.container_edges(edges, targets)
-    rings = graph.strong_components(lifted, "source_container", "target_container").agg(F.count_distinct("component").alias("cycles"))
-    broken = govern.check_layering(edges, targets, coverage, rules).agg(F.count_if(F.col("status") == "VIOLATION").alias("violations"))
-    return risk.structural_metrics(lifted).join(F.broadcast(rings)).join(F.broadcast(broken))
+_COUNTS = ("edges", "weight", "containers", "max_fan_in", "max_fan_out", "cycles", "violations")
+
+
+def metrics(targets: DataFrame, edges: DataFrame, coverage: DataFrame, rules: DataFrame, by: str) -> DataFrame:
+    """A row of structure for each model of ``by``: edges, weight, containers, fans, cycles, violated rules.
+
+    All models are lifted, searched for rings and checked together: rings never meet, for the names of
+    their nodes begin with the model's.
+    """
+    lifted = materialise(lift.container_edges(edges, targets, (by,)), "lifted")
+    node = lambda end: F.concat_ws("\x1f", F.col(by).cast("string"), end)
+    rings = graph.strong_components(lifted.select(node("source_container").alias("source"), node("target_container").alias("target"))).select("component").distinct()
+    rings = rings.groupBy(F.split_part("component", F.lit("\x1f"), F.lit(1)).cast(targets.schema[by].dataType).alias(by)).agg(F.count("*").alias("cycles"))
+    broken = govern.check_layering(edges, targets, coverage, rules, (by,)).groupBy(by).agg(F.count_if(F.col("status") == "VIOLATION").alias("violations"))
+    out = targets.select(by).distinct()
+    for part in (risk.structural_metrics(lifted, (by,)), rings, broken):
+        # A row a model.
+        out = out.join(F.broadcast(part), by, "left")
+    return out.select(by, *(F.coalesce(c, F.lit(0)).alias(c) for c in _COUNTS))
 
 
 def simulate(targets: DataFrame, edges: DataFrame, coverage: DataFrame, rules: DataFrame, op: str, **change) -> DataFrame:
-    """``metric, before, after, delta`` of a change."""
+    """``metric, before, after, delta`` of a change; the model before and after it is measured in one go."""
     after = apply(targets, edges, op, **change)
-    return baseline.metric_delta(metrics(targets, edges, coverage, rules), metrics(*after, coverage, rules))
+    both = []
+    for before, now, columns in ((targets, after[0], ["id", "container_id"]), (edges, after[1], ["source", "target", "weight", "is_declared_dependency", "confidence"])):
+        both.append(before.select(F.lit("before").alias("side"), *columns).unionByName(now.select(F.lit("after").alias("side"), *columns)))
+    sides = materialise(metrics(*both, coverage, rules, "side"), "metrics")
+    return baseline.metric_delta(*(sides.where(F.col("side") == s).drop("side") for s in ("before", "after")))
 
 
 def scenarios(targets: DataFrame, edges: DataFrame, hubs: DataFrame) -> DataFrame:
