@@ -9,6 +9,7 @@ are merged as a tree: the tiles of a cell first, then ``branch`` lists a level u
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +24,12 @@ _TOP = "query_id long, piece long, ids array<long>, scores array<long>"
 _LONG = 2**63
 #: Codes from here on are multiplied as Python integers.
 _HUGE = 2.0**60
+#: A component counts as the floor of this many times itself; a power of two, so the product is exact.
+_UNIT = 256
 #: Bytes of one matrix, and of the blocks that a task keeps, at most (one vector at least).
 _MATRIX, _RESIDENT = 16_000_000, 64_000_000
 
 
-def _codes(vector: Column) -> Column:
-    """floor(256 x) of each component as double."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("double"))
-
-
 def _usable(vector: Column) -> Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(False))
@@ -68,27 +66,31 @@ def _wide(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _whole(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    exact = lambda values: np.array([[int(x) for x in row] for row in values], object).reshape(values.shape)
+def _whole(queries: np.ndarray, rows: np.ndarray, unit: int = 1) -> np.ndarray:
+    # What has no fraction is multiplied as an integer: no double may hold its product.
+    code = lambda x: int(x) * unit if abs(x) >= 2.0**52 else math.floor(x * unit)
+    exact = lambda values: np.array([[code(x) for x in row] for row in values.tolist()], object).reshape(values.shape)
     return np.clip(exact(queries).dot(exact(rows).T), -_LONG, _LONG - 1).astype(np.int64).reshape(len(queries), len(rows))
 
 
-def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Integer inner products, exact; those beyond a signed 64-bit number become its nearest end.
+def products(queries: np.ndarray, rows: np.ndarray, unit: int = 1) -> np.ndarray:
+    """Integer inner products of floor(``unit`` x), exact; those beyond a signed 64-bit number become its nearest end.
 
     Only vectors with a code of ``_HUGE`` or more leave the matrix products.
     """
     if not queries.size or not rows.size:
         return np.zeros((len(queries), len(rows)), np.int64)
-    high = [np.abs(m).max(1) for m in (queries, rows)]
-    if high[0].max() * high[1].max() * queries.shape[1] < 2.0**53:
-        return (queries @ rows.T).astype(np.int64)
+    with np.errstate(over="ignore"):
+        left, right = np.floor(queries * unit), np.floor(rows * unit)
+        high = [np.abs(m).max(1) for m in (left, right)]
+        if high[0].max() * high[1].max() * queries.shape[1] < 2.0**53:
+            return (left @ right.T).astype(np.int64)
     big = [h >= _HUGE for h in high]
-    out = _wide(np.where(big[0][:, None], 0, queries), np.where(big[1][:, None], 0, rows))
+    out = _wide(np.where(big[0][:, None], 0, left), np.where(big[1][:, None], 0, right))
     if big[0].any():
-        out[big[0]] = _whole(queries[big[0]], rows)
+        out[big[0]] = _whole(queries[big[0]], rows, unit)
     if big[1].any():
-        out[:, big[1]] = _whole(queries, rows[big[1]])
+        out[:, big[1]] = _whole(queries, rows[big[1]], unit)
     return out
 
 
@@ -112,16 +114,16 @@ def _packed(rows: DataFrame, parts: str) -> DataFrame:
 
     def run(key, part: pd.DataFrame) -> pd.DataFrame:
         ids = part["vec_id"].to_numpy(np.int64)
-        return pd.DataFrame({"dim": [key[0]], "n_shards": [key[1]], "n_blocks": [key[2]], "number": [key[3]], "ids": [ids.tobytes()], "matrix": [b"".join(np.asarray(x, np.float64).tobytes() for x in part["codes"])]})
+        return pd.DataFrame({"dim": [key[0]], "n_shards": [key[1]], "n_blocks": [key[2]], "number": [key[3]], "ids": [ids.tobytes()], "matrix": [b"".join(np.asarray(x, np.float64).tobytes() for x in part["vector"])]})
 
-    dealt = rows.select("dim", "n_shards", "n_blocks", F.pmod(F.xxhash64("row"), parts).alias("number"), "vec_id", "codes")
+    dealt = rows.select("dim", "n_shards", "n_blocks", F.pmod(F.xxhash64("row"), parts).alias("number"), "vec_id", "vector")
     return dealt.groupBy("dim", "n_shards", "n_blocks", "number").applyInPandas(run, "dim int, n_shards long, n_blocks long, number long, ids binary, matrix binary")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", tile: int = 2048, branch: int = 16) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` highest integer inner products.
 
-    A component x counts as floor(256 x), x as double. Candidates are all rows but the query's own,
+    A component x counts as floor(256 x), x as double, whole numbers of any size included. Candidates are all rows but the query's own,
     that is those with another id; equal scores go to the smaller id; with fewer candidates all are
     returned. Vectors that are null or hold null or non-finite components, and rows with a null id,
     take no part; vectors of different lengths are never compared, empty ones score 0 with each other.
@@ -131,7 +133,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     """
     vector = F.col(vector_col)
     good = vectors.where(_usable(vector) & F.col(id_col).isNotNull())
-    rows = materialise(good.select(F.col(id_col).cast("long").alias("vec_id"), is_query.alias("asked"), _codes(vector).alias("codes"), F.size(vector).alias("dim"), F.monotonically_increasing_id().alias("row")), "codes")
+    rows = materialise(good.select(F.col(id_col).cast("long").alias("vec_id"), is_query.alias("asked"), vector.cast("array<double>").alias("vector"), F.size(vector).alias("dim"), F.monotonically_increasing_id().alias("row")), "vectors")
     counted = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("asked").alias("n_asked")).where("n_asked > 0")
     counted = materialise(counted.select("dim", "n", F.ceil(F.col("n") / _size(tile)).alias("n_shards"), F.ceil(F.col("n_asked") / _size(tile)).alias("n_blocks")), "dims")
     total, most, most_asked = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n_shards"), F.lit(0)), F.coalesce(F.max("n_blocks"), F.lit(0))).first()
@@ -164,7 +166,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
                     continue
                 ids, candidates = matrix(ids, values, dim)
                 for asked, queries in kept:
-                    for query, own in zip(asked.tolist(), products(queries, candidates)):
+                    for query, own in zip(asked.tolist(), products(queries, candidates, _UNIT)):
                         other = ids != query
                         top = best(own, ids, k) if other.all() else best(own[other], ids[other], k)
                         if query in held:
@@ -175,7 +177,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
     lists = cells.mapInArrow(run, _TOP)
     order = lambda column: F.slice(F.sort_array(column, asc=False), 1, k)
-    merged = lists.select("query_id", "piece", F.transform(F.arrays_zip("scores", "ids"), lambda x: F.struct(x["scores"].alias("score"), (-x["ids"]).alias("m"))).alias("top"))
+    merged = lists.select("query_id", "piece", F.transform(F.arrays_zip("scores", "ids"), lambda x: F.struct(x["scores"].alias("score"), F.bitwise_not(x["ids"]).alias("m"))).alias("top"))
     left_over = max(1, most * most_asked)
     while True:
         merged = merged.groupBy("query_id", F.floor(F.col("piece") / branch).alias("piece")).agg(order(F.flatten(F.collect_list("top"))).alias("top"))
@@ -183,7 +185,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         if left_over == 1:
             break
     ranked = merged.select("query_id", F.posexplode("top").alias("at", "x"))
-    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), (-F.col("x.m")).alias("vec_id"), F.col("x.score").alias("score"))
+    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.bitwise_not("x.m").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def _batch(held: dict, piece: int) -> pa.RecordBatch:

@@ -1,7 +1,10 @@
 """Each operator against a plain version, and on odd tables: nulls, empties, long texts, ties, repeats, clashing names."""
 
 import itertools
+import math
+import random
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -294,6 +297,22 @@ def test_products_of_any_size_are_exact():
     assert top_k.products(np.zeros((2, 0)), np.zeros((3, 0))).tolist() == [[0] * 3] * 2
 
 
+def test_top_k_of_large_components_and_the_least_id(spark):
+    """Components far beyond 64 bits, products that cancel, fractions and the least id, against Python integers."""
+    least, far = -(2**63), [1e25, 2e25, 1e305, 1.7e308, -1e305, 3.5, -0.001, -1e-300, 2.0**52, 2.0**52 + 1, 2.0**44 + 1 / 256, 0.0]
+    rng = random.Random(5)
+    rows = [(least, [2.0, -1.0]), (1, [1e25, 2e25]), (2, [-2e25, 4e25]), (3, [1.0, 2.0]), (2**63 - 1, [-0.001, 0.5])]
+    rows += [(10 + k, [rng.choice(far), rng.choice(far)]) for k in range(40)]
+    code = lambda x: math.floor(Fraction(x) * 256)
+    want = []
+    for q, v in rows:
+        scores = [(-max(least, min(2**63 - 1, sum(code(a) * code(b) for a, b in zip(v, w)))), i) for i, w in rows if i != q]
+        want += [(q, at + 1, i, -score) for at, (score, i) in enumerate(sorted(scores)[:6])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = top_k.top_k(docs, F.lit(True), k=6, tile=8, branch=2).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_top_k_of_empty_vectors_and_many_lengths(spark, monkeypatch):
     monkeypatch.setattr(top_k, "_RESIDENT", 1)
     rows = [(1, []), (2, []), (3, []), (3, [1.0]), (4, [2.0]), (5, [1e300, 1.0]), (6, [1.0, 2.0]), (7, [-1.0, 0.5])]
