@@ -253,8 +253,9 @@ def aliased(targets: DataFrame, edges: DataFrame, coverage: DataFrame, changes:
     """``variant, findings``: drift left of each rename once the new id is an alias of the old one; none should be."""
     renames = changes.where(_is("rename_target"))
     variants = applied(targets, edges, renames)
+    # A row a rename.
     alias = F.broadcast(renames.select("variant", F.col("b").alias("_new"), F.col("a").alias("_old")))
-    back = lambda rows, end: rows.join(alias, (rows["variant"] == alias["variant"]) & (F.col(end) == F.col("_new")), "left").drop(alias["variant"]).withColumn(end, F.coalesce("_old", end)).drop("_old", "_new")
+    back = lambda rows, end: rows.join(alias.withColumnRenamed("_new", end), ["variant", end], "left").withColumn(end, F.coalesce("_old", end)).drop("_old")
     fixed = Variants(back(variants.targets, "id"), back(back(variants.edges, "source"), "target"), variants.base_targets, variants.base_edges)
     drift, edge_drift = _drift(fixed, coverage)
     left = drift.where("status <> 'coverage-gap'").select("variant").unionByName(edge_drift.where("status <> 'coverage-gap'").select("variant"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from lodestone.operators import seeded
 from lodestone.plans.model import query
-from lodestone.plans.views import RULES_SQL, Facts
+from lodestone.plans.views import RULES_SQL, TYPE_FEW_SEAMS, Facts
 
 INSTANCES = 4
 
@@ -38,8 +38,8 @@ needed AS (SELECT id, count(source) AS n FROM fp LEFT JOIN own ON target = id GR
     )
     + f""",
 plan AS (SELECT row_number() OVER (ORDER BY operator, a, b) - 1 AS variant, operator, a, b FROM (
-  SELECT 'add_forbidden_dep' AS operator, a, b FROM p_add UNION ALL SELECT 'remove_dep', a, b FROM p_cut UNION ALL SELECT 'add_target', 'synthetic:lib:added_' || (k + 1), NULL FROM range({INSTANCES}) AS g(k)
-  UNION ALL SELECT 'remove_target', a, NULL FROM p_gone UNION ALL SELECT 'rename_target', a, a || '_renamed' FROM p_gone UNION ALL SELECT 'merge_targets', a, b FROM p_merge))"""
+  SELECT 'add_forbidden_dep' AS operator, a, b FROM p_add UNION ALL SELECT 'remove_dep', a, b FROM p_cut UNION ALL SELECT 'add_target', 'synthetic:lib:added_' || (k + 1), CAST(NULL AS VARCHAR) FROM range({INSTANCES}) AS g(k)
+  UNION ALL SELECT 'remove_target', a, CAST(NULL AS VARCHAR) FROM p_gone UNION ALL SELECT 'rename_target', a, a || '_renamed' FROM p_gone UNION ALL SELECT 'merge_targets', a, b FROM p_merge))"""
 )
 
 _OUTCOMES = (
@@ -60,8 +60,8 @@ sure AS (SELECT source, target, bool_and((source, layer) IN (SELECT (id, layer)
 de AS (SELECT *, 'new' AS status FROM (SELECT * FROM vo EXCEPT SELECT * FROM bo) UNION ALL SELECT g.*, CASE WHEN ok THEN 'removed' ELSE 'gap' END FROM (SELECT * FROM bo EXCEPT SELECT * FROM vo) g JOIN sure USING (source, target)),
 touch AS (SELECT variant, operator, a, b, source, target FROM own, plan WHERE operator IN ('remove_target', 'rename_target', 'merge_targets') AND a IN (source, target)),
 want AS (
-  SELECT variant, 'new_target' AS kind, a AS x, NULL AS y FROM plan WHERE operator = 'add_target' UNION SELECT variant, 'new_target', b, NULL FROM plan WHERE operator = 'rename_target'
-  UNION SELECT variant, 'removed_target', a, NULL FROM plan WHERE operator IN ('remove_target', 'rename_target', 'merge_targets')
+  SELECT variant, 'new_target' AS kind, a AS x, CAST(NULL AS VARCHAR) AS y FROM plan WHERE operator = 'add_target' UNION SELECT variant, 'new_target', b, CAST(NULL AS VARCHAR) FROM plan WHERE operator = 'rename_target'
+  UNION SELECT variant, 'removed_target', a, CAST(NULL AS VARCHAR) FROM plan WHERE operator IN ('remove_target', 'rename_target', 'merge_targets')
   UNION SELECT variant, 'removed_edge', a, b FROM plan WHERE operator = 'remove_dep' UNION SELECT variant, 'removed_edge', source, target FROM touch
   UNION SELECT variant, 'new_edge', a, b FROM plan WHERE operator = 'add_forbidden_dep'
   UNION SELECT variant, 'new_edge', if(source = a, b, source), if(target = a, b, target) FROM touch WHERE operator = 'rename_target'
@@ -75,9 +75,9 @@ hit AS (SELECT e.variant, r."from" AS x, r."to" AS y, bool_or((e.variant, e.sour
 renames AS (SELECT o.variant, o.id AS x, n.id AS y FROM dt o JOIN dt n ON n.variant = o.variant AND n.status = 'new' AND o.status = 'removed' AND string_split(o.id, '/')[-1] = string_split(n.id, '/')[-1]
   UNION SELECT variant, max(id) FILTER (WHERE status = 'removed'), max(id) FILTER (WHERE status = 'new') FROM dt GROUP BY variant HAVING count(*) FILTER (WHERE status = 'removed') = 1 AND count(*) FILTER (WHERE status = 'new') = 1),
 found AS (
-  SELECT variant, status || '_target' AS kind, id AS x, NULL AS y FROM dt WHERE status <> 'gap' UNION SELECT variant, status || '_edge', source, target FROM de WHERE status <> 'gap' UNION SELECT variant, 'rename', x, y FROM renames
+  SELECT variant, status || '_target' AS kind, id AS x, CAST(NULL AS VARCHAR) AS y FROM dt WHERE status <> 'gap' UNION SELECT variant, status || '_edge', source, target FROM de WHERE status <> 'gap' UNION SELECT variant, 'rename', x, y FROM renames
   UNION SELECT variant, 'violation', x, y FROM hit WHERE NOT meant OR (variant, x, y) IN (SELECT (variant, x, y) FROM want WHERE kind = 'violation')),
-gaps AS (SELECT variant, 'removed_target' AS kind, id AS x, NULL AS y FROM dt WHERE status = 'gap' UNION SELECT variant, 'removed_edge', source, target FROM de WHERE status = 'gap'),
+gaps AS (SELECT variant, 'removed_target' AS kind, id AS x, CAST(NULL AS VARCHAR) AS y FROM dt WHERE status = 'gap' UNION SELECT variant, 'removed_edge', source, target FROM de WHERE status = 'gap'),
 judged AS (
   SELECT w.*, CASE WHEN f.kind IS NOT NULL THEN 'detected' WHEN g.kind IS NOT NULL THEN 'gap' ELSE 'silent' END AS outcome FROM want w
     LEFT JOIN found f ON f.variant = w.variant AND f.kind = w.kind AND f.x = w.x AND f.y IS NOT DISTINCT FROM w.y LEFT JOIN gaps g ON g.variant = w.variant AND g.kind = w.kind AND g.x = w.x AND g.y IS NOT DISTINCT FROM w.y
@@ -85,7 +85,7 @@ judged AS (
 )
 
 
-@query("SELECT variant, operator, a, b FROM plan", extra=_PLAN)
+@query("SELECT variant, operator, a, b FROM plan", extra=_PLAN, types=TYPE_FEW_SEAMS)
 def seeded_plan(f: Facts) -> DataFrame:
     """Changes of each operator, spread over its candidates."""
     return seeded.plan(f.targets, f.edges, INSTANCES)
@@ -96,27 +96,28 @@ def _judged(f: Facts) -> tuple[DataFrame, DataFrame]:
     return seeded.outcomes(f.targets, f.edges, f.coverage, f.rules, changes), changes
 
 
-@query("SELECT variant, operator, kind, x, y, outcome FROM judged JOIN plan USING (variant)", extra=_OUTCOMES)
+@query("SELECT variant, operator, kind, x, y, outcome FROM judged JOIN plan USING (variant)", extra=_OUTCOMES, types=TYPE_FEW_SEAMS)
 def seeded_outcomes(f: Facts) -> DataFrame:
     """Every finding of every variant, all variants applied at once."""
     return _judged(f)[0]
 
 
-@query("SELECT operator, kind, " + ", ".join(f"count(*) FILTER (WHERE outcome = '{o}') AS {o}" for o in ("detected", "gap", "silent", "alarm")) + " FROM judged JOIN plan USING (variant) GROUP BY ALL", extra=_OUTCOMES)
+@query("SELECT operator, kind, " + ", ".join(f"count(*) FILTER (WHERE outcome = '{o}') AS {o}" for o in ("detected", "gap", "silent", "alarm")) + " FROM judged JOIN plan USING (variant) GROUP BY ALL", extra=_OUTCOMES, types=TYPE_FEW_SEAMS)
 def seeded_tally(f: Facts) -> DataFrame:
     return seeded.tally(_judged(f)[0])
 
 
 @query(
-    """, by AS (SELECT variant, bool_and(outcome IN ('alarm', 'detected')) AS complete, bool_and(outcome <> 'alarm') AS clean, count(*) FILTER (WHERE kind = 'rename' AND outcome = 'detected') AS renamed, count(*) FILTER (WHERE kind = 'rename' AND outcome = 'alarm') AS suspected FROM judged GROUP BY variant)
-    SELECT operator, count(*) AS variants, count(*) FILTER (WHERE complete) AS complete, count(*) FILTER (WHERE clean) AS clean, count(*) FILTER (WHERE CASE WHEN operator = 'rename_target' THEN renamed > 0 ELSE suspected = 0 END) AS renames_right FROM by JOIN plan USING (variant) GROUP BY operator""",
+    """, per AS (SELECT variant, bool_and(outcome IN ('alarm', 'detected')) AS complete, bool_and(outcome <> 'alarm') AS clean, count(*) FILTER (WHERE kind = 'rename' AND outcome = 'detected') AS renamed, count(*) FILTER (WHERE kind = 'rename' AND outcome = 'alarm') AS suspected FROM judged GROUP BY variant)
+    SELECT operator, count(*) AS variants, count(*) FILTER (WHERE complete) AS complete, count(*) FILTER (WHERE clean) AS clean, count(*) FILTER (WHERE CASE WHEN operator = 'rename_target' THEN renamed > 0 ELSE suspected = 0 END) AS renames_right FROM per JOIN plan USING (variant) GROUP BY operator""",
     extra=_OUTCOMES,
+    types=TYPE_FEW_SEAMS,
 )
 def seeded_runs(f: Facts) -> DataFrame:
     return seeded.runs(*_judged(f))
 
 
-@query("SELECT variant, 0 AS findings FROM plan WHERE operator = 'rename_target'", extra=_PLAN)
+@query("SELECT variant, 0 AS findings FROM plan WHERE operator = 'rename_target'", extra=_PLAN, types=TYPE_FEW_SEAMS)
 def seeded_aliases(f: Facts) -> DataFrame:
     """A rename that is known as an alias shows no drift."""
     return seeded.aliased(f.targets, f.edges, f.coverage, seeded.plan(f.targets, f.edges, INSTANCES))

@@ -24,17 +24,17 @@ RULES = curate.Rules(
 )
 
 
-def query(sql: str | None = None, first: int = 1900, last: int = 2100, extra: str = ""):
+def query(sql: str | None = None, first: int = 1900, last: int = 2100, extra: str = "", **views):
     """Register a function of ``Facts``; its SQL follows the views' common table expressions."""
 
     def register(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(Facts(spark, sf_dir, first, last))
+            return function(Facts(spark, sf_dir, first, last, **views))
 
         run.__name__, run.__doc__ = function.__name__, function.__doc__
         QUERIES[function.__name__] = run
         if sql is not None:
-            ORACLE_SQL[function.__name__] = f"WITH RECURSIVE {facts_sql('', first, last)}{extra}\n{sql}"
+            ORACLE_SQL[function.__name__] = f"WITH RECURSIVE {facts_sql('', first, last, **views)}{extra}\n{sql}"
         return function
 
     return register

@@ -15,18 +15,20 @@ from lodestone.session import materialise
 from lodestone.sources.tables import table
 
 _TYPE = "CASE WHEN rf = 'A' AND ls = 'F' THEN 0 WHEN rf = 'R' AND ls = 'F' THEN 1 WHEN rf = 'A' THEN 2 WHEN ls = 'F' THEN 4 WHEN rf = 'N' THEN 3 ELSE 5 END"
+#: The same, but only some nations call across languages, so that others have build files and code alone as evidence.
+TYPE_FEW_SEAMS = f"CASE WHEN rf = 'R' AND ls = 'O' AND s % 5 <> 1 THEN 4 ELSE {_TYPE} END"
 
 
 class Facts:
-    """Views of the orders of some years."""
+    """Views of the orders of some years. ``types`` gives the evidence type of line items, in SQL."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, first: int = 1900, last: int = 2100):
-        self.spark, self.sf_dir, self.first, self.last = spark, sf_dir, first, last
+    def __init__(self, spark: SparkSession, sf_dir: str, first: int = 1900, last: int = 2100, types: str = _TYPE):
+        self.spark, self.sf_dir, self.first, self.last, self.types = spark, sf_dir, first, last, types
         self._built: dict[str, DataFrame] = {}
 
     def years(self, first: int, last: int) -> Facts:
         """The model of fewer years, from the same counts."""
-        out = Facts(self.spark, self.sf_dir, first, last)
+        out = Facts(self.spark, self.sf_dir, first, last, self.types)
         out._built["counts"] = self.counts
         return out
 
@@ -75,7 +77,7 @@ class Facts:
         """Evidence items of each fragment, from all line items of an edge."""
 
         def build() -> DataFrame:
-            kept = self.cube.join(self.top, ["s", "t"]).withColumn("ti", F.expr(_TYPE))
+            kept = self.cube.join(self.top, ["s", "t"]).withColumn("ti", F.expr(self.types))
             by = kept.groupBy("s", "t", "ti", "detail", "year").agg(F.sum("n").alias("n"))
             return by.select(
                 F.concat(F.lit("cxx:lib:NATION_"), "s").alias("source"),
@@ -138,7 +140,7 @@ LAYERING = [
 ]
 
 
-def facts_sql(p: str = "", first: int = 1900, last: int = 2100) -> str:
+def facts_sql(p: str = "", first: int = 1900, last: int = 2100, types: str = _TYPE) -> str:
     """The same views as common table expressions, their names prefixed with ``p``."""
     kinds = ", ".join(f"'{k}'" for k in KINDS)
     return f"""
@@ -157,7 +159,7 @@ def facts_sql(p: str = "", first: int = 1900, last: int = 2100) -> str:
     CASE ti WHEN 3 THEN n WHEN 4 THEN n % 3 END AS count,
     CASE WHEN (s + ti) % 5 = 0 AND year % 2 = 1 THEN NULL WHEN (s + t + ti + year) % 3 = 0 THEN 'private' WHEN (s + t + ti + year) % 3 = 1 THEN 'interface' ELSE 'public' END AS visibility,
     year AS fragment
-  FROM (SELECT s, t, {_TYPE} AS ti, detail, year, CAST(sum(n) AS BIGINT) AS n FROM {p}cube JOIN {p}top USING (s, t) GROUP BY ALL)),
+  FROM (SELECT s, t, {types} AS ti, detail, year, CAST(sum(n) AS BIGINT) AS n FROM {p}cube JOIN {p}top USING (s, t) GROUP BY ALL)),
 {p}merged AS (
   SELECT source, target, type, detail, CAST(sum(count) AS BIGINT) AS count, arg_min(visibility, fragment) FILTER (WHERE visibility IS NOT NULL) AS visibility
   FROM {p}items GROUP BY source, target, type, detail),
