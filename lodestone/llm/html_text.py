@@ -261,7 +261,7 @@ class _Renderer:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary" and not self.hidden(c)]
         own = yield self.lines(children)
         if node.tag in ("dd", "blockquote"):
-            return ["  " + line if line else line for line in own]
+            return _indented(own)
         return own
 
     def plain(self, node: Node) -> str:
@@ -285,7 +285,7 @@ class _Renderer:
         def outside() -> _Steps:
             if loose:
                 own = yield self.lines(list(loose))
-                out.extend("  " + line if line else line for line in own)
+                out.extend(_indented(own))
                 loose.clear()
 
         for child in node.children:
@@ -302,7 +302,7 @@ class _Renderer:
             found = yield self.lines(child.children)
             own = [line for line in found if line] or [""]
             out.append((mark + own[0]).rstrip())
-            out.extend("  " + line for line in own[1:])
+            out.extend(_indented(own[1:]))
         yield outside()
         return out
 
@@ -340,18 +340,19 @@ class _Renderer:
             def skip() -> None:
                 while below.get(len(cells), 0) > 0:
                     below[len(cells)] -= 1
-                    cells.append([])
+                    cells.append(_EMPTY)
 
             for cell in row.children:
                 if not isinstance(cell, Node) or cell.tag not in ("td", "th") or self.hidden(cell):
                     continue
                 skip()
-                wide, high = (int(v) if (v := cell.attributes.get(k, "")).isascii() and v.isdigit() and len(v) < 4 else 1 for k in ("colspan", "rowspan"))
+                wide, high = _span(cell.attributes.get("colspan", ""), 1, _WIDEST), _span(cell.attributes.get("rowspan", ""), 0, _HIGHEST)
                 own = yield self.lines(cell.children)
-                for k in range(max(1, min(wide, 100))):
-                    if high > 1:
-                        below[len(cells)] = high - 1
-                    cells.append(own if not k else [])
+                for k in range(wide):
+                    if high != 1:
+                        # No number of rows means all that are left.
+                        below[len(cells)] = (high or _HIGHEST + 1) - 1
+                    cells.append(_EMPTY if k else own)
             skip()
             grid.append(cells)
         widths: dict[int, int] = {}
@@ -366,6 +367,27 @@ class _Renderer:
 
 
 _IMPLIED: dict[str, str] = {}
+_EMPTY: list[str] = []
+#: The most columns and rows that a cell spans.
+_WIDEST, _HIGHEST = 1000, 65534
+
+
+def _span(value: str, least: int, most: int) -> int:
+    """A span as a page's number: white space and a plus before it, its leading digits count; 1 without any, or below ``least``."""
+    digits = re.match(r"[ \t\n\f\r]*\+?([0-9]+)", value)
+    number = min(int(digits[1].lstrip("0")[:9] or "0"), most) if digits else 1
+    return number if number >= least else 1
+
+
+#: Columns that lines are indented at most; what lies deeper stands there.
+_INDENT = 80
+
+
+def _indented(lines: list[str]) -> list[str]:
+    return ["  " + line if line and not line.startswith(_MARGIN) else line for line in lines]
+
+
+_MARGIN = " " * _INDENT
 
 
 def _strip_lines(lines: list[str]) -> list[str]:

@@ -41,18 +41,28 @@ class Memo:
         return self.young.__getitem__
 
 
-def words_held(spark: SparkSession, each: int, share: float = 0.3) -> int:
-    """How many words of ``each`` bytes the workers of an executor may keep, for ``share`` of its heap's size together.
+def _bytes(text: str, unit: str = "m") -> int:
+    number, own = re.fullmatch(r"(\d+)([bkmgt]?)b?", text.strip().lower()).groups()
+    return int(number) * 1024 ** "bkmgt".index(own or unit)
 
-    A worker belongs to a core. Where the cores of an executor aren't set, those of all are counted.
+
+def words_held(spark: SparkSession, each: int, wanted: int) -> int:
+    """How many words of ``each`` bytes a Python worker may keep: those of ``wanted`` bytes, or fewer where its container is smaller.
+
+    Workers live outside the executor's heap. What the session gives them, ``spark.executor.pyspark.memory``
+    or else ``spark.executor.memoryOverhead``, is dealt to the cores, a worker each, and words take half of
+    that at most. On YARN and Kubernetes, where neither is set, Spark's own overhead counts: a tenth of the
+    heap (``spark.executor.memoryOverheadFactor``), 384 MB at least. Elsewhere no container bounds a worker.
     """
     conf, master = spark.sparkContext.getConf(), spark.sparkContext.master
-    local = re.fullmatch(r"local-cluster\[\s*\d+\s*,\s*(\d+)\s*,.*", master)
-    cores = int(conf.get("spark.executor.cores", local[1] if local else str(spark.sparkContext.defaultParallelism)))
-    heap = conf.get("spark.driver.memory", "1g") if master.startswith("local") and not local else conf.get("spark.executor.memory", "1g")
-    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", heap.strip().lower()).groups()
-    size = int(number) * 1024 ** " kmgt".index(unit or "m")
-    return max(50_000, int(size * share / max(1, cores) / each))
+    given = conf.get("spark.executor.pyspark.memory", conf.get("spark.executor.memoryOverhead", ""))
+    left = _bytes(given) if given else 0
+    if not left and master.startswith(("yarn", "k8s")):
+        left = max(384 << 20, int(_bytes(conf.get("spark.executor.memory", "1g")) * float(conf.get("spark.executor.memoryOverheadFactor", "0.1"))))
+    if left:
+        cores = int(conf.get("spark.executor.cores", "1" if master.startswith(("yarn", "k8s")) else str(spark.sparkContext.defaultParallelism)))
+        wanted = min(wanted, left // (2 * max(1, cores)))
+    return max(10_000, wanted // each)
 
 
 _held = None

@@ -144,10 +144,10 @@ def word_ids(tokenizer: str, held: int) -> WordIds:
     return WordIds(tokenizer, held)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", share: float = 0.12) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", held: int = 100_000_000) -> DataFrame:
     """The tokens of each row, then id 0, cut into pieces of ``capacity`` where they are longer."""
 
-    most = words_held(docs.sparkSession, WORD_BYTES, share)
+    most = words_held(docs.sparkSession, WORD_BYTES, held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(tokenizer, most)
@@ -303,12 +303,12 @@ def pack(parts: DataFrame, capacity: int, group: int = 4096, islands: int = 2, e
     return alone.unionByName(rest)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", share: float = 0.12) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", held: int = 100_000_000) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``: every row's tokens, packed.
 
     A null or empty text is the end id alone. Rows may repeat an id or have none; each row is packed.
-    Only rows longer than ``capacity`` are cut. ``share`` bounds the words that an executor's workers
-    remember, as a part of its heap's size; it changes time and memory, never the result. Other columns are ignored; an empty table gives none.
+    Only rows longer than ``capacity`` are cut. ``held`` bounds the bytes of the words that a worker
+    remembers, which its container may bound further; it changes time and memory, never the result. Other columns are ignored; an empty table gives none.
     """
-    parts = materialise(pieces(docs, tokenizer, capacity, id_col, text_col, share), "pieces")
+    parts = materialise(pieces(docs, tokenizer, capacity, id_col, text_col, held), "pieces")
     return pack(parts, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

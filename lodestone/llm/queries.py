@@ -78,8 +78,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Nothing else has used these executors, so words may take more of their memory than in the pipeline.
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, share=0.45)
+    # Nothing else has used these workers, so words may take more of their memory than in the pipeline.
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, held=400_000_000)
 
 
 def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

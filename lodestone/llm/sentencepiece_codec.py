@@ -31,8 +31,8 @@ _USER_DEFINED, _UNUSED = 4, 5
 _UNKNOWN_PENALTY = 10.0
 #: Bytes that a word takes in a worker's memory.
 WORD_BYTES = 450
-#: Words that the workers of an executor keep take this part of its heap's size.
-SHARE = 0.45
+#: Bytes of words that a worker keeps, where its container has room for them.
+HELD = 400_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -311,7 +311,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     A null or empty text has an empty list. Ids of rows may be null or repeat; other columns are
     ignored; an empty table gives none. ``model`` is a path that every executor has.
     """
-    held = words_held(docs.sparkSession, WORD_BYTES, SHARE)
+    held = words_held(docs.sparkSession, WORD_BYTES, HELD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model, held)
@@ -335,7 +335,7 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     """``rows`` with the column ``decoded``; null ids decode to null, an empty list to the empty text."""
     names = rows.columns
     at_ids = names.index(ids_col)
-    held = words_held(rows.sparkSession, WORD_BYTES, SHARE)
+    held = words_held(rows.sparkSession, WORD_BYTES, HELD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model, held)

@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm import embedding_dedup, hnsw, html_text, labelled, near_dedup, packing, quality, queries, sentencepiece_codec, sharding, shingles, token_counts, top_k, toxicity
+from lodestone.llm import embedding_dedup, hnsw, html_text, labelled, memo, near_dedup, packing, quality, queries, sentencepiece_codec, sharding, shingles, token_counts, top_k, toxicity
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 # Columns whose names the operators use themselves.
@@ -297,6 +297,28 @@ def test_products_of_any_size_are_exact():
     assert top_k.products(np.zeros((2, 0)), np.zeros((3, 0))).tolist() == [[0] * 3] * 2
 
 
+def test_words_fit_the_container():
+    """What a session gives Python bounds the words; without that the caller's wish holds."""
+
+    class Session:
+        def __init__(self, master, **conf):
+            self.sparkContext = self
+            self.master, self.defaultParallelism = master, 8
+            self.conf = {f"spark.executor.{k.replace('__', '.')}": v for k, v in conf.items()}
+
+        def getConf(self):
+            return self.conf
+
+    held = lambda *a, **k: memo.words_held(Session(*a, **k), 100, 400_000_000)
+    assert held("local[8]") == held("spark://a:1") == 4_000_000
+    assert held("yarn", memory="4g", cores="4") == (4 * 2**30 // 10) // 8 // 100
+    assert held("yarn", memory="1g", cores="4") == (384 << 20) // 8 // 100
+    assert held("k8s://x", memory="8g", cores="2", memoryOverheadFactor="0.4") == min(400_000_000, int(8 * 2**30 * 0.4) // 4) // 100
+    assert held("spark://a:1", pyspark__memory="512m", cores="4") == (512 << 20) // 8 // 100
+    assert held("yarn", memoryOverhead="2048", cores="2", memory="64g") == 4_000_000
+    assert held("yarn", memoryOverhead="1k", cores="2") == 10_000
+
+
 def test_top_k_of_large_components_and_the_least_id(spark):
     """Components far beyond 64 bits, products that cancel, fractions and the least id, against Python integers."""
     least, far = -(2**63), [1e25, 2e25, 1e305, 1.7e308, -1e305, 3.5, -0.001, -1e-300, 2.0**52, 2.0**52 + 1, 2.0**44 + 1 / 256, 0.0]
@@ -405,6 +427,20 @@ def test_html_layout(spark):
     assert html_text.extract_text(table.limit(0)).count() == 0
 
 
+def test_html_spans():
+    for value, wide in (("3", 3), (" +2x", 2), ("0", 1), ("-4", 1), ("x", 1), ("1000", 1000), ("1001", 1000), ("99999999999999", 1000)):
+        page = f'<table><tr><td>a<td>b<tr><td colspan="{value}">wide<td>after</table>'
+        assert html_text._span(value, 1, 1000) == wide
+        assert html_text.render(page) == ("a     b\nwide  after" if wide == 1 else "a     b\nwide     after" if wide == 2 else "a     b\nwide     after")
+    assert [html_text._span(v, 0, 65534) for v in ("0", "65534", "65535", "1000", "")] == [0, 65534, 65534, 1000, 1]
+    rows = "".join(f"<tr><td>{k}" for k in range(1500))
+    got = html_text.render(f'<table><tr><td rowspan="1200">left<td>x{rows}</table>').split("\n")
+    assert got[1199] == "      1198" and got[1200] == "1199"
+    # Zero rows: all that are left.
+    assert html_text.render(f'<table><tr><td rowspan="0">left<td>x{rows}</table>').split("\n")[1500] == "      1499"
+    assert max(len(line) - len(line.lstrip()) for line in html_text.render("<ul><li>" * 400 + "deep").split("\n")) <= 80
+
+
 def test_html_stray_quotes_comments_and_row_text():
     assert html_text.render("""<a href="x"">link</a> two</p><p class="k">three</p><p id="z">four</p>""") == "link two\n\nthree\n\nfour"
     assert html_text.render("<p title=it's>hello</p><p>world</p>") == "hello\n\nworld"
