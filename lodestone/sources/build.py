@@ -165,6 +165,98 @@ def autotools(path: str, text: str) -> Iterator[tuple]:
 AUTOTOOLS = "path string, target string, kind string, member string"
 
 
+# Extensions of what a target owns, variables that point to directories, and how automake names kinds.
+OWNED = (".c", ".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp", ".hxx", ".y", ".l", ".def", ".s")
+_HERE = {"srcdir": ".", "builddir": ".", "EXEEXT": "", "OBJEXT": "o"}
+_LIBRARY = re.compile(r"(lib[\w+.-]*?)\.(a|la|so)")
+_KIND = {"PROGRAMS": "executable", "LIBRARIES": "static_lib", "LTLIBRARIES": "shared_lib"}
+
+
+def makefile(path: str, text: str) -> Iterator[tuple]:
+    """``path, dir, target, kind, member`` of an automake file or a hand-written makefile.
+
+    Kinds are the target's type, ``primary`` (the target that the directory is for), ``source`` (a file it
+    names), ``object`` (a file without its extension) and ``ref`` (a library). Names are taken as relative
+    to the makefile and to the top; which of them exist is for a join with the files to say.
+    """
+    here = posixpath.dirname(path)
+    top = posixpath.relpath(".", here) if here else "."
+    variables = _HERE | dict.fromkeys(("top_srcdir", "topdir", "top_builddir", "BUILD_DIR"), top)
+    rules: list[tuple[str, str]] = []
+    for line in logical_lines(text):
+        if m := re.match(r"([\w.@]+)\s*(\+?[:?]?=)\s*(.*)", line):
+            if m[1] not in _HERE:
+                variables[m[1]] = f"{variables.get(m[1], '')} {m[3]}" if m[2] == "+=" else m[3]
+        elif not line[0].isspace() and (m := re.match(r"([^:=]+):(?!=)(.*)", line)):
+            rules.append((m[1], m[2]))
+    rules = [(expand(a, variables).split(), expand(b, variables).split()) for a, b in rules]
+    compiled = {posixpath.splitext(posixpath.basename(a[0]))[0]: b for a, b in rules if len(a) == 1 and a[0].endswith((".o", ".lo"))}
+
+    def places(name: str) -> list[str]:
+        found = {posixpath.normpath(posixpath.join(here, name)), posixpath.normpath(name)}
+        return sorted(x for x in found if not x.startswith(("../", "/")))
+
+    def claims(target: str, tokens: list[str]) -> list[tuple]:
+        out = []
+        for token in tokens:
+            stem, extension = posixpath.splitext(token)
+            if extension.lower() in OWNED:
+                out += [(target, "source", p) for p in places(token)]
+            elif extension in (".o", ".lo"):
+                sources = [d for d in compiled.get(posixpath.basename(stem), ()) if posixpath.splitext(d)[1].lower() in OWNED[:4] + (".y", ".l")]
+                out += claims(target, sources) if sources else [(target, "object", p) for p in places(stem)]
+        return out
+
+    def library(token: str) -> str | None:
+        m = _LIBRARY.fullmatch(posixpath.basename(token))
+        return m[1] if m else "lib" + token[2:] if token.startswith("-l") and len(token) > 2 else None
+
+    kinds: dict[str, str] = {}
+    rows: list[tuple] = []
+    for name, value in sorted(variables.items()):
+        kind = re.fullmatch(r"(?!EXTRA_)(?:\w+_)?(PROGRAMS|LIBRARIES|LTLIBRARIES)", name)
+        for token in expand(value, variables).split() if kind else ():
+            target, key = library(token) or posixpath.basename(token), re.sub(r"\W", "_", posixpath.basename(token))
+            kinds.setdefault(target, _KIND[kind[1]])
+            own = lambda suffix: expand(variables.get(f"{key}_{suffix}", ""), variables).split()
+            rows += claims(target, own("SOURCES"))
+            rows += [(target, "ref", ref) for token in own("LDADD") + own("LIBADD") if (ref := library(token))]
+    if kinds:
+        primary = min(kinds, key=lambda t: (kinds[t] == "executable", t))
+    else:
+        named = library(expand(variables.get("LIBRARY_NAME", ""), variables).strip())
+        program = expand(variables.get("Program", ""), variables).strip()
+        kinds |= {named: "static_lib"} if named else {}
+        kinds |= {program: "executable"} if re.fullmatch(r"[\w+-]+", program) else {}
+        for outputs, needs in rules:
+            for output in outputs:
+                target = library(output) if not output.startswith("-") else None
+                found = claims(target or output, needs)
+                if target:
+                    kinds.setdefault(target, "static_lib")
+                elif output in kinds or found and re.fullmatch(r"(?!stamp-)[\w+-]+", output) and output.lower() not in PHONY:
+                    kinds.setdefault(output, "executable")
+                    found += [(output, "ref", ref) for need in needs if (ref := library(need))]
+                else:
+                    continue
+                rows += found
+        libraries = sorted(t for t in kinds if kinds[t] != "executable")
+        primary = program if program in kinds else named or (libraries[0] if libraries else next(iter(kinds)) if len(kinds) == 1 else None)
+        if primary:
+            values = [expand(v, variables).split() for v in variables.values()]
+            rows += [r for name in sorted(variables) if name.endswith(("SOURCES", "SRC")) for r in claims(primary, expand(variables[name], variables).split())]
+            if kinds[primary] == "executable":
+                rows += [(primary, "ref", ref) for tokens in values + [needs for _, needs in rules] for token in tokens if (ref := library(token))]
+    rows += [(t, kind, None) for t, kind in kinds.items()] + ([(primary, "primary", None)] if primary else [])
+    for row in sorted(set(rows), key=lambda r: (r[0], r[1], r[2] or "")):
+        yield path, here, *row
+
+
+# Fixed value: targets that make no file.
+PHONY = frozenset("all install uninstall clean distclean mostlyclean maintainer-clean check test tests depend tags dist force .phony".split())
+MAKEFILE = "path string, dir string, target string, kind string, member string"
+
+
 def vcxproj(path: str, text: str) -> Iterator[tuple]:
     """``path, kind, value``: configuration type, references, sources and include directories."""
     directory = posixpath.dirname(path)

@@ -13,7 +13,7 @@ SKIPPED = ("bin", "obj", ".git", "node_modules")
 
 
 def source_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """``path, text`` of the files under ``root`` whose name fits the shell pattern; any file system."""
+    """``path, text`` of the files under ``root`` whose name fits the shell pattern; any file system. Spark lists no file of zero bytes."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     place = root.rstrip("/").split("://")[-1].removeprefix("file:")
     path = F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/")

@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodestone.operators import merge
+from lodestone.operators import claims, merge
+from lodestone.session import materialise
 from lodestone.sources import build, code, deploy, files, sidecars
 
 ITEM = "source string, target string, type string, detail string, count long, visibility string, fragment string"
@@ -129,6 +130,44 @@ def native(spark: SparkSession, root: str) -> Extract:
     return Extract(_targets(known, "msbuild_cpp", 100).unionByName(_targets(missing, "msbuild_cpp", 100)), _items(refs, "msbuild_cpp"), coverage, _no_nodes(spark))
 
 
+def make_model(makefiles: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Targets (``target, dir, type, primary``), owners (``file, target, how, n_claims``) and link edges of makefiles (``path, text``).
+
+    ``sources`` are the files (``file``) that may be owned. Of a directory's makefiles the automake file counts.
+    """
+    folder = claims.directory(F.col("path"))
+    one = makefiles.groupBy(folder.alias("dir")).agg(F.min_by(F.struct("path", "text"), "path").alias("x")).select("x.*")
+    rows = materialise(files.parsed(one, build.makefile, build.MAKEFILE), "makefiles")
+    mark = rows.where("kind = 'primary'").select("dir", "target", F.lit(True).alias("_primary"))
+    declared = rows.where(F.col("kind").isin("executable", "static_lib", "shared_lib")).select("dir", "target", F.col("kind").alias("type"))
+    declared = declared.join(mark, ["dir", "target"], "left").select("target", "dir", "type", F.coalesce("_primary", F.lit(False)).alias("primary"))
+    targets = materialise(claims.canonical(declared), "targets")
+    named = rows.where("kind = 'source'").select(F.col("member").alias("file"), "target")
+    stems = sources.select("file", F.regexp_replace("file", r"\.[^./]*$", "").alias("member")).where(F.lower("file").rlike(r"\.(c|cc|cpp|cxx|y|l)$"))
+    objects = rows.where("kind = 'object'").select("member", "target").join(stems, "member").select("file", "target")
+    owned = materialise(claims.exclusive(sources, named.unionByName(objects), targets, one.select(claims.directory(F.col("path")).alias("dir"))), "owned")
+    edges = materialise(claims.link_edges(rows.where("kind = 'ref'").select("target", F.col("member").alias("ref")), targets), "links")
+    return claims.alive(targets, owned, edges), owned, edges
+
+
+def autotools(spark: SparkSession, root: str) -> Extract:
+    """Programs and libraries of makefiles: each source has one owner, link references are edges.
+
+    Reads only trees with a configure script and a makefile at the top, and no CMake description there.
+    """
+    marks = {r["path"] for name in ("{configure,configure.ac,configure.in}", "Makefile.{am,in}", "CMakeLists.txt") for r in files.source_files(spark, root, name).where(~F.col("path").contains("/")).select("path").collect()}
+    makefiles = files.source_files(spark, root, "Makefile.{am,in}")
+    if "CMakeLists.txt" in marks or not any(m.startswith("configure") for m in marks) or not any(m.startswith("Makefile") for m in marks):
+        makefiles = makefiles.where(F.lit(False))
+    sources = files.source_files(spark, root, "*.{" + ",".join(e[1:] for e in build.OWNED) + "}").select(F.col("path").alias("file"))
+    targets, _, edges = make_model(makefiles, sources)
+    id_of = lambda c: F.concat(F.lit("cxx:make:"), c)
+    known = targets.select(id_of(F.col("target")).alias("id"), F.col("target").alias("name"), "type", F.col("dir").alias("path"), F.lit(False).alias("external"))
+    items = edges.select(id_of(F.col("source")).alias("source"), id_of(F.col("target")).alias("target"), F.lit("link").alias("type"), F.concat(F.lit("makefile: "), "source", F.lit(" links "), "target").alias("detail"))
+    coverage = known.select("id", F.lit("L0").alias("layer"), F.lit("true").alias("value"), F.lit("autotools").alias("fragment"))
+    return Extract(_targets(known, "autotools", 100), _items(items, "autotools"), coverage, _no_nodes(spark))
+
+
 def _sources(spark: SparkSession, root: str) -> DataFrame:
     return files.source_files(spark, root, "*.{cs,cpp,cc,cxx,c,h,hpp,py,java,go}")
 
@@ -194,7 +233,7 @@ def deployment(spark: SparkSession, root: str) -> Extract:
 
 def extract(spark: SparkSession, root: str) -> Extract:
     """All readers over one tree, their rows side by side; ``united`` and ``edges`` make the model of them."""
-    parts = [reader(spark, root) for reader in (managed, native, seams, contracts, deployment)]
+    parts = [reader(spark, root) for reader in (managed, native, autotools, seams, contracts, deployment)]
     whole = parts[0]
     for part in parts[1:]:
         whole = Extract(*(getattr(whole, f).unionByName(getattr(part, f)) for f in ("targets", "items", "coverage", "deploy_nodes")))
