@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lodestone.operators import sequences
 from lodestone.session import materialise
 
 # Salience of a seam, a boundary and an entry; steps of a walk.
@@ -84,3 +85,21 @@ def collapsed_hops(calls: DataFrame, edges: DataFrame) -> DataFrame:
     once = calls.withColumn("_before", F.lag("container_id").over(order)).where(F.col("_before").isNull() | (F.col("_before") != F.col("container_id"))).drop("_before")
     hops = once.withColumn("to", F.lead("container_id").over(order)).where("to IS NOT NULL").select("key", "position", F.col("container_id").alias("from"), "to")
     return hops.join(edges.select(F.col("source_container").alias("from"), F.col("target_container").alias("to")).distinct(), ["from", "to"], "left_semi")
+
+
+def mined(calls: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """``path, key, name, index, from, to, description``: scenario steps that tests show, over edges of the model only.
+
+    ``calls`` are ``path, position, receiver``: the receivers of a test's calls in their order. Those that
+    are labels of the model become containers, others are passed over; calls to one container in a row are
+    one; of two containers in a row a step is made if an edge (``source_container, target_container``) leads
+    from the first to the second, and none is invented. A test without a step has no row.
+    """
+    placed = calls.join(labels(targets).withColumnRenamed("label", "receiver"), "receiver").select("path", "position", "container_id")
+    found = sequences.hops(placed, ["path"], ["position"], "container_id")
+    real = edges.select(F.col("source_container").alias("from"), F.col("target_container").alias("to")).distinct()
+    steps = sequences.numbered(found.join(real, ["from", "to"], "left_semi").select("path", "position", "from", "to"), ["path"], ["position"])
+    file = F.element_at(F.split("path", "/"), -1)
+    stem = F.regexp_replace(file, r"\.[^.]*$", "")
+    slug = F.lower(F.trim(F.regexp_replace(stem, "[^A-Za-z0-9]+", "-"), F.lit("-")))
+    return steps.select("path", F.concat(F.lit("test-"), slug).alias("key"), F.concat(F.lit("Test-derived: "), stem).alias("name"), F.col("index").cast("int").alias("index"), "from", "to", F.concat(F.lit("Observed in test "), file).alias("description"))

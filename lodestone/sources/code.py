@@ -251,6 +251,23 @@ def hosted_services(path: str, text: str) -> Iterator[tuple]:
         yield path, name
 
 
+#: Names of test files, and what a call in them looks like: a receiver, a dot, a method, a parenthesis.
+TESTS = "*{Test,_test}*.{cs,cpp}"
+_CALL = re.compile(r"([A-Za-z_]\w*)\s*\.\s*([A-Za-z_]\w*)\s*\(")
+CALLS = "path string, position int, receiver string, method string"
+
+
+def test_calls(path: str, text: str) -> Iterator[tuple]:
+    """``path, position, receiver, method`` of the calls of a test file, in their order."""
+    name = posixpath.basename(path)
+    if name.endswith(".cs") and "Test" in name or name.endswith("_test.cpp"):
+        for m in _CALL.finditer(text):
+            yield path, m.start(), m[1], m[2]
+
+
+test_calls.__test__ = False
+
+
 def service_hosts(found: DataFrame) -> DataFrame:
     """Host of each background service: the first of those that register it, by path."""
     return found.groupBy("service").agg(F.min("path").alias("host"))
