@@ -8,7 +8,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 # Line and block comment marks by language family, and languages by extension.
@@ -153,38 +153,39 @@ def content_hash(model: dict) -> str:
     return hashlib.sha256(canonical_json(without_volatile(model)).encode()).hexdigest()
 
 
-class SlugRegistry:
-    """Names unique without regard to case: the first keeps its own, a later one takes a hash suffix."""
+def _words(text: Column) -> Column:
+    """Words of letters and digits of the last part of a path; a project file's ending is none."""
+    last = F.element_at(F.split(F.replace(text, F.lit("\\"), F.lit("/")), "/"), -1)
+    return F.filter(F.split(F.regexp_replace(last, r"(?i)\.csproj$", ""), "[^0-9A-Za-z]+"), lambda w: w != "")
 
-    def __init__(self) -> None:
-        self.taken: dict[str, str] = {}
 
-    @staticmethod
-    def _joined(text: str) -> str:
-        """The words of the last part of a path in one, the first in lower case."""
-        last = re.sub(r"(?i)\.csproj$", "", text.replace("\\", "/").rpartition("/")[2])
-        words = [w for w in re.split("[^0-9A-Za-z]+", last) if w]
-        return "".join((w[0].lower() if k == 0 else w[0].upper()) + w[1:] for k, w in enumerate(words))
+def element_name(element_id: Column) -> Column:
+    """Name of an element in a diagram: the words of its repository and of its key in one, only the first in lower case.
 
-    @classmethod
-    def base(cls, element_id: str) -> str:
-        """Name of an element before it is made unique: its key's words, after those of its repository if it has one."""
-        repo, _, bare = element_id.rpartition("::")
-        key = next((part for part in reversed(bare.split(":")) if part), bare)
-        name = cls._joined(key) or cls._joined(bare) or "e"
-        if prefix := cls._joined(repo):
-            name = prefix + name[0].upper() + name[1:]
-        return name if name[0].isalpha() else "e" + name
-
-    def assign(self, element_id: str) -> str:
-        base = self.base(element_id)
-        owner = self.taken.setdefault(base.lower(), element_id)
-        if owner == element_id:
-            return base
-        return f"{base}_{hashlib.sha1(element_id.encode()).hexdigest()[:6]}"
-
-
-# Words that name a primitive, the first that a question holds counts, and how dependents are asked for.
+    The key is the last part of the id that is not empty; one without words gives way to the id's own, or to
+    ``e``. A name that would begin with a digit has ``e`` before it. Names may be equal, see ``unique_names``.
+    """
+    cut = F.split(element_id, "::")
+    bare = F.element_at(cut, -1)
+    key = F.coalesce(F.try_element_at(F.filter(F.split(bare, ":"), lambda part: part != ""), F.lit(-1)), bare)
+    first = lambda *choices: F.coalesce(*(F.when(F.size(c) > 0, c) for c in choices))
+    none = F.array().cast("array<string>")
+    repository = F.when(F.size(cut) > 1, _words(F.array_join(F.slice(cut, F.lit(1), F.size(cut) - 1), "::"))).otherwise(none)
+    words = F.concat(repository, first(_words(key), _words(bare), F.array(F.lit("e"))))
+    head = lambda w, k: F.when(k == 0, F.lower(F.left(w, F.lit(1)))).otherwise(F.upper(F.left(w, F.lit(1))))
+    name = F.array_join(F.transform(words, lambda w, k: F.concat(head(w, k), F.substr(w, F.lit(2)))), "")
+    return F.when(name.rlike("^[A-Za-z]"), name).otherwise(F.concat(F.lit("e"), name))
+
+
+def unique_names(rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """``id, name`` of each distinct id, names unequal without regard to case: of equal ones the smallest id keeps its own, others take a hash of the id."""
+    named = rows.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().withColumn("_name", element_name(F.col("id")))
+    first = named.groupBy(F.lower("_name").alias("_low")).agg(F.min("id").alias("_first"))
+    joined = named.join(first, F.lower("_name") == F.col("_low"))
+    return joined.select("id", F.when(F.col("id") == F.col("_first"), F.col("_name")).otherwise(F.concat("_name", F.lit("_"), F.left(F.sha1("id"), F.lit(6)))).alias("name"))
+
+
+# Words that name a primitive, the first that a question holds counts, and those by which dependents are asked for.
 ROUTES = (
     ("blast_radius", ("blast", "impact")),
     ("cycles_of", ("cycle",)),
@@ -192,7 +193,13 @@ ROUTES = (
     ("paths_between", ("path", "reach")),
     ("explain_of", ("why", "explain")),
 )
-ASKS_DEPENDENTS = r"(what|who|which\s+\w*)\s+depends|dependents|depended"
+DEPENDENTS, ASKERS = ("dependents", "depended"), ("what", "who", "which")
+
+
+def _asks_dependents(words: list[str]) -> bool:
+    """A question for dependents names them, or has its question word, or "which" and a noun, right before "depends"."""
+    subjects = [words[max(0, k - 2) : k] for k, word in enumerate(words) if word == "depends"]
+    return any(w in DEPENDENTS for w in words) or any(s[-1:] and (s[-1] in ASKERS or s[0] == "which") for s in subjects)
 
 
 def question_route(question: str) -> str | None:
@@ -205,4 +212,4 @@ def question_route(question: str) -> str | None:
         return named[0]
     if "depend" not in low:
         return None
-    return "dependents" if re.search(ASKS_DEPENDENTS, low) else "dependencies"
+    return "dependents" if _asks_dependents(re.findall(r"\w+", low)) else "dependencies"

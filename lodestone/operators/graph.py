@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lodestone.operators.skew import join_counted
 from lodestone.session import materialise
 
 #: Edges, and edges times seeds, that one task solves.
@@ -42,45 +43,58 @@ def _in_one_task(edges: DataFrame, run, schema: str, starts: DataFrame | None =
     return materialise(rows.coalesce(1).mapInPandas(run, schema), "local")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, src: str = "source", dst: str = "target", rounds: int = 100_000, paths: bool = False) -> DataFrame:
+class _Levels:
+    """Tables of a traversal, a few whatever its depth: four of one rank become one of the next, so a row is written again but a few times."""
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[int, DataFrame]] = []
+
+    def add(self, table: DataFrame) -> None:
+        self.tables.append((0, table))
+        while len(self.tables) >= 4 and len({rank for rank, _ in self.tables[-4:]}) == 1:
+            rank, merged = self.tables[-1][0], self.all(4)
+            self.tables[-4:] = [(rank + 1, materialise(merged, "levels"))]
+
+    def all(self, last: int = 0) -> DataFrame:
+        out = None
+        for _, table in self.tables[-last:]:
+            out = table if out is None else out.unionByName(table)
+        return out
+
+
+def reach(edges: DataFrame, seeds: DataFrame, src: str = "source", dst: str = "target", rounds: int = 100_000, paths: bool = False, until=None, local: int | None = None) -> DataFrame:
     """``seed, node, depth``: nodes that each seed reaches, itself left out, by the least number of steps.
 
-    ``paths`` adds ``path``, of the shortest paths to the node the first in the order of its nodes.
-    Raises if nodes are still found after ``rounds`` steps.
+    ``paths`` adds ``path``, of the shortest paths to the node the first in the order of its nodes. With
+    ``until``, a node, levels beyond its first may be missing. ``local`` stands for ``LOCAL``. Raises if
+    nodes are still found after ``rounds`` steps.
     """
     steps = _steps(edges, src, dst, "steps")
     kind = dict(steps.dtypes)["_a"]
     first = materialise(seeds.select(F.col("id").cast(kind).alias("_a")).where("_a IS NOT NULL").distinct(), "seeds")
     n_edges, n_seeds = steps.count(), first.count()
-    if n_edges <= LOCAL and n_edges * max(1, n_seeds) <= LOCAL_WALKS:
+    if n_edges <= (LOCAL if local is None else local) and n_edges * max(1, n_seeds) <= LOCAL_WALKS:
         found = _in_one_task(steps, _walk_all, f"seed {kind}, node {kind}, depth int, path array<{kind}>", first)
         return found if paths else found.drop("path")
     start = first.select(F.col("_a").alias("seed"), F.col("_a").alias("node"), F.lit(0).alias("depth"), *([F.array("_a").alias("path")] if paths else []))
-    frontier, levels = materialise(start, "seen"), []
-    done, levels = [], [frontier]
+    frontier, levels = materialise(start, "seen"), _Levels()
+    levels.add(frontier)
     for depth in range(1, rounds + 1):
         near = frontier.join(steps, F.col("node") == F.col("_a"))
         if paths:
             found = near.select("seed", F.col("_b").alias("node"), F.array_append("path", F.col("_b")).alias("path")).groupBy("seed", "node").agg(F.min("path").alias("path"))
         else:
             found = near.select("seed", F.col("_b").alias("node")).distinct()
-        known = levels[0].select("seed", "node")
-        for level in levels[1:]:
-            known = known.unionByName(level.select("seed", "node"))
-        if len(levels) > 8:
-            # Few tables are read again in each round, whatever the depth.
-            done, known = done + levels, materialise(known, "seen")
-            levels = [known]
-        frontier = materialise(found.join(known, ["seed", "node"], "left_anti").select("seed", "node", F.lit(depth).alias("depth"), *(["path"] if paths else [])), "frontier")
+        fresh = found.join(levels.all().select("seed", "node"), ["seed", "node"], "left_anti")
+        frontier = materialise(fresh.select("seed", "node", F.lit(depth).alias("depth"), *(["path"] if paths else [])), "frontier")
         if frontier.isEmpty():
             break
-        levels.append(frontier)
+        levels.add(frontier)
+        if until is not None and not frontier.where(F.col("node") == until).isEmpty():
+            break
     else:
         raise RuntimeError(f"nodes are still found after {rounds} steps")
-    out = None
-    for level in (x for x in done + levels if "depth" in x.columns):
-        out = level if out is None else out.unionByName(level)
-    return out.where("depth > 0")
+    return levels.all().where("depth > 0")
 
 
 def _walk_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,7 +120,7 @@ def _walk_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"seed": [seed] * len(part), "node": part, "depth": [depth[n] for n in part], "path": ways})
 
 
-def shortest_paths(edges: DataFrame, start: str, end: str, most: int = 10, src: str = "source", dst: str = "target") -> DataFrame:
+def shortest_paths(edges: DataFrame, start: str, end: str, most: int = 10, src: str = "source", dst: str = "target", local: int | None = None) -> DataFrame:
     """Shortest paths between two nodes as text, in order, ``most`` of them at most.
 
     The paths grow backward from the end; of a node only its ``most`` least suffixes go on, for with the
@@ -115,7 +129,7 @@ def shortest_paths(edges: DataFrame, start: str, end: str, most: int = 10, src:
     steps = materialise(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct(), "steps")
     spark = edges.sparkSession
     seeds = spark.createDataFrame([(start,)], "id string")
-    depths = materialise(reach(steps, seeds, "a", "b").select("node", "depth").unionByName(spark.createDataFrame([(start, 0)], "node string, depth int")), "depths")
+    depths = materialise(reach(steps, seeds, "a", "b", until=end, local=local).select("node", "depth").unionByName(spark.createDataFrame([(start, 0)], "node string, depth int")), "depths")
     goal = depths.where(F.col("node") == end).first()
     paths = spark.createDataFrame([(end, end)], "node string, path string")
     if goal is None:
@@ -172,54 +186,96 @@ def _components_at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
         yield pd.DataFrame({"node": nodes, "component": named})
 
 
-def strong_components(edges: DataFrame, src: str = "source", dst: str = "target") -> DataFrame:
+def _least(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
+    """``node, label``: the least label of the nodes that reach a node along ``a -> b``, its own included.
+
+    Labels are ``struct<order, node>``. In a round a node takes the least label of those before it, and then
+    that which the labelled node has itself: who reaches the label reaches the node. So labels cross long
+    chains in few rounds.
+    """
+    current, total = labels, labels.count()
+    for _ in range(rounds):
+        # A label may have any share of the nodes.
+        owner = current.select(F.col("node").alias("_l"), F.col("label").alias("_further"))
+        used = current.groupBy(F.col("label.node").alias("_l")).agg(F.count("*").alias("n")).join(owner, "_l")
+        jumped = join_counted(current.withColumn("_l", F.col("label.node")), used, ["_l"], total).select("node", "label", "_further")
+        near = edges.join(jumped.select(F.col("node").alias("_n"), "_further"), F.col("a") == F.col("_n")).groupBy("b").agg(F.min("_further").alias("_near"))
+        least = F.least("_further", F.coalesce("_near", "_further"))
+        current = materialise(jumped.join(near, F.col("node") == F.col("b"), "left").select("node", least.alias("label"), (least < F.col("label")).alias("moved")), "labels")
+        if current.where("moved").isEmpty():
+            return current.select("node", "label")
+    raise RuntimeError(f"labels did not settle in {rounds} rounds")
+
+
+def _inside(edges: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """``edges`` between nodes of one label, the label in ``name``."""
+    for end in ("a", "b"):
+        edges = edges.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")), end)
+    kept = [c for c in edges.columns if c not in ("_a", "_b")]
+    return edges.where("_a = _b").select(*kept, F.col("_a").alias(name))
+
+
+def strong_components(edges: DataFrame, src: str = "source", dst: str = "target", rounds: int = 200, local: int | None = None, held: int = LOCAL) -> DataFrame:
     """``node, component``: the smallest node of each strongly connected component of two or more.
 
-    Beyond ``LOCAL`` edges: nodes without an edge in or out are trimmed until none is left. Then colours
-    spread forward: each node takes the smallest node that reaches it; what reaches its colour's root
-    backward within the colour is that root's component. It is set aside, and the rest goes round again.
+    Beyond ``local`` edges (``LOCAL`` if not given): nodes get an order by hash; each takes the least node
+    that reaches it, and, within those of one such label, the least that it reaches. Where both are the same
+    node, the nodes are that node's component. Others of one component agree in both, so only edges between
+    nodes that agree go on: as graphs of their own, solved by a task each where they have at most ``held``
+    edges, and by another round, with another order, beyond. Raises if nodes are left after ``rounds``.
     """
     left = _steps(edges, src, dst, "scc").withColumnsRenamed({"_a": "a", "_b": "b"})
     kind = dict(left.dtypes)["a"]
-    if left.count() <= LOCAL:
+    bound = LOCAL if local is None else local
+    n = left.count()
+    if n <= bound:
         return _in_one_task(left.withColumnsRenamed({"a": "_a", "b": "_b"}), _components_at_once, f"node {kind}, component {kind}")
-    done = None
-    while True:
-        while True:
-            trimmed = left.join(left.select(F.col("b").alias("_n")).distinct(), F.col("a") == F.col("_n"), "left_semi").join(left.select(F.col("a").alias("_n")).distinct(), F.col("b") == F.col("_n"), "left_semi")
-            trimmed = materialise(trimmed, "scc")
-            before, after = left.count(), trimmed.count()
-            left = trimmed
-            if before == after:
-                break
-        if not after:
+    found = []
+
+    def by_task(inner: DataFrame) -> DataFrame:
+        """Solve the groups of ``a, b, group`` that a task holds; the rest is returned."""
+        sizes = materialise(inner.groupBy("group").agg(F.count("*").alias("n")), "sizes")
+        small = inner.join(sizes.where(F.col("n") <= held), "group").select("group", F.col("a").alias("_a"), F.col("b").alias("_b"))
+        found.append(materialise(small.groupBy("group").applyInPandas(_one_group, f"node {kind}, component {kind}"), "component"))
+        # Large groups are few: their edges outnumber ``held``.
+        return inner.join(sizes.where(F.col("n") > held).select("group"), "group")
+
+    for turn in range(rounds):
+        # What has no edge in or none out is no component of two.
+        ends = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+        left = materialise(ends.select("a", "b"), "scc")
+        nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        labels = materialise(nodes.select("node", F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node")).alias("label")), "labels")
+        ahead = _least(left, labels, rounds)
+        same = materialise(by_task(_inside(left, ahead, "ahead").withColumn("group", F.xxhash64("ahead.node"))), "same")
+        if same.isEmpty():
+            break
+        own = same.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        back = _least(same.select(F.col("b").alias("a"), F.col("a").alias("b")), materialise(labels.join(own, "node", "left_semi"), "labels"), rounds)
+        group = ahead.join(back.withColumnRenamed("label", "_back"), "node").where("label = _back").select(F.col("label.node").alias("root"), "node")
+        names = group.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
+        n_group = group.count()
+        found.append(materialise(join_counted(group, names, ["root"], n_group).select("node", "component"), "component"))
+        open_ = _inside(same.select("a", "b", "ahead"), back, "back").where("ahead <> back")
+        left = materialise(by_task(open_.select("a", "b", F.xxhash64("ahead.node", "back.node").alias("group"))).select("a", "b"), "scc")
+        if left.isEmpty():
             break
-        nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-        colour = materialise(nodes.select("node", F.col("node").alias("colour")), "colour")
-        while True:
-            near = left.join(colour, F.col("a") == F.col("node")).select(F.col("b").alias("node"), F.col("colour").alias("near")).groupBy("node").agg(F.min("near").alias("near"))
-            next_ = materialise(colour.join(near, "node", "left").select("node", F.least("colour", F.coalesce("near", "colour")).alias("colour"), (F.col("near") < F.col("colour")).alias("moved")), "colour")
-            settled = next_.where("moved").isEmpty()
-            colour = next_.drop("moved")
-            if settled:
-                break
-        same = left.join(colour.withColumnRenamed("colour", "ca"), F.col("a") == F.col("node")).drop("node").join(colour.withColumnRenamed("colour", "cb"), F.col("b") == F.col("node")).drop("node").where("ca = cb")
-        inside = materialise(same.select("a", "b", F.col("ca").alias("colour")), "colour")
-        roots = colour.where("node = colour").select(F.col("node").alias("id"))
-        member = reach(inside, roots, "b", "a").select("node", F.col("seed").alias("component")).unionByName(roots.select(F.col("id").alias("node"), F.col("id").alias("component")))
-        member = materialise(member, "component")
-        done = member if done is None else done.unionByName(member)
-        gone = member.select(F.col("node").alias("_n"))
-        left = materialise(left.join(gone, F.col("a") == F.col("_n"), "left_anti").join(gone, F.col("b") == F.col("_n"), "left_anti"), "scc")
-    if done is None:
-        return edges.select(F.col(src).alias("node"), F.col(src).alias("component")).where(F.lit(False))
-    sizes = done.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    return done.join(sizes.select("component"), "component", "left_semi").select("node", "component")
-
-
-def cycles(edges: DataFrame, src: str = "source", dst: str = "target") -> DataFrame:
+    else:
+        raise RuntimeError(f"nodes are left after {rounds} rounds")
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _one_group(group: pd.DataFrame) -> pd.DataFrame:
+    parts = list(_components_at_once([group.assign(kind=1)]))
+    return parts[0] if parts else pd.DataFrame({"node": group["_a"][:0], "component": group["_a"][:0]})
+
+
+def cycles(edges: DataFrame, src: str = "source", dst: str = "target", local: int | None = None) -> DataFrame:
     """``node, component`` of all cycles: strong components, and nodes with an edge to themselves that are in none."""
-    found = strong_components(edges, src, dst)
+    found = materialise(strong_components(edges, src, dst, local=local), "strong")
     loops = edges.where(F.col(src) == F.col(dst)).select(F.col(src).alias("node"), F.col(src).alias("component")).distinct()
     return found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
 

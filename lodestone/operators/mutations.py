@@ -14,9 +14,12 @@ def starved_share(edges: DataFrame, coverage: DataFrame, targets: DataFrame, sha
     return clusterings.starve(edges, coverage, ranking.spread(targets.select("id"), count, ["id"]))
 
 
-def additions(count: int, spark) -> DataFrame:
-    """``id, name``: targets to add."""
-    return spark.range(count).select(F.concat(F.lit("synthetic:lib:added_"), "id").alias("id"), F.concat(F.lit("added_"), "id").alias("name"))
+def additions(targets: DataFrame, count: int) -> DataFrame:
+    """``id, name, container_id``: targets to add, at most ``count``, each beside one of as many targets spread over the model; known ids are left out."""
+    placed = ranking.before(targets.select(F.col("id").alias("_at"), "container_id"), ["_at"])
+    turn = F.explode(F.filter(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.floor(i * F.col("_total") / count) == F.col("_before")))
+    named = placed.select(turn.alias("_k"), "container_id").select(F.concat(F.lit("synthetic:lib:added_"), F.col("_k").cast("string")).alias("id"), F.concat(F.lit("added_"), F.col("_k").cast("string")).alias("name"), "container_id")
+    return named.join(targets.select("id"), "id", "left_anti")
 
 
 def removable_edges(edges: DataFrame) -> DataFrame:

@@ -70,8 +70,11 @@ def part_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(edges).groupBy("component").agg(F.count("*").alias("size"))
 
 
-@query(""", walk(node, depth) AS (SELECT min(source), 0 FROM steps UNION SELECT s.target, w.depth + 1 FROM walk w JOIN steps s ON s.source = w.node WHERE w.depth < 12)
-    SELECT (SELECT min(source) FROM steps) AS seed, node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node HAVING min(depth) > 0""")
+_REACHED = """, walk(node, depth) AS (SELECT min(source), 0 FROM steps UNION SELECT s.target, w.depth + 1 FROM walk w JOIN steps s ON s.source = w.node WHERE w.depth < 12)
+    SELECT (SELECT min(source) FROM steps) AS seed, node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node HAVING min(depth) > 0"""
+
+
+@query(_REACHED)
 def part_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps from the first part to all others."""
     steps = steps_of(spark, sf_dir)
@@ -87,17 +90,24 @@ def part_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), " > ").alias("path"))
 
 
-@query(""", depths(node, depth) AS (SELECT min(source), 0 FROM steps UNION SELECT s.target, d.depth + 1 FROM depths d JOIN steps s ON s.source = d.node WHERE d.depth < 8),
+_PATHS = """, depths(node, depth) AS (SELECT min(source), 0 FROM steps UNION SELECT s.target, d.depth + 1 FROM depths d JOIN steps s ON s.source = d.node WHERE d.depth < 8),
     near AS (SELECT node, min(depth) AS depth FROM depths GROUP BY node), goal AS (SELECT max(target) AS node FROM steps),
     back(node, path, depth) AS (
       SELECT node, CAST(node AS VARCHAR), depth FROM near WHERE node = (SELECT node FROM goal)
       UNION ALL SELECT s.source, s.source || ' > ' || b.path, b.depth - 1 FROM back b JOIN steps s ON s.target = b.node JOIN near n ON n.node = s.source AND n.depth = b.depth - 1)
-    SELECT path, CAST((SELECT depth FROM near WHERE node = (SELECT node FROM goal)) AS INTEGER) AS hops FROM back WHERE depth = 0 ORDER BY path LIMIT 10""")
+    SELECT path, CAST((SELECT depth FROM near WHERE node = (SELECT node FROM goal)) AS INTEGER) AS hops FROM back WHERE depth = 0 ORDER BY path LIMIT 10"""
+
+
+@query(_PATHS)
 def part_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten of the shortest paths from the first part to the last."""
+    return _paths(spark, sf_dir)
+
+
+def _paths(spark: SparkSession, sf_dir: str, local: int | None = None) -> DataFrame:
     steps = steps_of(spark, sf_dir).select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"))
     ends = steps.agg(F.min(F.col("source").cast("long")).alias("first"), F.max(F.col("target").cast("long")).alias("last")).first()
-    return graph.shortest_paths(steps, str(ends["first"]), str(ends["last"]))
+    return graph.shortest_paths(steps, str(ends["first"]), str(ends["last"]), local=local)
 
 
 @query(""", ends AS (SELECT source AS node, target AS outs, CAST(NULL AS BIGINT) AS ins, weight FROM steps WHERE source <> target UNION ALL SELECT target, CAST(NULL AS BIGINT), source, weight FROM steps WHERE source <> target)
@@ -115,3 +125,50 @@ def part_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = steps_of(spark, sf_dir).select("source", "target", "weight", often.alias("is_declared_dependency"), F.when(often, "medium").otherwise("low").alias("confidence"))
     targets = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("container_id"))
     return lift.container_edges(edges, targets)
+
+
+# The same questions with every step distributed, as for graphs that no task holds.
+
+_TOUCHED = ", ends AS (SELECT source AS a, target AS b FROM {0} WHERE source <> target UNION SELECT target, source FROM {0} WHERE source <> target), touch(a, b) AS (SELECT a, a FROM ends UNION SELECT t.a, e.b FROM touch t JOIN ends e ON t.b = e.a) SELECT a AS node, min(b) AS component FROM touch GROUP BY a"
+# The first node's component by two walks, and the pairs that reach each other among all other nodes.
+_STRONG_STEPS = """, hop AS (SELECT source, target FROM steps WHERE source <> target), top AS (SELECT min(source) AS node FROM hop),
+fore(node) AS (SELECT node FROM top UNION SELECT target FROM fore JOIN hop ON source = node), back(node) AS (SELECT node FROM top UNION SELECT source FROM back JOIN hop ON target = node),
+core AS (SELECT node FROM fore JOIN back USING (node)), rest AS (SELECT source, target FROM hop WHERE source NOT IN (SELECT node FROM core) AND target NOT IN (SELECT node FROM core)),
+touch(a, b) AS (SELECT source, target FROM rest UNION SELECT t.a, e.target FROM touch t JOIN rest e ON t.b = e.source),
+comp AS (SELECT x.a AS node, min(x.b) AS component FROM touch x JOIN touch y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(DISTINCT x.b) > 1
+  UNION ALL SELECT node, (SELECT min(node) FROM core) FROM core WHERE (SELECT count(*) FROM core) > 1)"""
+
+
+@query(_TOUCHED.format("next"))
+def far_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the next graph."""
+    return connected_components(next_of(steps_of(spark, sf_dir)), "source", "target")
+
+
+@query(f"{_STRONG} SELECT node, component FROM comp")
+def far_strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strong components of the next graph: long chains into small cycles."""
+    return graph.strong_components(next_of(steps_of(spark, sf_dir)), local=0)
+
+
+@query(f"{_STRONG_STEPS} SELECT node, component FROM comp")
+def far_strong_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strong components of all steps."""
+    return graph.strong_components(steps_of(spark, sf_dir), local=0)
+
+
+@query(f"{_STRONG_STEPS}, loops AS (SELECT source AS node FROM steps WHERE source = target) SELECT component, count(*) AS size FROM (SELECT node, component FROM comp UNION ALL SELECT node, node FROM loops WHERE node NOT IN (SELECT node FROM comp)) GROUP BY component")
+def far_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of all cycles of the steps."""
+    return graph.cycles(steps_of(spark, sf_dir), local=0).groupBy("component").agg(F.count("*").alias("size"))
+
+
+@query(_REACHED)
+def far_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = steps_of(spark, sf_dir)
+    return graph.reach(steps, steps.agg(F.min("source").alias("id")), local=0)
+
+
+@query(_PATHS)
+def far_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir, 0)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from lodestone.functions import evidence as ev, identifiers as ids
 from lodestone.operators import clusterings, curate, govern, graph, lift, merge, partition, propose, ranking, risk, scenarios, score, summaries
 from lodestone.operators.components import connected_components
-from lodestone.plans.views import RULES_SQL, Facts, facts_sql
+from lodestone.plans.views import RULES_SQL, TYPE_ONE_SIDE, Facts, facts_sql
 from lodestone.sources import rsf
 
 QUERIES: dict = {}
@@ -457,7 +457,7 @@ def coverage_gaps(f: Facts) -> DataFrame:
     return risk.coverage_gaps(f.targets, f.coverage)
 
 
-@query("SELECT type, min(target_container) AS provider, count(DISTINCT source_container) AS sources, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT DISTINCT type, source, target, source_container, target_container, lifted.weight FROM lifted JOIN merged USING (source, target) WHERE source_container <> target_container) GROUP BY type HAVING count(DISTINCT target_container) = 1 AND count(DISTINCT source_container) >= 3 AND sum(weight) >= 4")
+@query("SELECT type, min(target_container) AS provider, count(DISTINCT source_container) AS sources, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT DISTINCT type, source, target, source_container, target_container, lifted.weight FROM lifted JOIN merged USING (source, target) WHERE source_container <> target_container) GROUP BY type HAVING count(DISTINCT target_container) = 1 AND count(DISTINCT source_container) >= 3 AND sum(weight) >= 4", types=TYPE_ONE_SIDE)
 def sole_provider(f: Facts) -> DataFrame:
     return risk.sole_providers(f.edges, f.targets)
 

@@ -170,7 +170,7 @@ def win_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Seams of languages; parts and suppliers stand for boundaries and targets.
 
 _NATIVE = """WITH boundaries AS (SELECT 'b:' || p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'lib' || split_part(p_name, ' ', 1) || '.so' WHEN 1 THEN upper(split_part(p_name, ' ', 1)) || '.DLL' ELSE split_part(p_name, ' ', 2) END AS name FROM part),
-candidates AS (SELECT DISTINCT 't:' || p_type || ':' || split_part(p_name, ' ', 1) AS id, CASE WHEN p_type = 'SMALL' THEN 'shared_lib' ELSE 'static_lib' END AS type, split_part(p_name, ' ', 1) AS name FROM part WHERE p_type < 'N'),
+candidates AS (SELECT DISTINCT 't:' || p_type || ':' || split_part(p_name, ' ', 1) AS id, CASE WHEN p_type = 'LARGE' THEN 'shared_lib' ELSE 'static_lib' END AS type, split_part(p_name, ' ', 1) AS name FROM part WHERE p_type < 'N'),
 hits AS (SELECT b.id AS boundary, c.id, c.type FROM boundaries b JOIN candidates c ON regexp_replace(CASE WHEN starts_with(lower(b.name), 'lib') THEN substr(lower(b.name), 4) ELSE lower(b.name) END, '\\.(dll|so|dylib)$', '') = CASE WHEN starts_with(lower(c.name), 'lib') THEN substr(lower(c.name), 4) ELSE lower(c.name) END),
 native AS (SELECT boundary, CASE WHEN count(*) FILTER (WHERE type = 'shared_lib') = 1 THEN min(id) FILTER (WHERE type = 'shared_lib') WHEN count(*) = 1 THEN min(id) END AS target FROM hits GROUP BY boundary)"""
 
@@ -178,7 +178,7 @@ native AS (SELECT boundary, CASE WHEN count(*) FILTER (WHERE type = 'shared_lib'
 def _boundaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf_dir, "part")
     boundaries = part.selectExpr("concat('b:', p_partkey) AS id", "CASE p_size % 3 WHEN 0 THEN concat('lib', split_part(p_name, ' ', 1), '.so') WHEN 1 THEN concat(upper(split_part(p_name, ' ', 1)), '.DLL') ELSE split_part(p_name, ' ', 2) END AS name")
-    targets = part.where("p_type < 'N'").selectExpr("concat('t:', p_type, ':', split_part(p_name, ' ', 1)) AS id", "CASE WHEN p_type = 'SMALL' THEN 'shared_lib' ELSE 'static_lib' END AS type", "split_part(p_name, ' ', 1) AS name").distinct()
+    targets = part.where("p_type < 'N'").selectExpr("concat('t:', p_type, ':', split_part(p_name, ' ', 1)) AS id", "CASE WHEN p_type = 'LARGE' THEN 'shared_lib' ELSE 'static_lib' END AS type", "split_part(p_name, ' ', 1) AS name").distinct()
     return boundaries, targets
 
 

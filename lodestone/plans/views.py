@@ -17,6 +17,8 @@ from lodestone.sources.tables import table
 _TYPE = "CASE WHEN rf = 'A' AND ls = 'F' THEN 0 WHEN rf = 'R' AND ls = 'F' THEN 1 WHEN rf = 'A' THEN 2 WHEN ls = 'F' THEN 4 WHEN rf = 'N' THEN 3 ELSE 5 END"
 #: The same, but only some nations call across languages, so that others have build files and code alone as evidence.
 TYPE_FEW_SEAMS = f"CASE WHEN rf = 'R' AND ls = 'O' AND s % 5 <> 1 THEN 4 ELSE {_TYPE} END"
+#: The same, but only the nations of one region are called across languages.
+TYPE_ONE_SIDE = f"CASE WHEN rf = 'R' AND ls = 'O' AND t % 5 <> 2 THEN 4 ELSE {_TYPE} END"
 
 
 class Facts:

@@ -283,9 +283,9 @@ def renamable_targets(f: Facts) -> DataFrame:
     return mutations.renamable_targets(f.targets)
 
 
-@query("SELECT 'synthetic:lib:added_' || i AS id, 'added_' || i AS name FROM range(5) t(i)")
+@query("SELECT 'synthetic:lib:added_' || i AS id, 'added_' || i AS name, container_id FROM (SELECT container_id, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM targets) JOIN range(5) t(i) ON k = i * n // 5")
 def planned_additions(f: Facts) -> DataFrame:
-    return mutations.additions(5, f.spark)
+    return mutations.additions(f.targets, 5)
 
 
 @query("SELECT source, target FROM edges WHERE source NOT IN (SELECT id FROM gone) AND target NOT IN (SELECT id FROM gone)", extra=", gone AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM targets) WHERE k IN (SELECT CAST(floor(i * 25 / 8) AS BIGINT) FROM range(8) t(i)))")

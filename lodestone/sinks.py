@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.functions.texts import SlugRegistry, canonical_json
+from lodestone.functions.texts import canonical_json, unique_names
 from lodestone.sources import rsf
 
 
@@ -67,9 +67,8 @@ def diagram(containers: DataFrame, edges: DataFrame, most: int = 500) -> str:
     rows = containers.orderBy("container_id").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"a view of more than {most} containers")
-    slugs = SlugRegistry()
     quote = lambda s: '"' + str(s).replace("\\", "\\\\").replace('"', '\\"') + '"'
-    names = {r["container_id"]: slugs.assign(r["container_id"]) for r in rows}
+    names = {r["id"]: r["name"] for r in unique_names(containers, "container_id").collect()}
     lines = [f"{names[r['container_id']]} = container {quote(r['container_id'].removeprefix('container:'))} {{ tags {quote('external' if r['boundary'] else 'internal')} }}" for r in rows]
     # Between so few containers there are no more than their square.
     inner = edges.where(F.col("source_container").isin(list(names)) & F.col("target_container").isin(list(names)))

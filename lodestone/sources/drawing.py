@@ -83,7 +83,7 @@ def diagram(path: str, text: str) -> Iterator[tuple]:
             yield path, "group", _slug(strings[0]), strings[0], "", "", parent, begin
             opened = (strings[0], "")
         elif words and words[0].lower() in VERBATIM and len(held) == 1 and end == "{":
-            yield path, words[0].lower(), "", "", text[at : _block_end(text, at)].strip("\r\n"), "", parent, begin
+            yield path, words[0].lower(), "", "", text[at : _block_end(text, at)].lstrip("\r\n").rstrip(), "", parent, begin
             continue
         else:
             ident, kind = (words[0], words[2]) if words[1:2] == ["="] and len(words) > 2 else ("", words[0] if words else "")

@@ -24,8 +24,12 @@ def source_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return found.select(relative.alias("path"), text.alias("text")).where(~skipped)
 
 
+#: What a reader raises on a file that it can't read.
+UNREADABLE = (ValueError, KeyError, TypeError, AttributeError, SyntaxError, yaml.YAMLError)
+
+
 def parsed(files: DataFrame, parse: Callable[[str, str], Iterator[tuple] | list[tuple]], schema: str) -> DataFrame:
-    """Rows that ``parse(path, text)`` yields for each file; a file it can't read gives none."""
+    """Rows that ``parse(path, text)`` yields for each file; a file it can't read gives none here and one in ``unread``."""
     columns = [part.strip().split()[0] for part in _split_schema(schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -34,13 +38,31 @@ def parsed(files: DataFrame, parse: Callable[[str, str], Iterator[tuple] | list[
             for path, text in zip(batch["path"], batch["text"]):
                 try:
                     rows += list(parse(path, text or ""))
-                except (ValueError, KeyError, TypeError, AttributeError, SyntaxError, yaml.YAMLError):
+                except UNREADABLE:
                     continue
             yield pd.DataFrame(rows, columns=columns)
 
     return files.mapInPandas(run, schema)
 
 
+def unread(files: DataFrame, parse: Callable[[str, str], Iterator[tuple] | list[tuple]]) -> DataFrame:
+    """``path, reader, error`` of the files that ``parse`` can't read."""
+    reader = getattr(parse, "__name__", "reader")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, text in zip(batch["path"], batch["text"]):
+                try:
+                    for _ in parse(path, text or ""):
+                        pass
+                except UNREADABLE as error:
+                    rows.append((path, reader, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["path", "reader", "error"], dtype=object)
+
+    return files.mapInPandas(run, "path string, reader string, error string")
+
+
 def _split_schema(schema: str) -> list[str]:
     parts, depth, start = [], 0, 0
     for k, c in enumerate(schema):

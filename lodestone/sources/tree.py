@@ -217,14 +217,29 @@ def _no_nodes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], deploy.NODES)
 
 
+_DEPLOYED = (
+    ("{docker-compose,compose}*.{yml,yaml}", deploy.compose), ("Dockerfile*", deploy.dockerfile), ("*.{yml,yaml}", deploy.kubernetes), ("*.tf", deploy.terraform),
+    ("*.bicep", deploy.bicep), ("*.json", deploy.arm),
+)
+_READ = (
+    ("*.sln", build.solution), ("*.slnx", build.xml_solution), ("*.csproj", build.project_refs), ("*.vcxproj", build.vcxproj), ("*.{idl,rgs}", build.com_classes), ("Makefile.{am,in}", build.makefile),
+    ("*.{cs,cpp,cc,cxx,c,h,hpp,py,java,go}", code.interop),
+)
+
+
+def unread(spark: SparkSession, root: str) -> DataFrame:
+    """``path, reader, error`` of every file of a tree that a reader of ``extract`` could not read; nothing vanishes without a word."""
+    out = None
+    for pattern, reader in (*_READ, *_DEPLOYED):
+        part = files.unread(files.source_files(spark, root, pattern), reader)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def deployment(spark: SparkSession, root: str) -> Extract:
     """Nodes and calls of compose files, container, cluster and infrastructure descriptions; calls become evidence of the running system."""
-    readers = (
-        ("{docker-compose,compose}*.{yml,yaml}", deploy.compose), ("Dockerfile*", deploy.dockerfile), ("*.{yml,yaml}", deploy.kubernetes), ("*.tf", deploy.terraform),
-        ("*.bicep", deploy.bicep), ("*.json", deploy.arm),
-    )
     rows = None
-    for pattern, reader in readers:
+    for pattern, reader in _DEPLOYED:
         part = files.parsed(files.source_files(spark, root, pattern), reader, deploy.NODES)
         rows = part if rows is None else rows.unionByName(part)
     calls = rows.where("record = 'edge'").select(F.col("id").alias("source"), "target", F.lit("runtime").alias("type"), "detail")

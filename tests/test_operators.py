@@ -177,11 +177,10 @@ def test_statistics():
     assert partition.mojo_fm({"a": "x", "b": "y", "c": "z"}, same) < 100
 
 
-def test_line_counter_and_slugs():
+def test_line_counter_hash_and_routes():
     counted = texts.count_lines("int a; // TODO\n\n/* x\n y */ int b;\n// z\n", "c")
     assert counted == {"blank": 1, "comment": 2, "code": 2, "todo": 1}
-    registry = texts.SlugRegistry()
-    first, second = registry.assign("cxx:lib:My-Lib"), registry.assign("cxx:exe:my-lib")
-    assert first == "myLib" and second.startswith("myLib_") and registry.assign("cxx:lib:My-Lib") == first
     assert texts.content_hash({"a": 1, "provenance": {"commit": 2}}) == texts.content_hash({"a": 1, "provenance": {"commit": 3}})
+    for question, route in (("which module depends on x", "dependents"), ("what does core depend on", "dependencies"), ("show dependents of x", "dependents"), ("x depends on?", "dependencies"), ("which depends", "dependents"), ("depends", "dependencies")):
+        assert texts.question_route(question) == route
     assert texts.question_route("Who depends on core?") == "dependents" and texts.question_route("hello") is None

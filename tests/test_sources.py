@@ -1,6 +1,6 @@
 """Readers of build and deployment descriptions on small source trees."""
 
-from lodestone.sources import build, deploy, files, rsf
+from lodestone.sources import build, deploy, files, rsf, tree
 
 SOLUTION = '''
 Project("{FAE04EC0-301F-11D3-BF4B-00C04F79EFBC}") = "App", "src\\App\\App.csproj", "{A1}"
@@ -81,3 +81,13 @@ def test_rsf_round_trip(spark):
     assert [r.line for r in lines.collect()] == ['depend "a b" c']
     assert [tuple(r) for r in rsf.parse_lines(lines, "line").collect()] == [("depend", "a b", "c")]
     assert sorted(r.line for r in rsf.contain_lines(targets).collect()) == ["contain c c", 'contain k "a b"']
+
+
+def test_unreadable_files_are_rows(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "bad.csproj").write_text("<Project><ItemGroup>")
+    (tmp_path / "a" / "good.csproj").write_text("<Project/>")
+    (tmp_path / "compose.yml").write_text("services: [")
+    got = {(r.path, r.reader): r.error for r in tree.unread(spark, str(tmp_path)).collect()}
+    assert {k for k in got if k[1] != "kubernetes"} == {("a/bad.csproj", "project_refs"), ("compose.yml", "compose")}
+    assert got["a/bad.csproj", "project_refs"].startswith("ParseError")

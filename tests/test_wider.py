@@ -1,5 +1,6 @@
 """The run over a source tree, side files, sinks, canonical models, and refusals."""
 
+import re
 import json
 
 import numpy as np
@@ -145,10 +146,11 @@ def test_lines_by_fold_and_by_hand(spark, family):
 
 
 def test_names_of_elements_and_texts(spark):
-    base = texts.SlugRegistry.base
-    assert [base(i) for i in ("csharp:csproj:src/Web/Toy.Web.csproj", "container:webFrontend", "ControlApp::csharp:csproj:src/Web/Toy.Web.csproj", "cxx:lib:7zip", "x:y:", "::", "...")] == ["toyWeb", "webFrontend", "controlAppToyWeb", "e7zip", "y", "e", "e"]
-    slugs = texts.SlugRegistry()
-    assert slugs.assign("a:lib:Core") == "core" and slugs.assign("b:lib:core").startswith("core_") and slugs.assign("a:lib:Core") == "core"
+    ids = ["csharp:csproj:src/Web/Toy.Web.csproj", "container:webFrontend", "ControlApp::csharp:csproj:src/Web/Toy.Web.csproj", "cxx:lib:7zip", "x:y:", "::", "..."]
+    got = {r.id: r.name for r in spark.createDataFrame([(i,) for i in ids], "id string").select("id", texts.element_name(F.col("id")).alias("name")).collect()}
+    assert [got[i] for i in ids] == ["toyWeb", "webFrontend", "controlAppToyWeb", "e7zip", "y", "e", "e"]
+    names = {r.id: r.name for r in texts.unique_names(spark.createDataFrame([("a:lib:Core",), ("b:lib:core",), ("a:lib:Core",), (None,)], "id string")).collect()}
+    assert names["a:lib:Core"] == "core" and re.fullmatch("core_[0-9a-f]{6}", names["b:lib:core"]) and len(names) == 2
     rows = spark.createDataFrame([(1, [" ", None]), (2, ["", "x"]), (3, None), (4, [])], "id int, r array<string>")
     assert {r.id for r in rows.where(texts.has_text(F.col("r"))).collect()} == {2}
 
