@@ -190,8 +190,8 @@ def _least(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
     """``node, label``: the least label of the nodes that reach a node along ``a -> b``, its own included.
 
     Labels are ``struct<order, node>``. In a round a node takes the least label of those before it, and then
-    that which the labelled node has itself: who reaches the label reaches the node. So labels cross long
-    chains in few rounds.
+    that which the labelled node has itself: who reaches the label reaches the node. Over nodes
+    each less than all before it a label still moves one step a round.
     """
     current, total = labels, labels.count()
     for _ in range(rounds):
