@@ -3,7 +3,8 @@
 Graphs of up to ``LOCAL`` edges (counted, not guessed) are solved by one task in memory: a round of
 a distributed traversal costs more than such a graph's whole solution. Larger graphs go by frontier:
 each round is an equi-join of the frontier with the edges, written once, so plans stay small and a
-lost executor costs a re-read. Both ways give the same rows.
+lost executor costs a re-read. Both ways give the same rows. Graphs without forks, whose ways may be
+very long, take steps that double instead.
 """
 
 from __future__ import annotations
@@ -197,20 +198,53 @@ def _least(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
     for _ in range(rounds):
         # A label may have any share of the nodes.
         owner = current.select(F.col("node").alias("_l"), F.col("label").alias("_further"))
-        used = current.groupBy(F.col("label.node").alias("_l")).agg(F.count("*").alias("n")).join(owner, "_l")
-        jumped = join_counted(current.withColumn("_l", F.col("label.node")), used, ["_l"], total).select("node", "label", "_further")
-        near = edges.join(jumped.select(F.col("node").alias("_n"), "_further"), F.col("a") == F.col("_n")).groupBy("b").agg(F.min("_further").alias("_near"))
+        used = current.groupBy(F.col("label.node").alias("_l")).agg(F.count("*").alias("n")).join(owner.hint("merge"), "_l")
+        jumped = join_counted(current.withColumn("_l", F.col("label.node")), used, ["_l"], total, shuffled=True).select("node", "label", "_further")
+        near = edges.join(jumped.select(F.col("node").alias("_n"), "_further").hint("merge"), F.col("a") == F.col("_n")).groupBy("b").agg(F.min("_further").alias("_near"))
         least = F.least("_further", F.coalesce("_near", "_further"))
-        current = materialise(jumped.join(near, F.col("node") == F.col("b"), "left").select("node", least.alias("label"), (least < F.col("label")).alias("moved")), "labels")
+        current = materialise(jumped.join(near.hint("merge"), F.col("node") == F.col("b"), "left").select("node", least.alias("label"), (least < F.col("label")).alias("moved")), "labels")
         if current.where("moved").isEmpty():
             return current.select("node", "label")
     raise RuntimeError(f"labels did not settle in {rounds} rounds")
 
 
+def _doubled(steps: DataFrame, n: int) -> DataFrame:
+    """``_a, _b`` two steps on, where ``n`` rows ``_a, _b`` lead from each ``_a`` one step on. Many may lead to one node."""
+    onward = steps.groupBy("_b").agg(F.count("*").alias("n")).join(steps.select(F.col("_a").alias("_b"), F.col("_b").alias("_further")).hint("merge"), "_b")
+    return materialise(join_counted(steps, onward, ["_b"], n, shuffled=True).select("_a", F.col("_further").alias("_b")), "doubled")
+
+
+def _forkless(steps: DataFrame, n: int) -> bool:
+    """Whether no two of the ``n`` steps start in one node."""
+    return steps.select("_a").distinct().count() == n
+
+
+def _rings(steps: DataFrame, n: int) -> DataFrame:
+    """``node, component`` of the rings of a graph in which no node has two followers: its strong components of two or more.
+
+    Only nodes that some node leads to go on, by ever longer steps. Once each of them is led to, the steps
+    permute them: then all are in rings. Both this and the least of a ring take as many rounds as the
+    longest way has binary digits.
+    """
+    far = steps
+    while n:
+        kept = materialise(far.join(far.select(F.col("_b").alias("_a")).distinct().hint("merge"), "_a", "left_semi"), "rings")
+        n_kept = kept.count()
+        if n_kept == n:
+            break
+        far = _doubled(kept, n_kept)
+        n = far.count()
+    ring = materialise(steps.join(far.select("_a").hint("merge"), "_a", "left_semi").select("_a", "_b", F.least("_a", "_b").alias("low"), F.lit(True).alias("moved")), "rings")
+    while not ring.where("moved").isEmpty():
+        ahead = ring.select(F.col("_a").alias("_b"), F.col("_b").alias("_further"), F.col("low").alias("_low"))
+        ring = materialise(ring.join(ahead.hint("merge"), "_b").select("_a", F.col("_further").alias("_b"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("moved")), "rings")
+    return ring.select(F.col("_a").alias("node"), F.col("low").alias("component"))
+
+
 def _inside(edges: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     """``edges`` between nodes of one label, the label in ``name``."""
     for end in ("a", "b"):
-        edges = edges.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")), end)
+        edges = edges.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")).hint("merge"), end)
     kept = [c for c in edges.columns if c not in ("_a", "_b")]
     return edges.where("_a = _b").select(*kept, F.col("_a").alias(name))
 
@@ -223,6 +257,8 @@ def strong_components(edges: DataFrame, src: str = "source", dst: str = "target"
     node, the nodes are that node's component. Others of one component agree in both, so only edges between
     nodes that agree go on: as graphs of their own, solved by a task each where they have at most ``held``
     edges, and by another round, with another order, beyond. Raises if nodes are left after ``rounds``.
+
+    A graph in which no node has two followers, or none two before it, is solved by steps that double.
     """
     left = _steps(edges, src, dst, "scc").withColumnsRenamed({"_a": "a", "_b": "b"})
     kind = dict(left.dtypes)["a"]
@@ -230,6 +266,10 @@ def strong_components(edges: DataFrame, src: str = "source", dst: str = "target"
     n = left.count()
     if n <= bound:
         return _in_one_task(left.withColumnsRenamed({"a": "_a", "b": "_b"}), _components_at_once, f"node {kind}, component {kind}")
+    for end, other in (("a", "b"), ("b", "a")):
+        one_way = left.select(F.col(end).alias("_a"), F.col(other).alias("_b"))
+        if _forkless(one_way, n):
+            return _rings(one_way, n)
     found = []
 
     def by_task(inner: DataFrame) -> DataFrame:
@@ -242,7 +282,7 @@ def strong_components(edges: DataFrame, src: str = "source", dst: str = "target"
 
     for turn in range(rounds):
         # What has no edge in or none out is no component of two.
-        ends = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+        ends = left.join(left.select(F.col("b").alias("a")).distinct().hint("merge"), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct().hint("merge"), "b", "left_semi")
         left = materialise(ends.select("a", "b"), "scc")
         nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         labels = materialise(nodes.select("node", F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node")).alias("label")), "labels")
@@ -251,11 +291,11 @@ def strong_components(edges: DataFrame, src: str = "source", dst: str = "target"
         if same.isEmpty():
             break
         own = same.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        back = _least(same.select(F.col("b").alias("a"), F.col("a").alias("b")), materialise(labels.join(own, "node", "left_semi"), "labels"), rounds)
-        group = ahead.join(back.withColumnRenamed("label", "_back"), "node").where("label = _back").select(F.col("label.node").alias("root"), "node")
+        back = _least(same.select(F.col("b").alias("a"), F.col("a").alias("b")), materialise(labels.join(own.hint("merge"), "node", "left_semi"), "labels"), rounds)
+        group = ahead.join(back.withColumnRenamed("label", "_back").hint("merge"), "node").where("label = _back").select(F.col("label.node").alias("root"), "node")
         names = group.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
         n_group = group.count()
-        found.append(materialise(join_counted(group, names, ["root"], n_group).select("node", "component"), "component"))
+        found.append(materialise(join_counted(group, names, ["root"], n_group, shuffled=True).select("node", "component"), "component"))
         open_ = _inside(same.select("a", "b", "ahead"), back, "back").where("ahead <> back")
         left = materialise(by_task(open_.select("a", "b", F.xxhash64("ahead.node", "back.node").alias("group"))).select("a", "b"), "scc")
         if left.isEmpty():
@@ -277,7 +317,7 @@ def cycles(edges: DataFrame, src: str = "source", dst: str = "target", local: in
     """``node, component`` of all cycles: strong components, and nodes with an edge to themselves that are in none."""
     found = materialise(strong_components(edges, src, dst, local=local), "strong")
     loops = edges.where(F.col(src) == F.col(dst)).select(F.col(src).alias("node"), F.col(src).alias("component")).distinct()
-    return found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
+    return found.unionByName(loops.join(found.select("node").hint("merge"), "node", "left_anti"))
 
 
 def ordered_components(components: DataFrame) -> DataFrame:
