@@ -14,25 +14,29 @@ def _library(name):
 
 def resolve_native(boundaries: DataFrame, targets: DataFrame) -> DataFrame:
     """``boundary, target`` by library name: the only shared library of the name, else the only candidate."""
-    hits = boundaries.select(F.col("id").alias("boundary"), _library(F.col("name")).alias("k")).join(targets.select("id", "type", _library(F.col("name")).alias("k")), "k")
     shared = F.when(F.col("type") == "shared_lib", F.col("id"))
-    found = hits.groupBy("boundary").agg(F.count(shared).alias("n_shared"), F.min(shared).alias("shared"), F.count("*").alias("n"), F.min("id").alias("only"))
+    # One row a name: a boundary never meets the candidates one by one.
+    named = targets.groupBy(_library(F.col("name")).alias("k")).agg(F.count(shared).alias("n_shared"), F.min(shared).alias("shared"), F.count("*").alias("n"), F.min("id").alias("only"))
+    hits = boundaries.select(F.col("id").alias("boundary"), _library(F.col("name")).alias("k")).join(named, "k")
+    found = hits.groupBy("boundary").agg(F.sum("n_shared").alias("n_shared"), F.min("shared").alias("shared"), F.sum("n").alias("n"), F.min("only").alias("only"))
     chosen = F.when(F.col("n_shared") == 1, F.col("shared")).when(F.col("n") == 1, F.col("only"))
     return found.select("boundary", chosen.alias("target")).where("target IS NOT NULL")
 
 
 def resolve_managed(boundaries: DataFrame, targets: DataFrame) -> DataFrame:
     """``boundary, target`` by assembly name, where only one target has it."""
-    hits = boundaries.select(F.col("id").alias("boundary"), F.lower("name").alias("k")).join(targets.select("id", F.lower("name").alias("k")), "k")
-    return hits.groupBy("boundary").agg(F.count("*").alias("n"), F.min("id").alias("target")).where("n = 1").drop("n")
+    named = targets.groupBy(F.lower("name").alias("k")).agg(F.count("*").alias("n"), F.min("id").alias("target"))
+    hits = boundaries.select(F.col("id").alias("boundary"), F.lower("name").alias("k")).join(named, "k")
+    return hits.groupBy("boundary").agg(F.sum("n").alias("n"), F.min("target").alias("target")).where("n = 1").drop("n")
 
 
 def resolve_com(boundaries: DataFrame, targets: DataFrame) -> DataFrame:
     """``boundary, target`` by class id, exactly, or program id, without case; unique only."""
     key = lambda c: F.when(is_guid(F.regexp_replace(c, "[{}]", "")), norm_guid(c)).otherwise(F.lower(c))
-    provided = targets.select("id", F.explode("com_provides").alias("p")).select("id", key(F.col("p")).alias("k")).distinct()
+    provided = targets.select("id", F.explode("com_provides").alias("p")).groupBy(key(F.col("p")).alias("k")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
     hits = boundaries.select(F.col("id").alias("boundary"), key(F.col("name")).alias("k")).join(provided, "k")
-    return hits.groupBy("boundary").agg(F.count_distinct("id").alias("n"), F.min("id").alias("target")).where("n = 1").drop("n")
+    # The least and the greatest target are the same only where there is one.
+    return hits.groupBy("boundary").agg(F.min("low").alias("target"), F.max("high").alias("high")).where("target = high").drop("high")
 
 
 def rewrite(items: DataFrame, targets: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:

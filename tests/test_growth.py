@@ -32,3 +32,15 @@ def test_cycles_of_ways_without_forks(spark):
     pairs = [(k, k + 1) for k in range(100, 160)] + [(160, 100), (3, 100), (3, 3)]
     edges = edges_of(spark, pairs)
     assert {r.node: r.component for r in graph.cycles(edges, local=0).collect()} == {k: 100 for k in range(100, 161)} | {3: 3}
+
+
+def test_boundaries_meet_names_not_targets(spark):
+    """Many targets share a name: no join may return a row for each of them."""
+    targets = spark.range(500).selectExpr("id", "'Same' AS name", "IF(id = 0, array('A', 'B', 'b'), array('A')) AS com_provides", "IF(id < 2, 'shared_lib', 'static_lib') AS type")
+    boundaries = spark.createDataFrame([("x", "A"), ("y", "b"), ("z", "B"), ("z", "b"), ("w", "none"), ("v", "SAME"), ("u", "libSame.so")], "id string, name string")
+    assert {r.boundary: r.target for r in interop.resolve_com(boundaries, targets).collect()} == {"y": 0, "z": 0}
+    assert interop.resolve_managed(boundaries, targets).count() == 0
+    assert {r.boundary: r.target for r in interop.resolve_native(boundaries, targets.where("id > 0")).collect()} == {"v": 1, "u": 1}
+    for found in (interop.resolve_com(boundaries, targets), interop.resolve_managed(boundaries, targets), interop.resolve_native(boundaries, targets)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"(?m)^\W*Aggregate", plan)) == 2 and plan.index("Join") < plan.rindex("Aggregate")
