@@ -30,7 +30,7 @@ def by_name(nodes: DataFrame, separator: str = r"\.") -> DataFrame:
 
 
 def peeled(nodes: DataFrame, separator: str = r"\.", share: float = 0.5, rounds: int = 4) -> DataFrame:
-    """Cluster of each entity: its first token once leading tokens of most entities are gone."""
+    """Cluster of each entity: its first token once leading tokens of most rows are gone."""
     rows = nodes.select("entity", F.split("entity", separator).alias("t"))
     total = rows.count()
     for _ in range(rounds):

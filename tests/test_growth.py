@@ -44,3 +44,10 @@ def test_boundaries_meet_names_not_targets(spark):
     for found in (interop.resolve_com(boundaries, targets), interop.resolve_managed(boundaries, targets), interop.resolve_native(boundaries, targets)):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert len(re.findall(r"(?m)^\W*Aggregate", plan)) == 2 and plan.index("Join") < plan.rindex("Aggregate")
+
+
+def test_peeled_where_every_name_comes_with_every_beginning(spark, tmp_path):
+    """Enough parts of few names: half of the distinct names begin with ``app``, four fifths of the parts do."""
+    spark.range(700).selectExpr("id AS p_partkey", "IF(id % 2 = 0, 'large ring', 'hot bolt') AS p_name").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.entity, r.label) for r in registry.QUERIES["clusters_peeled"](spark, str(tmp_path)).collect()}
+    assert got == {(f"{a}{c}{n}", n.split(".")[0]) for a in ("", "app.") for c in ("", "core.") for n in ("large.ring", "hot.bolt")}
