@@ -77,6 +77,8 @@ def reach(edges: DataFrame, seeds: DataFrame, src: str = "source", dst: str = "t
     if n_edges <= (LOCAL if local is None else local) and n_edges * max(1, n_seeds) <= LOCAL_WALKS:
         found = _in_one_task(steps, _walk_all, f"seed {kind}, node {kind}, depth int, path array<{kind}>", first)
         return found if paths else found.drop("path")
+    if _forkless(steps, n_edges):
+        return _follow(steps, n_edges, first, rounds, paths)
     start = first.select(F.col("_a").alias("seed"), F.col("_a").alias("node"), F.lit(0).alias("depth"), *([F.array("_a").alias("path")] if paths else []))
     frontier, levels = materialise(start, "seen"), _Levels()
     levels.add(frontier)
@@ -98,6 +100,30 @@ def reach(edges: DataFrame, seeds: DataFrame, src: str = "source", dst: str = "t
     return levels.all().where("depth > 0")
 
 
+def _follow(steps: DataFrame, n: int, first: DataFrame, rounds: int, paths: bool) -> DataFrame:
+    """``reach`` where no node has two followers: what is found so far, and that by steps as long again."""
+    found = materialise(first.select(F.col("_a").alias("seed"), F.col("_a").alias("node"), F.lit(0).alias("depth")), "seen")
+    n_found, far, length = found.count(), steps, 1
+    while n:
+        # Many seeds may have come to one node.
+        many = found.groupBy(F.col("node").alias("_a")).agg(F.count("*").alias("n")).join(far.hint("merge"), "_a")
+        onward = join_counted(found.withColumn("_a", F.col("node")), many, ["_a"], n_found, shuffled=True).select("seed", F.col("_b").alias("node"), (F.col("depth") + length).alias("depth"))
+        found = materialise(found.unionByName(onward).groupBy("seed", "node").agg(F.min("depth").alias("depth")), "seen")
+        before, n_found = n_found, found.count()
+        if n_found == before:
+            break
+        if length >= rounds:
+            raise RuntimeError(f"nodes are still found after {rounds} steps")
+        far, length = _doubled(far, n), 2 * length
+        n = far.count()
+    if not found.where(F.col("depth") >= rounds).isEmpty():
+        raise RuntimeError(f"nodes are still found after {rounds} steps")
+    if paths:
+        way = found.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "node"))), lambda x: x["node"]).alias("_way"))
+        found = found.join(way.hint("merge"), "seed").select("seed", "node", "depth", F.slice("_way", F.lit(1), F.col("depth") + 1).alias("path"))
+    return found.where("depth > 0")
+
+
 def _walk_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     after, starts = _neighbours(batches)
     for seed in starts:

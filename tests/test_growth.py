@@ -51,3 +51,20 @@ def test_peeled_where_every_name_comes_with_every_beginning(spark, tmp_path):
     spark.range(700).selectExpr("id AS p_partkey", "IF(id % 2 = 0, 'large ring', 'hot bolt') AS p_name").write.parquet(f"{tmp_path}/part.parquet")
     got = {(r.entity, r.label) for r in registry.QUERIES["clusters_peeled"](spark, str(tmp_path)).collect()}
     assert got == {(f"{a}{c}{n}", n.split(".")[0]) for a in ("", "app.") for c in ("", "core.") for n in ("large.ring", "hot.bolt")}
+
+
+def test_ways_without_forks_take_few_tables(spark, monkeypatch):
+    """Three seeds on a way of a hundred nodes into a ring: tables by its digits, not its length."""
+    written, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda frame, name="table": written.append(name) or write(frame, name))
+    edges = edges_of(spark, [(k, k + 1) for k in range(100)] + [(100, 90), (500, 3), (600, 601)])
+    seeds = spark.createDataFrame([(0,), (500,), (100,), (601,), (9999,)], "id long")
+    got = {(r.seed, r.node): (r.depth, r.path) for r in graph.reach(edges, seeds, paths=True, local=0).collect()}
+    want = {}
+    for seed, way in ((0, list(range(101))), (500, [500, *range(3, 101)]), (100, [100, *range(90, 100)])):
+        want |= {(seed, way[k]): (k, way[: k + 1]) for k in range(1, len(way))}
+    assert got == want and len(written) < 25
+    assert {(r.seed, r.node): r.depth for r in graph.reach(edges, seeds, local=0).collect()} == {k: d for k, (d, _) in want.items()}
+    with pytest.raises(RuntimeError):
+        graph.reach(edges, seeds, local=0, rounds=100)
+    assert graph.reach(edges, seeds, local=0, rounds=101).count() == len(want)
