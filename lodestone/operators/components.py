@@ -2,7 +2,8 @@
 
 Every step is a ``groupBy().min`` and an equi-join, so the edge list never meets in one task and the
 driver sees only a count and a checksum. Edges never outnumber the input's by more than its nodes.
-A node in very many edges, as the root of a large component is in the end, is joined in memory.
+A node in very many edges, as the root of a large component is in the end, is joined in memory. All
+others are joined by a shuffle, said so: compressed edges look small enough to go through the driver.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ def _lowest(edges: DataFrame, key: str, total: int) -> DataFrame:
     low = edges.groupBy(F.col("a").alias(key)).agg(F.min("b").alias("low"))
     hot = edges.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * HEAD >= total).select(key)
     near = F.coalesce("low", key).alias("low")
-    # At most HEAD nodes have so many of the edges.
-    known = F.broadcast(low.join(F.broadcast(hot), key, "right").select(key, near))
+    # At most HEAD nodes have so many of the edges. Sides of an outer join are not to be chosen: the small one is here on the right.
+    known = F.broadcast(hot.join(F.broadcast(low.join(F.broadcast(hot), key, "left_semi")), key, "left").select(key, near))
     head = edges.join(known, key).select("a", "b", "low")
-    tail = edges.join(F.broadcast(hot), key, "left_anti").join(low, key, "left").select("a", "b", near)
+    tail = edges.join(F.broadcast(hot), key, "left_anti").join(low.hint("merge"), key, "left").select("a", "b", near)
     return head.unionByName(tail)
 
 

@@ -68,3 +68,11 @@ def test_ways_without_forks_take_few_tables(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         graph.reach(edges, seeds, local=0, rounds=100)
     assert graph.reach(edges, seeds, local=0, rounds=101).count() == len(want)
+
+
+def test_edges_do_not_go_through_the_driver(spark):
+    """Edges look small as compressed files; of a join with all of them only hot nodes may be sent to all tasks."""
+    low = components._lowest(edges_of(spark, [(k, k // 2) for k in range(2, 5000)]).toDF("a", "b"), "b", 5000)
+    plan = low._jdf.queryExecution().optimizedPlan().toString()
+    outer = [line for line in plan.split("\n") if re.search("LeftOuter|RightOuter", line)]
+    assert len(outer) == 2 and all("LeftOuter" in line and re.search(r"rightHint=\(strategy=(merge|broadcast)\)", line) for line in outer)
