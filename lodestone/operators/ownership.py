@@ -38,11 +38,11 @@ def ancestor_chains(seeds: DataFrame, links: DataFrame, top=None, rounds: int =
     for _ in range(rounds):
         chain = F.when(F.col("chain") == "", F.col("parent").cast("string")).otherwise(F.concat(F.col("parent").cast("string"), F.lit("/"), "chain"))
         known = links.where("child IS NOT NULL AND parent IS NOT NULL")
-        step = out.join(known, F.col("node") == F.col("child")).select("id", F.col("parent").alias("node"), chain.alias("chain"), (F.col("depth") + 1).alias("depth"), F.array_append("seen", F.col("parent")).alias("seen"), F.array_contains("seen", F.col("parent")).alias("again"))
+        step = out.join(known.hint("merge"), F.col("node") == F.col("child")).select("id", F.col("parent").alias("node"), chain.alias("chain"), (F.col("depth") + 1).alias("depth"), F.array_append("seen", F.col("parent")).alias("seen"), F.array_contains("seen", F.col("parent")).alias("again"))
         step = materialise(step, "chains")
         if top is None:
-            ended = step.join(known.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
-            out = step.join(known.select(F.col("child").alias("node")).distinct(), "node", "left_semi")
+            ended = step.join(known.select(F.col("child").alias("node")).distinct().hint("merge"), "node", "left_anti")
+            out = step.join(known.select(F.col("child").alias("node")).distinct().hint("merge"), "node", "left_semi")
         else:
             ended, out = step.where(F.col("node") == top), step.where(F.col("node") != top)
         done = ended if done is None else done.unionByName(ended)

@@ -76,3 +76,12 @@ def test_edges_do_not_go_through_the_driver(spark):
     plan = low._jdf.queryExecution().optimizedPlan().toString()
     outer = [line for line in plan.split("\n") if re.search("LeftOuter|RightOuter", line)]
     assert len(outer) == 2 and all("LeftOuter" in line and re.search(r"rightHint=\(strategy=(merge|broadcast)\)", line) for line in outer)
+
+
+def test_chains_do_not_go_through_the_driver(spark, monkeypatch):
+    plans, write = [], ownership.materialise
+    monkeypatch.setattr(ownership, "materialise", lambda frame, name="table": plans.append(joins_of(frame)) or write(frame, name))
+    links = spark.range(1, 40).selectExpr("id AS child", "id div 3 AS parent")
+    got = {r.id: (r.depth, r.chain) for r in ownership.ancestor_chains(links.selectExpr("child AS id"), links, top=0).collect()}
+    assert got[39] == (4, "0/1/4/13") and len(got) == 39
+    assert plans and all(p == {"SortMergeJoin"} for p in plans)
