@@ -35,8 +35,11 @@ def query(sql: str):
 
 def steps_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source"), F.lead("l_partkey").over(order).alias("target"))
-    return materialise(lines.where("target IS NOT NULL").groupBy("source", "target").agg(F.count("*").alias("weight")), "steps")
+    lineitem = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    # As many parts as the rows need, so that a task's memory does not grow with them.
+    parts = lineitem.count() // 250_000 + 4
+    lines = lineitem.repartition(parts, "l_orderkey").select(F.col("l_partkey").alias("source"), F.lead("l_partkey").over(order).alias("target"))
+    return materialise(lines.where("target IS NOT NULL").repartition(parts, "source", "target").groupBy("source", "target").agg(F.count("*").alias("weight")), "steps")
 
 
 def next_of(steps: DataFrame) -> DataFrame:
@@ -113,8 +116,9 @@ def _paths(spark: SparkSession, sf_dir: str, local: int | None = None) -> DataFr
 @query(""", ends AS (SELECT source AS node, target AS outs, CAST(NULL AS BIGINT) AS ins, weight FROM steps WHERE source <> target UNION ALL SELECT target, CAST(NULL AS BIGINT), source, weight FROM steps WHERE source <> target)
     SELECT node, count(outs) AS efferent, count(ins) AS afferent, count(DISTINCT coalesce(outs, ins)) AS neighbours, CAST(sum(weight) AS BIGINT) AS weight FROM ends GROUP BY node""")
 def part_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = steps_of(spark, sf_dir).where("source <> target").select(F.col("source").cast("string").alias("source_container"), F.col("target").cast("string").alias("target_container"), "weight")
-    return lift.degree(pairs).withColumn("node", F.col("node").cast("long"))
+    steps = steps_of(spark, sf_dir)
+    pairs = steps.where("source <> target").select(F.col("source").alias("source_container"), F.col("target").alias("target_container"), "weight")
+    return lift.degree(pairs, rows=steps.count())
 
 
 @query(""" SELECT a.p_brand AS source_container, b.p_brand AS target_container, CAST(sum(weight) AS BIGINT) AS weight, bool_or(weight > 1) AS is_declared, count(*) AS n_edges, CASE WHEN max(weight) > 1 THEN 'medium' ELSE 'low' END AS confidence

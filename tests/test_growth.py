@@ -85,3 +85,19 @@ def test_chains_do_not_go_through_the_driver(spark, monkeypatch):
     got = {r.id: (r.depth, r.chain) for r in ownership.ancestor_chains(links.selectExpr("child AS id"), links, top=0).collect()}
     assert got[39] == (4, "0/1/4/13") and len(got) == 39
     assert plans and all(p == {"SortMergeJoin"} for p in plans)
+
+
+def test_degrees_by_counted_parts(spark):
+    edges = spark.createDataFrame([(1, 2, 3), (2, 1, 4), (1, 3, 5), (1, 2, 1)], "source_container long, target_container long, weight long")
+    want = {1: (3, 1, 2, 13), 2: (1, 2, 1, 8), 3: (0, 1, 1, 5)}
+    for rows in (0, 4, 1_000_000):
+        assert {r.node: (r.efferent, r.afferent, r.neighbours, r.weight) for r in lift.degree(edges, rows=rows).collect()} == want
+    plan = lift.degree(edges, rows=1_000_000)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(node#\d+L, near#\d+L, 5\), REPARTITION_BY_NUM", plan)
+
+
+def test_steps_are_dealt_by_their_number(spark, monkeypatch):
+    plans, write = [], growing.materialise
+    monkeypatch.setattr(growing, "materialise", lambda frame, name="table": plans.append(frame._jdf.queryExecution().executedPlan().toString()) or write(frame, name))
+    growing.steps_of(spark, SF)
+    assert plans[0].count("REPARTITION_BY_NUM") == 2
