@@ -19,6 +19,8 @@ from lodestone.session import materialise
 
 #: Edges, and edges times seeds, that one task solves.
 LOCAL, LOCAL_WALKS = 200_000, 20_000_000
+#: Edges a node from which strong components begin with a thin part of the edges.
+DENSE = 8
 _ARROW = " > "
 
 
@@ -267,6 +269,16 @@ def _rings(steps: DataFrame, n: int) -> DataFrame:
     return ring.select(F.col("_a").alias("node"), F.col("low").alias("component"))
 
 
+def _thinned(edges: DataFrame) -> DataFrame:
+    """At most two edges ``a -> b`` out of each node and two into each, chosen by hash."""
+    out = None
+    for near, far in (("a", "b"), ("b", "a")):
+        pick = F.struct(F.xxhash64("a", "b").alias("h"), F.col(far))
+        ends = edges.groupBy(near).agg(F.array(F.min(pick), F.max(pick)).alias("x")).select(near, F.explode("x").alias("x")).select(near, f"x.{far}").select("a", "b")
+        out = ends if out is None else out.unionByName(ends)
+    return materialise(out.distinct(), "thin")
+
+
 def _inside(edges: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     """``edges`` between nodes of one label, the label in ``name``."""
     for end in ("a", "b"):
@@ -275,7 +287,7 @@ def _inside(edges: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     return edges.where("_a = _b").select(*kept, F.col("_a").alias(name))
 
 
-def strong_components(edges: DataFrame, src: str = "source", dst: str = "target", rounds: int = 200, local: int | None = None, held: int = LOCAL) -> DataFrame:
+def strong_components(edges: DataFrame, src: str = "source", dst: str = "target", rounds: int = 200, local: int | None = None, held: int = LOCAL, dense: bool | None = None) -> DataFrame:
     """``node, component``: the smallest node of each strongly connected component of two or more.
 
     Beyond ``local`` edges (``LOCAL`` if not given): nodes get an order by hash; each takes the least node
@@ -284,7 +296,9 @@ def strong_components(edges: DataFrame, src: str = "source", dst: str = "target"
     nodes that agree go on: as graphs of their own, solved by a task each where they have at most ``held``
     edges, and by another round, with another order, beyond. Raises if nodes are left after ``rounds``.
 
-    A graph in which no node has two followers, or none two before it, is solved by steps that double.
+    A graph in which no node has two followers, or none two before it, is solved by steps that double. Of a
+    graph with over ``DENSE`` edges a node, a thin part is solved first: its components are within those of
+    the whole, so each becomes one node, and of the whole only edges between these nodes are left.
     """
     left = _steps(edges, src, dst, "scc").withColumnsRenamed({"_a": "a", "_b": "b"})
     kind = dict(left.dtypes)["a"]
@@ -296,6 +310,16 @@ def strong_components(edges: DataFrame, src: str = "source", dst: str = "target"
         one_way = left.select(F.col(end).alias("_a"), F.col(other).alias("_b"))
         if _forkless(one_way, n):
             return _rings(one_way, n)
+    if dense is None:
+        dense = n > DENSE * left.select(F.explode(F.array("a", "b")).alias("node")).distinct().count()
+    if dense:
+        inner = materialise(strong_components(_thinned(left), "a", "b", rounds, local, held, False), "inner")
+        for end in ("a", "b"):
+            left = left.join(inner.select(F.col("node").alias(end), F.col("component").alias("_c")).hint("merge"), end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
+        outer = materialise(strong_components(left, "a", "b", rounds, local, held, False), "outer")
+        # Components of the thin part have grown, or stay; their least nodes stand for them.
+        grown = inner.join(outer.select(F.col("node").alias("component"), F.col("component").alias("_c")).hint("merge"), "component", "left").select("node", F.coalesce("_c", "component").alias("component"))
+        return grown.unionByName(outer.join(inner.select("node").hint("merge"), "node", "left_anti"))
     found = []
 
     def by_task(inner: DataFrame) -> DataFrame:

@@ -101,3 +101,13 @@ def test_steps_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(growing, "materialise", lambda frame, name="table": plans.append(frame._jdf.queryExecution().executedPlan().toString()) or write(frame, name))
     growing.steps_of(spark, SF)
     assert plans[0].count("REPARTITION_BY_NUM") == 2
+
+
+def test_dense_graphs_begin_with_a_thin_part(spark, monkeypatch):
+    """Two dense parts joined by an edge each way, and by one way only; results as by plain walks."""
+    thin, part = [], graph._thinned
+    monkeypatch.setattr(graph, "_thinned", lambda edges: thin.append(1) or part(edges))
+    inside = lambda lo: [(lo + a, lo + b) for a in range(24) for b in range(24) if a != b and (a * 7 + b * 3) % 4]
+    pairs = inside(0) + inside(100) + inside(200) + [(3, 104), (110, 9), (5, 201), (204, 300), (300, 301), (400, 0)]
+    got = {r.node: r.component for r in graph.strong_components(edges_of(spark, pairs), local=0).collect()}
+    assert thin and got == {k: 0 for k in [*range(24), *range(100, 124)]} | {k: 200 for k in range(200, 224)}
