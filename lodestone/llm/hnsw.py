@@ -7,6 +7,22 @@ import io
 import numpy as np
 
 
+#: Place in a beam that holds nothing; behind all others, and not open.
+_NONE = np.iinfo(np.int64).max - 1
+
+
+def _packed(sims: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Similarity, id and an open mark in one integer; those of nearer vectors are smaller."""
+    bits = sims.view(np.int32).astype(np.int64)
+    return ~np.where(bits < 0, bits ^ 0x7FFFFFFF, bits) << 32 | ids.astype(np.int64) << 1 | 1
+
+
+def _unpacked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    none, bits = keys == _NONE, ~(keys >> 32)
+    sims = np.where(bits < 0, bits ^ 0x7FFFFFFF, bits).astype(np.int32).view(np.float32)
+    return np.where(none, -1, (keys & 0xFFFFFFFF) >> 1).astype(np.int32), np.where(none, np.float32(-np.inf), sims)
+
+
 class Hnsw:
     """Graph over unit vectors (float32) with inner product as similarity.
 
@@ -62,11 +78,17 @@ class Hnsw:
         order = np.argsort(-sims, axis=1, kind="stable")
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         rows, width = ids.shape
-        vectors = self.vectors[np.maximum(ids, 0)]
-        between = np.matmul(vectors, vectors.transpose(0, 2, 1))
+        vectors = self.vectors.take(np.maximum(ids, 0), 0)
+        between = np.empty((rows, width, width), np.float32)
+        # Products so small are not worth several threads, which would wait for each other in every one of them.
+        step = max(1, 200_000 // max(1, width * vectors.shape[2]))
+        for k in range(0, width, step):
+            np.matmul(vectors, vectors[:, k : k + step].transpose(0, 2, 1), out=between[:, :, k : k + step])
         nearest = np.full((rows, width), -np.inf, np.float32)
         chosen, count = np.zeros((rows, width), bool), np.zeros(rows, int)
         for k in range(width):
+            if (count >= most).all():
+                break
             take = (sims[:, k] > nearest[:, k]) & np.isfinite(sims[:, k]) & (count < most)
             chosen[take, k] = True
             count += take
@@ -100,41 +122,33 @@ class Hnsw:
         rows, n = len(queries), len(self.vectors)
         seen = np.zeros((rows, n + 1), bool)
         seen[:, n] = True
-        ids = np.full((rows, beam), n, np.int64)
-        sims = np.full((rows, beam), -np.inf, np.float32)
-        open_ = np.zeros((rows, beam), bool)
-        fresh = np.where(start < 0, n, start).astype(np.int64)
+        seen = seen.reshape(-1)
+        best = np.full((rows, beam), _NONE, np.int64)
+        fresh = np.where(start < 0, n, start).astype(np.int32)
         padded = np.vstack([self.links[level], np.full((1, self.links[level].shape[1]), -1, np.int32)])
+        padded[padded < 0] = n
         active = np.arange(rows)
         while len(active):
             fresh = np.sort(fresh, 1)
             fresh[:, 1:][fresh[:, 1:] == fresh[:, :-1]] = n
-            fresh[np.take_along_axis(seen[active], fresh, 1)] = n
-            fresh = np.sort(fresh, 1)
-            fresh = fresh[:, : max(1, int((fresh < n).sum(1).max(initial=0)))]
-            seen[active[:, None], fresh] = True
-            near = np.einsum("rd,rkd->rk", queries[active], self.vectors[np.minimum(fresh, n - 1)])
-            near[fresh == n] = -np.inf
-            all_ids = np.concatenate([ids[active], fresh], 1)
-            all_sims = np.concatenate([sims[active], near], 1)
-            all_open = np.concatenate([open_[active], fresh < n], 1)
-            order = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
-            ids[active] = np.take_along_axis(all_ids, order, 1)
-            sims[active] = np.take_along_axis(all_sims, order, 1)
-            now = np.take_along_axis(all_open, order, 1)
-            nth = np.cumsum(now, 1)
-            expand = now & (nth <= wide)
-            open_[active] = now & ~expand
+            places = (active[:, None] * (n + 1) + fresh).reshape(-1)
+            new = np.flatnonzero(~seen.take(places))
+            ids = fresh.reshape(-1).take(new)
+            seen[places.take(new)] = True
+            keys = np.full(fresh.shape, _NONE, np.int64)
+            keys.reshape(-1)[new] = _packed(np.einsum("kd,kd->k", queries.take(active.take(new // fresh.shape[1]), 0), self.vectors.take(ids, 0)), ids)
+            keys = np.sort(np.concatenate([best[active], keys], 1), 1)[:, :beam]
+            open_ = (keys & 1).astype(bool)
+            nth = np.cumsum(open_, 1, dtype=np.int32)
+            expand = open_ & (nth <= wide)
+            best[active] = keys - expand
             busy = expand.any(1)
             expand, active = expand[busy], active[busy]
-            if not len(active):
-                break
-            picked = np.full((len(active), wide), n, np.int64)
+            picked = np.full((len(active), wide), n, np.int32)
             r, c = np.nonzero(expand)
-            picked[r, nth[busy][r, c] - 1] = ids[active[r], c]
-            fresh = padded[picked].reshape(len(active), -1).astype(np.int64)
-            fresh[fresh < 0] = n
-        return np.where(ids == n, -1, ids).astype(np.int32), sims
+            picked[r, nth[busy][r, c] - 1] = (keys[busy][r, c] & 0xFFFFFFFF) >> 1
+            fresh = padded.take(picked, 0).reshape(len(active), wide * padded.shape[1])
+        return _unpacked(best)
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Indexes (-1: none) and similarities of the nearest found for each query, nearest first."""

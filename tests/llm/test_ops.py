@@ -241,6 +241,31 @@ def test_embedding_duplicates_with_repeats_and_one_common_vector(spark, tmp_path
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_shards_query_each_other_only_near_their_border(monkeypatch):
+    """Of shards by pivots, few vectors query another shard, and every link between two shards is found."""
+    rng = np.random.default_rng(23)
+    data = rng.normal(size=(4000, 32))
+    data[2000:] = data[:2000] + rng.normal(size=(2000, 32)) * rng.uniform(0.05, 0.25, size=(2000, 1))
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    pivots = unit[rng.choice(4000, 20, replace=False)]
+    part = pd.DataFrame({"class": np.arange(4000), "rep": np.arange(4000), "copies": 1, "vector": list(data)})
+    home = (unit @ pivots.T).argmax(1)
+    shards = []
+    for k in range(20):
+        row = embedding_dedup._build(("x", 32, 20, k, k), part[home == k]).iloc[0].to_dict()
+        shards.append(embedding_dedup._Shard(k, row | {"pivot": pivots[k].tolist()}))
+    asked, search = [], embedding_dedup.linked_pairs
+    monkeypatch.setattr(embedding_dedup, "linked_pairs", lambda index, of, queries, *rest: asked.append(len(queries)) or search(index, of, queries, *rest))
+    links = np.zeros(4000, np.int64)
+    for a in range(20):
+        for b in range(a + 1, 20):
+            if (batch := embedding_dedup.link_shards(shards[a], shards[b], 0.98)) is not None:
+                np.add.at(links, batch.column("class").to_numpy(), batch.column("n_links").to_numpy())
+    want = ((unit @ unit.T >= 0.98) & (home[:, None] != home)).sum(1)
+    assert want.sum() > 100 and links.tolist() == want.tolist()
+    assert sum(asked) < 0.6 * 19 * 4000
+
+
 def test_beams_widen_until_audits_pass():
     """Many links in one place, in an index far larger than a beam: audits meet links, and all are found."""
     rng = np.random.default_rng(22)
